@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def upsert(new: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     spark = new.sparkSession
     day = F.substring("timestamp", 1, 10)
     batch = newest_per_key(new, key).withColumn("day", day)
-    if _exists(spark, path):
+    if exists(spark, path):
         batch = stage(batch, "upsert-batch")
         days = batch.select("day").distinct()
         touched = spark.read.schema(batch.schema).parquet(path).join(days, "day", "left_semi")
@@ -105,9 +106,7 @@ def upsert(new: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return spark.read.schema(batch.schema).parquet(path)
 
 
-def _exists(spark, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
+def exists(spark: SparkSession, path: str) -> bool:
     try:
         return bool(spark.read.parquet(path).columns)
     except AnalysisException:

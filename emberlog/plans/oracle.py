@@ -454,4 +454,7 @@ FROM (SELECT conv_id, turn, text, intent, small_talk, {hint} AS hint, coalesce(n
     out["readiness_checks"] = after("logs", """SELECT 'logs not empty' AS name, CAST(count(*) > 0 AS BIGINT) AS ok, count(*) || ' rows' AS detail, CAST(1 AS BIGINT) AS critical FROM logs
 UNION ALL SELECT 'logs columns', 1, 'all present', 1
 UNION ALL SELECT 'logs newest', CAST(max(ts) IS NOT NULL AS BIGINT), coalesce(CAST(max(ts) AS VARCHAR), 'none'), 0 FROM logs""")
+
+    out["stream_replay"] = after("flat", f"""SELECT {ts_text('cycle', 'cycle')}, {n('count(*)', 'n')}
+FROM (SELECT time_bucket(INTERVAL 5 MINUTE, {PARSE}) AS cycle FROM flat WHERE {PARSE} IS NOT NULL) GROUP BY cycle""")
     return out

@@ -25,6 +25,7 @@ from emberlog.plans import detector
 from emberlog.session import prepare, shared_dir, stage
 from emberlog.sources import scan
 from emberlog.sources.event_logs import source_documents
+from emberlog.streaming import pipeline, windows
 
 # Row order where the input has none of its own.
 ORDER = ("host", "log_file", "event_id")
@@ -117,6 +118,10 @@ def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]
     return build
 
 
+def _scratch(i: Inputs, name: str) -> str:
+    return f"{shared_dir(i.spark)}/emberlog/{i.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def _stamp(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("@timestamp", "stamp")
 
@@ -362,7 +367,7 @@ def legacy_docs(i: Inputs) -> DataFrame:
 def upsert_docs(i: Inputs) -> DataFrame:
     """Two overlapping batches put into one table, the second one last."""
     docs = i.documents
-    path = f"{shared_dir(i.spark)}/emberlog/{i.spark.sparkContext.applicationId}/upsert-{uuid.uuid4().hex[:12]}"
+    path = _scratch(i, "upsert")
     documents.upsert(docs.filter(F.col("timestamp") < MERGE_TO).withColumn("batch", F.lit(1)), path)
     merged = documents.upsert(docs.filter(F.col("timestamp") >= MERGE_FROM).withColumn("batch", F.lit(2)), path)
     return merged.select("doc_id", "timestamp", "message", "batch")
@@ -567,6 +572,30 @@ def readiness_checks(i: Inputs) -> DataFrame:
     return checks.readiness(i.logs, "logs", ["@timestamp", "message", "host"])
 
 
+# Streams -------------------------------------------------------------------
+
+def _source_stream(i: Inputs) -> DataFrame:
+    (path,) = {f.rsplit("/", 1)[0] for f in i.sources.inputFiles()}
+    return pipeline.read_stream(i.spark, path, i.sources.schema, "parquet")
+
+
+@query
+def stream_replay(i: Inputs) -> DataFrame:
+    """Counts per cycle from a stream of the source documents."""
+    out = _scratch(i, "stream-replay")
+    counts = windows.tumbling_counts(clean.flatten(_source_stream(i)), delay="31 days")
+    windows.write_changes(counts, f"{out}/counts", f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return windows.latest(i.spark.read.parquet(f"{out}/counts"), "cycle")
+
+
+@query
+def stream_monitor(i: Inputs) -> DataFrame:
+    """The whole monitoring loop over a stream; the documents it leaves."""
+    out = _scratch(i, "stream-monitor")
+    pipeline.start_pipeline(_source_stream(i), i.model, out, f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return i.spark.read.parquet(f"{out}/documents").drop("day")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(build):
         return lambda spark, folder: comparable(build(Inputs(spark, folder)))
