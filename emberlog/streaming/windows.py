@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,17 +23,21 @@ def drop_repeats(stream: DataFrame, delay: str = "10 minutes", keys: tuple[str,
     return with_late_bound(stream, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def _count(rows: DataFrame, window: Column, name: str) -> DataFrame:
+    """Rows per window. Grouped by the window itself: its start alone would
+    not carry the late bound, and state would never be dropped."""
+    return rows.groupBy(window.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias(name), "n")
+
+
 def tumbling_counts(stream: DataFrame, delay: str = "10 minutes", window: str = fixed.CYCLE) -> DataFrame:
-    rows = with_late_bound(stream, delay)
-    return rows.groupBy(F.window("ts", window)["start"].alias("cycle")).agg(F.count("*").alias("n"))
+    return _count(with_late_bound(stream, delay), F.window("ts", window), "cycle")
 
 
 def sliding_view(
     stream: DataFrame, delay: str = "10 minutes", window: str = fixed.LIVE_WINDOW, slide: str = fixed.LIVE_PERIOD
 ) -> DataFrame:
     """Live view: counts of the last five minutes, every 15 seconds."""
-    rows = with_late_bound(stream, delay)
-    return rows.groupBy(F.window("ts", window, slide)["start"].alias("window_start")).agg(F.count("*").alias("n"))
+    return _count(with_late_bound(stream, delay), F.window("ts", window, slide), "window_start")
 
 
 def write_changes(counts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
