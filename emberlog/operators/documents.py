@@ -56,7 +56,7 @@ def to_documents(scored: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame
         "timestamp": iso.alias("timestamp"),
         "message_short": text.shorten(message, 200).alias("message_short"),
     }
-    return rows.select(*[fixed_fields.get(f.name, None) if f.name in fixed_fields else _field(f.name, rows) for f in ANOMALY_DOC])
+    return rows.select(*[fixed_fields.get(f.name, _field(f.name, rows)) for f in ANOMALY_DOC])
 
 
 def to_legacy_documents(scored: DataFrame) -> DataFrame:
@@ -94,8 +94,9 @@ def upsert(new: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     batch = newest_per_key(new, key).withColumn("day", day)
     if exists(spark, path):
         batch = stage(batch, "upsert-batch")
-        days = batch.select("day").distinct()
-        touched = spark.read.schema(batch.schema).parquet(path).join(days, "day", "left_semi")
+        # As literals, so that untouched days are pruned from the scan.
+        days = [r["day"] for r in batch.select("day").distinct().collect()]
+        touched = spark.read.schema(batch.schema).parquet(path).filter(F.col("day").isin(days))
         batch = stage(merge(touched.select(*batch.columns), batch, key), "upsert-merged")
     (
         batch.write.mode("overwrite")

@@ -15,7 +15,8 @@ from emberlog import fixed_values as fixed
 
 # Question terms handled per scan of the documents; more take more scans.
 MAX_TERMS = 500_000
-BLOCK = 256  # questions scored at a time inside a task
+# Questions and documents scored at a time inside a task.
+BLOCK, ROWS = 256, 512
 
 
 def words(c: Column) -> Column:
@@ -89,26 +90,36 @@ def _best_per_question(asked: pd.DataFrame, stats: dict, fields: tuple[str, ...]
         ranked = rows.sort_values(["qid", "score", *keys], ascending=[True, False, *[True] * len(keys)])
         return ranked.groupby("qid", sort=False).head(k)
 
+    def pick(block: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, question) of scores that can still be among the best k."""
+        able = (block > 0) & (block >= least)
+        crowded = np.flatnonzero(able.sum(axis=0) > k)
+        # Rows are in key order, so a stable sort settles equal scores.
+        top = np.argsort(-block[:, crowded], axis=0, kind="stable")[:k]
+        able[:, crowded] = False
+        able[top, crowded] = True
+        return np.nonzero(able)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for pdf in batches:
-            payload = pdf.drop(columns=[f"_w{i}" for i in range(len(fields))])
-            # Rows in key order: of equal scores the first ones are to be kept.
-            place = payload.sort_values(keys).index.to_numpy()
-            payload = payload.loc[place].reset_index(drop=True)
-            matrices = [field_matrix(pdf[f"_w{i}"].loc[place].reset_index(drop=True), i) for i in range(len(fields))]
-            found = [] if kept is None else [kept]
-            for first in range(0, len(qids), BLOCK):
-                last = min(first + BLOCK, len(qids))
-                block = scores(pdf, first, last, matrices)
-                top = np.argsort(-block, axis=0, kind="stable")[:k]
-                value = np.take_along_axis(block, top, axis=0)
-                at, question = np.nonzero(value > 0)
-                rows = payload.iloc[top[at, question]].reset_index(drop=True)
-                rows.insert(0, "score", value[at, question])
-                rows.insert(0, "qid", qids[first + question])
-                found.append(rows)
-            kept = cut(pd.concat(found, ignore_index=True))
+        kept, least = None, np.zeros(len(qids))
+        for batch in batches:
+            for pdf in (batch.iloc[at:at + ROWS] for at in range(0, len(batch), ROWS)):
+                pdf = pdf.sort_values(keys, ignore_index=True)
+                payload = pdf.drop(columns=[f"_w{i}" for i in range(len(fields))])
+                matrices = [field_matrix(pdf[f"_w{i}"], i) for i in range(len(fields))]
+                found = [] if kept is None else [kept]
+                for first in range(0, len(qids), BLOCK):
+                    last = min(first + BLOCK, len(qids))
+                    block = scores(pdf, first, last, matrices)
+                    at, question = pick(block, least[first:last])
+                    rows = payload.iloc[at].reset_index(drop=True)
+                    rows.insert(0, "score", block[at, question])
+                    rows.insert(0, "qid", qids[first + question])
+                    found.append(rows)
+                kept = cut(pd.concat(found, ignore_index=True))
+                full = kept.groupby("qid")["score"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                least[np.searchsorted(qids, full.index.to_numpy())] = full["min"]
         if kept is not None and len(kept):
             yield kept
 
@@ -136,19 +147,22 @@ def search(
     """
     columns = list(dict.fromkeys([*tie_break, *keep]))
     terms = question_terms(questions, qid, text)
-    stats_terms = terms.count()
-    slices = -(-stats_terms // max_terms) or 1
+    # All terms at once where they fit, which one read of the questions tells.
+    asked = [terms.limit(max_terms + 1).toPandas()]
+    parts = [terms]
+    if len(asked[0]) > max_terms:
+        slices = -(-terms.count() // max_terms)
+        parts = [terms.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i) for i in range(slices)]
+        asked = (part.toPandas() for part in parts)
     listed = docs.select(*columns, *[words(F.col(f)).alias(f"_w{i}") for i, f in enumerate(fields)])
     schema = T.StructType(
         [T.StructField("qid", questions.schema[qid].dataType), T.StructField("score", T.DoubleType())]
         + [listed.schema[c] for c in columns]
     )
     result = None
-    for number in range(slices):
-        part = terms.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == number) if slices > 1 else terms
-        asked = part.toPandas()
-        stats = _statistics(docs, part, fields)
-        found = listed.mapInPandas(_best_per_question(asked, stats, fields, list(tie_break), k), schema)
+    for part, wanted in zip(parts, asked):
+        best = _best_per_question(wanted, _statistics(docs, part, fields), fields, list(tie_break), k)
+        found = listed.mapInPandas(best, schema)
         result = found if result is None else result.unionByName(found)
     order = [F.col("score").desc(), *[F.col(c) for c in tie_break]]
     rank = F.row_number().over(W.partitionBy("qid").orderBy(*order))

@@ -81,9 +81,13 @@ def health_categories(logs: DataFrame) -> DataFrame:
 
 
 def template_patterns(logs: DataFrame) -> DataFrame:
-    """Message shapes by how often they occur."""
-    counts = logs.groupBy(text.template(F.col("message")).alias("template")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.col("n").desc(), "template")
+    """Message shapes and how often each occurs."""
+    return logs.groupBy(text.template(F.col("message")).alias("template")).agg(F.count("*").alias("n"))
+
+
+def main_patterns(logs: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` most frequent shapes."""
+    return template_patterns(logs).orderBy(F.col("n").desc(), "template").limit(k)
 
 
 def _with_previous(counts: DataFrame, bucket: str, step: str) -> DataFrame:

@@ -22,7 +22,7 @@ from emberlog.operators import (
     forest, registry, report, scoring, search, security, tfidf, trends,
 )
 from emberlog.plans import detector
-from emberlog.session import prepare, shared_dir, stage
+from emberlog.session import prepare, shared_dir, spread, stage
 from emberlog.sources import scan
 from emberlog.sources.event_logs import source_documents
 from emberlog.streaming import pipeline, windows
@@ -47,6 +47,10 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table whose rows are costly to work on."""
+        return spread(self.table(name))
+
     def _once(self, name: str, build: Callable[[], object]):
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _kept:
@@ -55,7 +59,7 @@ class Inputs:
 
     @property
     def sources(self) -> DataFrame:
-        return self._once("sources", lambda: stage(source_documents(self.table("events")), "sources"))
+        return self._once("sources", lambda: stage(source_documents(self.texts("events")), "sources"))
 
     @property
     def logs(self) -> DataFrame:
@@ -85,7 +89,7 @@ class Inputs:
     @property
     def vectorizer(self) -> tfidf.Vectorizer:
         """Vocabulary of the documents table."""
-        return self._once("vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(self.table("documents"), "text")))
+        return self._once("vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(self.texts("documents"), "text")))
 
     @property
     def questions(self) -> DataFrame:
@@ -192,13 +196,13 @@ def narrow_features(i: Inputs) -> DataFrame:
 
 @query
 def document_features(i: Inputs) -> DataFrame:
-    rows = features.text_features(i.table("documents"), col="text")
+    rows = features.text_features(i.texts("documents"), col="text")
     return rows.select("doc_id", *fixed.FEATURES["full"][:7])
 
 
 @query
 def document_frequency(i: Inputs) -> DataFrame:
-    docs = i.table("documents").withColumnRenamed("text", "message")
+    docs = i.texts("documents").withColumnRenamed("text", "message")
     return features.frequency_feature(docs).select("doc_id", "message_frequency")
 
 
@@ -347,7 +351,7 @@ def first_anomalies(i: Inputs) -> DataFrame:
 @query
 def html_escape(i: Inputs) -> DataFrame:
     escaped = text.escape_html(F.col("html"))
-    return i.table("pages").select("page_id", F.md5(escaped).alias("digest"), F.length(escaped).alias("length"))
+    return i.texts("pages").select("page_id", F.md5(escaped).alias("digest"), F.length(escaped).alias("length"))
 
 
 # Documents and alerts ------------------------------------------------------
@@ -473,22 +477,22 @@ def next_bucket(i: Inputs) -> DataFrame:
 
 @query
 def tfidf_vocab(i: Inputs) -> DataFrame:
-    return tfidf.fit_vocabulary(i.table("documents"), "text")
+    return tfidf.fit_vocabulary(i.texts("documents"), "text")
 
 
 @query
 def tfidf_vocab_plain(i: Inputs) -> DataFrame:
-    return tfidf.fit_vocabulary(i.table("documents"), "text", min_df=1, strip_accents=False)
+    return tfidf.fit_vocabulary(i.texts("documents"), "text", min_df=1, strip_accents=False)
 
 
 @query
 def tfidf_weights(i: Inputs) -> DataFrame:
-    return i.vectorizer.weights(i.table("documents"), "doc_id", "text")
+    return i.vectorizer.weights(i.texts("documents"), "doc_id", "text")
 
 
 @query
 def bm25_search(i: Inputs) -> DataFrame:
-    return search.search(i.table("documents"), i.questions, "qid", "text", fields=("text", "lang"),
+    return search.search(i.texts("documents"), i.questions, "qid", "text", fields=("text", "lang"),
                          keep=("doc_id",), tie_break=("doc_id",))
 
 

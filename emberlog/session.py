@@ -27,6 +27,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        # One task, one core: numpy inside tasks must not start its own threads.
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
         **extra,
     }
     for key, value in conf.items():
@@ -55,6 +58,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Hand a scan with fewer partitions than cores (one small file) to all of them.
+
+    Large tables have partitions enough and pass through as they are. Only for
+    plain scans: asking a plan with an exchange for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

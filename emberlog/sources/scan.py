@@ -31,10 +31,13 @@ def incremental_scan(
 
     ``limit`` is the optional per-cycle cap, oldest first; with it the result
     is a top-k and never a full sort. ``tie_break`` columns make the cut exact
-    when several rows share the last time stamp.
+    when several rows share the last time stamp. A table kept by ``day`` is
+    pruned to the days in question.
     """
-    ts = F.col("ts")
-    rows = with_time(df).filter((ts >= start_of_scan(mark, now)) & (ts <= F.lit(now).cast("timestamp")))
+    ts, start, end = F.col("ts"), start_of_scan(mark, now), F.lit(now).cast("timestamp")
+    rows = with_time(df).filter((ts >= start) & (ts <= end))
+    if "day" in df.columns:
+        rows = rows.filter(F.col("day").between(F.to_date(start), F.to_date(end)))
     return rows if limit is None else rows.orderBy("ts", *tie_break).limit(limit)
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog import schemas
+from emberlog.operators.scoring import anomalies
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -30,8 +32,12 @@ def read_scored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def write_logs(logs: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the log table."""
-    writer = logs.write.mode("overwrite")
+    """Replace the log table. With a ``ts`` column it is kept by day."""
+    by_day = "ts" in logs.columns
+    rows = logs.withColumn("day", F.to_date("ts")) if by_day else logs
+    writer = rows.write.mode("overwrite")
+    if by_day:
+        writer = writer.partitionBy("day")
     if fmt == "csv":
         writer = writer.options(header=True, escape='"')
     writer.format(fmt).save(path)
@@ -43,8 +49,6 @@ def write_batch(scored: DataFrame, path: str, batch_id: int) -> None:
     A repeated batch replaces its partition and nothing else, so earlier
     batches stay readable and a retry does no harm.
     """
-    from pyspark.sql import functions as F
-
     (
         scored.withColumn("batch_id", F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
@@ -56,6 +60,4 @@ def write_batch(scored: DataFrame, path: str, batch_id: int) -> None:
 
 def write_anomalies(scored: DataFrame, path: str) -> None:
     """The anomalous rows alone."""
-    from emberlog.operators.scoring import anomalies
-
     anomalies(scored).write.mode("overwrite").parquet(path)

@@ -368,6 +368,22 @@ def test_csv_round_trip_keeps_line_breaks_and_literal_na(spark, tmp_path):
     assert sorted(map(tuple, tables.read_logs(spark, str(tmp_path / "logs"), "csv").collect())) == sorted(rows)
 
 
+def test_scan_of_table_by_day_prunes(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    days = spark.range(10).withColumn("@timestamp", F.format_string("2024-01-%02dT12:00:00Z", F.col("id") + 1))
+    tables.write_logs(scan.with_time(days), path)
+    rows = scan.incremental_scan(spark.read.parquet(path), "2024-01-03 12:00:00", "2024-01-05 11:59:59")
+    assert sorted(column(rows, "id")) == [2, 3]
+    assert len(rows.inputFiles()) > 0
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(ts)" in plan
+
+
+def test_anomalies_alone_are_written(spark, tmp_path):
+    tables.write_anomalies(spark.createDataFrame([(1, -1), (2, 1)], "i int, anomaly int"), str(tmp_path / "a"))
+    assert column(spark.read.parquet(str(tmp_path / "a")), "i") == [1]
+
+
 def test_batches_append_and_repeat(spark, tmp_path):
     path = str(tmp_path / "scored")
     for batch, n in [(0, 3), (1, 4), (1, 2)]:
