@@ -1,0 +1,9 @@
+"""Log analytics on Spark: clean, score, trend, cluster, search, alert."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -97,6 +97,21 @@ def grow(sampled: DataFrame, seed: int) -> DataFrame:
     return sampled.groupBy("tree").applyInPandas(lambda pdf: _grow(pdf, seed), NODES)
 
 
+def _path_score(arrays: dict[str, np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    """Minus the anomaly score of the paper, for a matrix of rows."""
+    total, rows = np.zeros(len(matrix)), np.arange(len(matrix))
+    column, threshold = arrays["column"], arrays["threshold"]
+    left, right = arrays["left"], arrays["right"]
+    for start in arrays["starts"]:
+        at = np.full(len(matrix), start)
+        for _ in range(int(arrays["steps"])):
+            at = np.where(matrix[rows, column[at]] <= threshold[at], left[at], right[at])
+        total += arrays["length"][at]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        depth = np.where(arrays["scale"] > 0, total / arrays["scale"], 1.0)
+    return -np.exp2(-depth)
+
+
 @dataclass
 class Forest:
     """Node table as arrays (a few tens of thousands of rows) and the offset."""
@@ -106,40 +121,38 @@ class Forest:
     sample: int
     offset: float = 0.0
 
-    def path_score(self, matrix: np.ndarray) -> np.ndarray:
-        """Minus the anomaly score of the paper, for a matrix of rows."""
+    def arrays(self) -> dict[str, np.ndarray]:
+        """The walk as plain arrays. Leaves point at themselves, so that every
+        walk can take the same number of steps."""
         n = self.nodes
         starts = np.searchsorted(n["tree"].to_numpy(), np.arange(self.trees))
-        base = starts[n["tree"].to_numpy()]
-        feature, threshold = n["feature"].to_numpy(), n["threshold"].to_numpy()
-        # Leaves point at themselves, so every walk can take the same steps.
-        here = np.arange(len(n))
-        leaf = feature < 0
-        left = np.where(leaf, here, base + n["left"].to_numpy())
-        right = np.where(leaf, here, base + n["right"].to_numpy())
-        column = np.where(leaf, 0, feature)
-        length = n["depth"].to_numpy() + average_depth(n["size"].to_numpy())
-        total = np.zeros(len(matrix))
-        rows = np.arange(len(matrix))
-        for tree in range(self.trees):
-            at = np.full(len(matrix), starts[tree])
-            for _ in range(int(n["depth"].max())):
-                at = np.where(matrix[rows, column[at]] <= threshold[at], left[at], right[at])
-            total += length[at]
-        return -np.exp2(-total / (self.trees * average_depth(self.sample)))
+        base, here, leaf = starts[n["tree"].to_numpy()], np.arange(len(n)), n["feature"].to_numpy() < 0
+        return {
+            "starts": starts,
+            "column": np.where(leaf, 0, n["feature"].to_numpy()),
+            "threshold": n["threshold"].to_numpy(),
+            "left": np.where(leaf, here, base + n["left"].to_numpy()),
+            "right": np.where(leaf, here, base + n["right"].to_numpy()),
+            "length": n["depth"].to_numpy() + average_depth(n["size"].to_numpy()),
+            "steps": np.asarray(n["depth"].max()),
+            "scale": self.trees * average_depth(self.sample),
+        }
+
+    def path_score(self, matrix: np.ndarray) -> np.ndarray:
+        return _path_score(self.arrays(), matrix)
 
     def add_score(self, df: DataFrame, features: str = "features", out: str = "anomaly_score") -> DataFrame:
         """Add the decision score; below zero means anomalous."""
-        shared = df.sparkSession.sparkContext.broadcast((self, ))
+        shared = df.sparkSession.sparkContext.broadcast(self.arrays())
+        offset = self.offset
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            (forest,) = shared.value
             for batch in batches:
                 if len(batch) == 0:
                     yield pd.Series(dtype=float)
                     continue
-                yield pd.Series(forest.path_score(np.stack(batch.to_numpy())) - forest.offset)
+                yield pd.Series(_path_score(shared.value, np.stack(batch.to_numpy())) - offset)
 
         return df.withColumn(out, score(F.col(features)))
 
