@@ -26,14 +26,15 @@ def attach(
     total = table.agg(F.sum(size)).scalar()
     hot = table.filter(F.col(size) * hot_parts > total)
     hot = hot.select(F.col("key").alias("_hot_key"), F.struct(*values).alias("_hot"))
-    cold = table.select(F.col("key").alias("_key"), F.lit(-1).alias("_at"), F.struct(*values).alias("_cold"))
     rows = df.withColumn("_row_key", key)
     rows = rows.join(F.broadcast(hot), F.col("_row_key") == F.col("_hot_key"), "left")
     is_hot = F.col("_hot_key").isNotNull()
-    rows = rows.withColumn("_cold_key", F.when(~is_hot, F.col("_row_key"))).withColumn(
-        "_spread", F.when(is_hot, F.spark_partition_id()).otherwise(-1)
-    )
-    joined = rows.join(cold, (F.col("_cold_key") == F.col("_key")) & (F.col("_spread") == F.col("_at")), "left")
+    # Key and spread as one value: as two, the planner would see the constant
+    # on the other side and shuffle by the key alone, nulls in one task.
+    spread = F.when(is_hot | F.col("_row_key").isNull(), F.spark_partition_id()).otherwise(-1)
+    at = F.struct(F.when(~is_hot, F.col("_row_key")).alias("key"), spread.alias("spread"))
+    cold = table.select(F.struct("key", F.lit(-1).alias("spread")).alias("_key"), F.struct(*values).alias("_cold"))
+    joined = rows.withColumn("_at", at).join(cold, F.col("_at") == F.col("_key"), "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*df.columns, *[found[v].alias(v) for v in values])
 

@@ -140,6 +140,10 @@ def test_group_count_without_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         test_group_count_with_hot_keys(spark)
+        # Rows are shuffled by key and spread, never by the key alone.
+        rows = attach_count(spark.range(10).withColumn("k", F.col("id") % 2), "k", "n")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_at#" in plan and "SortMergeJoin [_at#" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
