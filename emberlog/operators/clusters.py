@@ -63,6 +63,23 @@ def _keywords(terms: list[str], centre, n: int = 8) -> list[str]:
     return [terms[i] for i in ranked[:n]]
 
 
+def dominant_severity(rows: DataFrame, by: str) -> DataFrame:
+    """Size and most frequent severity per group; the first in the alphabet on
+    a tie, UNKNOWN where there is none."""
+    levels = rows.groupBy(by, F.coalesce("severity", F.lit("UNKNOWN")).alias("s")).agg(F.count("*").alias("n"))
+    # One entry per severity and group, so the array is short.
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "s")))
+    return levels.groupBy(by).agg(F.sum("n").alias("size"), ranked[0]["s"].alias("dominant_severity"))
+
+
+def sample_messages(rows: DataFrame, by: str, k: int = 3, order: tuple[str, ...] = ("ts", "message")) -> DataFrame:
+    """The first ``k`` messages of each group, cut to ``k`` before the shuffle."""
+    rank = F.row_number().over(W.partitionBy(by).orderBy(*order))
+    first = rows.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("_rank", "message")))
+    return first.groupBy(by).agg(F.transform(listed, lambda x: x["message"]).alias("sample_msgs"))
+
+
 def cluster_summaries(
     scored: DataFrame,
     vectorizer: Vectorizer | None = None,
@@ -79,18 +96,11 @@ def cluster_summaries(
     if found is None:
         return spark.createDataFrame([], SUMMARY)
     rows, keywords = found
-    level = F.col("severity") if "severity" in rows.columns else F.lit("UNKNOWN")
+    level = F.col("severity") if "severity" in rows.columns else F.lit(None).cast("string")
     rows = stage(rows.withColumn("severity", level), "clustered")
-    levels = rows.groupBy("cluster", "severity").agg(F.count("*").alias("n"))
-    mode = F.array_sort(F.collect_list(F.struct(-F.col("n"), F.coalesce("severity", F.lit("UNKNOWN")).alias("s"))))
-    sizes = levels.groupBy("cluster").agg(F.sum("n").alias("size"), mode[0]["s"].alias("dominant_severity"))
-    rank = F.row_number().over(W.partitionBy("cluster").orderBy(*order))
-    first = rows.withColumn("_rank", rank).filter("_rank <= 3").groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rank", "message"))), lambda x: x["message"]).alias("sample_msgs")
-    )
     words = spark.createDataFrame(list(enumerate(keywords)), "cluster int, top_keywords array<string>")
     # At most k rows from here on.
-    table = sizes.join(first, "cluster").join(words, "cluster")
+    table = dominant_severity(rows, "cluster").join(sample_messages(rows, "cluster", 3, order), "cluster").join(words, "cluster")
     listed = table.agg(
         F.array_sort(F.collect_list(F.struct(
             -F.col("size"), "top_keywords", "cluster", "size", "sample_msgs", "dominant_severity"))).alias("c")

@@ -448,6 +448,10 @@ FROM (SELECT conv_id, turn, text, intent, small_talk, {hint} AS hint, coalesce(n
   (SELECT string_agg(message, chr(10) ORDER BY anomaly_score_norm DESC, event_id) FROM (SELECT * FROM hits ORDER BY anomaly_score_norm DESC, event_id LIMIT 5)) AS context
   FROM remembered)""", ASKED)
 
+    out["dominant_severity"] = after("scored", f"""SELECT host, {n('sum(n)', 'size')}, first(severity ORDER BY n DESC, severity) AS dominant_severity
+FROM (SELECT host, severity, count(*) AS n FROM scored GROUP BY host, severity) GROUP BY host""")
+    out["sample_messages"] = after("scored", """SELECT host, string_agg(message, chr(10) ORDER BY rn) AS sample_msgs
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts NULLS FIRST, event_id) AS rn FROM scored) WHERE rn <= 3 GROUP BY host""")
     out["model_versions"] = after("scored", f"""SELECT tag, path, {n('ok')}, {r('rate')}, reason,
   {n('coalesce(tag = (SELECT max(tag) FROM registry WHERE ok), false)', 'latest')} FROM registry ORDER BY tag DESC LIMIT {fixed.KEEP_VERSIONS}""", VERSIONS)
     out["rollback_target"] = after("scored", "SELECT tag, path FROM registry WHERE ok ORDER BY tag DESC LIMIT 1", VERSIONS)

@@ -553,6 +553,16 @@ def cluster_summaries(i: Inputs) -> DataFrame:
     return clusters.cluster_summaries(i.scored, i.model.vectorizer, order=("ts", "event_id"))
 
 
+@query
+def dominant_severity(i: Inputs) -> DataFrame:
+    return clusters.dominant_severity(i.scored, "host")
+
+
+@query
+def sample_messages(i: Inputs) -> DataFrame:
+    return clusters.sample_messages(i.scored, "host", 3, ("ts", "event_id"))
+
+
 def _daily_versions(scored: DataFrame) -> DataFrame:
     """Each day's batch judged by the gate, as a registry would list them."""
     days = scored.filter("ts IS NOT NULL").groupBy(F.date_format("ts", "yyyyMMdd_000000").alias("tag")).agg(

@@ -283,6 +283,13 @@ def test_documents_default_missing_fields(spark):
         documents.to_documents(df.drop("anomaly"))
 
 
+def test_host_can_widen_the_key(spark):
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z", "m", "a", -1), ("2024-01-01T00:00:00Z", "m", "b", -1)],
+                               "`@timestamp` string, message string, host string, anomaly int")
+    assert documents.newest_per_key(documents.to_documents(df)).count() == 1
+    assert documents.newest_per_key(documents.to_documents(df, ("host",))).count() == 2
+
+
 def test_upsert_replaces_only_matching_days(spark, tmp_path):
     schema = "doc_id string, timestamp string, anomaly_score double, message string"
     first = spark.createDataFrame([("a", "2024-01-01T01", 0.1, "old"), ("b", "2024-01-01T02", 0.1, "old"), ("c", "2024-01-02T00", 0.1, "old")], schema)

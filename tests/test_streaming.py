@@ -72,6 +72,19 @@ def test_tumbling_counts_over_batches(spark, parts, tmp_path):
     assert dict(zip(got["cycle"], got["n"])) == ts.value_counts().to_dict()
 
 
+def test_documents_derived_on_the_stream(spark, tmp_path):
+    """Log documents can be made from a stream of events as from a table."""
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    made = source_documents(spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(FOLDER))
+    query = (clean.flatten(made).writeStream.option("checkpointLocation", str(tmp_path / "c"))
+             .trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")))
+    batches_of(query)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    batch = clean.flatten(source_documents(events))
+    assert got.count() == 851
+    assert got.select(*batch.columns).exceptAll(batch).count() == 0
+
+
 def test_sliding_view_and_late_rows(spark, tmp_path):
     """With no delay allowed, rows older than the mark are not counted.
 
