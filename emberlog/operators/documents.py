@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import severity, text, times
 from emberlog.operators.scoring import anomalies
 from emberlog.schemas import ANOMALY_DOC, require_columns
-from emberlog.session import stage
+from emberlog.session import slot_for, stage
 
 RENAMED = {"error_flag": "contains_error", "login_flag": "contains_login", "warning_flag": "contains_warning"}
 
@@ -93,11 +93,12 @@ def upsert(new: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     day = F.substring("timestamp", 1, 10)
     batch = newest_per_key(new, key).withColumn("day", day)
     if exists(spark, path):
-        batch = stage(batch, "upsert-batch")
+        slot = slot_for(path)
+        batch = stage(batch, "upsert-batch", slot)
         # As literals, so that untouched days are pruned from the scan.
         days = [r["day"] for r in batch.select("day").distinct().collect()]
         touched = spark.read.schema(batch.schema).parquet(path).filter(F.col("day").isin(days))
-        batch = stage(merge(touched.select(*batch.columns), batch, key), "upsert-merged")
+        batch = stage(merge(touched.select(*batch.columns), batch, key), "upsert-merged", slot)
     (
         batch.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -27,13 +27,13 @@ class Model:
         """Logs with numeric features and the decision score."""
         return self.trees.add_score(self.add_features(logs)).drop("features")
 
-    def predict(self, logs: DataFrame, keep: str = "predicted") -> DataFrame:
+    def predict(self, logs: DataFrame, slot: str | None = None) -> DataFrame:
         """Logs with label, scores and severity.
 
         Scores are staged before they are normalised: the batch range needs all
         of them, and walking the forest twice would cost more than a write.
         """
-        scored = scoring.label(stage(self.score(logs), keep))
+        scored = scoring.label(stage(self.score(logs), "predicted", slot))
         if self.profile == "narrow":
             return scoring.normalize(scored, orientation="low")
         return scoring.with_severity(scoring.normalize(scored))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -68,17 +69,21 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def slot_for(path: str) -> str:
+    """Name of the staging place that work on ``path`` uses over and over."""
+    return hashlib.md5(path.encode()).hexdigest()[:12]
+
+
+def stage(df: DataFrame, name: str, slot: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result is read more than once. The table outlives any
-    executor, so a lost node costs a re-read and not a recomputation.
+    executor, so a lost node costs a re-read and not a recomputation. Work that
+    repeats, such as a stream's batches, names a ``slot``: its next table takes
+    the place of the last one, so that staged data does not pile up.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/emberlog/{app}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = f"{shared_dir(spark)}/emberlog/{app}/{name}-{slot or uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite" if slot else "errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from emberlog import fixed_values as fixed
 from emberlog.operators import alerts, clean, documents
 from emberlog.plans.detector import Model
-from emberlog.session import stage
+from emberlog.session import slot_for, stage
 from emberlog.sources.scan import with_time
 from emberlog.sources.tables import write_batch
 
@@ -38,12 +38,13 @@ def process_batch(
     Writes under ``out``: ``scored`` (one partition per batch), ``documents``
     (keyed, upserted) and ``alerts`` (one partition per batch).
     """
-    logs = stage(with_time(clean.logs_from(sources, live)), "batch-logs")
+    slot = slot_for(out)
+    logs = stage(with_time(clean.logs_from(sources, live)), "batch-logs", slot)
     if logs.isEmpty():
         return
-    scored = stage(model.predict(logs), "batch-scored")
+    scored = stage(model.predict(logs, slot), "batch-scored", slot)
     write_batch(scored, f"{out}/scored", batch_id)
-    docs = stage(documents.newest_per_key(documents.to_documents(scored)), "batch-documents")
+    docs = stage(documents.newest_per_key(documents.to_documents(scored)), "batch-documents", slot)
     documents.upsert(docs, f"{out}/documents")
     due = _after_last_sent(alerts.candidates(alerts.actionable(docs)), f"{out}/alerts", batch_id, cooldown_seconds)
     sent = alerts.alert_text(alerts.cooldown(due, seconds=cooldown_seconds))
