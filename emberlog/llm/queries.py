@@ -8,19 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import language, sharding, tokens, warc
+from emberlog.llm import decontaminate, language, lines, minhash, packing, phrases, scoring, sharding, tokens, warc
 from emberlog.llm.common import table
 from emberlog.session import shared_dir, stage
 
 SHARDS = 8
 
 
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=4)
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     sharded = sharding.shard_by_bytes(table(spark, folder, "documents"), SHARDS)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.with_lengths(table(spark, folder, "documents"))
     return tokens.context_table(stage(tokens.histogram(counted), "lengths"))
@@ -38,8 +46,29 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    known = scoring.vocabulary(docs)
+    return scoring.score(docs, scoring.train(docs, known), known).select(
+        "doc_id", "n_words", "pseudo_log_likelihood", "mean_log_likelihood")
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.deduplicate(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", F.array_join("dropped_lines", ",").alias("dropped_lines"))
+
+
+def op10_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.compare_with_next(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op2_sharding, op4_token_counts, op5_warc, op6_language_id)
+    made = (op1_minhash, op2_sharding, op3_decontamination, op4_token_counts, op5_warc, op6_language_id, op7_lm_scoring,
+            op8_packing, op9_line_dedup, op10_phrase_fingerprint)
     return {f.__name__: f for f in made}
 
 
@@ -55,5 +84,28 @@ FROM latest
 """
 
 
+# Without seeds: every two equal tokens are an alignment, and windows are summed.
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM d),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+bt AS (SELECT item_id, len(w) AS n, least(len(w), 13) AS k, unnest(w) AS t, unnest(range(len(w))) AS j FROM b),
+same AS (SELECT doc_id, item_id, n, k, i - j AS start, j FROM dt JOIN bt USING (t)),
+enough AS (
+  SELECT doc_id, item_id, start, any_value(n) AS n, any_value(k) AS k, count(*) AS aligned, list(j) AS js
+  FROM same GROUP BY ALL HAVING count(*) >= any_value(k) - 2),
+windows AS (
+  SELECT *, unnest(range(n - k + 1)) AS s FROM enough),
+sums AS (
+  SELECT doc_id, item_id, start, n, k, aligned, max(len(list_filter(js, lambda x: x >= s AND x < s + k))) AS matched
+  FROM windows GROUP BY ALL)
+SELECT doc_id, item_id, max(matched)::INT AS matched, max(aligned)::INT AS aligned, min(start)::INT AS first_word
+FROM sums WHERE matched >= k - CASE WHEN n >= 13 THEN 2 WHEN n >= 11 THEN 1 ELSE 0 END
+GROUP BY doc_id, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": WARC_SQL}
+    return {"op3_decontamination": DECONTAMINATION_SQL, "op5_warc": WARC_SQL}
