@@ -34,22 +34,27 @@ def last_n_memory(turns: DataFrame, n: int = fixed.MEMORY_TURNS, block: int = TU
 
     A conversation is worked on in blocks of turns, so that even a very long
     one is spread out. What a block needs from before it are the last ``n``
-    texts of earlier blocks, found from the blocks' own last ``n``.
+    texts of earlier blocks, found from the blocks' own last ``n``. Equal turns
+    are in order of their text; rows without a turn come first, those without a
+    conversation belong together.
     """
     rows = turns.withColumn("_block", F.floor(F.col("turn") / block))
     in_block = W.partitionBy("conv_id", "_block")
-    tails = rows.withColumn("_rank", F.row_number().over(in_block.orderBy(F.col("turn").desc()))).filter(F.col("_rank") <= n)
-    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-n, -1)
+    latest = [F.col("turn").desc_nulls_last(), F.col("text").desc_nulls_last()]
+    tails = rows.withColumn("_rank", F.row_number().over(in_block.orderBy(*latest))).filter(F.col("_rank") <= n)
+    before = W.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(-n, -1)
     size = F.count("*").over(in_block)
     carried = (
         tails.withColumn("_carry", F.collect_list("text").over(before))
         .withColumn("_size", size)
         .filter(F.col("_rank") == F.col("_size"))
-        .select("conv_id", "_block", "_carry")
+        .select(F.struct("conv_id", "_block").alias("_place"), "_carry")
     )
-    local = F.collect_list("text").over(in_block.orderBy("turn").rowsBetween(-n, -1))
-    joined = rows.withColumn("_local", local).join(carried, ["conv_id", "_block"])
-    both = F.concat("_carry", "_local")
+    local = F.collect_list("text").over(in_block.orderBy("turn", "text").rowsBetween(-n, -1))
+    # As one struct, which is never null itself, so that nulls meet.
+    rows = rows.withColumn("_local", local).withColumn("_place", F.struct("conv_id", "_block"))
+    joined = rows.join(carried, "_place", "left")
+    both = F.concat(F.coalesce("_carry", F.array().cast("array<string>")), "_local")
     memory = F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n)
     return joined.select(*turns.columns, memory.alias("memory"))
 
@@ -73,6 +78,27 @@ def direct_logs(scored: DataFrame, k: int = 5, tie_break: tuple[str, ...] = ("@t
     return listed.select((F.col("i") + 1).alias("ord"), line.alias("line"))
 
 
+def retrieval_prompts(asked: DataFrame, retrieved: DataFrame, listed: DataFrame) -> DataFrame:
+    """A prompt per question from what was retrieved for it.
+
+    ``asked`` has ``qid``; ``retrieved`` has ``qid, rank, line``. The prompt
+    holds those lines, the last three questions and the intent's hint. Who asks
+    for logs needs no model: ``answer`` is the list itself, and there is no
+    prompt.
+    """
+    lines = retrieved.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("found"))  # ten at most
+    context = F.coalesce(F.array_join(F.transform("found", lambda x: x["line"]), "\n"), F.lit(""))
+    entry = F.struct("ord", "line")
+    answer = listed.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["line"]), "\n")).scalar()
+    memory = F.when(F.size("memory") == 0, "None").otherwise(F.array_join("memory", "\n"))
+    prompt = F.concat_ws(
+        "\n", F.lit("Earlier questions:"), memory, F.lit("Logs:"), context, F.lit("Question:"), F.col("text"),
+        F.nullif(text.lookup(F.col("intent"), HINTS, ""), F.lit("")))
+    wants_logs = F.col("intent") == "logs"
+    return last_n_memory(asked).join(lines, "qid", "left").select(
+        "qid", "intent", F.when(wants_logs, answer).alias("answer"), F.when(~wants_logs, prompt).alias("prompt"))
+
+
 def prompt_table(
     conversations: DataFrame, scored: DataFrame, k: int = 5, tie_break: tuple[str, ...] = ("@timestamp", "message")
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -14,6 +16,9 @@ from emberlog.operators.scoring import anomalies
 from emberlog.operators.tfidf import Vectorizer, fit_vocabulary
 from emberlog.session import stage
 
+# Of the distinct points; part of what makes a run repeatable.
+PARTITIONS = 64
+
 SUMMARY = (
     "cluster_id int, size long, top_keywords array<string>, sample_msgs array<string>, "
     "dominant_severity string, summary string"
@@ -38,24 +43,82 @@ def assign_clusters(
     with their counts as weights and the result is joined back. The best of
     ``restarts`` runs is kept. None when there is too little to cluster.
     """
-    rows = anomalies(scored).withColumn("message", F.coalesce("message", F.lit("")))
-    rows = stage(rows, "cluster-input")
+    found = _fit(scored, vectorizer, k, restarts, seed)
+    if found is None:
+        return None
+    rows, points, runs, vectorizer = found
+    best = min(runs, key=lambda model: model.summary.trainingCost)
+    clustered = stage(best.transform(points).select("key", "copies", F.col("prediction").alias("cluster")), "clusters")
+    points.unpersist()
+    keywords = [_keywords(vectorizer.terms, centre) for centre in best.clusterCenters()]
+    return attach(rows, "message", clustered, "copies").drop("copies"), keywords
+
+
+def _fit(scored: DataFrame, vectorizer: Vectorizer | None, k: int, restarts: int, seed: int):
+    """Rows, distinct points, the fitted runs and the vectorizer; None when there is too little.
+
+    The start of a run depends on how the points lie in partitions, so they are
+    put in order into a fixed number of them. Runs are independent jobs and go
+    side by side.
+    """
+    rows = stage(anomalies(scored).withColumn("message", F.coalesce("message", F.lit(""))), "cluster-input")
     k = min(k, rows.limit(k).count())
     if k < 2:
         return None
     vectorizer = vectorizer or temporary_vectorizer(rows)
     distinct = group_counts(rows, "message", "copies").withColumn("weight", F.col("copies").cast("double"))
-    points = vectorizer.add(distinct, "key").withColumn("point", array_to_vector("tfidf")).drop("tfidf")
-    points = stage(points, "cluster-points").persist()
-    best = None
-    for run in range(restarts):
-        model = KMeans(k=k, maxIter=300, seed=seed + run, featuresCol="point", weightCol="weight").fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    clustered = stage(best.transform(points).select("key", "copies", F.col("prediction").alias("cluster")), "clusters")
+    points = vectorizer.add(distinct, "key").withColumn("point", array_to_vector("tfidf"))
+    points = stage(points.repartitionByRange(PARTITIONS, "key").sortWithinPartitions("key"), "cluster-points").persist()
+
+    def run(n: int):
+        return KMeans(k=k, maxIter=300, seed=seed + n, featuresCol="point", weightCol="weight").fit(points)
+
+    with ThreadPoolExecutor(4) as pool:
+        return rows, points, list(pool.map(run, range(restarts))), vectorizer
+
+
+def keywords_by(rows: DataFrame, vectorizer: Vectorizer, by: str, n: int = 8) -> DataFrame:
+    """The ``n`` terms with the highest mean weight per group: ``by, rank, term, weight``.
+
+    A mean over rows is that over the distinct messages with their counts.
+    """
+    distinct = rows.groupBy(by, F.coalesce("message", F.lit("")).alias("text")).agg(F.count("*").alias("copies"))
+    sizes = distinct.groupBy(by).agg(F.sum("copies").alias("size"))
+    weights = vectorizer.add(distinct, "text").select(by, "copies", F.posexplode("tfidf").alias("idx", "w")).filter("w > 0")
+    sums = weights.groupBy(by, "idx").agg(F.sum(F.col("w") * F.col("copies")).alias("w"))
+    terms = rows.sparkSession.createDataFrame(list(enumerate(vectorizer.terms)), "idx int, term string")  # the vocabulary
+    means = sums.join(F.broadcast(terms), "idx").join(sizes, by).withColumn("weight", F.round(F.col("w") / F.col("size"), 9))
+    rank = F.row_number().over(W.partitionBy(by).orderBy(F.col("weight").desc(), "term"))
+    return means.withColumn("rank", rank).filter(F.col("rank") <= n).select(by, "rank", "term", "weight")
+
+
+def verify(scored: DataFrame, vectorizer: Vectorizer, k: int = fixed.CLUSTERS, restarts: int = fixed.KMEANS_RESTARTS,
+           seed: int = fixed.SEED) -> DataFrame:
+    """Properties that a clustering has whatever its start: ``name, ok``.
+
+    Sizes add up to the anomalies; each cluster has eight keywords of the
+    vocabulary; the best run costs no more than the first; no point lies nearer
+    to another centre.
+    """
+    rows, points, runs, vectorizer = _fit(scored, vectorizer, k, restarts, seed)
+    best = min(runs, key=lambda model: model.summary.trainingCost)
+    centres, clustered = best.clusterCenters(), best.transform(points)
+    far = [
+        F.aggregate(F.zip_with("tfidf", F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)),
+                    F.lit(0.0), lambda x, y: x + y)
+        for centre in centres
+    ]
+    distances = clustered.withColumn("far", F.array(*far))
+    own = F.element_at("far", F.col("prediction") + 1)
+    words = [_keywords(vectorizer.terms, centre) for centre in centres]
+    checks = [
+        ("sizes", clustered.agg(F.sum("copies")).first()[0] == rows.count()),
+        ("keywords", all(len(w) == 8 and set(w) <= set(vectorizer.terms) for w in words)),
+        ("cost", best.summary.trainingCost <= runs[0].summary.trainingCost),
+        ("nearest", distances.filter(own > F.array_min("far") + 1e-9).isEmpty()),
+    ]
     points.unpersist()
-    keywords = [_keywords(vectorizer.terms, centre) for centre in best.clusterCenters()]
-    return attach(rows, "message", clustered, "copies").drop("copies"), keywords
+    return scored.sparkSession.createDataFrame(checks, "name string, ok boolean")
 
 
 def _keywords(terms: list[str], centre, n: int = 8) -> list[str]:

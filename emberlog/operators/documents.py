@@ -59,6 +59,17 @@ def to_documents(scored: DataFrame, key_cols: tuple[str, ...] = ()) -> DataFrame
     return rows.select(*[fixed_fields.get(f.name, _field(f.name, rows)) for f in ANOMALY_DOC])
 
 
+def to_alert_rows(scored: DataFrame, now: str) -> DataFrame:
+    """The older alert path: one alert for every row, labelled or not, all on the clock ``now``."""
+    flags = [F.coalesce(c, F.lit(0)) for c in ("contains_error", "contains_login", "contains_warning")]
+    level = severity.from_raw(F.col("anomaly_score"), *flags)
+    clock = times.iso_utc(F.lit(now).cast("timestamp"))
+    message = F.coalesce("message", F.lit(""))
+    return scored.select(
+        severity.document_id(clock, message).alias("alert_id"), clock.alias("timestamp"), message.alias("message"),
+        "anomaly_score", level.alias("severity"))
+
+
 def to_legacy_documents(scored: DataFrame) -> DataFrame:
     """The older ten-field document, with severity from the raw score and flags."""
     docs = to_documents(scored)
@@ -69,36 +80,46 @@ def to_legacy_documents(scored: DataFrame) -> DataFrame:
     )
 
 
-def newest_per_key(docs: DataFrame, key: str = "doc_id", order: tuple[Column, ...] = ()) -> DataFrame:
-    """One document per key. Within a batch the most anomalous one stays."""
-    order = order or (F.col("anomaly_score"), F.col("timestamp"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
+def most_anomalous_per_key(docs: DataFrame) -> DataFrame:
+    """One document per key: the lowest raw score, then the earliest time."""
+    return _first_per_key(docs, F.col("anomaly_score"), F.col("timestamp"))
+
+
+def last_per_key(docs: DataFrame, written: str) -> DataFrame:
+    """One document per key: the last one written, by the order column ``written``."""
+    return _first_per_key(docs, F.col(written).desc(), F.col("anomaly_score"), F.col("timestamp"))
+
+
+def _first_per_key(docs: DataFrame, *order: Column) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(*order))
     return docs.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def merge(existing: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing documents with the new ones in place of those they match."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new)
+    return existing.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 
-def upsert(new: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
+def upsert(new: DataFrame, path: str, written: str | None = None) -> DataFrame:
     """Merge documents into the table at ``path``, kept by day.
 
-    The key contains the time, so a document can only replace one of its own
-    day: just the days in the batch are read and rewritten, not the table. The
-    merged days are staged first, because a plan cannot overwrite what it
-    reads. Repeating an upsert changes nothing.
+    A batch replaces what is there. If it has several documents of one key, the
+    last one by the order column ``written`` wins, or without such a column the
+    most anomalous one. The key ``doc_id`` contains the time, so a document can
+    only replace one of its own day: just the days in the batch are read and
+    rewritten, not the table. The merged days are staged first, because a plan
+    cannot overwrite what it reads. Repeating an upsert changes nothing.
     """
     spark = new.sparkSession
     day = F.substring("timestamp", 1, 10)
-    batch = newest_per_key(new, key).withColumn("day", day)
+    batch = (last_per_key(new, written) if written else most_anomalous_per_key(new)).withColumn("day", day)
     if exists(spark, path):
         slot = slot_for(path)
         batch = stage(batch, "upsert-batch", slot)
         # As literals, so that untouched days are pruned from the scan.
         days = [r["day"] for r in batch.select("day").distinct().collect()]
         touched = spark.read.schema(batch.schema).parquet(path).filter(F.col("day").isin(days))
-        batch = stage(merge(touched.select(*batch.columns), batch, key), "upsert-merged", slot)
+        batch = stage(merge(touched.select(*batch.columns), batch), "upsert-merged", slot)
     (
         batch.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -109,7 +130,10 @@ def upsert(new: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; any other failure to read it is raised."""
     try:
         return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise

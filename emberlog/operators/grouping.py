@@ -5,38 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key holding more than 1/HOT_PARTS of all rows counts as hot. Fewer than
-# HOT_PARTS keys can do that, which bounds what is broadcast.
-HOT_PARTS = 256
+
+def hashed(key: Column) -> Column:
+    """128 bits that stand for a key of any length; null for a null key."""
+    return F.when(key.isNotNull(), F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
 
 
 def attach(
-    df: DataFrame, key: str | Column, table: DataFrame, size: str = "n", hot_parts: int = HOT_PARTS
+    df: DataFrame, key: str | Column, table: DataFrame, size: str = "n", hot_parts: int | None = None
 ) -> DataFrame:
     """Left-join ``table`` (unique ``key`` column, any values) to ``df`` by key.
 
     ``size`` names the column of ``table`` that says how many rows of ``df``
-    have the key. A hot key would send all its rows to one task; the few hot
-    keys are therefore answered from a broadcast, and their rows are spread
-    over the join's tasks by the number of the task that read them, which a
-    retry does not change. The other keys use an ordinary join.
+    have the key.
     """
     key = F.col(key) if isinstance(key, str) else key
+    return _attach(df, hashed(key), table.withColumn("key", hashed(F.col("key"))), size, hot_parts)
+
+
+def _attach(df: DataFrame, key: Column, table: DataFrame, size: str, hot_parts: int | None) -> DataFrame:
+    """``attach`` by hashed keys.
+
+    A key with more than one of ``hot_parts`` shares of the rows (default: one
+    shuffle partition's) would make a task longer than the others. Fewer than
+    ``hot_parts`` keys can do that, so they are answered from a broadcast,
+    where their rows lie; rows without a key stay there too. Only the other
+    rows are shuffled, with the hash for a key instead of its text.
+    """
+    parts = hot_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in table.columns if c != "key"]
     total = table.agg(F.sum(size)).scalar()
-    hot = table.filter(F.col(size) * hot_parts > total)
-    hot = hot.select(F.col("key").alias("_hot_key"), F.struct(*values).alias("_hot"))
-    rows = df.withColumn("_row_key", key)
-    rows = rows.join(F.broadcast(hot), F.col("_row_key") == F.col("_hot_key"), "left")
-    is_hot = F.col("_hot_key").isNotNull()
-    # Key and spread as one value: as two, the planner would see the constant
-    # on the other side and shuffle by the key alone, nulls in one task.
-    spread = F.when(is_hot | F.col("_row_key").isNull(), F.spark_partition_id()).otherwise(-1)
-    at = F.struct(F.when(~is_hot, F.col("_row_key")).alias("key"), spread.alias("spread"))
-    cold = table.select(F.struct("key", F.lit(-1).alias("spread")).alias("_key"), F.struct(*values).alias("_cold"))
-    joined = rows.withColumn("_at", at).join(cold, F.col("_at") == F.col("_key"), "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*df.columns, *[found[v].alias(v) for v in values])
+    table = table.select("key", F.struct(*values).alias("_found"))
+    hot = table.filter(F.col("_found")[size] * parts > total).withColumnRenamed("key", "_hot")
+    rows = df.withColumn("_at", key)
+    hot_here = F.col("_at") == F.col("_hot")
+    answered = rows.join(F.broadcast(hot), hot_here).drop("_hot")
+    keyless = rows.filter("_at IS NULL").withColumn("_found", F.lit(None).cast(table.schema["_found"].dataType))
+    cold = rows.filter("_at IS NOT NULL").join(F.broadcast(hot.select("_hot")), hot_here, "left_anti")
+    looked_up = cold.join(table.withColumnRenamed("key", "_key"), F.col("_at") == F.col("_key"), "left").drop("_key")
+    joined = answered.unionByName(keyless).unionByName(looked_up)
+    return joined.select(*df.columns, *[F.col("_found")[v].alias(v) for v in values])
 
 
 def group_counts(df: DataFrame, key: str | Column, size: str = "n") -> DataFrame:
@@ -45,7 +53,8 @@ def group_counts(df: DataFrame, key: str | Column, size: str = "n") -> DataFrame
     return df.groupBy(key.alias("key")).agg(F.count("*").alias(size)).filter("key IS NOT NULL")
 
 
-def attach_count(df: DataFrame, key: str | Column, name: str, hot_parts: int = HOT_PARTS) -> DataFrame:
+def attach_count(df: DataFrame, key: str | Column, name: str, hot_parts: int | None = None) -> DataFrame:
     """Add ``name``: how many rows share this row's ``key`` (null key: 1)."""
-    counted = attach(df, key, group_counts(df, key, "_n"), "_n", hot_parts)
+    key = hashed(F.col(key) if isinstance(key, str) else key)
+    counted = _attach(df, key, group_counts(df, key, "_n"), "_n", hot_parts)
     return counted.withColumn(name, F.coalesce("_n", F.lit(1)).cast("int")).drop("_n")

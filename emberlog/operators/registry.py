@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as fixed
+from emberlog.operators.documents import exists
 
 REGISTRY = "tag string, path string, ok boolean, rate double, reason string"
 
@@ -32,6 +33,16 @@ def retain_newest(registry: DataFrame, n: int = fixed.KEEP_VERSIONS) -> DataFram
     return registry.orderBy(F.col("tag").desc()).limit(n)
 
 
+def retain_published(registry: DataFrame, n: int = fixed.KEEP_VERSIONS) -> DataFrame:
+    """The ``n`` newest versions, and the newest accepted one even if it is older."""
+    return retain_newest(registry, n).unionByName(select_version(registry)).distinct()
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The registry, empty where there is none yet."""
+    return spark.read.schema(REGISTRY).parquet(path) if exists(spark, path) else spark.createDataFrame([], REGISTRY)
+
+
 def versions(registry: DataFrame) -> DataFrame:
     """All versions, the newest accepted one marked."""
     newest = registry.filter("ok").agg(F.max("tag")).scalar()

@@ -13,9 +13,12 @@ from emberlog.operators.trends import hourly_counts
 
 
 def severity_share(scored: DataFrame) -> DataFrame:
-    """Count and percentage of all five severities, absent ones as 0."""
+    """Count and percentage of all five severities, absent ones as 0.
+
+    Anomalies without a severity count for none of them.
+    """
     levels = F.array(*[F.lit(s) for s in fixed.SEVERITY_LEVELS])
-    found = severity_counts(scored).agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("found"))
+    found = severity_counts(scored).filter("severity IS NOT NULL").agg(F.map_from_entries(F.collect_list(F.struct("severity", "n"))).alias("found"))
     rows = found.select(F.posexplode(levels).alias("ord", "severity"), "found")
     n = F.coalesce(F.try_element_at("found", F.col("severity")), F.lit(0))
     total = F.aggregate(F.map_values("found"), F.lit(0).cast("long"), lambda acc, x: acc + x)
@@ -23,8 +26,8 @@ def severity_share(scored: DataFrame) -> DataFrame:
 
 
 def heatmap(scored: DataFrame) -> DataFrame:
-    """All 24 hours with their count, share of the busiest hour and shade."""
-    found = hourly_counts(scored).agg(
+    """All 24 hours with their count, share of the busiest hour and shade. Rows without an hour are left out."""
+    found = hourly_counts(scored).filter("hour IS NOT NULL").agg(
         F.map_from_entries(F.collect_list(F.struct("hour", "anomalies"))).alias("found")
     )
     rows = found.select(F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"), "found")

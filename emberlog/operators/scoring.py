@@ -39,15 +39,17 @@ def normalize(
 
     ``orientation="high"`` puts 1 at the most anomalous row (a batch of equal
     scores becomes all 1); ``"low"`` is the older scale, 1 at the highest raw
-    score and null for a constant batch. Bounds default to this batch's own,
-    read as two scalars; pass those of training to compare batches.
+    score and null for a constant batch. Scores beyond given bounds count as the
+    nearer bound. Bounds default to this batch's own,
+    read as one scalar; pass those of training to compare batches.
     """
     if bounds is None:
-        low = df.agg(F.min(score)).scalar()
-        high = df.agg(F.max(score)).scalar()
+        ends = df.agg(F.struct(F.min(score).alias("low"), F.max(score).alias("high"))).scalar()
+        low, high = ends["low"], ends["high"]
     else:
         low, high = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-    share = (F.col(score) - low) / F.nullif(high - low, F.lit(0.0))
+    value = F.col(score) if bounds is None else F.when(F.col(score).isNotNull(), F.greatest(low, F.least(high, F.col(score))))
+    share = (value - low) / F.nullif(high - low, F.lit(0.0))
     if orientation == "high":
         share = 1.0 - F.coalesce(share, F.when(F.col(score).isNotNull(), F.lit(0.0)))
     return df.withColumn(out, share)

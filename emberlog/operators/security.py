@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as fixed
 from emberlog.functions import text
 from emberlog.operators.scoring import anomalies
+from emberlog.sources.scan import between, newest
 
 IP = r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"
 FAILED_LOGIN = r"(?i)failed (?:login|password)"
@@ -120,6 +122,11 @@ def sliding_counts(
     the windows they fall in, not every row ``slides`` times.
     """
     panes = rows.filter("ts IS NOT NULL").groupBy(_start(slide).alias("pane")).agg(F.count("*").alias("n"))
+    return windows_of_panes(panes, slides, slide_seconds)
+
+
+def windows_of_panes(panes: DataFrame, slides: int = 20, slide_seconds: int = 15) -> DataFrame:
+    """Sliding windows from the sums ``pane, n`` of their steps."""
     back = F.explode(F.sequence(F.lit(0), F.lit(slides - 1))).alias("k")
     spread = panes.select("pane", "n", back)
     start = F.col("pane") - F.make_dt_interval(secs=(F.col("k") * slide_seconds).cast("decimal(18,6)"))
@@ -128,8 +135,9 @@ def sliding_counts(
 
 def summary_between(scored: DataFrame, span: str = "1 hour", now: str | None = None) -> DataFrame:
     """Totals and severities of the last ``span`` up to ``now`` (default: latest row)."""
-    end = scored.agg(F.max("ts")).scalar() if now is None else F.lit(now).cast("timestamp")
-    rows = scored.filter((F.col("ts") > end - F.expr(f"INTERVAL {span}")) & (F.col("ts") <= end))
+    now = newest(scored) if now is None else now
+    end = F.lit(now).cast("timestamp")
+    rows = between(scored, end - F.expr(f"INTERVAL {span}"), end, open_start=True)
     hit = F.col("anomaly") == -1
     return rows.agg(
         F.count("*").alias("total"),
@@ -149,11 +157,18 @@ def impact(scored: DataFrame) -> DataFrame:
     )
 
 
-def critical_between(scored: DataFrame, start: str, end: str) -> DataFrame:
-    """Critical anomalies with ``start <= ts < end``."""
-    ts = F.col("ts")
-    rows = anomalies(scored).filter(F.col("severity") == "CRITICAL")
-    return rows.filter((ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp")))
+def critical_today(scored: DataFrame, now=None) -> DataFrame:
+    """Critical anomalies of the day of ``now`` (default: of the latest row)."""
+    now = newest(scored) if now is None else now
+    end = F.lit(now).cast("timestamp")
+    return anomalies(between(scored, F.date_trunc("day", end), end)).filter(F.col("severity") == "CRITICAL")
+
+
+def most_severe_per_day(scored: DataFrame, tie_break: tuple[str, ...] = ("message",)) -> DataFrame:
+    """Each day's anomaly with the highest score."""
+    rows = anomalies(scored).filter("ts IS NOT NULL").withColumn("date", F.to_date("ts"))
+    rank = F.row_number().over(W.partitionBy("date").orderBy(F.col("anomaly_score_norm").desc(), "ts", *tie_break))
+    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def next_bucket(scored: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:

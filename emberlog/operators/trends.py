@@ -42,18 +42,6 @@ def _total(cells: Column, keep) -> Column:
     return F.aggregate(F.filter(cells, keep), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
 
 
-def _slope(counts: Column) -> Column:
-    """Least squares of a count array against its index 0, 1, 2, ..."""
-    n = F.size(counts).cast("double")
-    zero = F.lit(0.0)
-    sum_y = F.aggregate(counts, zero, lambda acc, y: acc + y)
-    products = F.transform(counts, lambda y, i: y * i.cast("double"))
-    sum_xy = F.aggregate(products, zero, lambda acc, y: acc + y)
-    sum_x = n * (n - 1) / 2
-    sum_xx = (n - 1) * n * (2 * n - 1) / 6
-    return F.try_divide(n * sum_xy - sum_x * sum_y, n * sum_xx - sum_x * sum_x)
-
-
 def trends(scored: DataFrame) -> DataFrame:
     """One row with every trend figure, also when there is no anomaly.
 
@@ -86,7 +74,6 @@ def trends(scored: DataFrame) -> DataFrame:
         c, (1 - F.array_max(F.transform(c, lambda x, i: F.struct(x["n"], -i)))["col2"]).cast("int")
     )
     hourly = F.col("hourly")
-    slope = _slope(F.transform(hourly, lambda x: x["n"].cast("double")))
     direction = (
         F.when(F.size(hourly) < fixed.TREND_MIN_HOURS, "Stable")
         .when(F.col("slope") > fixed.TREND_SLOPE, "Increasing")
@@ -96,11 +83,19 @@ def trends(scored: DataFrame) -> DataFrame:
     return (
         one.withColumn("peak_hour", F.when(F.size(hourly) > 0, top(hourly)))
         .withColumn("peak_day", F.when(F.size("daily") > 0, top(F.col("daily"))))
-        .withColumn("slope", F.when(F.size(hourly) > 1, slope))
+        .join(F.broadcast(_slope(one)), how="left")
         .withColumn("trend", direction)
     )
 
 
+def _slope(one: DataFrame) -> DataFrame:
+    """One row: the slope of the hourly counts against 0, 1, 2, ...; null for fewer than two hours."""
+    points = one.select(F.posexplode("hourly").alias("x", "hour"))
+    slope = F.regr_slope(F.col("hour.n").cast("double"), F.col("x").cast("double"))
+    # A slope of just a half must not pass it by the last bit.
+    return points.agg(F.round(slope, 12).alias("slope"))
+
+
 def trend_direction(scored: DataFrame) -> DataFrame:
     """Slope of the count over the hours present, in order, gaps closed up."""
     return trends(scored).select(F.size("hourly").alias("hours"), "slope", "trend")

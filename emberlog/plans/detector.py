@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ class Model:
     vectorizer: tfidf.Vectorizer
     trees: forest.Forest
     profile: str = "full"
+    # Range of the training scores; severities then do not depend on a batch.
+    bounds: tuple[float, float] | None = None
 
     def add_features(self, logs: DataFrame) -> DataFrame:
         return feature_matrix(basic_features(logs, self.profile), self.vectorizer, self.profile)
@@ -30,23 +32,32 @@ class Model:
     def predict(self, logs: DataFrame, slot: str | None = None) -> DataFrame:
         """Logs with label, scores and severity.
 
-        Scores are staged before they are normalised: the batch range needs all
-        of them, and walking the forest twice would cost more than a write.
+        Scores are staged, because walking the forest again costs more than a
+        write. They are normalised by the range of the training scores and cut
+        off at its ends, or by the batch's own range where none was learned.
         """
         scored = scoring.label(stage(self.score(logs), "predicted", slot))
         if self.profile == "narrow":
-            return scoring.normalize(scored, orientation="low")
-        return scoring.with_severity(scoring.normalize(scored))
+            return scoring.normalize(scored, orientation="low", bounds=self.bounds)
+        return scoring.with_severity(scoring.normalize(scored, bounds=self.bounds))
+
+    def with_bounds(self, logs: DataFrame) -> Model:
+        """This model with the range of its scores over ``logs``."""
+        low, high = self.score(logs).agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
+        return replace(self, bounds=None if low is None else (low, high))
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, t, None, None, w) for i, (t, w) in enumerate(zip(self.vectorizer.terms, self.vectorizer.idf))]
         spark.createDataFrame(rows, tfidf.VOCABULARY).write.mode("errorifexists").parquet(f"{path}/vocabulary")
         self.trees.save(spark, f"{path}/forest")
+        ends = [self.bounds] if self.bounds else []
+        spark.createDataFrame(ends, "low double, high double").write.mode("errorifexists").parquet(f"{path}/bounds")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, profile: str = "full") -> Model:
         vectorizer = tfidf.Vectorizer.load(spark, f"{path}/vocabulary")
-        return cls(vectorizer, forest.Forest.load(spark, f"{path}/forest"), profile)
+        ends = spark.read.schema("low double, high double").parquet(f"{path}/bounds").first()
+        return cls(vectorizer, forest.Forest.load(spark, f"{path}/forest"), profile, tuple(ends) if ends else None)
 
 
 def feature_matrix(df: DataFrame, vectorizer: tfidf.Vectorizer, profile: str = "full") -> DataFrame:
@@ -68,25 +79,28 @@ def train(logs: DataFrame, profile: str = "full", **forest_options) -> Model:
     return Model(vectorizer, forest.fit(keyed, "_key", **forest_options), profile)
 
 
-def retrain(logs: DataFrame, path: str, tag: str, registry_path: str, **forest_options) -> bool:
+def retrain(logs: DataFrame, path: str, tag: str, registry_path: str, keep: int = fixed.KEEP_VERSIONS, **forest_options) -> bool:
     """Train, validate, and publish only what passes.
 
     A version lives in its own folder and is entered in the registry with the
     verdict. A rejected one is never the newest accepted version, so there is
-    nothing to restore.
+    nothing to restore. Of all versions the newest ``keep`` stay listed, and
+    the newest accepted one whatever its age; folders of the others can go.
     """
     spark = logs.sparkSession
-    model = train(logs, **forest_options)
+    model = train(logs, **forest_options).with_bounds(logs)
     model.save(spark, f"{path}/{tag}")
     verdict = registry.validation_gate(model.predict(logs))
     entry = verdict.select(F.lit(tag).alias("tag"), F.lit(f"{path}/{tag}").alias("path"), "ok", "rate", "reason")
-    entry.write.mode("append").parquet(registry_path)
-    return bool(spark.read.schema(registry.REGISTRY).parquet(registry_path).filter(F.col("tag") == tag).first()["ok"])
+    entry = stage(entry, "verdict")
+    before = stage(registry.read(spark, registry_path).filter(F.col("tag") != tag), "registry")
+    registry.retain_published(before.unionByName(entry), keep).coalesce(1).write.mode("overwrite").parquet(registry_path)
+    return bool(entry.first()["ok"])
 
 
 def load_published(spark: SparkSession, registry_path: str, tag: str | None = None, profile: str = "full") -> Model:
     """The newest accepted model, or the one with the given tag."""
-    entries = spark.read.schema(registry.REGISTRY).parquet(registry_path)
+    entries = registry.read(spark, registry_path)
     chosen = registry.select_version(entries, tag).first()
     if chosen is None:
         raise LookupError("no accepted model version")

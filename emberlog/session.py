@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import tempfile
 import uuid
 
@@ -27,6 +29,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Small single-file tables are dealt to all cores.
+        "spark.emberlog.spread": str(os.cpu_count() if cores == "*" else cores),
         "spark.driver.memory": "12g",
         # One task, one core: numpy inside tasks must not start its own threads.
         "spark.executorEnv.OMP_NUM_THREADS": "1",
@@ -50,23 +54,26 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a session that names none (a local one) gets a folder of its own.
+    Only a local session that names none gets a folder of its own; on a
+    cluster a folder of the driver's machine would be of no use.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
         path = tempfile.mkdtemp(prefix="emberlog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Hand a scan with fewer partitions than cores (one small file) to all of them.
+def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal a scan to so many partitions, where the caller asks for it.
 
-    Large tables have partitions enough and pass through as they are. Only for
-    plain scans: asking a plan with an exchange for its partitions would run it.
+    Meant for tables of one small file; large tables have partitions enough,
+    and moving them would cost a shuffle.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan.repartition(partitions) if partitions else scan
 
 
 def slot_for(path: str) -> str:
@@ -74,16 +81,28 @@ def slot_for(path: str) -> str:
     return hashlib.md5(path.encode()).hexdigest()[:12]
 
 
-def stage(df: DataFrame, name: str, slot: str | None = None) -> DataFrame:
+def scratch(spark: SparkSession, name: str, slot: str | None = None) -> str:
+    """A place of its own under the shared folder, or the one of ``slot``."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/emberlog/{app}/{name}-{slot or uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, name: str, slot: str | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result is read more than once. The table outlives any
     executor, so a lost node costs a re-read and not a recomputation. Work that
     repeats, such as a stream's batches, names a ``slot``: its next table takes
-    the place of the last one, so that staged data does not pile up.
+    the place of the last one, so that staged data does not pile up. ``by``
+    keeps the table in one folder per value of that column.
     """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_dir(spark)}/emberlog/{app}/{name}-{slot or uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite" if slot else "errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(df.sparkSession, name, slot)
+    writer = df.write.mode("overwrite" if slot else "errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has staged. Tables read from there are gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/emberlog/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as fixed
@@ -14,40 +16,105 @@ def with_time(df: DataFrame, col: str = "@timestamp") -> DataFrame:
     return df if "ts" in df.columns else df.withColumn("ts", times.parse(F.col(col)))
 
 
-def start_of_scan(mark: str | None, now: str | Column) -> Column:
+def between(df: DataFrame, start: datetime | str | Column, end: datetime | str | Column, open_start: bool = False) -> DataFrame:
+    """Rows from ``start`` to ``end``, both included unless ``open_start``.
+
+    Every filter on time goes through here: a table kept by ``day`` is pruned
+    to its days, and bounds that are values reach the Parquet reader.
+    """
+    ts, start, end = F.col("ts"), _time(start), _time(end)
+    rows = with_time(df).filter((ts > start if open_start else ts >= start) & (ts <= end))
+    return rows.filter(F.col("day").between(F.to_date(start), F.to_date(end))) if "day" in df.columns else rows
+
+
+def _time(value: datetime | str | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
+
+
+def newest(df: DataFrame) -> datetime | None:
+    """The latest time of a table; one small pass."""
+    return with_time(df).agg(F.max("ts")).first()[0]
+
+
+def start_of_scan(mark: datetime | str | None, now: datetime | str | Column) -> Column:
     """The mark, or the default look-back when there is none yet."""
-    now = F.lit(now).cast("timestamp") if isinstance(now, str) else now
-    return F.coalesce(F.lit(mark).cast("timestamp"), now - F.expr(f"INTERVAL {fixed.SCAN_LOOKBACK}"))
+    return F.coalesce(F.lit(mark).cast("timestamp"), _time(now) - F.expr(f"INTERVAL {fixed.SCAN_LOOKBACK}"))
 
 
 def incremental_scan(
     df: DataFrame,
-    mark: str | None,
-    now: str,
+    mark: datetime | str | None,
+    now: datetime | str,
     limit: int | None = None,
     tie_break: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows with ``mark <= ts <= now``, both ends included.
 
     ``limit`` is the optional per-cycle cap, oldest first; with it the result
-    is a top-k and never a full sort. ``tie_break`` columns make the cut exact
-    when several rows share the last time stamp. A table kept by ``day`` is
-    pruned to the days in question.
+    is a top-k and never a full sort. A capped scan goes on with ``next_page``.
     """
-    ts, start, end = F.col("ts"), start_of_scan(mark, now), F.lit(now).cast("timestamp")
-    rows = with_time(df).filter((ts >= start) & (ts <= end))
-    if "day" in df.columns:
-        rows = rows.filter(F.col("day").between(F.to_date(start), F.to_date(end)))
+    rows = between(df, start_of_scan(mark, now), now)
     return rows if limit is None else rows.orderBy("ts", *tie_break).limit(limit)
 
 
+def next_page(df: DataFrame, cursor: tuple | None, mark: datetime | str | None, now: datetime | str,
+              limit: int, ids: tuple[str, ...]) -> DataFrame:
+    """The oldest ``limit`` rows behind ``cursor``, the (ts, \\*ids) of the last row read.
+
+    Rows that share a time are told apart by ``ids``, so none is skipped or
+    read twice however many there are. Without a cursor the range begins at
+    ``mark``.
+    """
+    if cursor is None:
+        rows = incremental_scan(df, mark, now)
+    else:
+        behind = F.struct("ts", *ids) > F.struct(*[F.lit(v).alias(n) for n, v in zip(("ts", *ids), cursor)])
+        rows = between(df, cursor[0], now).filter(behind)
+    return rows.orderBy("ts", *ids).limit(limit)
+
+
+def cursor_after(page: DataFrame, ids: tuple[str, ...]) -> tuple | None:
+    """Where the page behind this one begins; None for an empty page.
+
+    Take it from the page as it was read, before cleaning drops any row.
+    """
+    last = page.orderBy(*[F.col(c).desc() for c in ("ts", *ids)]).select("ts", *ids).first()
+    return None if last is None else tuple(last)
+
+
 def next_mark(scanned: DataFrame) -> DataFrame:
-    """Where the following scan starts: the latest time seen."""
+    """Where the scan after an uncapped one starts: the latest time read."""
     return scanned.agg(F.max("ts").alias("mark"))
 
 
-def recent_scan(df: DataFrame, now: str, limit: int | None = fixed.LIVE_LIMIT, tie_break: tuple[str, ...] = ()) -> DataFrame:
-    """The live path's view: the last five minutes, oldest first, capped."""
-    ts, end = F.col("ts"), F.lit(now).cast("timestamp")
-    rows = with_time(df).filter(ts.between(end - F.expr(f"INTERVAL {fixed.LIVE_WINDOW}"), end))
+def save_cursor(spark: SparkSession, path: str, cursor: tuple, ids: tuple[str, ...], step: int) -> None:
+    """Keep the cursor of ``step`` in the state table. Saving a step again replaces it."""
+    row = spark.createDataFrame([(*cursor, step)], ["ts", *ids, "step"]).withColumn("step", F.col("step").cast("long"))
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
+
+
+def load_cursor(spark: SparkSession, path: str, ids: tuple[str, ...]) -> tuple | None:
+    """The cursor of the last step, None where there is no state yet."""
+    from emberlog.operators.documents import exists
+
+    if not exists(spark, path):
+        return None
+    return tuple(spark.read.parquet(path).orderBy(F.col("step").desc()).select("ts", *ids).first())
+
+
+def recent_scan(df: DataFrame, now: datetime | str, limit: int | None = None, tie_break: tuple[str, ...] = ()) -> DataFrame:
+    """The live path's view: the last five minutes, oldest first; a cap is the caller's choice."""
+    end = _time(now)
+    rows = between(df, end - F.expr(f"INTERVAL {fixed.LIVE_WINDOW}"), end)
     return rows if limit is None else rows.orderBy("ts", *tie_break).limit(limit)
+
+
+def recent_windows(df: DataFrame, start: datetime | str, end: datetime | str, every: str = fixed.LIVE_WINDOW) -> DataFrame:
+    """The series of live views from ``start`` to ``end``: rows with the ``view`` (its end) that shows them.
+
+    A view covers the five minutes up to its end and comes ``every`` so often;
+    views that overlap show a row more than once.
+    """
+    rows = between(df, start, end)
+    span = F.window("ts", fixed.LIVE_WINDOW, every)
+    return rows.withColumn("view", span).withColumn("view", F.col("view.end"))

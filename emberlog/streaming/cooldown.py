@@ -23,17 +23,20 @@ def _processor(gap: int) -> StatefulProcessor:
             self._last = handle.getValueState("last", "second long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            # At most one row per second and severity gets here.
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values("second", ignore_index=True)
+            # At most one row per second and severity gets here. The seconds are
+            # put in order; the rows themselves stay in their frames.
+            frames = list(rows)
+            order = sorted((int(s), f, i) for f, pdf in enumerate(frames) for i, s in enumerate(pdf["second"]))
             last = self._last.get()[0] if self._last.exists() else None
-            sent = []
-            for i, second in enumerate(pdf["second"]):
+            sent: dict[int, list[int]] = {}
+            for second, f, i in order:
                 if last is None or second - last >= gap:
-                    sent.append(i)
-                    last = int(second)
+                    sent.setdefault(f, []).append(i)
+                    last = second
             if sent:
                 self._last.update((last,))
-            yield pdf.loc[sent]
+            for f, picked in sent.items():
+                yield frames[f].iloc[picked]
 
         def close(self) -> None:
             pass

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,18 +14,19 @@ from emberlog.session import slot_for, stage
 from emberlog.sources.scan import with_time
 from emberlog.sources.tables import write_batch
 
-LAST_SENT = "severity string, second long, doc_id string, text string, batch_id long"
+LAST_SENT = "severity string, second long, batch_id long"
+TOP = 5
 
 
-def _after_last_sent(due: DataFrame, outbox: str, batch_id: int, seconds: int) -> DataFrame:
+def _after_last_sent(due: DataFrame, table: str, batch_id: int, seconds: int) -> DataFrame:
     """Drop what falls into the cooldown of alerts that earlier batches sent."""
     spark = due.sparkSession
-    if not documents.exists(spark, outbox):
+    if not documents.exists(spark, table):
         return due
-    sent = spark.read.schema(LAST_SENT).parquet(outbox).filter(F.col("batch_id") < batch_id)
-    # One row per severity, five at most.
-    last = sent.groupBy("severity").agg(F.max("second").alias("second")).collect()
-    for row in last:
+    # One row per severity and batch, and only one batch is read: the partition
+    # of the last one before this.
+    kept = spark.read.schema(LAST_SENT).parquet(table).filter(F.col("batch_id") == batch_id - 1)
+    for row in kept.collect():
         due = due.filter((F.col("severity") != row["severity"]) | (F.col("second") >= row["second"] + seconds))
     return due
 
@@ -35,26 +37,57 @@ def process_batch(
 ) -> None:
     """One cycle. An empty batch does nothing; a repeated one changes nothing.
 
-    Writes under ``out``: ``scored`` (one partition per batch), ``documents``
-    (keyed, upserted) and ``alerts`` (one partition per batch).
+    Writes under ``out``: ``scored`` and ``alerts`` (one partition per batch),
+    ``documents`` (keyed, upserted), ``last_sent`` (per batch, five rows at
+    most) and, on the live path, ``top`` (the batch's five highest scores).
     """
     slot = slot_for(out)
     logs = stage(with_time(clean.logs_from(sources, live)), "batch-logs", slot)
     if logs.isEmpty():
+        _carry_over(logs.sparkSession, out, batch_id)
         return
-    scored = stage(model.predict(logs, slot), "batch-scored", slot)
-    write_batch(scored, f"{out}/scored", batch_id)
-    docs = stage(documents.newest_per_key(documents.to_documents(scored)), "batch-documents", slot)
+    write_batch(model.predict(logs, slot), f"{out}/scored", batch_id)
+    scored = logs.sparkSession.read.parquet(f"{out}/scored").filter(F.col("batch_id") == batch_id).drop("batch_id")
+    docs = stage(documents.most_anomalous_per_key(documents.to_documents(scored)), "batch-documents", slot)
     documents.upsert(docs, f"{out}/documents")
-    due = _after_last_sent(alerts.candidates(alerts.actionable(docs)), f"{out}/alerts", batch_id, cooldown_seconds)
+    if live:
+        _put(top_view(docs), f"{out}/top", batch_id)
+    due = _after_last_sent(alerts.candidates(alerts.actionable(docs)), f"{out}/last_sent", batch_id, cooldown_seconds)
     sent = alerts.alert_text(alerts.cooldown(due, seconds=cooldown_seconds))
+    _put(sent.select("severity", "second", "doc_id", "text"), f"{out}/alerts", batch_id)
+    _carry_over(logs.sparkSession, out, batch_id)
+
+
+def top_view(docs: DataFrame, k: int = TOP) -> DataFrame:
+    """What the live watcher shows of a cycle: its ``k`` highest scores, numbered."""
+    first = docs.orderBy(F.col("anomaly_score_norm").desc(), "doc_id").limit(k)
+    rank = F.row_number().over(W.orderBy(F.col("anomaly_score_norm").desc(), "doc_id"))  # of k rows
+    return first.select(rank.alias("rank"), "doc_id", "timestamp", "severity", "anomaly_score_norm", "message_short")
+
+
+def _put(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch's rows in place of what the same batch wrote before."""
     (
-        sent.select("severity", "second", "doc_id", "text", F.lit(batch_id).cast("long").alias("batch_id"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-        .parquet(f"{out}/alerts")
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
     )
 
 
+def _carry_over(spark: SparkSession, out: str, batch_id: int) -> None:
+    """The last alert per severity up to this batch: five rows at most, from two partitions."""
+    found = []
+    if documents.exists(spark, f"{out}/alerts"):
+        found.append(spark.read.parquet(f"{out}/alerts").filter(F.col("batch_id") == batch_id).select("severity", "second"))
+    if documents.exists(spark, f"{out}/last_sent"):
+        kept = spark.read.schema(LAST_SENT).parquet(f"{out}/last_sent")
+        found.append(kept.filter(F.col("batch_id") == batch_id - 1).select("severity", "second"))
+    if found:
+        rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        last = rows.groupBy("severity").agg(F.max("second").alias("second")).collect()
+        if last:
+            _put(spark.createDataFrame(last, "severity string, second long"), f"{out}/last_sent", batch_id)
+
+
 def start_pipeline(
     sources: DataFrame, model: Model, out: str, checkpoint: str, live: bool = False, **trigger
 ) -> StreamingQuery:

@@ -33,11 +33,13 @@ def tumbling_counts(stream: DataFrame, delay: str = "10 minutes", window: str =
     return _count(with_late_bound(stream, delay), F.window("ts", window), "cycle")
 
 
-def sliding_view(
-    stream: DataFrame, delay: str = "10 minutes", window: str = fixed.LIVE_WINDOW, slide: str = fixed.LIVE_PERIOD
-) -> DataFrame:
-    """Live view: counts of the last five minutes, every 15 seconds."""
-    return _count(with_late_bound(stream, delay), F.window("ts", window, slide), "window_start")
+def live_panes(stream: DataFrame, delay: str = "10 minutes", slide: str = fixed.LIVE_PERIOD) -> DataFrame:
+    """Counts per 15 seconds, what the live view is made of.
+
+    The view's windows overlap twenty times. The stream keeps each row in one
+    pane only; ``security.windows_of_panes`` adds up panes where they are read.
+    """
+    return _count(with_late_bound(stream, delay), F.window("ts", slide), "pane")
 
 
 def write_changes(counts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -5,10 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog import schemas
-from emberlog.functions import severity, text, times
+from emberlog import fixed_values as fixed
+from emberlog import schemas, session
+from emberlog.functions import folding, severity, text, times
 from emberlog.operators import (
-    alerts, assistant, checks, clean, documents, evaluation, features, registry, report, scoring, trends,
+    alerts, assistant, checks, clean, documents, evaluation, features, quantiles, registry, report, scoring, trends,
 )
 from emberlog.operators.grouping import attach_count
 from emberlog.operators.quantiles import exact_percentile
@@ -140,10 +141,12 @@ def test_group_count_without_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         test_group_count_with_hot_keys(spark)
-        # Rows are shuffled by key and spread, never by the key alone.
+        # What is shuffled for the join is the hash of the key, not the key.
         rows = attach_count(spark.range(10).withColumn("k", F.col("id") % 2), "k", "n")
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(_at#" in plan and "SortMergeJoin [_at#" in plan
+        # Hot rows are answered from the broadcast and not shuffled again.
+        assert "BroadcastHashJoin [_at#" in plan and "LeftAnti" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
@@ -157,8 +160,19 @@ def test_group_count_without_broadcast(spark):
 @pytest.mark.parametrize("p", [0.0, 0.02, 0.5, 0.95, 1.0])
 def test_exact_percentile(spark, values, p):
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
-    for limit in (0, 5, 100_000):
-        assert exact_percentile(df, "v", p, limit) == pytest.approx(np.quantile(values, p), rel=1e-12)
+    assert exact_percentile(df, "v", p) == pytest.approx(np.quantile(values, p), rel=1e-12)
+
+
+@pytest.mark.parametrize("accuracy", [1, 3, 10_000])
+def test_exact_percentile_with_infinities_and_missed_brackets(spark, monkeypatch, accuracy):
+    values = [float("-inf")] * 3 + sorted(np.random.default_rng(2).normal(size=500)) + [float("inf")] * 20
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    for p in (0.0, 0.3, 0.97, 1.0):
+        at = p * (len(values) - 1)
+        low, high = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+        expected = low if low == high else low + (high - low) * (at - int(at))
+        assert exact_percentile(df, "v", p) == pytest.approx(expected, rel=1e-12)
 
 
 def test_percentile_of_nothing(spark):
@@ -214,7 +228,7 @@ def test_no_anomalies(spark):
     df = scored(spark, [(1, 1, "LOW", 1)])
     row = one(trends.trends(df))
     assert row["trend"] == "Stable" and row["peak_hour"] is None and row["peak_day"] is None
-    assert column(trends.insights(df), "text") == ["No anomaly data available for trend analysis."]
+    assert column(trends.insights(df), "text") == [fixed.INSIGHT_EMPTY]
     assert [r["n"] for r in report.severity_share(df).collect()] == [0] * 5
     assert [r["share"] for r in report.heatmap(df).collect()] == [0.0] * 24
 
@@ -286,8 +300,8 @@ def test_documents_default_missing_fields(spark):
 def test_host_can_widen_the_key(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:00Z", "m", "a", -1), ("2024-01-01T00:00:00Z", "m", "b", -1)],
                                "`@timestamp` string, message string, host string, anomaly int")
-    assert documents.newest_per_key(documents.to_documents(df)).count() == 1
-    assert documents.newest_per_key(documents.to_documents(df, ("host",))).count() == 2
+    assert documents.most_anomalous_per_key(documents.to_documents(df)).count() == 1
+    assert documents.most_anomalous_per_key(documents.to_documents(df, ("host",))).count() == 2
 
 
 def test_upsert_replaces_only_matching_days(spark, tmp_path):
@@ -400,3 +414,81 @@ def test_batches_append_and_repeat(spark, tmp_path):
     for batch, n in [(0, 3), (1, 4), (1, 2)]:
         tables.write_batch(spark.range(n).withColumn("anomaly", F.lit(-1)), path, batch)
     assert {r["batch_id"]: r["count"] for r in spark.read.parquet(path).groupBy("batch_id").count().collect()} == {0: 3, 1: 2}
+
+
+# Dirty rows ------------------------------------------------------------------
+
+def test_report_tables_with_nulls(spark):
+    rows = spark.createDataFrame([(-1, None, None, 1), (-1, "HIGH", 3, 1), (-1, "HIGH", 3, 2), (1, "LOW", 5, 0)],
+                                 "anomaly int, severity string, hour int, day_of_week int")
+    share = {r["severity"]: (r["n"], r["pct"]) for r in report.severity_share(rows).collect()}
+    assert share["HIGH"] == (2, 100.0) and share["LOW"] == (0, 0.0)
+    heat = {r["hour"]: r["anomalies"] for r in report.heatmap(rows).collect()}
+    assert len(heat) == 24 and heat[3] == 2 and sum(heat.values()) == 2
+
+
+def test_memory_keeps_rows_with_nulls_and_ties(spark):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "w"), ("a", None, "n"), (None, 2, "q"), (None, None, "p"), ("a", 250, "z")],
+                                 "conv_id string, turn long, text string")
+    got = {r["text"]: r["memory"] for r in assistant.last_n_memory(rows, 3, 100).collect()}
+    assert got == {"n": [], "w": ["n"], "x": ["n", "w"], "z": ["n", "w", "x"], "p": [], "q": ["p"]}
+
+
+def test_only_a_missing_table_counts_as_none(spark, tmp_path):
+    assert not documents.exists(spark, str(tmp_path / "none"))
+    with pytest.raises(Exception):
+        documents.exists(spark, "nosuchscheme://somewhere/table")
+
+
+def test_last_write_wins(spark, tmp_path):
+    schema = "doc_id string, timestamp string, anomaly_score double, message string, seq int"
+    rows = [("a", "2024-01-01T01", 0.1, "first", 1), ("a", "2024-01-01T01", 0.9, "second", 2)]
+    got = documents.upsert(spark.createDataFrame(rows, schema), str(tmp_path / "d"), written="seq").collect()
+    assert [r["message"] for r in got] == ["second"]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": lambda self, key, default=None: {"spark.master": "yarn"}.get(key, default)})()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Elsewhere())
+
+
+def test_pages_tell_rows_of_one_time_apart(spark, tmp_path):
+    base = pd.Timestamp("2024-01-01").to_pydatetime()
+    rows = [(base + pd.Timedelta(seconds=k // 7), k % 7, k) for k in range(40)]
+    df = spark.createDataFrame(rows, "ts timestamp, event_id long, n long").repartition(3)
+    seen, cursor, state = [], None, str(tmp_path / "state")
+    for step in range(20):
+        page = scan.next_page(df, scan.load_cursor(spark, state, ("event_id",)), base, base + pd.Timedelta(days=1), 6, ("event_id",))
+        cursor = scan.cursor_after(page, ("event_id",))
+        if cursor is None:
+            break
+        seen += column(page, "n")
+        scan.save_cursor(spark, state, cursor, ("event_id",), step)
+    assert seen == sorted(seen) == list(range(40)) and step == 7
+
+
+def test_time_filters_are_pushed_down_and_pruned(spark, tmp_path):
+    rows = spark.range(200).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), "id").withColumn("day", F.to_date("ts"))
+    rows.write.partitionBy("day").parquet(str(tmp_path / "t"))
+    found = scan.incremental_scan(spark.read.parquet(str(tmp_path / "t")), "1970-01-03 00:00:00", "1970-01-03 05:00:00")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(ts" in plan
+    assert found.count() == 6
+
+
+def test_folding_without_python_equals_folding_with(spark):
+    import sys
+
+    codes = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    words = ["".join(map(chr, codes[i:i + 97])) for i in range(0, len(codes), 97)]
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", folding.fold(F.col("w")).alias("f")).collect()
+    assert {r["i"]: r["f"] for r in got} == {i: folding.fold_text(w) for i, w in enumerate(words)}
+
+
+def test_range_of_training_bounds_the_norm(spark):
+    df = spark.createDataFrame([(-3.0,), (0.0,), (1.0,), (9.0,), (None,)], "anomaly_score double")
+    got = column(scoring.normalize(df, bounds=(-1.0, 3.0)), "anomaly_score_norm")
+    assert got == [1.0, 0.75, 0.5, 0.0, None]

@@ -85,7 +85,7 @@ def test_documents_derived_on_the_stream(spark, tmp_path):
     assert got.select(*batch.columns).exceptAll(batch).count() == 0
 
 
-def test_sliding_view_and_late_rows(spark, tmp_path):
+def test_live_panes_and_late_rows(spark, tmp_path):
     """With no delay allowed, rows older than the mark are not counted.
 
     The mark a batch is filtered by is the one known when the batch before it
@@ -95,10 +95,10 @@ def test_sliding_view_and_late_rows(spark, tmp_path):
         spark.createDataFrame([(s,) for s in stamps], "`@timestamp` string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     rows = spark.readStream.schema("`@timestamp` string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     out = str(tmp_path)
-    view = windows.sliding_view(rows, "0 seconds", "5 minutes", "5 minutes")
+    view = windows.live_panes(rows, "0 seconds", "5 minutes")
     batches_of(windows.write_changes(view, f"{out}/view", f"{out}/checkpoint", availableNow=True))
-    got = windows.latest(spark.read.parquet(f"{out}/view"), "window_start").collect()
-    assert [(str(r["window_start"]), r["n"]) for r in got] == [("2024-01-01 00:10:00", 3)]
+    got = windows.latest(spark.read.parquet(f"{out}/view"), "pane").collect()
+    assert [(str(r["pane"]), r["n"]) for r in got] == [("2024-01-01 00:10:00", 3)]
 
 
 def test_repeats_are_dropped_across_batches(spark, tmp_path):
