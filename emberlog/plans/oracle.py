@@ -267,8 +267,10 @@ registry AS (
 def oracle_sql() -> dict[str, str]:
     full, narrow = fixed.FEATURES["full"], fixed.FEATURES["narrow"]
     features = ", ".join(r(c) if c == "uppercase_ratio" else n(c) for c in full)
-    in_scan = f"ts >= TIMESTAMP '{reg.SCAN_MARK}' AND ts <= TIMESTAMP '{reg.SCAN_NOW}'"
+    days = reg.SCAN_SPAN.days
+    in_scan = f"ts BETWEEN (SELECT max(ts) FROM timed) - INTERVAL {days} DAY AND (SELECT max(ts) FROM timed)"
     timed = f"timed AS (SELECT *, {PARSE} AS ts FROM src)"
+    at = lambda share: f"(SELECT CAST(date_trunc('day', min(ts) + (max(ts) - min(ts)) * {share}) AS TIMESTAMP) FROM timed)"
     out: dict[str, str] = {}
 
     out["log_sources"] = after("src", f"SELECT event_id, {n('copy')}, stamp, message, host, original, log_file FROM src")
@@ -279,14 +281,16 @@ def oracle_sql() -> dict[str, str]:
     out["noise_filter"] = after("state", "SELECT " + ", ".join(
         [n("count(*)", "seen")] + [n(f"count(*) FILTER (state = '{s}')", s) for s in ("blank", "noise", "kept")]) + " FROM state")
     out["dedupe_logs"] = after("logs", "SELECT event_id, stamp, message, host, log_file FROM logs")
-    out["incremental_scan"] = after("src", f"""SELECT event_id, {n('copy')}, stamp, message FROM timed WHERE {in_scan}
-ORDER BY ts, event_id, copy LIMIT {fixed.SCAN_LIMIT}""", timed)
+    out["incremental_scan"] = after("src", f"SELECT event_id, {n('copy')}, stamp, message FROM timed WHERE {in_scan}", timed)
+    out["scan_pages"] = after("src", f"""SELECT event_id, {n('copy')}, stamp,
+  {n(f'(row_number() OVER (ORDER BY ts, event_id, copy) - 1) // {fixed.SCAN_LIMIT}', 'page')} FROM timed WHERE {in_scan}""", timed)
+    out["recent_windows"] = after("src", f"""SELECT event_id, {n('copy')}, {ts_text('time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE', 'view')}
+FROM timed WHERE {in_scan}""", timed)
     out["scan_lookback"] = after("src", f"""SELECT event_id, {n('copy')}, stamp FROM timed
-WHERE ts BETWEEN TIMESTAMP '{reg.SCAN_NOW}' - INTERVAL 10 MINUTE AND TIMESTAMP '{reg.SCAN_NOW}'""", timed)
-    out["next_mark"] = after("logs", f"SELECT {ts_text('max(ts)', 'mark')} FROM logs WHERE {in_scan}")
+WHERE ts >= (SELECT max(ts) FROM timed) - INTERVAL 10 MINUTE""", timed)
+    out["next_mark"] = after("src", f"SELECT {ts_text('max(ts)', 'mark')} FROM timed WHERE {in_scan}", timed)
     out["recent_scan"] = after("src", f"""SELECT event_id, {n('copy')}, stamp FROM timed
-WHERE ts BETWEEN TIMESTAMP '{reg.SCAN_NOW}' - INTERVAL 5 MINUTE AND TIMESTAMP '{reg.SCAN_NOW}'
-ORDER BY ts, event_id, copy LIMIT {fixed.LIVE_LIMIT}""", timed)
+WHERE ts >= (SELECT max(ts) FROM timed) - INTERVAL 5 MINUTE""", timed)
 
     out["log_features"] = after("featured", f"SELECT event_id, {features} FROM featured")
     out["narrow_features"] = after("logs", f"SELECT event_id, {text_columns('message', 'narrow')} FROM logs")
@@ -371,7 +375,10 @@ FROM hits ORDER BY ts NULLS FIRST, event_id LIMIT 10""")
     out["legacy_docs"] = after("docs", f"""SELECT doc_id, iso AS timestamp, message, {doc_fields}, {n('anomaly')}, {r('anomaly_score')},
   {legacy('anomaly_score')} AS severity FROM docs""")
     out["upsert_docs"] = after("docs", f"""SELECT doc_id, iso AS timestamp, message,
-  {n(f"CASE WHEN iso >= '{reg.MERGE_FROM}' THEN 2 ELSE 1 END", 'batch')} FROM docs""")
+  {n(f"CASE WHEN ts >= {at(reg.MERGE_FROM)} THEN 2 ELSE 1 END", 'batch')} FROM docs""", timed)
+    clock = ISO.replace("(ts,", "((SELECT max(ts) FROM timed),")
+    out["alert_rows"] = after("scored", f"""SELECT md5({clock} || message) AS alert_id, {clock} AS timestamp, message,
+  {r('anomaly_score / 1000', 'anomaly_score')}, {legacy('(anomaly_score / 1000)')} AS severity FROM scored""", timed)
     out["upsert_tally"] = after("scored", f"SELECT {n('count(ts)', 'uploaded')}, {n('count(*) - count(ts)', 'skipped')} FROM hits")
     out["rejected_rows"] = after("scored", "SELECT event_id, stamp, message FROM hits WHERE ts IS NULL")
     out["alert_cooldown"] = after("scored", f"SELECT severity, second, doc_id FROM sent", docs_of("scored", "every"), f"""
@@ -413,9 +420,11 @@ FROM (SELECT *, {health} AS category FROM logs) WHERE category IS NOT NULL GROUP
 FROM (SELECT time_bucket(INTERVAL 15 SECOND, ts) - to_seconds(15 * k) AS w FROM logs, (SELECT unnest(range(20)) AS k) WHERE ts IS NOT NULL)
 GROUP BY w""")
     out["last_hour_summary"] = after("scored", summary("ts > (SELECT max(ts) FROM scored) - INTERVAL 1 HOUR"))
-    out["severity_today"] = after("scored", summary(f"ts > TIMESTAMP '{reg.DAY[1]}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{reg.DAY[1]}'"))
-    out["critical_today"] = after("scored", f"""SELECT event_id, stamp, message, {r('anomaly_score_norm')} FROM hits
-WHERE severity = 'CRITICAL' AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'""")
+    out["severity_today"] = after("scored", summary("ts > (SELECT max(ts) FROM scored) - INTERVAL 24 HOUR"))
+    out["critical_today"] = after("scored", f"""SELECT event_id, stamp, message, {r('anomaly_score_norm')} FROM scored
+WHERE anomaly_score_norm > 0.9 AND ts >= (SELECT date_trunc('day', max(ts)) FROM scored)""")
+    out["most_severe_per_day"] = after("scored", f"""SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, severity, {r('anomaly_score_norm')} FROM hits
+WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY anomaly_score_norm DESC, ts, event_id) = 1""")
     out["impact"] = after("scored", f"""SELECT {n('count(*)', 'anomalies')}, {r('max(anomaly_score_norm)', 'max_score')},
   {r('avg(anomaly_score_norm)', 'avg_score')}, {r("coalesce(count(*) FILTER (severity = 'CRITICAL') * 100.0 / nullif(count(*), 0), 0)", 'critical_pct')} FROM hits""")
     out["next_bucket"] = after("scored", f"""SELECT {n('buckets')}, {r('slope')}, {r('intercept')}, {r('next')}, {r('intercept + slope * next', 'expected')}
@@ -438,6 +447,20 @@ WHERE rank <= {fixed.FALLBACK_K} AND qid NOT IN (SELECT qid FROM best)""", ASKED
     out["log_intents"] = after("logs", f"SELECT event_id, {intent('message')} AS intent FROM logs")
     out["small_talk"] = f"SELECT conv_id, turn, {n(strip('lower(text)') + ' IN (' + ', '.join(q(s) for s in fixed.SMALL_TALK) + ')', 'small_talk')} FROM conversations"
     out["last3_memory"] = f"WITH {ASKED} SELECT conv_id, turn, coalesce(memory, '') AS memory FROM remembered"
+    found = f"""retrieved AS (
+  SELECT qid, rank, {line} FROM best
+  UNION ALL
+  SELECT qid, rank, {line} FROM asked, (SELECT *, row_number() OVER (ORDER BY iso, doc_id) AS rank FROM docs) f
+  WHERE rank <= {fixed.FALLBACK_K} AND qid NOT IN (SELECT qid FROM best)),
+context AS (SELECT qid, string_agg(line, chr(10) ORDER BY rank) AS context FROM retrieved GROUP BY qid),
+answer AS (
+  SELECT string_agg(ord || '. ' || substring(message, 1, 150), chr(10) ORDER BY ord) AS answer
+  FROM (SELECT *, row_number() OVER (ORDER BY anomaly_score_norm DESC, event_id) AS ord FROM hits) WHERE ord <= 5)"""
+    hinted = "CASE intent " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in HINTS.items()) + " ELSE '' END"
+    out["retrieval_prompt"] = after("docs", f"""SELECT qid, intent, CASE WHEN intent = 'logs' THEN (SELECT answer FROM answer) END AS answer,
+  CASE WHEN intent <> 'logs' THEN 'Earlier questions:' || chr(10) || coalesce(nullif(memory, ''), 'None') || chr(10) || 'Logs:' || chr(10)
+    || coalesce(context, '') || chr(10) || 'Question:' || chr(10) || text || CASE WHEN {hinted} = '' THEN '' ELSE chr(10) || {hinted} END END AS prompt
+FROM remembered LEFT JOIN context USING (qid)""", ASKED, bm25("docs", ["message", "severity"], "iso, doc_id"), found)
     out["direct_logs"] = after("scored", f"""SELECT {n('ord')}, ord || '. ' || substring(message, 1, 150) AS line
 FROM (SELECT *, row_number() OVER (ORDER BY anomaly_score_norm DESC, event_id) AS ord FROM hits) WHERE ord <= 5""")
     hint = "CASE intent " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in HINTS.items()) + " ELSE '' END"
@@ -455,10 +478,53 @@ FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts NULLS FIRST, ev
     out["model_versions"] = after("scored", f"""SELECT tag, path, {n('ok')}, {r('rate')}, reason,
   {n('coalesce(tag = (SELECT max(tag) FROM registry WHERE ok), false)', 'latest')} FROM registry ORDER BY tag DESC LIMIT {fixed.KEEP_VERSIONS}""", VERSIONS)
     out["rollback_target"] = after("scored", "SELECT tag, path FROM registry WHERE ok ORDER BY tag DESC LIMIT 1", VERSIONS)
-    out["readiness_checks"] = after("logs", """SELECT 'logs not empty' AS name, CAST(count(*) > 0 AS BIGINT) AS ok, count(*) || ' rows' AS detail, CAST(1 AS BIGINT) AS critical FROM logs
-UNION ALL SELECT 'logs columns', 1, 'all present', 1
-UNION ALL SELECT 'logs newest', CAST(max(ts) IS NOT NULL AS BIGINT), coalesce(CAST(max(ts) AS VARCHAR), 'none'), 0 FROM logs""")
+    def ready(table: str, name: str, newest: str | None) -> str:
+        last = f"coalesce(CAST(max({newest}) AS VARCHAR), 'none')" if newest else "'none'"
+        seen = f"CAST(max({newest}) IS NOT NULL AS BIGINT)" if newest else "CAST(0 AS BIGINT)"
+        return f"""SELECT '{name} not empty' AS name, CAST(count(*) > 0 AS BIGINT) AS ok, count(*) || ' rows' AS detail, CAST(1 AS BIGINT) AS critical FROM {table}
+UNION ALL SELECT '{name} columns', 1, 'all present', 1
+UNION ALL SELECT '{name} newest', {seen}, {last}, 0""" + (f" FROM {table}" if newest else "")
+
+    inputs = " UNION ALL ".join(ready(*x) for x in [
+        ("timed", "sources", "ts"), ("logs", "logs", "ts"), ("scored", "scored", "ts"), ("docs", "documents", None),
+        ("vocab", "vocabulary", None), ("(SELECT * FROM registry WHERE ok)", "accepted versions", None)])
+    out["readiness_checks"] = after("docs", inputs, timed, VERSIONS, vocabulary(fixed.MIN_DF, True))
+    out["readiness_overall"] = after("docs", f"SELECT min(ok) AS ok FROM ({inputs}) WHERE critical = 1", timed, VERSIONS, vocabulary(fixed.MIN_DF, True))
+
+    out["scored_batches"] = after("scored", f"""SELECT event_id, {n(f'coalesce(ts >= {at(0.5)}, false)', 'batch_id')}, {r('anomaly_score')} FROM scored""", timed)
+    out["anomaly_table"] = after("scored", f"SELECT event_id, stamp, message, {n('anomaly')}, severity FROM hits")
+    out["log_table_csv"] = after("logs", "SELECT stamp, message, host, log_file FROM logs")
+    out["vocabulary_saved"] = out["tfidf_weights"]
+    terms = vocabulary(fixed.MIN_DF, True).replace("FROM documents", "FROM featured").replace("doc_id", "event_id").replace("lower(text)", "lower(message)")
+    out["feature_matrix"] = after("featured", f"""SELECT event_id, {n('place')}, {r('value')} FROM (
+  SELECT event_id, unnest(range({len(full)})) AS place, CAST(unnest([{', '.join(full)}]) AS DOUBLE) AS value FROM featured
+  UNION ALL
+  SELECT event_id, idx + {len(full)}, w / sqrt(sum(w * w) OVER (PARTITION BY event_id))
+  FROM (SELECT event_id, idx, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term))) WHERE value <> 0""", terms)
+    out["frequency_of_repeats"] = f"SELECT conv_id, turn, {n('CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END', 'n')} FROM conversations"
+    out["no_trend"] = f"SELECT CAST(0 AS BIGINT) AS ord, {q(fixed.INSIGHT_EMPTY)} AS text"
+    plain = vocabulary(1, False).replace("FROM documents", "FROM scored").replace("doc_id", "event_id").replace("lower(text)", "lower(message)")
+    out["cluster_keywords"] = after("scored", f"""SELECT host, {n('rank')}, term, {r('weight')} FROM (
+  SELECT host, term, round(sum(w) / size, 9) AS weight, row_number() OVER (PARTITION BY host ORDER BY round(sum(w) / size, 9) DESC, term) AS rank
+  FROM (SELECT host, term, w / sqrt(sum(w * w) OVER (PARTITION BY event_id)) AS w
+        FROM (SELECT event_id, term, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term)) JOIN scored USING (event_id))
+  JOIN (SELECT host, count(*) AS size FROM scored GROUP BY host) USING (host) GROUP BY host, size, term) WHERE rank <= 8""", plain)
+    out["cluster_checks"] = "SELECT name, CAST(1 AS BIGINT) AS ok FROM (VALUES ('sizes'), ('keywords'), ('cost'), ('nearest')) t(name)"
+    out["retrained"] = "SELECT '2024010' || k || '_000000' AS tag FROM (SELECT unnest(range(3, 8)) AS k)"
 
     out["stream_replay"] = after("flat", f"""SELECT {ts_text('cycle', 'cycle')}, {n('count(*)', 'n')}
 FROM (SELECT time_bucket(INTERVAL 5 MINUTE, {PARSE}) AS cycle FROM flat WHERE {PARSE} IS NOT NULL) GROUP BY cycle""")
+    out["stream_late"] = after("src", f"""SELECT {ts_text('cycle', 'cycle')}, {n('count(*)', 'n')}
+FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS cycle FROM timed WHERE ts IS NOT NULL) GROUP BY cycle""", timed)
+    out["stream_sliding"] = after("flat", f"""SELECT {ts_text('w', 'window_start')}, {n('count(*)', 'n')}
+FROM (SELECT time_bucket(INTERVAL 15 SECOND, {PARSE}) - to_seconds(15 * k) AS w FROM flat, (SELECT unnest(range(20)) AS k) WHERE {PARSE} IS NOT NULL)
+GROUP BY w""")
+    out["stream_repeats"] = after("flat", f"SELECT DISTINCT stamp, message FROM flat WHERE {PARSE} IS NOT NULL")
+    out["stream_upsert"] = out["anomaly_docs"]
+    out["stream_alerts"] = out["alert_cooldown"].replace("FROM scored WHERE ts IS NOT NULL", "FROM hits WHERE ts IS NOT NULL AND severity IN ('CRITICAL', 'HIGH')")
+    chunk = " + ".join(f"CAST(coalesce(ts >= {at(k / reg.CHUNKS)}, false) AS BIGINT)" for k in range(1, reg.CHUNKS))
+    rows = f"flat AS (SELECT * FROM (SELECT event_id, copy, user_id, event_type, value, stamp, host, log_file, {live} AS message FROM src) WHERE message <> '')"
+    out["stream_live_top"] = "WITH RECURSIVE" + ",".join([SRC, rows, LOGS, FEATURED, SCORED, DOCS, timed]) + f"""
+SELECT {n('chunk', 'batch_id')}, {n('rank')}, doc_id, severity FROM (
+  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY anomaly_score_norm DESC, doc_id) AS rank FROM (SELECT *, {chunk} AS chunk FROM docs)) WHERE rank <= 5"""
     return out

@@ -8,32 +8,37 @@ other's. Nothing is cut down: every query covers its whole tables.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog import fixed_values as fixed
+from emberlog import schemas
 from emberlog.functions import severity, text, times
 from emberlog.operators import (
     alerts, assistant, checks, clean, clusters, documents, evaluation, features,
-    forest, registry, report, scoring, search, security, tfidf, trends,
+    forest, grouping, quantiles, registry, report, scoring, search, security, tfidf, trends,
 )
 from emberlog.plans import detector
-from emberlog.session import prepare, shared_dir, spread, stage
-from emberlog.sources import scan
+from emberlog.session import prepare, scratch, spread, stage
+from emberlog.sources import scan, tables
 from emberlog.sources.event_logs import source_documents
 from emberlog.streaming import pipeline, windows
 
 # Row order where the input has none of its own.
 ORDER = ("host", "log_file", "event_id")
 TIES = ("event_id",)
-# Points in time of the scan and merge queries.
-SCAN_MARK, SCAN_NOW = "2024-01-05 00:00:00", "2024-01-25 00:00:00"
-MERGE_FROM, MERGE_TO = "2024-01-10T00:00:00", "2024-01-20T00:00:00"
-DAY = ("2024-01-15 00:00:00", "2024-01-16 00:00:00")
+# How far behind the newest row the scan queries begin.
+SCAN_SPAN = timedelta(days=20)
+IDS = ("event_id", "copy")
+CHUNKS = 4
+# Shares of the time range at which the batches of the merge query overlap.
+MERGE_FROM, MERGE_TO = 0.3, 0.6
 
 _kept: dict[tuple[str, str, str], object] = {}
 
@@ -48,8 +53,9 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def texts(self, name: str) -> DataFrame:
-        """A table whose rows are costly to work on."""
-        return spread(self.table(name))
+        """A table whose rows are costly to work on; dealt out where the session asks for it."""
+        partitions = self.spark.conf.get("spark.emberlog.spread", None)
+        return spread(self.table(name), int(partitions) if partitions else None)
 
     def _once(self, name: str, build: Callable[[], object]):
         key = (self.spark.sparkContext.applicationId, self.folder, name)
@@ -59,12 +65,49 @@ class Inputs:
 
     @property
     def sources(self) -> DataFrame:
-        return self._once("sources", lambda: stage(source_documents(self.texts("events")), "sources"))
+        """As ingested: with the parsed time, kept by day."""
+        return self._once("sources", lambda: by_day(source_documents(self.texts("events")), "sources"))
+
+    @property
+    def now(self) -> datetime:
+        """Time of the newest source document; what the scan queries call now."""
+        return self._once("now", lambda: scan.newest(self.sources))
+
+    @property
+    def start(self) -> datetime:
+        return self._once("start", lambda: self.sources.agg(F.min("ts")).first()[0])
+
+    def at(self, share: float) -> datetime:
+        """The midnight nearest below a share of the time range."""
+        return datetime.combine((self.start + (self.now - self.start) * share).date(), datetime.min.time())
 
     @property
     def logs(self) -> DataFrame:
-        build = lambda: stage(scan.with_time(clean.logs_from(self.sources, order=ORDER)), "logs")
-        return self._once("logs", build)
+        return self._once("logs", lambda: by_day(clean.logs_from(self.sources, order=ORDER), "logs"))
+
+    @property
+    def chunks(self) -> str:
+        """The sources as files that a stream reads in order of time: CHUNKS batches of two files."""
+
+        def build() -> str:
+            path = scratch(self.spark, "source-files")
+            edges = [self.at(k / CHUNKS) for k in range(1, CHUNKS)]
+            part = sum(F.coalesce((F.col("ts") >= F.lit(e)).cast("int"), F.lit(0)) for e in edges)
+            for k in range(CHUNKS):
+                rows = self.sources.drop("day").filter(part == k)
+                rows.repartition(2, "event_id").write.mode("append").parquet(path)
+            return path
+
+        return self._once("chunks", build)
+
+    def stand_in(self, live: bool = False) -> StandIn:
+        """Trained, so to speak, on all logs as the given path cleans them."""
+
+        def build() -> StandIn:
+            rows = self.logs if not live else stage(clean.logs_from(self.sources, live=True, order=ORDER), "live-logs")
+            return StandIn.of(rows)
+
+        return self._once(f"stand-in-{live}", build)
 
     @property
     def scored(self) -> DataFrame:
@@ -74,13 +117,13 @@ class Inputs:
         def build() -> DataFrame:
             rows = stage(features.basic_features(self.logs).withColumn("anomaly_score", -F.col("value")), "featured")
             rows = scoring.label_by_contamination(rows)
-            return stage(scoring.with_severity(scoring.normalize(rows)), "scored")
+            return by_day(scoring.with_severity(scoring.normalize(rows)), "scored")
 
         return self._once("scored", build)
 
     @property
     def documents(self) -> DataFrame:
-        return self._once("documents", lambda: stage(documents.newest_per_key(documents.to_documents(self.scored)), "documents"))
+        return self._once("documents", lambda: stage(documents.most_anomalous_per_key(documents.to_documents(self.scored)), "documents"))
 
     @property
     def model(self) -> detector.Model:
@@ -91,12 +134,47 @@ class Inputs:
         """Vocabulary of the documents table."""
         return self._once("vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(self.texts("documents"), "text")))
 
+    @property
+    def retrieved(self) -> DataFrame:
+        """What each question finds among the anomaly documents, or the first ones if nothing."""
+
+        def build() -> DataFrame:
+            found = search.search(self.documents, self.questions, "qid", "text", keep=("timestamp", "severity", "message"))
+            found = stage(found, "found")
+            return stage(assistant.render(search.with_fallback(found, self.questions, self.documents, "qid")), "retrieved")
+
+        return self._once("retrieved", build)
+
     @property
     def questions(self) -> DataFrame:
         asked = assistant.questions(self.table("conversations"))
         return asked.withColumn("qid", F.concat_ws("-", "conv_id", "turn"))
 
 
+def by_day(rows: DataFrame, name: str) -> DataFrame:
+    rows = scan.with_time(rows)
+    return stage(rows.withColumn("day", F.to_date("ts")), name, by="day")
+
+
+@dataclass
+class StandIn:
+    """A model whose score SQL can follow: the event's value, cut and scaled as in training."""
+
+    cut: float
+    bounds: tuple[float, float]
+
+    @classmethod
+    def of(cls, logs: DataFrame) -> StandIn:
+        rows = logs.select((-F.col("value")).alias("score"))
+        low, high = rows.agg(F.min("score"), F.max("score")).first()
+        return cls(quantiles.exact_percentile(rows, "score", fixed.CONTAMINATION), (low, high))
+
+    def predict(self, logs: DataFrame, slot: str | None = None) -> DataFrame:
+        rows = features.basic_features(logs).withColumn("anomaly_score", -F.col("value"))
+        rows = rows.withColumn("anomaly", F.when(F.col("anomaly_score") < self.cut, -1).otherwise(1))
+        return scoring.with_severity(scoring.normalize(rows, bounds=self.bounds))
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Plain types: long, double to six places, text for times and arrays."""
     out = []
@@ -106,6 +184,8 @@ def comparable(df: DataFrame) -> DataFrame:
             c = c.cast("long")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double"), 6) + F.lit(0.0)
+        elif isinstance(f.dataType, T.DateType):
+            c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.ArrayType):
@@ -123,7 +203,7 @@ def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]
 
 
 def _scratch(i: Inputs, name: str) -> str:
-    return f"{shared_dir(i.spark)}/emberlog/{i.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return scratch(i.spark, name)
 
 
 def _stamp(df: DataFrame) -> DataFrame:
@@ -162,24 +242,48 @@ def dedupe_logs(i: Inputs) -> DataFrame:
 
 @query
 def incremental_scan(i: Inputs) -> DataFrame:
-    rows = scan.incremental_scan(i.sources, SCAN_MARK, SCAN_NOW, fixed.SCAN_LIMIT, ("event_id", "copy"))
+    rows = scan.incremental_scan(i.sources, i.now - SCAN_SPAN, i.now)
     return _stamp(rows).select("event_id", "copy", "stamp", "message")
 
 
+@query
+def scan_pages(i: Inputs) -> DataFrame:
+    """The same range read by a capped scan, page after page, from a kept cursor."""
+    out, state, page = _scratch(i, "pages"), _scratch(i, "scan-state"), 0
+    mark = i.now - SCAN_SPAN
+    while True:
+        cursor = scan.load_cursor(i.spark, state, IDS)
+        rows = stage(scan.next_page(i.sources, cursor, mark, i.now, fixed.SCAN_LIMIT, IDS), "page", "scan-page")
+        cursor = scan.cursor_after(rows, IDS)
+        if cursor is None:
+            return _stamp(i.spark.read.parquet(out)).select("event_id", "copy", "stamp", "page")
+        rows.withColumn("page", F.lit(page)).write.mode("append").partitionBy("page").parquet(out)
+        scan.save_cursor(i.spark, state, cursor, IDS, page)
+        page += 1
+
+
 @query
 def scan_lookback(i: Inputs) -> DataFrame:
-    rows = scan.incremental_scan(i.sources, None, SCAN_NOW)
+    rows = scan.incremental_scan(i.sources, None, i.now)
     return _stamp(rows).select("event_id", "copy", "stamp")
 
 
 @query
 def next_mark(i: Inputs) -> DataFrame:
-    return scan.next_mark(scan.incremental_scan(i.logs, SCAN_MARK, SCAN_NOW))
+    """Over all rows read, whatever cleaning drops of them."""
+    return scan.next_mark(scan.incremental_scan(i.sources, i.now - SCAN_SPAN, i.now))
 
 
 @query
 def recent_scan(i: Inputs) -> DataFrame:
-    return _stamp(scan.recent_scan(i.sources, SCAN_NOW, tie_break=("event_id", "copy"))).select("event_id", "copy", "stamp")
+    return _stamp(scan.recent_scan(i.sources, i.now)).select("event_id", "copy", "stamp")
+
+
+@query
+def recent_windows(i: Inputs) -> DataFrame:
+    """Every live view of the scan's range."""
+    rows = scan.recent_windows(i.sources, i.now - SCAN_SPAN, i.now)
+    return rows.select("event_id", "copy", "view")
 
 
 # Features ------------------------------------------------------------------
@@ -358,13 +462,19 @@ def html_escape(i: Inputs) -> DataFrame:
 
 @query
 def anomaly_docs(i: Inputs) -> DataFrame:
-    return documents.newest_per_key(documents.to_documents(i.scored))
+    return documents.most_anomalous_per_key(documents.to_documents(i.scored))
 
 
 @query
 def legacy_docs(i: Inputs) -> DataFrame:
     rows = documents.to_legacy_documents(i.scored)
-    return documents.newest_per_key(rows)
+    return documents.most_anomalous_per_key(rows)
+
+
+@query
+def alert_rows(i: Inputs) -> DataFrame:
+    """The older alert path over all scored rows, its clock at the newest row."""
+    return documents.to_alert_rows(i.scored.withColumn("anomaly_score", F.col("anomaly_score") / 1000), i.now)
 
 
 @query
@@ -372,8 +482,9 @@ def upsert_docs(i: Inputs) -> DataFrame:
     """Two overlapping batches put into one table, the second one last."""
     docs = i.documents
     path = _scratch(i, "upsert")
-    documents.upsert(docs.filter(F.col("timestamp") < MERGE_TO).withColumn("batch", F.lit(1)), path)
-    merged = documents.upsert(docs.filter(F.col("timestamp") >= MERGE_FROM).withColumn("batch", F.lit(2)), path)
+    first, last = (F.lit(i.at(x).isoformat()) for x in (MERGE_FROM, MERGE_TO))
+    documents.upsert(docs.filter(F.col("timestamp") < last).withColumn("batch", F.lit(1)), path)
+    merged = documents.upsert(docs.filter(F.col("timestamp") >= first).withColumn("batch", F.lit(2)), path)
     return merged.select("doc_id", "timestamp", "message", "batch")
 
 
@@ -390,7 +501,7 @@ def rejected_rows(i: Inputs) -> DataFrame:
 @query
 def alert_cooldown(i: Inputs) -> DataFrame:
     """Cooldown over every document of the log table, so that it has work."""
-    docs = documents.newest_per_key(documents.to_documents(i.scored.withColumn("anomaly", F.lit(-1))))
+    docs = documents.most_anomalous_per_key(documents.to_documents(i.scored.withColumn("anomaly", F.lit(-1))))
     due = alerts.candidates(docs)
     return alerts.cooldown(due).select("severity", "second", "doc_id")
 
@@ -454,13 +565,19 @@ def last_hour_summary(i: Inputs) -> DataFrame:
 
 @query
 def critical_today(i: Inputs) -> DataFrame:
-    return _stamp(security.critical_between(i.scored, "2024-01-01 00:00:00", "2024-02-01 00:00:00")).select(
-        "event_id", "stamp", "message", "anomaly_score_norm")
+    """On a scale where there are some each day: the label aside, the upper tenth is critical."""
+    rows = i.scored.withColumn("anomaly", F.lit(-1)).withColumn("severity", F.when(F.col("anomaly_score_norm") > 0.9, "CRITICAL"))
+    return _stamp(security.critical_today(rows)).select("event_id", "stamp", "message", "anomaly_score_norm")
+
+
+@query
+def most_severe_per_day(i: Inputs) -> DataFrame:
+    return _stamp(security.most_severe_per_day(i.scored, TIES)).select("date", "event_id", "severity", "anomaly_score_norm")
 
 
 @query
 def severity_today(i: Inputs) -> DataFrame:
-    return security.summary_between(i.scored, "24 hours", DAY[1])
+    return security.summary_between(i.scored, "24 hours")
 
 
 @query
@@ -499,9 +616,7 @@ def bm25_search(i: Inputs) -> DataFrame:
 @query
 def search_fallback(i: Inputs) -> DataFrame:
     """Questions of the conversations put to the anomaly documents."""
-    found = search.search(i.documents, i.questions, "qid", "text", keep=("timestamp", "severity", "message"))
-    lines = assistant.render(search.with_fallback(found, i.questions, i.documents, "qid"))
-    return lines.select("qid", "rank", "score", "line")
+    return i.retrieved.select("qid", "rank", "score", "line")
 
 
 @query
@@ -529,6 +644,12 @@ def prompt_table(i: Inputs) -> DataFrame:
     return assistant.prompt_table(i.table("conversations"), i.scored, tie_break=TIES)
 
 
+@query
+def retrieval_prompt(i: Inputs) -> DataFrame:
+    """Every question with what it retrieved; those that ask for logs get the list itself."""
+    return assistant.retrieval_prompts(i.questions, i.retrieved, assistant.direct_logs(i.scored, tie_break=TIES))
+
+
 @query
 def direct_logs(i: Inputs) -> DataFrame:
     return assistant.direct_logs(i.scored, tie_break=TIES)
@@ -553,6 +674,28 @@ def cluster_summaries(i: Inputs) -> DataFrame:
     return clusters.cluster_summaries(i.scored, i.model.vectorizer, order=("ts", "event_id"))
 
 
+@query
+def cluster_keywords(i: Inputs) -> DataFrame:
+    """The host as a stand-in cluster: its eight terms of the highest mean weight."""
+    rows = i.scored.select("event_id", "host", "message")
+    return clusters.keywords_by(rows, i._once("plain-vectorizer", lambda: clusters.temporary_vectorizer(rows)), "host")
+
+
+@query
+def cluster_checks(i: Inputs) -> DataFrame:
+    """What must hold of any clustering, whatever the start: all true."""
+    return clusters.verify(i.scored, i.model.vectorizer)
+
+
+@query
+def retrained(i: Inputs) -> DataFrame:
+    """Seven versions trained, judged and listed; the newest five stay."""
+    path = _scratch(i, "models")
+    for n in range(7):
+        detector.retrain(i.logs, path, f"2024010{n + 1}_000000", f"{path}/registry", trees=4)
+    return registry.versions(registry.read(i.spark, f"{path}/registry")).select("tag")
+
+
 @query
 def dominant_severity(i: Inputs) -> DataFrame:
     return clusters.dominant_severity(i.scored, "host")
@@ -583,30 +726,171 @@ def rollback_target(i: Inputs) -> DataFrame:
 
 @query
 def readiness_checks(i: Inputs) -> DataFrame:
-    return checks.readiness(i.logs, "logs", ["@timestamp", "message", "host"])
+    return _readiness(i)
+
+
+@query
+def readiness_overall(i: Inputs) -> DataFrame:
+    return checks.overall(_readiness(i))
+
+
+def _readiness(i: Inputs) -> DataFrame:
+    """Everything a run depends on: sources, logs, scored rows, documents, vocabulary and registry."""
+    vocabulary = tfidf.fit_vocabulary(i.texts("documents"), "text")
+    asked = [
+        (i.sources, "sources", ["@timestamp", "message", "host"]), (i.logs, "logs", ["@timestamp", "message", "host"]),
+        (i.scored, "scored", ["anomaly", "anomaly_score_norm", "severity"]), (i.documents, "documents", ["doc_id", "timestamp"]),
+        (vocabulary, "vocabulary", ["term", "idf"]), (_daily_versions(i.scored).filter("ok"), "accepted versions", ["tag", "path"]),
+    ]
+    found = [checks.readiness(*one) for one in asked]
+    return reduce(DataFrame.unionByName, found)
+
+
+# Tables written and read back ------------------------------------------------
+
+@query
+def scored_batches(i: Inputs) -> DataFrame:
+    """Scored rows appended in two batches, the second one written twice."""
+    path, late = _scratch(i, "batches"), F.coalesce(F.col("ts") >= F.lit(i.at(0.5)), F.lit(False))
+    rows = i.scored.drop("day")
+    for batch, part in ((0, ~late), (1, late), (1, late)):
+        tables.write_batch(rows.filter(part), path, batch)
+    return i.spark.read.parquet(path).select("event_id", "batch_id", "anomaly_score")
+
+
+@query
+def anomaly_table(i: Inputs) -> DataFrame:
+    path = _scratch(i, "anomalies")
+    tables.write_anomalies(i.scored, path)
+    return _stamp(i.spark.read.parquet(path)).select("event_id", "stamp", "message", "anomaly", "severity")
+
+
+@query
+def log_table_csv(i: Inputs) -> DataFrame:
+    """The log table through CSV and back, quotes and all."""
+    path = _scratch(i, "logs-csv")
+    tables.write_logs(i.logs.select(*[f.name for f in schemas.LOG.fields]), path, "csv")
+    return _stamp(tables.read_logs(i.spark, path, "csv")).select("stamp", "message", "host", "log_file")
+
+
+@query
+def vocabulary_saved(i: Inputs) -> DataFrame:
+    """Weights by a vocabulary that was saved and loaded."""
+    path = _scratch(i, "vocabulary")
+    tfidf.fit_vocabulary(i.texts("documents"), "text").write.parquet(path)
+    return tfidf.Vectorizer.load(i.spark, path).weights(i.texts("documents"), "doc_id", "text")
+
+
+@query
+def feature_matrix(i: Inputs) -> DataFrame:
+    """Every non-zero place of the rows a model is given."""
+    rows = features.basic_features(i.logs)
+    vectorizer = i._once("log-vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(rows)))
+    rows = detector.feature_matrix(rows, vectorizer)
+    return rows.select("event_id", F.posexplode("features").alias("place", "value")).filter("value <> 0")
+
+
+@query
+def frequency_of_repeats(i: Inputs) -> DataFrame:
+    """How often each text of the conversations occurs, looked up row by row."""
+    rows = i.table("conversations")
+    return grouping.attach_count(rows, "text", "n").select("conv_id", "turn", "n")
+
+
+@query
+def no_trend(i: Inputs) -> DataFrame:
+    """What is said of a table without anomalies."""
+    return trends.insights(i.scored.filter("anomaly = 0"))
 
 
 # Streams -------------------------------------------------------------------
 
 def _source_stream(i: Inputs) -> DataFrame:
-    (path,) = {f.rsplit("/", 1)[0] for f in i.sources.inputFiles()}
-    return pipeline.read_stream(i.spark, path, i.sources.schema, "parquet")
+    """The source documents in CHUNKS batches."""
+    return pipeline.read_stream(i.spark, i.chunks, i.sources.drop("day").schema, "parquet", files_per_batch=2)
+
+
+def _changes(i: Inputs, counts: DataFrame, name: str) -> DataFrame:
+    out = _scratch(i, name)
+    windows.write_changes(counts, f"{out}/counts", f"{out}/checkpoint", availableNow=True).awaitTermination()
+    return i.spark.read.parquet(f"{out}/counts")
 
 
 @query
 def stream_replay(i: Inputs) -> DataFrame:
     """Counts per cycle from a stream of the source documents."""
-    out = _scratch(i, "stream-replay")
-    counts = windows.tumbling_counts(clean.flatten(_source_stream(i)), delay="31 days")
-    windows.write_changes(counts, f"{out}/counts", f"{out}/checkpoint", availableNow=True).awaitTermination()
-    return windows.latest(i.spark.read.parquet(f"{out}/counts"), "cycle")
+    counts = windows.tumbling_counts(clean.flatten(_source_stream(i)), delay="1 day")
+    return windows.latest(_changes(i, counts, "stream-replay"), "cycle")
+
+
+@query
+def stream_sliding(i: Inputs) -> DataFrame:
+    """The live view's windows from a stream's panes."""
+    panes = windows.latest(_changes(i, windows.live_panes(clean.flatten(_source_stream(i)), "1 day"), "stream-panes"), "pane")
+    return security.windows_of_panes(panes)
+
+
+@query
+def stream_late(i: Inputs) -> DataFrame:
+    """Batches whose first one comes again at the end, too late to count.
+
+    A batch is filtered by the mark known when the one before it began, so two
+    others lie between.
+    """
+    path, ts, x, y = _scratch(i, "late-files"), F.col("ts"), F.lit(i.at(1 / 3)), F.lit(i.at(2 / 3))
+    for part in (ts < x, (ts >= x) & (ts < y), ts >= y, ts < x):
+        i.sources.drop("day").filter(part).repartition(2, "event_id").write.mode("append").parquet(path)
+    stream = pipeline.read_stream(i.spark, path, i.sources.drop("day").schema, "parquet", files_per_batch=2)
+    counts = windows.tumbling_counts(stream, delay="0 seconds")
+    return windows.latest(_changes(i, counts, "stream-late"), "cycle")
+
+
+@query
+def stream_repeats(i: Inputs) -> DataFrame:
+    """Repeated documents dropped across batches."""
+    out = _scratch(i, "stream-repeats")
+    rows = windows.drop_repeats(clean.flatten(_source_stream(i)).filter("ts IS NOT NULL"), "1 day")
+    _stamp(rows).select("stamp", "message").writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(
+        availableNow=True).start(f"{out}/rows", format="parquet").awaitTermination()
+    return i.spark.read.parquet(f"{out}/rows").select("stamp", "message")
+
+
+def _monitored(i: Inputs, live: bool = False) -> str:
+    """The folder that the monitoring loop leaves, with the stand-in model, run once per path."""
+
+    def build() -> str:
+        out = _scratch(i, "monitored")
+        model = i.stand_in(live)
+        pipeline.start_pipeline(_source_stream(i), model, out, f"{out}/checkpoint", live, availableNow=True).awaitTermination()
+        return out
+
+    return i._once(f"monitored-{live}", build)
+
+
+@query
+def stream_upsert(i: Inputs) -> DataFrame:
+    """Documents after all batches: those of one run over everything."""
+    return i.spark.read.parquet(f"{_monitored(i)}/documents").drop("day")
+
+
+@query
+def stream_alerts(i: Inputs) -> DataFrame:
+    """Alerts of all batches; the cooldown carries over from one to the next."""
+    return i.spark.read.parquet(f"{_monitored(i)}/alerts").select("severity", "second", "doc_id")
+
+
+@query
+def stream_live_top(i: Inputs) -> DataFrame:
+    """The live path's five highest scores of each batch."""
+    return i.spark.read.parquet(f"{_monitored(i, live=True)}/top").select("batch_id", "rank", "doc_id", "severity")
 
 
 @query
 def stream_monitor(i: Inputs) -> DataFrame:
     """The whole monitoring loop over a stream; the documents it leaves."""
     out = _scratch(i, "stream-monitor")
-    pipeline.start_pipeline(_source_stream(i), i.model, out, f"{out}/checkpoint", availableNow=True).awaitTermination()
+    model = i.model.with_bounds(i.logs)
+    pipeline.start_pipeline(_source_stream(i), model, out, f"{out}/checkpoint", availableNow=True).awaitTermination()
     return i.spark.read.parquet(f"{out}/documents").drop("day")
 
 

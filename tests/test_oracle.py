@@ -4,10 +4,12 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as contract
+from emberlog.plans import oracle, registered
 
 FOLDER = "/root/testdata/sf0.01"
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+# The training-data queries are tested with their package, over the same tables.
+QUERIES = registered.queries()
+ORACLES = oracle.oracle_sql()
 # No SQL equivalent; their properties are tested in test_models, test_streaming.
 ROWS_ONLY = {"iforest_scores", "iforest_embeddings", "cluster_summaries", "stream_monitor"}
 
@@ -20,6 +22,7 @@ def con():
 def test_every_query_has_a_twin():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert not set(ORACLES) - set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
