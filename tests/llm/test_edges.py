@@ -1,0 +1,352 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing column names."""
+
+import hashlib
+import io
+import random
+from itertools import combinations
+
+import brute
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from emberlog.llm import decontaminate, language, lines, minhash, packing, phrases, scoring, sharding, tokens, warc
+from emberlog.llm.common import components
+from emberlog.session import shared_dir, stage
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = ["alder", "birch", "cedar", "dogwood", "elm", "fir", "gorse", "hazel", "ivy", "juniper", "larch", "maple", "oak", "pine"]
+
+
+def prose(seed, n):
+    pick = random.Random(seed)
+    return " ".join(pick.choice(WORDS) + str(pick.randrange(40)) for _ in range(n))
+
+
+LONG = prose(1, 30_000)
+DIRTY = [
+    (1, None, None, None, None), (None, prose(2, 60), "en", None, 5), (2, "", "en", "a", 0), (3, "   \n\t ", "de", "a", 6),
+    (4, prose(3, 60), "en", "a", 1), (4, prose(3, 60), "en", "a", 1), (5, prose(3, 60), "en", "b", 1), (6, LONG, "en", "b", 1),
+    (7, "x", "de", "b", 1), (None, None, None, None, None), (8, prose(4, 30) + "\n\n" + prose(4, 30), "en", "a", 1),
+    (9, "ÄÖ é 😀 ende", "de", "c", 1), (None, prose(2, 60), "en", None, 5),
+]
+
+
+@pytest.fixture(scope="module")
+def dirty(spark):
+    return stage(spark.createDataFrame(DIRTY, DOCS).repartition(3), "dirty")
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def clashing(df):
+    """Extra columns with names the operators use themselves."""
+    for name in ("id", "key", "part", "row", "size", "h", "cls", "shard", "slot", "n_tokens", "score", "_key", "_gone", "_part",
+                 "fingerprint", "lang_pred", "n_words", "component_id", "kept", "dropped_lines", "_prediction"):
+        df = df.withColumn(name, F.lit("mine"))
+    return df
+
+
+OPERATORS = {
+    "minhash": minhash.near_duplicates,
+    "sharding": lambda d: sharding.shard_by_bytes(d, 3),
+    "tokens": lambda d: tokens.context_table(tokens.histogram(tokens.with_lengths(d))),
+    "language": lambda d: language.predict(d, language.fit(d)),
+    "scoring": lambda d: scoring.score(d, scoring.train(d, scoring.vocabulary(d)), scoring.vocabulary(d)),
+    "packing": packing.pack,
+    "lines": lines.deduplicate,
+    "phrases": phrases.compare_with_next,
+    "fingerprints": phrases.fingerprints,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(nothing, name):
+    assert OPERATORS[name](nothing).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n != "tokens"])
+def test_dirty_rows_with_clashing_names(dirty, name):
+    found = OPERATORS[name](clashing(dirty))
+    rows = found.collect()
+    assert len(rows) >= len(DIRTY) and (name == "packing" or len(rows) == len(DIRTY))
+
+
+def test_minhash_dirty(dirty):
+    found = [tuple(r) for r in minhash.near_duplicates(dirty).collect()]
+    by_id = {r[0]: r[1:] for r in found if r[0] is not None}
+    for i in (1, 2, 3):
+        assert by_id[i] == (0, i, True)
+    assert by_id[4][1:] == (4, True) and by_id[5][1:] == (4, False)
+    assert sorted((r for r in found if r[0] is None), key=str) == [(None, 0, None, True), (None, 56, None, True), (None, 56, None, True)]
+
+
+def test_minhash_links_of_a_family(spark):
+    """Copies with few and many edits, a hub, and texts that share a long passage."""
+    pick, passage, rows = random.Random(9), prose(50, 60).split(), []
+    for family in range(6):
+        base = prose(100 + family, 150).split()
+        for _ in range(40):
+            words = list(base)
+            for _ in range(pick.randrange(0, 9)):
+                words[pick.randrange(len(words))] = f"new{pick.randrange(10 ** 9)}"
+            rows.append((pick.randrange(10 ** 6) * 1000 + len(rows), " ".join(words)))
+    rows += [(10 ** 10 + k, " ".join(passage + prose(900 + k, 40).split())) for k in range(80)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.groups(rows, 5, 80)
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (7, 3), (9, 8), (5, 5), (10, 11), (11, 12), (12, 10), (None, 4)] + [(k, k + 1) for k in range(100, 160)]
+    found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert found == {**dict.fromkeys([1, 2, 3, 7], 1), 8: 8, 9: 8, 10: 10, 11: 10, 12: 10, **dict.fromkeys(range(100, 161), 100)}
+
+
+def test_sharding_dirty(dirty):
+    found = sharding.shard_by_bytes(dirty, 3).orderBy("shard", "slot").collect()
+    ids = [r.doc_id for r in found]
+    assert ids[:3] == [None] * 3 and ids[3:] == sorted(i for i, *_ in DIRTY if i is not None)
+    assert [(r.size, r.text_crc32) for r in found if r.doc_id in (1, 2)] == [(1, None), (1, 0)]
+    for shard in range(3):
+        assert [r.slot for r in found if r.shard == shard] == list(range(sum(r.shard == shard for r in found)))
+
+
+def test_sharding_of_repeated_rows_is_balanced(spark):
+    rows = spark.range(900).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("abc").alias("text"))
+    sizes = {r.shard: r["count"] for r in sharding.shard_by_bytes(rows, 9).groupBy("shard").count().collect()}
+    assert sizes == dict.fromkeys(range(9), 100)
+
+
+def test_written_shards_read_back(spark, dirty):
+    path = f"{shared_dir(spark)}/shards-{random.randrange(10 ** 9)}"
+    sharding.write_shards(sharding.shard_by_bytes(dirty, 3), path)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, (r.text for r in back.collect()))) == sorted(str(r[1]) for r in DIRTY)
+
+
+def test_seeds_lose_no_window():
+    """Every window with the substitutions it may have is hit by a mask."""
+    for length, errors in ((13, 2), (12, 1), (11, 1), (10, 0), (9, 0)):
+        for wrong in combinations(range(length), errors):
+            assert any(not set(wrong) & {at + i for i in mask} for mask in decontaminate.MASKS for at in range(length - max(mask)))
+
+
+def test_decontamination_dirty(spark, dirty):
+    items = spark.createDataFrame(
+        [(1, prose(3, 20)), (2, None), (3, "!!"), (None, prose(3, 60)), (4, "ÄÖ é ende"), (5, "x"), (6, " ".join(LONG.split()[500:560])),
+         (7, "completely absent words here")], "item_id long, text string").withColumn("id", F.lit(1)).withColumn("start", F.lit(1))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(clashing(dirty), items).collect()}
+    assert found == {(4, 1), (5, 1), (9, 4), (7, 5), (6, 6)}
+    assert decontaminate.contaminated(dirty.limit(0), items).count() == decontaminate.contaminated(dirty, items.limit(0)).count() == 0
+
+
+def test_decontamination_tolerates_substitutions(spark, monkeypatch):
+    item = [f"w{k}" for k in range(30)]
+    def edited(*at):
+        return " ".join("zz" + str(k) if k in at else w for k, w in enumerate(item[:13]))
+    rows = [(0, edited()), (1, edited(4)), (2, edited(0, 12)), (3, edited(3, 7)), (4, edited(2, 6, 10)), (5, " ".join(item[5:17]))]
+    docs = spark.createDataFrame([(i, "before it " + t + " after") for i, t in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for bound in (10 ** 6, 0):  # broadcast and joined
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", bound)
+        found = {r.doc_id: r.matched for r in decontaminate.contaminated(docs, bench).collect()}
+        assert found == {0: 13, 1: 12, 2: 11, 3: 11, 5: 12}
+
+
+def test_token_table_dirty(spark, dirty):
+    table = tokens.context_table(tokens.histogram(tokens.with_lengths(dirty)))
+    rows = table.orderBy("context_limit").collect()
+    assert rows[0].context_limit == 0 and rows[0].documents == 3 and rows[-1].over == 0
+    assert rows[-1].within == len(DIRTY) and rows[-1].tokens_truncated == rows[-1].tokens
+    shares = {r.share: r.length for r in tokens.quantiles(table, [0.2, 1.0]).collect()}
+    assert shares[0.2] == 0 and shares[1.0] == rows[-1].context_limit
+
+
+def test_warc_round_trip(spark):
+    big, other = "b" * 1500 + "ü", "c" * 2000
+    rows = [(1, "http://a/1", big), (2, "http://a/2\r\nX: y", big), (9, None, big), (9, None, big), (3, "u", "small"), (4, "u", "small"),
+            (5, None, None), (6, "", ""), (None, "n", other), (None, "n", other), (None, "m", big), (7, "l", prose(1, 60_000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("mine")).repartition(3)
+    place = f"{shared_dir(spark)}/warc-{random.randrange(10 ** 9)}"
+    index = stage(warc.write(warc.plan(pages), place, frame_bytes=3000, bundle_bytes=5000), "index")
+    back = warc.read(spark, place, index).collect()
+    key = lambda r: tuple(map(str, r))
+    body = lambda t: (t or "").encode()
+    expected = []
+    for page, _, html in rows:
+        latest = 9 if html == big else None
+        refers = latest if latest and page != latest else None
+        expected.append((page, len(body(html)), hashlib.sha1(body(html)).hexdigest(), "revisit" if refers else "response", refers,
+                         None if refers else body(html)))
+    found = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in back]
+    assert sorted(found, key=key) == sorted(expected, key=key)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read(spark, place, stage(warc.write(warc.plan(empty), place), "index")).count() == 0
+
+
+def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path):
+    bundle = warc.Bundle(f"file://{tmp_path}", 3)
+    plain = []
+    for k in range(3):
+        data = f"record {k} ".encode() * 50
+        bundle.add(data)
+        bundle.end_frame()
+        plain.append(data)
+    bundle.close()
+    (path,) = tmp_path.iterdir()
+    with open(path, "rb") as file:
+        table = warc.read_seek_table(file)
+        whole = zstandard.ZstdDecompressor().stream_reader(file.seek(0) or file, read_across_frames=True).read()
+        assert whole == b"".join(plain)
+        for (at, size, length), data in zip(table, plain):
+            file.seek(at)
+            assert zstandard.ZstdDecompressor().decompress(file.read(size), max_output_size=length) == data
+    with pytest.raises(ValueError):
+        warc.read_seek_table(io.BytesIO(b"no table at all"))
+
+
+def test_language_dirty(spark, dirty):
+    rows = [(k, "der und die mit eine nicht " * 20, "de") for k in range(40)] + [(k, "the and with from this not " * 20, "en") for k in range(40, 80)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    told = {r.doc_id: (r.lang_pred, r.accepted) for r in language.predict(dirty, model).collect()}
+    assert told[1] == told[2] == told[3] == ("und", False)
+    new = spark.createDataFrame([(1, "und die mit der"), (2, "THIS from the and"), (3, "123 !"), (4, "qqq zzz vvv")], "doc_id long, text string")
+    told = {r.doc_id: r.lang_pred for r in language.predict(new, model).collect()}
+    assert (told[1], told[2], told[3]) == ("de", "en", "und")
+    assert language.predict(new, language.LanguageModel({})).select("lang_pred").distinct().collect() == [("und",)]
+
+
+def test_scoring_learns_order(spark):
+    pick = random.Random(3)
+    rows = [(k, " ".join(w for _ in range(120) for w in pick.choice([("red", "apple", "tree"), ("blue", "sea", "wave")]))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    known = scoring.vocabulary(docs)
+    model = scoring.train(docs, known)
+    mixed = [(k, " ".join(pick.sample(t.split(), 360))) for k, t in rows[:20]]
+    score = lambda r: spark.createDataFrame(r, "doc_id long, text string").transform(
+        lambda d: scoring.score(d, model, known)).agg(F.avg("mean_log_likelihood")).first()[0]
+    assert score(rows[:20]) > score(mixed) + 0.5
+
+
+def test_scoring_slopes():
+    """The learning step goes down the slope of the loss, measured by small differences."""
+    rng = np.random.default_rng(0)
+    flat = scoring.start().astype(np.float64)
+    ids = rng.integers(0, scoring.WORDS, 64)
+    around = scoring.windows(ids)
+    loss = lambda f: -scoring.log_probabilities(scoring.unpack(f), around, ids).mean()
+    after, seen = flat.copy(), np.zeros_like(flat)
+    scoring.learn(scoring.unpack(after), scoring.unpack(seen), around, ids)
+    slope = np.sqrt(seen) * np.sign(flat - after)
+    for k in rng.choice(np.flatnonzero(np.abs(slope) > 1e-4), 25, replace=False):
+        step = np.zeros_like(flat)
+        step[k] = 1e-4
+        assert (loss(flat + step) - loss(flat - step)) / 2e-4 == pytest.approx(slope[k], rel=0.05, abs=1e-5)
+
+
+def test_scoring_dirty(dirty):
+    known = scoring.vocabulary(dirty)
+    found = scoring.score(dirty, scoring.train(dirty, known), known).collect()
+    blank = [r for r in found if not (r.text or "").strip()]
+    assert all((r.n_words, r.pseudo_log_likelihood, r.mean_log_likelihood) == (0, 0.0, None) for r in blank) and len(blank) == 4
+
+
+def test_packing_dirty(dirty):
+    found = packing.pack(dirty, capacities=(16, 64, 256)).toPandas()
+    assert found.n_tokens.sum() == sum(len((t or "").encode().split()) + 1 for _, t, *_ in DIRTY)
+    assert found.groupby("bin").n_tokens.sum().max() <= 256 and found.doc_id.isna().sum() == 3
+    assert (found.capacity >= found.bin_tokens).all() and set(found.capacity) <= {16, 64, 256}
+
+
+def test_packed_texts(spark):
+    docs = spark.createDataFrame([(k, prose(k, k * 13)) for k in range(40)], "doc_id long, text string")
+    packed = stage(packing.pack(docs, capacities=(32, 128)), "packed")
+    said = " ".join(r.text for r in packing.sequences(docs, packed).collect()).split()
+    assert sorted(said) == sorted(w for r in docs.collect() for w in [*r.text.split(), "<end>"])
+    sizes = {r.bin: len(r.text.split()) for r in packing.sequences(docs, packed).collect()}
+    assert sizes == {r.bin: r.bin_tokens for r in packed.select("bin", "bin_tokens").distinct().collect()}
+
+
+def test_best_fit_is_a_packing():
+    pick = random.Random(5)
+    for _ in range(30):
+        lengths = sorted((pick.randrange(1, 65) for _ in range(200)), reverse=True)
+        placed, held = packing.cheapest(lengths, (8, 32, 64), 4)
+        assert all(held[b] == sum(n for n, at in zip(lengths, placed) if at == b) <= 64 for b in range(len(held)))
+        one_each = sum(packing.fitting(n, (8, 32, 64)) + 4 for n in lengths)
+        assert sum(packing.fitting(t, (8, 32, 64)) + 4 for t in held) < one_each
+
+
+def test_lines_dirty(spark):
+    a, b = "one two three four five six seven eight", "one two three four five six seven"
+    rows = [
+        (2, a), (1, f"{b}\n{a} nine"), (3, "one two XX four five six seven eight"), (4, "one two XX four YY six seven eight"),
+        (5, None), (None, a), (6, ""), (7, " \n \n"), (8, b), (9, "ONE two three four five six seven eight nine"), (9, b), (10, a + "\n" + a),
+        (11, "two one three four five six seven eight"), (12, LONG), (13, " ".join(LONG.split()[:-1])), (14, "short"), (15, "shorT\nshort"),
+    ]
+    found = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).repartition(3)).collect()
+    # Both texts of document 9 are copies of earlier lines, in whichever order they come.
+    expected = brute.dropped_lines([r for r in rows if r[0] not in (None, 9)], 8) | {9: [0], None: [0]}
+    assert len(found) == len(rows) and all(r.dropped_lines == expected[r.doc_id] for r in found)
+    assert {r.doc_id: r.text for r in found if r.doc_id in (1, 5, 7)} == {1: f"{b}\n{a} nine", 5: None, 7: " \n \n"}
+
+
+def test_one_edit():
+    pick = random.Random(1)
+    for _ in range(4000):
+        a = [pick.randrange(3) for _ in range(pick.randrange(6))]
+        b = [pick.randrange(3) for _ in range(pick.randrange(6))]
+        assert lines.one_edit(a, b) == (brute.edits(a, b) <= 1)
+
+
+def test_line_dedup_of_random_lines(spark):
+    pick = random.Random(2)
+    rows = []
+    for i in range(150):
+        made = []
+        for _ in range(pick.randrange(1, 5)):
+            words = [pick.choice("abcd") for _ in range(pick.randrange(6, 12))] if pick.random() < 0.8 else prose(pick.randrange(4), 9).split()
+            made.append(" ".join(words))
+        rows.append((i, "\n".join(made)))
+    found = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.dropped_lines for r in found} == brute.dropped_lines(rows, lines.LEAST_WORDS)
+
+
+def test_phrases_dirty(spark, dirty):
+    found = phrases.compare_with_next(dirty).collect()
+    by_id = {}
+    for r in found:
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert by_id[4][0].fingerprint == by_id[4][1].fingerprint == by_id[5][0].fingerprint
+    assert by_id[2][0].fingerprint == "" and by_id[2][0].near_next == 1.0 and by_id[2][0].n_chars == 0
+    assert by_id[9][0].n_chars == len("ÄÖ é 😀 ende")
+    assert {r.edited_sha256 for r in by_id[2]} == {hashlib.sha256(b"").hexdigest()}
+    one = phrases.compare_with_next(dirty.filter("doc_id = 6")).collect()
+    assert len(one) == 1 and one[0].near_next == 1.0
+    assert one[0].edited_sha256 == hashlib.sha256(phrases.edited(LONG, LONG).encode()).hexdigest()
+
+
+def test_phrase_order_over_many_parts(spark):
+    rows = [(i * 7 % 1009, prose(i, 20)) for i in range(1009)]
+    found = phrases.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    expected = brute.edited(rows)
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in found} == {i: e[:2] for i, e in expected.items()}
+
+
+def test_pipeline_on_dirty_rows(spark, dirty):
+    docs = dirty
+    for name, apply in corpus_pipeline.STAGES[1:4]:
+        after = stage(apply(spark, docs, "/root/testdata/sf0.001"), f"dirty_{name}")
+        assert after.columns == dirty.columns
+        docs = after
+    rows = docs.collect()
+    assert {r.doc_id for r in rows if r.doc_id is not None} == {1, 2, 3, 4, 6, 7, 8, 9}
+    assert sum(r.doc_id == 4 for r in rows) == 1
+    for name, apply in corpus_pipeline.STAGES:
+        docs = stage(apply(spark, dirty.limit(0) if name == "language_id" else docs, "/root/testdata/sf0.001"), f"none_{name}")
+        assert docs.count() == 0
