@@ -9,9 +9,9 @@ The two masks together hit every such window, wherever its two substitutions
 are, so the seeds lose nothing that the verification would have kept.
 
 Everything is DataFrame functions. A document's tokens are 64-bit hashes in an
-array that stays in its row; positions are exploded and met with the seeds in
-one stage, without a shuffle, while the seeds are few enough to be sent to
-every task. More seeds are met by a shuffled join of bare keys.
+array; positions are exploded, met with the seeds and cut down to what lies
+under the item in one stage, without a shuffle, while the seeds are few enough
+to be sent to every task. More seeds are met by a shuffled join of bare keys.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from emberlog.session import stage
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 SHORTEST = 9
 WINDOW = 13
-# Seeds up to this number (some 100 bytes each) are broadcast.
+# Seeds up to this number (some 60 bytes each) are broadcast, and the items they come from.
 BROADCAST_SEEDS = 200_000
 
 
@@ -58,29 +58,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = stage(items.filter(F.col("item").isNotNull() & (F.size("item_tokens") > 0)).distinct(), "items")
     seeds, lengths = _seeds(items)
     rows = docs.select(col(id_col).alias("id"), tokens(col(text_col)).alias("toks")).filter(F.size("toks") > 0)
-    if seeds.count() <= BROADCAST_SEEDS:
-        hits = _positions(rows, lengths).join(F.broadcast(seeds), "seed")
-        found = hits.select("id", "item", (F.col("at") - F.col("item_at")).alias("start"), "toks", "item_tokens")
-        pairs = _verified(found)
+    few = seeds.count() <= BROADCAST_SEEDS
+    start = (F.col("at") - F.col("item_at")).alias("start")
+    if few:
+        found = _positions(rows, lengths).join(F.broadcast(seeds), "seed").select("id", "item", "n", start, "toks")
     else:
-        bare = _positions(rows, lengths).select("id", "at", "seed").join(seeds.select("seed", "item", "item_at"), "seed")
-        places = bare.select("id", "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-        found = places.join(items, "item").join(rows.toDF("row_id", "toks"), F.col("id").eqNullSafe(F.col("row_id")))
-        pairs = _verified(found.drop("row_id"))
+        bare = _positions(rows, lengths).select("id", "at", "seed").join(seeds, "seed")
+        places = bare.select("id", "item", "n", start).distinct()
+        found = places.join(rows.toDF("row_id", "toks"), F.col("id").eqNullSafe(F.col("row_id")))
+    # What the item lies over, cut out at once: a hit must not carry the document.
+    lead = F.greatest(-F.col("start"), F.lit(0))
+    over = F.slice("toks", F.greatest("start", F.lit(0)) + 1, F.col("n") - lead)
+    found = found.select("id", "item", "start", lead.alias("lead"), over.alias("over"))
+    pairs = _verified(found.join(F.broadcast(items) if few else items, "item"))
     best = pairs.groupBy("id", "item").agg(
         F.max("matched").alias("matched"), F.max("aligned").alias("aligned"), F.min("start").alias("first_word"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "aligned", "first_word")
 
 
 def _seeds(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """``seed, item, item_at, item_tokens``, and the lengths of items below the masks'."""
+    """``seed, item, item_at, n`` (tokens of the item), and the lengths of items below the masks'."""
     short = items.filter(F.size("item_tokens") < SHORTEST)
     lengths = sorted(r[0] for r in short.select(F.size("item_tokens")).distinct().collect())  # at most eight
     where = _positions(items.withColumnRenamed("item_tokens", "toks"), lengths)
     # A short item has the one seed that covers it, a longer one those of the masks.
     whole = F.col("span") == F.size("toks")
     where = where.filter(F.when(F.size("toks") < SHORTEST, whole & (F.col("kind") == "whole")).otherwise(F.col("kind") == "mask"))
-    return where.select("seed", "item", F.col("at").alias("item_at"), F.col("toks").alias("item_tokens")), lengths
+    return where.select("seed", "item", F.col("at").alias("item_at"), F.size("toks").alias("n")), lengths
 
 
 def _positions(rows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -101,7 +105,7 @@ def _verified(found: DataFrame) -> DataFrame:
     n = F.size("item_tokens")
     window = F.least(n, F.lit(WINDOW))
     same = F.transform(F.col("item_tokens"), lambda t, k: F.when(
-        (F.col("start") + k >= 0) & (t == F.get("toks", F.col("start") + k)), 1).otherwise(0))
+        t == F.get("over", k - F.col("lead")), 1).otherwise(0))
     agreeing = found.withColumn("same", same)
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     sums = F.transform(F.sequence(F.lit(1), n - window + 1), lambda s: total(F.slice("same", s, window)))
