@@ -30,7 +30,7 @@ CLASSES, PER_CLASS, WIDTH, SIDE = 32, 32, 16, 2
 WORDS = CLASSES * PER_CLASS
 # Words outside the vocabulary share so many places, by hash.
 RARE = 64
-BATCH = 2048
+BATCH = 4096
 RATE = 0.15
 # Parts of the weights that are averaged on their own.
 SLICES = 16
