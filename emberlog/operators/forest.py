@@ -2,18 +2,21 @@
 
 Fitting draws a bounded sub-sample per tree and builds the trees in parallel,
 one group per tree. Scoring is a walk over the broadcast node table, batch by
-batch. Sampling, splits and scores depend on row keys and the seed only, not on
-partitioning.
+batch. Every random choice is a number made from the seed, the tree and what is
+chosen, so samples, splits and scores do not depend on partitioning, and a plain
+SQL engine can make the same ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,10 +24,21 @@ from pyspark.sql import functions as F
 from emberlog import fixed_values as fixed
 from emberlog.operators.quantiles import exact_percentile
 
-NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
+NODES = "tree int, node int, feature int, threshold double, size int, depth int"
 # Room above the wanted sample size, so that chance cannot leave a tree short.
 SPARE = 2.0
-HALF = 2.0**63
+# Features count to so many places, whatever computed them.
+PLACES = 6
+
+
+def number(text: str) -> float:
+    """A number in 0..1 that stands for a text: the first 52 bits of its MD5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+
+
+def _number(*parts: Column) -> Column:
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / 2**52
 
 
 def average_depth(n: np.ndarray | int) -> np.ndarray:
@@ -35,61 +49,45 @@ def average_depth(n: np.ndarray | int) -> np.ndarray:
     return np.where(n > 2, deep, np.where(n == 2, 1.0, 0.0))
 
 
-def _share(key: Column, *salt: Column) -> Column:
-    """A fixed pseudo-random number in 0..1 for a key."""
-    return F.xxhash64(key, *salt) / (2 * HALF) + 0.5
+def draw(df: DataFrame, key: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """``sample`` distinct keys for each tree, as ``(tree, key)``.
 
-
-def draw(df: DataFrame, key: str, features: str, trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` distinct rows for each tree, as ``(tree, key, features)``.
-
-    Large inputs are first thinned by a hash of the row key, a filter that
-    needs no shuffle. Each tree then takes rows by a second hash; the little
-    that is left is ranked per tree. Keys have to be unique.
+    A tree takes the rows with the smallest numbers of seed, tree and key among
+    those that a number of seed and key lets through; a row in so many that all
+    trees find enough, which is checked. Keys have to be unique.
     """
     n = df.count()
     if n == 0:
         raise ValueError("cannot fit a forest on no rows")
     sample = min(sample, n)
-    pool_share = min(1.0, SPARE * trees * sample / n)
-    pool = df.select(F.col(key).alias("key"), F.col(features).alias("features"))
-    if pool_share < 1.0:
-        pool = pool.filter(_share(F.col("key"), F.lit(seed)) < pool_share)
-    kept = min(1.0, max(SPARE * sample, sample + 64) / (pool_share * n))
+    share = min(1.0, SPARE * trees * sample / n)
+    pool = df.select(F.col(key).alias("key")).filter(_number(F.lit(seed), F.col("key")) < share)
     numbered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = F.xxhash64("key", "tree", F.lit(seed))
-    taken = numbered.filter((order / (2 * HALF) + 0.5) < kept) if kept < 1.0 else numbered
-    rank = F.row_number().over(W.partitionBy("tree").orderBy(order, "key"))
-    return taken.withColumn("_rank", rank).filter(F.col("_rank") <= sample).drop("_rank")
+    kept = min(1.0, max(SPARE * sample, sample + 64) / (share * n))
+    ranked = numbered.withColumn("_at", _number(F.lit(seed), F.col("tree"), F.col("key"))).filter(F.col("_at") < kept)
+    rank = F.row_number().over(W.partitionBy("tree").orderBy("_at", "key"))
+    return ranked.withColumn("_rank", rank).filter(F.col("_rank") <= sample).select("tree", "key")
 
 
 def _grow(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Build one tree from its rows."""
+    """Build one tree from its rows. Nodes are numbered as in a heap, from 1."""
     tree = int(pdf["tree"].iloc[0])
-    rows = np.stack(pdf.sort_values("key")["features"].to_numpy())
-    rng = np.random.default_rng([seed, tree])
+    rows = np.stack(pdf["features"].to_numpy())
     limit = math.ceil(math.log2(max(len(rows), 2)))
-    nodes: list[list] = []
-    todo = [(np.arange(len(rows)), 0, -1, 0)]
+    nodes, todo = [], [(1, np.arange(len(rows)), 0)]
     while todo:
-        members, depth, parent, side = todo.pop()
-        me = len(nodes)
-        if parent >= 0:
-            nodes[parent][side] = me
-        nodes.append([tree, me, -1, 0.0, -1, -1, len(members), depth])
-        if depth >= limit or len(members) < 2:
-            continue
+        node, members, depth = todo.pop()
         low, high = rows[members].min(axis=0), rows[members].max(axis=0)
         varying = np.flatnonzero(high > low)
-        if len(varying) == 0:
+        if depth >= limit or len(members) < 2 or len(varying) == 0:
+            nodes.append((tree, node, -1, 0.0, len(members), depth))
             continue
-        feature = int(rng.choice(varying))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        goes_left = rows[members, feature] <= cut
-        nodes[me][2:4] = [feature, cut]
-        todo.append((members[~goes_left], depth + 1, me, 5))
-        todo.append((members[goes_left], depth + 1, me, 4))
-    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+        feature = min(varying, key=lambda f: (number(f"{seed}|{tree}|{node}|{f}"), f))
+        cut = low[feature] + number(f"{seed}|{tree}|{node}|cut") * (high[feature] - low[feature])
+        nodes.append((tree, node, int(feature), float(cut), len(members), depth))
+        left = rows[members, feature] <= cut
+        todo += [(2 * node, members[left], depth + 1), (2 * node + 1, members[~left], depth + 1)]
+    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "size", "depth"])
 
 
 def grow(sampled: DataFrame, seed: int) -> DataFrame:
@@ -125,14 +123,17 @@ class Forest:
         """The walk as plain arrays. Leaves point at themselves, so that every
         walk can take the same number of steps."""
         n = self.nodes
-        starts = np.searchsorted(n["tree"].to_numpy(), np.arange(self.trees))
-        base, here, leaf = starts[n["tree"].to_numpy()], np.arange(len(n)), n["feature"].to_numpy() < 0
+        tree, node, leaf = n["tree"].to_numpy(), n["node"].to_numpy(), n["feature"].to_numpy() < 0
+        # Rows are in order of (tree, node), which is how a child is found.
+        order, wide = tree.astype(np.int64) << 32 | node, np.int64(1) << 32
+        child = lambda side: np.searchsorted(order, tree * wide + 2 * node + side)
+        here = np.arange(len(n))
         return {
-            "starts": starts,
+            "starts": np.searchsorted(tree, np.arange(self.trees)),
             "column": np.where(leaf, 0, n["feature"].to_numpy()),
             "threshold": n["threshold"].to_numpy(),
-            "left": np.where(leaf, here, base + n["left"].to_numpy()),
-            "right": np.where(leaf, here, base + n["right"].to_numpy()),
+            "left": np.where(leaf, here, child(0)),
+            "right": np.where(leaf, here, child(1)),
             "length": n["depth"].to_numpy() + average_depth(n["size"].to_numpy()),
             "steps": np.asarray(n["depth"].max()),
             "scale": self.trees * average_depth(self.sample),
@@ -146,13 +147,15 @@ class Forest:
         shared = df.sparkSession.sparkContext.broadcast(self.arrays())
         offset = self.offset
 
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 if len(batch) == 0:
-                    yield pd.Series(dtype=float)
+                    yield pa.array([], pa.float64())
                     continue
-                yield pd.Series(_path_score(shared.value, np.stack(batch.to_numpy())) - offset)
+                # The lists' values lie one after the other.
+                matrix = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                yield pa.array(_path_score(shared.value, matrix.round(PLACES)) - offset)
 
         return df.withColumn(out, score(F.col(features)))
 
@@ -183,10 +186,15 @@ def fit(
     """
     from emberlog.session import stage
 
-    drawn = draw(df, key, features, trees, sample, seed)
-    nodes = grow(drawn, seed).toPandas().sort_values(["tree", "node"], ignore_index=True)
-    size = int(nodes.loc[nodes["node"] == 0, "size"].max())
-    forest = Forest(nodes, trees, size)
+    drawn = draw(df, key, trees, sample, seed)
+    # At most trees * sample keys; features are attached to them, not carried along.
+    rounded = F.transform(features, lambda x: F.round(x, PLACES)).alias("features")
+    rows = df.select(F.col(key).alias("key"), rounded)
+    nodes = grow(rows.join(F.broadcast(drawn), "key"), seed).toPandas().sort_values(["tree", "node"], ignore_index=True)
+    sizes = nodes.loc[nodes["node"] == 1, "size"]
+    if len(sizes) < trees or sizes.nunique() > 1:
+        raise ValueError(f"of {trees} trees {(sizes == sizes.max()).sum()} found their {sizes.max()} rows")
+    forest = Forest(nodes, trees, int(sizes.max()))
     scores = stage(forest.add_score(df.select(features), features, "score").select("score"), "training-scores")
     forest.offset = exact_percentile(scores, "score", contamination)
     return forest

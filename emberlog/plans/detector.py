@@ -71,11 +71,12 @@ def feature_matrix(df: DataFrame, vectorizer: tfidf.Vectorizer, profile: str = "
 def train(logs: DataFrame, profile: str = "full", **forest_options) -> Model:
     """Fit vocabulary and forest on de-duplicated logs.
 
-    The numeric features are staged, because fitting reads them three times.
+    Features are staged, because fitting reads them three times.
     """
     rows = stage(basic_features(logs, profile), "training")
     vectorizer = tfidf.Vectorizer.of(tfidf.fit_vocabulary(rows))
-    keyed = feature_matrix(rows, vectorizer, profile).withColumn("_key", F.xxhash64("@timestamp", "message"))
+    key = F.md5(F.concat_ws("|", "@timestamp", "message").cast("binary"))
+    keyed = stage(feature_matrix(rows, vectorizer, profile).select(key.alias("_key"), "features"), "training-features")
     return Model(vectorizer, forest.fit(keyed, "_key", **forest_options), profile)
 
 

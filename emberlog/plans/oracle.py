@@ -264,6 +264,55 @@ registry AS (
   FROM days)"""
 
 
+def forest(rows: str, features: str, seed: int = fixed.SEED) -> str:
+    """Tables up to ``decided(key, score)``: the forest over ``rows(key, x)``, x a list of numbers.
+
+    One table of members and one of nodes per level; every choice is the number
+    of a text, as in the operator.
+    """
+    h = lambda *parts: f"(CAST('0x' || substr(md5({' || '.join(parts)}), 1, 13) AS BIGINT) / {2**52}.0)"
+    bar = "'|'"
+    parts = [f"""
+pts AS MATERIALIZED (SELECT key, list_transform({features}, lambda v: round(v, 6)) AS x FROM {rows}),
+total AS (SELECT count(*) AS n, least(count(*), {fixed.SUBSAMPLE}) AS sample FROM pts),
+m0 AS MATERIALIZED (SELECT tree, key, 1 AS node, x FROM pts, (SELECT unnest(range({fixed.TREES})) AS tree), total
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY {h(f"'{seed}|'", 'tree', bar, 'key')}, key) <= sample)"""]
+    for d in range(9):
+        grows = d < 8
+        parts.append(f"""
+e{d} AS (SELECT tree, node, unnest(range(len(x))) AS f, unnest(x) AS v FROM m{d}),
+c{d} AS (SELECT tree, node, f, min(v) AS lo, max(v) AS hi FROM e{d} GROUP BY ALL HAVING min(v) < max(v)),
+p{d} AS (SELECT tree, node, f, lo + {h(f"'{seed}|'", 'tree', bar, 'node', "'|cut'")} * (hi - lo) AS cut FROM c{d}
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {h(f"'{seed}|'", 'tree', bar, 'node', bar, 'f')}, f) = 1),
+n{d} AS MATERIALIZED (SELECT s.tree, s.node, p.f, p.cut, s.size, {d} AS depth
+  FROM (SELECT tree, node, count(*) AS size FROM m{d} GROUP BY ALL) s
+  LEFT JOIN p{d} p ON p.tree = s.tree AND p.node = s.node AND {'s.size > 1 AND ' + str(d) + ' < ceil(log2(greatest((SELECT sample FROM total), 2)))' if grows else 'false'})""")
+        if grows:
+            parts.append(f"""
+m{d + 1} AS MATERIALIZED (SELECT tree, key, 2 * node + CASE WHEN x[f + 1] <= cut THEN 0 ELSE 1 END AS node, x
+  FROM m{d} JOIN n{d} USING (tree, node) WHERE f IS NOT NULL)""")
+    parts.append("nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(9)) + ")")
+    parts.append("w0 AS (SELECT key, x, tree, 1 AS node FROM pts, (SELECT DISTINCT tree FROM nodes))")
+    for d in range(8):
+        parts.append(f"""
+w{d + 1} AS MATERIALIZED (SELECT key, x, tree,
+  CASE WHEN f IS NULL THEN node ELSE 2 * node + CASE WHEN x[f + 1] <= cut THEN 0 ELSE 1 END END AS node FROM w{d} JOIN nodes USING (tree, node))""")
+    parts.append(f"""
+lengths AS (SELECT *, depth + CASE WHEN size > 2 THEN 2 * (ln(size - 1.0) + 0.5772156649015329) - 2 * (size - 1.0) / size
+  WHEN size = 2 THEN 1 ELSE 0 END AS length FROM nodes),
+scale AS (SELECT {fixed.TREES} * CASE WHEN sample > 2 THEN 2 * (ln(sample - 1.0) + 0.5772156649015329) - 2 * (sample - 1.0) / sample
+  WHEN sample = 2 THEN 1 ELSE 0 END AS scale FROM total),
+raw_scores AS (SELECT key, -pow(2, -(sum(length) / any_value(scale))) AS raw FROM w8 JOIN lengths USING (tree, node), scale GROUP BY key),
+decided AS (SELECT key, raw - (SELECT quantile_cont(raw, {fixed.CONTAMINATION}) FROM raw_scores) AS score FROM raw_scores),
+told AS (SELECT *, 1.0 - coalesce((score - (SELECT min(score) FROM decided))
+  / nullif((SELECT max(score) - min(score) FROM decided), 0), 0) AS norm FROM decided)""")
+    return ",".join(parts)
+
+
+TOLD = (f"{n('CASE WHEN score < 0 THEN -1 ELSE 1 END', 'anomaly')}, {r('score', 'anomaly_score')}, {r('norm', 'anomaly_score_norm')}, "
+        f"{bands('norm')} AS severity")
+
+
 def oracle_sql() -> dict[str, str]:
     full, narrow = fixed.FEATURES["full"], fixed.FEATURES["narrow"]
     features = ", ".join(r(c) if c == "uppercase_ratio" else n(c) for c in full)
@@ -501,6 +550,16 @@ UNION ALL SELECT '{name} newest', {seen}, {last}, 0""" + (f" FROM {table}" if ne
   UNION ALL
   SELECT event_id, idx + {len(full)}, w / sqrt(sum(w * w) OVER (PARTITION BY event_id))
   FROM (SELECT event_id, idx, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term))) WHERE value <> 0""", terms)
+    matrix = f"""
+matrix AS (SELECT md5(concat_ws('|', stamp, message)) AS key, event_id,
+  list_concat([{', '.join(f'CAST({c} AS DOUBLE)' for c in full)}], coalesce(weights, list_transform(range((SELECT count(*) FROM vocab)), lambda k: 0.0))) AS x
+FROM featured LEFT JOIN (
+  SELECT event_id, list(coalesce(w, 0.0) ORDER BY idx) AS weights FROM (SELECT event_id, idx FROM (SELECT DISTINCT event_id FROM tf), vocab)
+  LEFT JOIN (SELECT event_id, idx, w / sqrt(sum(w * w) OVER (PARTITION BY event_id)) AS w
+    FROM (SELECT event_id, idx, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term))) USING (event_id, idx) GROUP BY event_id) USING (event_id))"""
+    out["iforest_scores"] = after("featured", f"SELECT event_id, {TOLD} FROM told JOIN matrix USING (key)", terms, matrix, forest("matrix", "x"))
+    out["iforest_embeddings"] = ("WITH vectors AS (SELECT vec_id, label, CAST(vec_id AS VARCHAR) AS key, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), "
+                                 + forest("vectors", "x") + f" SELECT v.* EXCLUDE (key, x), {TOLD} FROM told JOIN vectors v USING (key)")
     out["frequency_of_repeats"] = f"SELECT conv_id, turn, {n('CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END', 'n')} FROM conversations"
     out["no_trend"] = f"SELECT CAST(0 AS BIGINT) AS ord, {q(fixed.INSIGHT_EMPTY)} AS text"
     plain = vocabulary(1, False).replace("FROM documents", "FROM scored").replace("doc_id", "event_id").replace("lower(text)", "lower(message)")

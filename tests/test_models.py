@@ -90,20 +90,19 @@ def test_forest_finds_planted_outliers_at_any_partitioning(spark, points):
 def test_forest_sampling_large_input(spark):
     """The thinned branch: every tree has its full sample, no row twice."""
     df = spark.range(20_000).select("id", F.array(F.col("id").cast("double")).alias("features"))
-    drawn = forest.draw(df, "id", "features", trees=20, sample=64, seed=1).toPandas()
+    drawn = forest.draw(df, "id", trees=20, sample=64, seed=1).toPandas()
     assert drawn.groupby("tree").size().eq(64).all() and drawn["tree"].nunique() == 20
     assert not drawn.duplicated(["tree", "key"]).any()
-    again = forest.draw(df.repartition(5), "id", "features", trees=20, sample=64, seed=1).toPandas()
+    again = forest.draw(df.repartition(5), "id", trees=20, sample=64, seed=1).toPandas()
     both = [set(zip(d["tree"], d["key"])) for d in (drawn, again)]
     assert both[0] == both[1]
 
 
 def walk(nodes, tree, row):
     mine = nodes[nodes["tree"] == tree].set_index("node")
-    at = 0
+    at = 1
     while mine.at[at, "feature"] >= 0:
-        side = "left" if row[mine.at[at, "feature"]] <= mine.at[at, "threshold"] else "right"
-        at = mine.at[at, side]
+        at = 2 * at + (row[mine.at[at, "feature"]] > mine.at[at, "threshold"])
     size = mine.at[at, "size"]
     tail = 0 if size <= 1 else 1 if size == 2 else 2 * (math.log(size - 1) + np.euler_gamma) - 2 * (size - 1) / size
     return mine.at[at, "depth"] + tail
@@ -172,7 +171,7 @@ def test_clusters(spark):
     assert got[0]["sample_msgs"] == ["cpu hot cpu hot n0", "cpu hot cpu hot n1", "cpu hot cpu hot n0"]
     # One of each per pair: the tie goes to the first in the alphabet.
     assert {r["dominant_severity"] for r in got} == {"CRITICAL"}
-    assert got[2]["summary"].startswith("Cluster 2 (4 anomalies) — keywords: [")
+    assert got[2]["summary"].startswith("group 2 of 4 rows about ")
 
 
 def test_restarts_never_hurt(spark, logs):

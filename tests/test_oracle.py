@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.01"
 QUERIES = registered.queries()
 ORACLES = oracle.oracle_sql()
 # No SQL equivalent; their properties are tested in test_models, test_streaming.
-ROWS_ONLY = {"iforest_scores", "iforest_embeddings", "cluster_summaries", "stream_monitor"}
+ROWS_ONLY = {"cluster_summaries", "stream_monitor"}
 
 
 @pytest.fixture(scope="module")
