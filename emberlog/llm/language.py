@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from emberlog.llm.common import col, free_name, quoted
 
 # The classifier is fitted on a bounded sample: of each language the rows with
-# the smallest hashes of their id, at most SAMPLE_ROWS of them and of those as
-# many bytes as a dictionary holds.
+# the smallest hashes, at most SAMPLE_ROWS of them and of those as many bytes as
+# a dictionary holds.
 SAMPLE_ROWS = 400
 DICTIONARY_BYTES = 96 << 10
 # Languages beyond this number are refused: dictionaries travel to every task.
@@ -58,7 +58,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return LanguageModel({})
+    # Rows are thinned out by their hash before they are ranked, to some four
+    # times what is kept, so that what meets in one place does not grow.
+    place = F.xxhash64("id", "text")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, 4.0 * sample_rows / r.rows)])[F.col("lang")]
+    rows = rows.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
+    order = W.partitionBy("lang").orderBy(place, "id", "text")
     picked = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample_rows)
     sizes = W.partitionBy("lang").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
     picked = picked.withColumn("so_far", F.sum(F.octet_length("text")).over(sizes))
@@ -66,8 +76,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found: dict[str, list[bytes]] = {}
     for row in picked.select("lang", "text").orderBy("lang", "nth").toLocalIterator():
         found.setdefault(row.lang, []).append(row.text.lower().encode())
-        if len(found) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return LanguageModel({k: b"\n".join(v)[:dictionary_bytes] for k, v in sorted(found.items())})
 
 
