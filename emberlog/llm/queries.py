@@ -107,5 +107,66 @@ GROUP BY doc_id, item_id
 """
 
 
+# All pairs that share a shingle, on their full sets.
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+    ELSE list_transform(range(greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i + 1:i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+# DuckDB has no CRC-32: the table follows from the polynomial, the sum from the bytes.
+SHARDING_SQL = f"""
+WITH tab AS (
+  SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS k)),
+d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, text IS NULL AS missing, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (
+  SELECT doc_id, size, CASE WHEN NOT missing THEN xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(size - 1), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) END AS text_crc32
+  FROM d, tab),
+placed AS (
+  SELECT *, CAST((2 * sum(size) OVER (ORDER BY doc_id) - size) * {SHARDS} // (2 * sum(size) OVER ()) AS INT) AS shard FROM crc)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+  CAST(NULL AS INT) AS grown_shard FROM placed
+"""
+
+LINES_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM split),
+said AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place,
+    list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+firsts AS (SELECT line, min(place) AS first, any_value(w) AS w FROM said WHERE len(w) > 0 GROUP BY line),
+able AS (SELECT * FROM firsts WHERE len(w) >= 8),
+shorter AS (
+  SELECT first, i, array_to_string(list_concat(w[1:i], w[i + 2:]), ' ') AS v FROM (SELECT *, unnest(range(len(w))) AS i FROM able)),
+whole AS (SELECT first, array_to_string(w, ' ') AS v FROM able),
+near AS (
+  SELECT first FROM (SELECT first, min(first) OVER (PARTITION BY v, i) AS earliest FROM shorter) WHERE earliest < first
+  UNION SELECT greatest(s.first, o.first) FROM shorter s JOIN whole o ON s.v = o.v WHERE s.first <> o.first
+  UNION SELECT first FROM (SELECT first, min(first) OVER (PARTITION BY v) AS earliest FROM whole) WHERE earliest < first),
+gone AS (
+  SELECT doc_id, line_no FROM said JOIN firsts USING (line)
+  WHERE place <> firsts.first OR firsts.first IN (SELECT first FROM near))
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS INT) AS n_lines, coalesce(numbers, '') AS dropped_lines FROM split
+LEFT JOIN (SELECT doc_id, string_agg(line_no, ',' ORDER BY line_no) AS numbers FROM gone GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION_SQL, "op5_warc": WARC_SQL}
+    return {"op1_minhash": MINHASH_SQL, "op2_sharding": SHARDING_SQL, "op3_decontamination": DECONTAMINATION_SQL,
+            "op5_warc": WARC_SQL, "op9_line_dedup": LINES_SQL}
