@@ -73,7 +73,9 @@ def _dropped(rows: DataFrame, least_words: int) -> DataFrame:
     # Lines that occur again, and lines with an earlier copy.
     again = firsts.filter("n > 1").select("a", "b", "first", F.lit(False).alias("near"))
     told = again.unionByName(near.join(firsts.select("a", "b", "first"), ["a", "b"]).withColumn("near", F.lit(True)))
-    told = told.groupBy("a", "b").agg(F.min("first").alias("first"), F.max("near").alias("near"))
+    # Staged, so that the join has a plain exchange on both sides and a line that
+    # makes up much of the corpus can be split over tasks.
+    told = stage(told.groupBy("a", "b").agg(F.min("first").alias("first"), F.max("near").alias("near")), "told")
     return (lines.select("a", "b", "key", "line_no", "spot").join(told, ["a", "b"])
             .filter(F.col("near") | (F.col("spot") != F.col("first"))).select("key", "line_no"))
 

@@ -6,8 +6,6 @@ import hashlib
 import zlib
 from itertools import combinations
 
-BLANK = b" \t\n\x0b\x0c\r"
-
 
 def shingles(text: str | None, width: int) -> frozenset:
     words = (text or "").encode().lower().split()
@@ -54,10 +52,9 @@ def edits(a: list, b: list) -> int:
 
 def dropped_lines(rows: list[tuple], least_words: int) -> dict:
     """doc_id -> numbers of the lines that an earlier line is a copy of."""
-    earlier, out = [], {}
+    out: dict = {}
     seen: set = set()
     by_size: dict = {}
-    del earlier
     for i, text in sorted(rows):
         out[i] = []
         for number, line in enumerate((text or "").split("\n") if text is not None else []):
