@@ -10,8 +10,11 @@ Documents with equal sets are one class from the start. Within a bucket nobody
 is paired with everybody: all are compared with the one member that meets most
 others over all its buckets, the likely original of a group of copies. Links
 are confirmed on the full sets, and a bucket is done when its members are in
-one component. What is left is paired only across components, and buckets too
-full for that are split by a second band that a pair has to share as well.
+one component. In the other buckets members of different components could
+still be similar. Shingles that no other member of an open bucket has cannot be
+in any intersection, and of the others no more than the sum, over CELLS hash
+cells, of the smaller of both counts can be. That bound rules out nearly all of
+these pairs without a look at their sets; what remains is confirmed like the rest.
 """
 
 from __future__ import annotations
@@ -36,8 +39,11 @@ BANDS = 2 * PERMUTATIONS // BAND_VALUES
 # a deviation of 4.5; pairs below this number are not worth an exact look. The
 # share is scaled for other thresholds.
 DEVIATIONS = 7.0
-# A bucket is paired across components while that makes at most so many pairs.
-PAIRS_PER_BUCKET = 2048
+# Up to so many ids are sent to the tasks that look up their texts (some 50
+# bytes each); more are joined.
+BROADCAST_IDS = 400_000
+# Cells by which shingles are counted to bound an intersection.
+CELLS = 64
 SHINGLE_WORDS = 5
 PERCENT = 80
 
@@ -163,14 +169,12 @@ def _links(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
     banded = classes.select("cls", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = stage(banded.join(sizes, "bucket"), "members")
-    links, confirm = None, _Confirm(texts, classes, width, percent)
-    while not members.isEmpty():
-        links = _joined(links, confirm(_to_leader(members)))
-        left = stage(_unresolved(members, links), "unresolved")
-        few = F.col("others") * F.col("size") <= PAIRS_PER_BUCKET
-        links = _joined(links, confirm(_across(left.filter(few))))
-        members = _split(left.filter(~few))
-    return links
+    confirm = _Confirm(texts, classes, width, percent)
+    links = confirm(_to_leader(members))
+    open_members = stage(_unresolved(members, links), "unresolved")
+    if open_members.isEmpty():
+        return links
+    return _joined(links, confirm(_across(open_members, confirm.able_to_share(open_members), percent)))
 
 
 def _joined(links: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
@@ -187,10 +191,9 @@ def _to_leader(members: DataFrame) -> DataFrame:
 
 
 def _unresolved(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members of buckets with several components: ``bucket, cls, size, component, main, others``.
+    """Members of buckets with several components: ``bucket, cls, component, main``.
 
-    ``main`` tells whether a member is in its bucket's largest component and
-    ``others`` how many members are not.
+    ``main`` tells whether a member is in its bucket's largest component.
     """
     if links is None:
         placed = members.withColumn("component", F.col("cls"))
@@ -199,33 +202,26 @@ def _unresolved(members: DataFrame, links: DataFrame | None) -> DataFrame:
         placed = members.join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = stage(placed.select("bucket", "cls", "component"), "placed")
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"),
-                                        F.count("*").alias("parts")).filter("parts > 1")
-    return (placed.join(whole, "bucket")
-            .select("bucket", "cls", "size", "component", (F.col("component") == F.col("most.component")).alias("main"),
-                    (F.col("size") - F.col("most.n")).alias("others")))
+    whole = parts.groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    return placed.join(whole, "bucket").select(
+        "bucket", "cls", "component", (F.col("component") == F.col("most.component")).alias("main"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs within a bucket that are in different components."""
-    one = members.filter(~F.col("main")).select("bucket", F.col("cls").alias("a"), F.col("component").alias("ca"))
-    two = members.select("bucket", F.col("cls").alias("b"), F.col("component").alias("cb"))
-    return one.join(two, "bucket").filter("ca <> cb").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _across(members: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """Pairs within a bucket, of different components, whose intersection may be large enough.
 
-
-def _split(crowded: DataFrame) -> DataFrame:
-    """Smaller buckets: members of two crowded buckets at a time.
-
-    A similar pair shares a dozen bands on average; that it shares one crowded
-    band alone happens once in a million times at similarity 0.8.
+    ``able`` counts a class's shingles that others have too, in all and by cell.
     """
-    mine = crowded.groupBy("cls").agg(F.sort_array(F.collect_list("bucket")).alias("all"))  # at most a row per band
-    pairs = mine.select("cls", F.posexplode("all").alias("at", "one"), "all").select(
-        "cls", "one", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("two"))
-    keyed = pairs.select("cls", F.xxhash64("one", "two").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return stage(keyed.join(sizes, "bucket"), "members")
+    columns = ("cls", "component", "n", "able", "cells")
+    known = members.join(able, "cls")
+    one = known.filter(~F.col("main")).select("bucket", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
+    enough = lambda shared: 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
+    by_cell = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    apart = F.col("component_a") != F.col("component_b")
+    pairs = one.join(two, (one["bucket"] == two["bucket"]) & apart & enough(F.least("able_a", "able_b")) & enough(by_cell))
+    return pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 class _Confirm:
@@ -245,14 +241,59 @@ class _Confirm:
         likely = stage(rows.filter(alike("sig_a", "sig_b") >= self.least).select("a", "b"), "likely")
         if likely.isEmpty():
             return None
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes.select("cls", "id"), "cls")
-        found = self.texts.join(wanted, self.texts["id"].eqNullSafe(wanted["id"])).select("cls", "text")
-        same = F.pandas_udf(_set_check(self.width), "boolean")
-        texts = stage(found.filter(same("cls", "text")).dropDuplicates(["cls"]), "set_texts")
+        texts = stage(self.texts_of(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "set_texts")
         both = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         linked = F.pandas_udf(_similar(self.width, self.percent), "boolean")
-        found = stage(both.filter(linked("a", "text_a", "text_b")).select("a", "b"), "confirmed")
-        return found
+        return stage(both.filter(linked("a", "text_a", "text_b")).select("a", "b"), "confirmed")
+
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        """``cls, text`` of the wanted classes."""
+        ids = stage(wanted.join(self.classes.select("cls", "id"), "cls"), "wanted")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        found = self.texts.join(ids, self.texts["id"].eqNullSafe(ids["id"])).select("cls", "text")
+        same = F.pandas_udf(_set_check(self.width), "boolean")
+        return found.filter(same("cls", "text")).dropDuplicates(["cls"])
+
+    def able_to_share(self, members: DataFrame) -> DataFrame:
+        """``cls, n, able, cells``: a class's n shingles, how many of them some other of these classes has, and those by cell.
+
+        The rest cannot be in any intersection between these classes.
+        """
+        mine = members.select("cls").distinct()
+        texts = stage(self.texts_of(mine).select("cls", F.xxhash64("cls").alias("key"), "text"), "open_texts")
+        cell = F.pmod("h", F.lit(CELLS)).cast("int")
+        shingles = texts.select("key", "text").mapInArrow(_exploder(self.width), "key long, h long")
+        alone = shingles.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n = 1")
+        alone = alone.groupBy("key", cell.alias("cell")).agg(F.count("*").cast("int").alias("n"))
+        alone = alone.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("alone"))  # CELLS at most
+        counted = texts.mapInArrow(_cell_counter(self.width), "cls binary, key long, counts array<int>")
+        cells = F.transform("counts", lambda n, i: n - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
+        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        known = counted.join(alone, "key", "left").select("cls", total(F.col("counts")).alias("n"), cells.alias("cells"))
+        return stage(known.withColumn("able", total(F.col("cells"))), "able")
+
+
+def _exploder(width: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingle_hashes(text, width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "h"])
+
+    return work
+
+
+def _cell_counter(width: int):
+    cells = CELLS
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [np.bincount(shingle_hashes(t, width).view(np.int64) % cells, minlength=cells).astype(np.int32)
+                      for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts, pa.list_(pa.int32()))], ["cls", "key", "counts"])
+
+    return work
 
 
 def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
