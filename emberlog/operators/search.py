@@ -39,9 +39,11 @@ def _statistics(docs: DataFrame, terms: DataFrame, fields: tuple[str, ...]) -> d
         return F.transform(distinct, lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
 
     listed = F.concat(*[numbered(i, f) for i, f in enumerate(fields)])
-    asked = terms.select("term").distinct()
-    counts = docs.select(F.inline_outer(listed)).filter("term IS NOT NULL").groupBy("field", "term").agg(F.count("*").alias("df"))
-    found = counts.join(asked, "term").collect()
+    # Words nobody asks for are dropped before anything is counted or shuffled;
+    # there are at most MAX_TERMS others.
+    asked = F.broadcast(terms.select("term").distinct())
+    said = docs.select(F.inline_outer(listed)).join(asked, "term", "left_semi")
+    found = said.groupBy("field", "term").agg(F.count("*").alias("df")).collect()
     return {
         "n": means["n"],
         "mean": [means[f] or 1.0 for f in fields],
@@ -144,9 +146,11 @@ def search(
     documents and questions enormous. Here each task scores its documents
     against all questions and passes on its own best ``k`` per question, so
     what is shuffled does not depend on how many match. Questions with more
-    than ``max_terms`` terms between them are answered in several scans.
+    than ``max_terms`` terms between them are answered in several scans. Tasks
+    hold ``tie_break`` columns only, which identify a document; the other
+    columns are attached to the documents that were found.
     """
-    columns = list(dict.fromkeys([*tie_break, *keep]))
+    columns = list(tie_break)
     terms = question_terms(questions, qid, text)
     # All terms at once where they fit, which one read of the questions tells.
     asked = [terms.limit(max_terms + 1).toPandas()]
@@ -169,7 +173,12 @@ def search(
         result = found if result is None else result.unionByName(found)
     order = [F.col("score").desc(), *[F.col(c) for c in tie_break]]
     rank = F.row_number().over(W.partitionBy("qid").orderBy(*order))
-    return result.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", "score", *keep)
+    best = result.withColumn("rank", rank).filter(F.col("rank") <= k)
+    if not set(keep) <= set(columns):
+        shown = docs.select(F.struct(*columns).alias("_doc"), *[F.col(c).alias(f"_{c}") for c in keep])
+        best = best.withColumn("_doc", F.struct(*columns)).join(shown, "_doc").select(
+            "qid", "rank", "score", *[F.col(f"_{c}").alias(c) for c in keep])
+    return best.select("qid", "rank", "score", *keep)
 
 
 def with_fallback(

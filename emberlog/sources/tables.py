@@ -14,8 +14,9 @@ def read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parqu
     """A table with a fixed schema; nothing is inferred, so no extra pass."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        # Quoted messages may hold line breaks.
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        # Quoted messages may hold line breaks. A field that is not there is null,
+        # a quoted one without content is empty: hence a mark that no text is.
+        reader = reader.options(header=True, multiLine=True, escape='"', nullValue="\x00")
     return reader.format(fmt).load(path)
 
 
