@@ -8,8 +8,9 @@ an index row per record: bundle, frame, and the record's place in the unpacked
 frame. ``read`` goes back through those places.
 
 Bundles are written by the tasks, under a name that an attempt has to itself,
-and renamed when complete, so a task that is run again leaves one whole file.
-The folder must be one that all executors share.
+and renamed when complete. An attempt that is lost may leave a bundle or a draft
+that no index row names; the index is what counts. The folder must be one that
+all executors share.
 """
 
 from __future__ import annotations
