@@ -46,8 +46,14 @@ def _tables() -> tuple[str, str, str]:
 
 
 _FROM, _TO, _OTHERS = _tables()
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+# Characters of one byte that folding leaves as they are, such as the sharp s.
+_BEYOND_STABLE = r"[^\x00-\x7F" + "".join(f"\\x{c:02x}" for c in range(0x80, 0x100) if fold_text(chr(c)) == chr(c)) + "]"
 
 
 def fold(c: Column) -> Column:
-    rest = _fold_batch(F.when(c.rlike(_OTHERS), c))
-    return F.coalesce(rest, F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, _FROM, _TO)).otherwise(c))
+    """The cheap tests come first: most texts are ASCII, and most others are once translated."""
+    accented = c.rlike(_BEYOND_ASCII)
+    simple = F.when(accented, F.translate(c, _FROM, _TO)).otherwise(c)
+    hard = accented & simple.rlike(_BEYOND_STABLE) & simple.rlike(_OTHERS)
+    return F.coalesce(_fold_batch(F.when(hard, c)), simple)
