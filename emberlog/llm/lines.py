@@ -112,7 +112,9 @@ def _near_dropped(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     # Numbers that rise with the place; a place is taken by one line alone.
     texts = lines.select("spot", "line").join(able.withColumnRenamed("first", "spot"), "spot")
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts.repartitionByRange(tasks, "spot").sortWithinPartitions("spot")
+    # Fully repeated rows share their spots, so each spot's line is taken once; equal
+    # spots are in one range, so that this needs no exchange of its own.
+    ordered = texts.repartitionByRange(tasks, "spot").dropDuplicates(["spot"]).sortWithinPartitions("spot")
     ordered = stage(ordered.select(F.monotonically_increasing_id().alias("nth"), "a", "b", "line"), "able_lines")
     variants = ordered.select("nth", "line").mapInArrow(_neighbourhood, "nth long, key long, deleted int")
     met = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")

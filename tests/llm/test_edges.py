@@ -296,6 +296,18 @@ def test_lines_dirty(spark):
     assert {r.doc_id: r.text for r in found if r.doc_id in (1, 5, 7)} == {1: f"{b}\n{a} nine", 5: None, 7: " \n \n"}
 
 
+def test_lines_of_repeated_rows(spark):
+    """A row that is there twice keeps its first line, and that line's edited copy elsewhere goes."""
+    a, edited = "one two three four five six seven eight", "one two three four five six seven XX"
+    rows = [(1, a), (1, a), (2, edited), (None, "null " + a), (None, "null " + a), (None, "null " + a)]
+    found = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.dropped_lines) for r in found) == [
+        ("1", []), ("1", []), ("2", [0]), ("None", [0]), ("None", [0]), ("None", [0])]
+    apart = [(1, a), (1, a), (2, "zz " + edited), (None, edited), (None, edited)]
+    found = lines.deduplicate(spark.createDataFrame(apart, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.dropped_lines) for r in found) == [("1", []), ("1", []), ("2", []), ("None", [0]), ("None", [0])]
+
+
 def test_one_edit():
     pick = random.Random(1)
     for _ in range(4000):
