@@ -5,7 +5,15 @@ one embedding table per place, a tanh layer, and a softmax in two steps, over
 the words' classes and over the words of the class. The sum of the predicted
 log-probabilities of a document's words is its score.
 
-The vocabulary is counted over all documents. Training goes over all words
+All words are counted over all documents. The network predicts the most frequent
+ones by themselves and the others by the one of RARE places that they share by
+hash; a word's probability is then its place's times its share of the words
+counted there. These counts are a table that grows with the corpus and is joined
+to the words of the documents; only the network's input tells rare words apart
+no further than by place. A word that was not counted has the share of one more
+word in its place, spread evenly over all strings of bytes.
+
+Training goes over all words
 once: every task starts from the same weights, runs through the documents of
 its partition in small batches and returns its weights; the average, weighted
 by words, is the model. What is gathered is one set of weights per partition,
@@ -15,6 +23,8 @@ more than one model and a part of the sum.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +34,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import col
+from emberlog.llm.common import col, free_name
+from emberlog.session import stage
 
 CLASSES, PER_CLASS, WIDTH, SIDE = 32, 32, 16, 2
 WORDS = CLASSES * PER_CLASS
-# Words outside the vocabulary share so many places, by hash.
+# Words that the network does not know by themselves share so many places, by hash.
 RARE = 64
+# Numbers for such words, a multiple of RARE.
+SPOTS = 1 << 24
 BATCH = 4096
 RATE = 0.15
 # Parts of the weights that are averaged on their own.
 SLICES = 16
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words of all documents, ties by word; lower-cased."""
-    split = F.explode(F.split(F.lower(col(text_col)), r"\s+")).alias("word")
-    counts = docs.select(split).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE).collect()]
+class Vocabulary(list):
+    """The most frequent words; ``counts`` is the table of all words (``word, n``),
+    ``totals`` the number of rare words counted in each place."""
+
+    counts: DataFrame
+    totals: list[int]
+
+
+def _words(text_col: str):
+    return F.filter(F.split(F.lower(col(text_col)), r"\s+"), lambda w: w != "")
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
+    """All words of all documents, lower-cased; the most frequent are listed, ties by word."""
+    split = docs.select(F.explode(_words(text_col)).alias("word"))
+    counts = stage(split.groupBy("word").agg(F.count("*").alias("n")), "words")
+    known = Vocabulary(r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE).collect())
+    rare = counts.filter(~F.col("word").isin(list(known))).groupBy((F.crc32("word") % RARE).alias("place")).agg(F.sum("n").alias("n"))
+    found = {r.place: r.n for r in rare.collect()}  # at most RARE rows
+    known.counts, known.totals = counts, [found.get(k, 0) for k in range(RARE)]
+    return known
 
 
 def shapes() -> list[tuple[int, ...]]:
@@ -65,7 +94,7 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
 
 
 def encoder(known: list[str]):
-    """Word ids of a text; null and empty texts have none."""
+    """Word ids of a text; null and empty texts have none. ``places`` makes the network's of them."""
     ids = {w.encode(): i for i, w in enumerate(known)}
     base = WORDS - RARE
 
@@ -75,12 +104,18 @@ def encoder(known: list[str]):
         found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         rare = np.flatnonzero(found < 0)
         if len(rare):
-            found[rare] = [base + xxhash.xxh32_intdigest(words[i]) % RARE for i in rare]
+            found[rare] = [base + zlib.crc32(words[i]) % SPOTS for i in rare]
         return found
 
     return encode
 
 
+def places(ids: np.ndarray) -> np.ndarray:
+    """What the network predicts: the word, or the place that it shares."""
+    base = WORDS - RARE
+    return np.where(ids < base, ids, base + (ids - base) % RARE)
+
+
 def windows(ids: np.ndarray) -> np.ndarray:
     """The ids around every place, one row per place; WORDS stands for nothing."""
     padded = np.concatenate([np.full(SIDE, WORDS), ids, np.full(SIDE, WORDS)])
@@ -152,13 +187,13 @@ def learn(weights: list[np.ndarray], seen: list[np.ndarray], around: np.ndarray,
         table -= RATE * slope / np.sqrt(squares + 1e-8)
 
 
-def train(docs: DataFrame, known: list[str], text_col: str = "text") -> np.ndarray:
+def train(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> np.ndarray:
     """The average of the weights that the partitions have learned, by words.
 
     Without a word to learn from, the weights stay those of the start.
     """
     schema = "slice int, lane int, words double, total binary"
-    parts = docs.select(col(text_col)).mapInArrow(_trainer(known), schema)
+    parts = docs.select(col(text_col)).mapInArrow(_trainer(list(known)), schema)
     for keys in (["slice", "lane"], ["slice"]):
         parts = parts.groupBy(*keys).applyInPandas(_sum, schema)
     found = sorted(parts.collect(), key=lambda r: r.slice)  # one row per slice of the one model
@@ -176,7 +211,7 @@ def _batches(texts, encode) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Windows and targets of BATCH words at a time, over document borders."""
     held, count = [], 0
     for text in texts:
-        ids = encode(text)
+        ids = places(encode(text))
         if not len(ids):
             continue
         held.append((windows(ids), ids))
@@ -215,18 +250,45 @@ def _trainer(known: list[str]):
     return work
 
 
-def score(docs: DataFrame, flat: np.ndarray, known: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, flat: np.ndarray, known: Vocabulary, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``pseudo_log_likelihood`` and ``mean_log_likelihood``.
 
     Texts without a word have 0, 0.0 and null. Columns of those names are
     replaced. The score of a text depends on nothing but the text and the model.
     """
-    made = F.pandas_udf(_scorer(flat, known), "struct<n_words:long,total:double>")(col(text_col))
+    made = F.pandas_udf(_scorer(flat, list(known)), "struct<n_words:long,total:double>")(col(text_col))
     names = ("n_words", "pseudo_log_likelihood", "mean_log_likelihood")
     keep = [col(c) for c in docs.columns if c.lower() not in names]
-    rated = docs.select(*keep, made.alias("_rated"))
-    n, total = F.col("_rated.n_words"), F.col("_rated.total")
-    return rated.select(*keep, n.alias(names[0]), total.alias(names[1]), F.when(n > 0, total / n).alias(names[2]))
+    key, rated, share = (free_name(docs, c) for c in ("_text", "_rated", "_share"))
+    both = docs.select(*keep, _text_key(text_col).alias(key), made.alias(rated))
+    shares = _shares(docs, known, text_col).toDF(key, share)
+    both = both.join(shares, key, "left")
+    n, total = F.col(f"{rated}.n_words"), F.col(f"{rated}.total") + F.coalesce(share, F.lit(0.0))
+    return both.select(*keep, n.alias(names[0]), total.alias(names[1]), F.when(n > 0, total / n).alias(names[2]))
+
+
+def _text_key(text_col: str):
+    text = col(text_col)
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def _shares(docs: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
+    """Per distinct text, the log of its rare words' shares of their places: ``key, share``.
+
+    A mark per row, a line feed and a hash of the text, tells how many rows have
+    the text; unlike one mark for all, it does not bring all texts to one task.
+    """
+    word, n = F.col("word"), F.col("n")
+    mark = F.concat(F.lit("\n"), F.xxhash64(col(text_col)).cast("string"))
+    split = docs.select(_text_key(text_col).alias("key"), F.explode(F.concat(F.array(mark), _words(text_col))).alias("word"))
+    said = split.filter(~word.isin(list(known))).groupBy("key", "word").agg(F.count("*").alias("times"))
+    place = (F.crc32(word) % RARE + 1).cast("int")
+    room = F.element_at(F.array(*[F.lit(float(t + 1)) for t in known.totals]), place)
+    unseen = math.log(RARE) - (F.octet_length(word) + 1) * math.log(257)
+    log = F.when(n.isNotNull(), F.log(n)).otherwise(unseen) - F.log(room)
+    marks = word.startswith("\n")
+    rows, total = F.sum(F.when(marks, F.col("times"))), F.sum(F.when(~marks, F.col("times") * log))
+    return said.join(known.counts, "word", "left").groupBy("key").agg((F.coalesce(total, F.lit(0.0)) / rows).alias("share"))
 
 
 def _scorer(flat: np.ndarray, known: list[str]):
@@ -243,7 +305,7 @@ def _scorer(flat: np.ndarray, known: list[str]):
                 totals.extend(float(found[a:b].sum(dtype=np.float64)) for a, b in zip(edges, edges[1:]))
 
             for text in texts:
-                ids = encode(text)
+                ids = places(encode(text))
                 counts.append(len(ids))
                 held.append((windows(ids), ids))
                 size += len(ids)

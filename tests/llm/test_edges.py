@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import zlib
 from itertools import combinations
 
 import brute
@@ -233,6 +234,22 @@ def test_scoring_learns_order(spark):
     assert score(rows[:20]) > score(mixed) + 0.5
 
 
+def test_scoring_tells_rare_words_apart(spark):
+    """Words outside the most frequent ones have probabilities of their own."""
+    frequent = " ".join(f"w{k} " * 9 for k in range(scoring.WORDS - scoring.RARE))
+    rare = [w for w in (f"rare{k}" for k in range(4000)) if zlib.crc32(w.encode()) % scoring.RARE == 7][:3]
+    learned = spark.createDataFrame([(1, frequent), (2, f"{rare[0]} " * 6 + f"{rare[1]} " * 2)], "doc_id long, text string")
+    known = scoring.vocabulary(learned)
+    assert known.counts.count() == scoring.WORDS - scoring.RARE + 2 and known.totals[7] == 8
+    rows = [(k, f"w1 w2 {w} w3") for k, w in enumerate(rare)] + [(0, f"w1 w2 {rare[0]} w3"), (3, f"w1 w2 {rare[2]}longer w3"), (4, None)]
+    found = scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), scoring.train(learned, known), known).collect()
+    total = {r.doc_id: r.pseudo_log_likelihood for r in found}
+    assert len(found) == len(rows) and len({r.pseudo_log_likelihood for r in found if r.doc_id == 0}) == 1
+    assert total[0] - total[1] == pytest.approx(np.log(6 / 2)) and total[4] == 0.0
+    length = len(rare[2]) + 1
+    assert total[1] - total[2] == pytest.approx(np.log(2) - np.log(scoring.RARE) + length * np.log(257))
+
+
 def test_scoring_slopes():
     """The learning step goes down the slope of the loss, measured by small differences."""
     rng = np.random.default_rng(0)
