@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import decontaminate, language, lines, minhash, packing, phrases, scoring, sharding, tokens, warc
+from emberlog.llm import (
+    audit, decontaminate, language, lines, minhash, packing, phrases, prefixes, repeats, scoring, sharding, tokens, warc,
+)
 from emberlog.llm.common import table
 from emberlog.session import shared_dir, stage
 
@@ -66,9 +68,22 @@ def op10_phrase_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.compare_with_next(table(spark, folder, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.trie(prefixes.rebuilt(table(spark, folder, "conversations")))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (op1_minhash, op2_sharding, op3_decontamination, op4_token_counts, op5_warc, op6_language_id, op7_lm_scoring,
-            op8_packing, op9_line_dedup, op10_phrase_fingerprint)
+            op8_packing, op9_line_dedup, op10_phrase_fingerprint, op11_substring_dedup, op12_prefix_trie, op13_filter_audit)
     return {f.__name__: f for f in made}
 
 
@@ -167,6 +182,96 @@ LEFT JOIN (SELECT doc_id, string_agg(line_no, ',' ORDER BY line_no) AS numbers F
 """
 
 
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s + 1:s + 20], ' ') AS t FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM d)),
+later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+# Every node by its whole path of turns, every subtree by comparing paths.
+TRIE_SQL = """
+WITH tab AS (
+  SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS k)),
+said AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, own, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(d)), lambda i: CAST(ascii(d[i + 1]) AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT *, CAST(conv_id AS VARCHAR) AS d FROM said), tab),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS turns
+  FROM heads c LEFT JOIN said b ON b.conv_id = c.conv_id - c.conv_id % 100),
+members AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(CASE WHEN len(turns) = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM members GROUP BY ALL),
+related AS (
+  SELECT p.path, p.depth, p.conv_id, p.n_convs, p.ends, c.depth AS below, c.n_convs AS c_convs, c.path AS c_path,
+    NOT EXISTS (SELECT 1 FROM nodes x WHERE x.depth = c.depth + 1 AND x.path[1:c.depth] = c.path) AS leaf
+  FROM nodes p JOIN nodes c ON c.depth >= p.depth AND c.path[1:p.depth] = p.path),
+sums AS (
+  SELECT path, depth, conv_id, n_convs, ends, count(*) FILTER (below = depth + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves,
+    sum(CASE WHEN below > 0 THEN (c_convs - 1) * length(c_path[below].text) ELSE 0 END) AS saved_tokens
+  FROM related GROUP BY ALL)
+SELECT s.conv_id, s.depth, CAST(p.conv_id AS BIGINT) AS parent_conv_id, s.n_convs, s.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+  sha256(coalesce(s.ends, '')) AS ends_sha256
+FROM sums s LEFT JOIN nodes p ON p.depth = s.depth - 1 AND p.path = s.path[1:s.depth - 1]
+"""
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+fails AS (
+  SELECT doc_id, part, {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': first < doc_id} AS f FROM w),
+letters AS (
+  SELECT doc_id, part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: f[x]) AS failed,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = fails.doc_id AND quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = fails.doc_id AND toxic = 1) AS toxic
+  FROM (SELECT doc_id, part, MAP {'A': f.A, 'B': f.B, 'C': f.C, 'D': f.D, 'E': f.E} AS f FROM fails) fails),
+combos AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM letters GROUP BY ALL),
+one AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM one a, one b, one c, one d, one e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+told AS (
+  SELECT part, filter_order, step, filter_order[step] AS letter, n, good, toxic, len(failed) AS n_failed, list_contains(failed, filter_order[step]) AS own,
+    len(list_intersect(failed, string_split(filter_order[1:step - 1], ''))) > 0 AS before
+  FROM combos, steps),
+found AS (
+  SELECT part, filter_order, step, any_value(letter) AS letter,
+    coalesce(sum(n) FILTER (NOT own AND NOT before), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT before), 0) AS removed,
+    coalesce(sum(n) FILTER (own AND before), 0) AS redundant, coalesce(sum(n) FILTER (own AND n_failed = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (own AND NOT before), 0) AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT before), 0) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_minhash": MINHASH_SQL, "op2_sharding": SHARDING_SQL, "op3_decontamination": DECONTAMINATION_SQL,
-            "op5_warc": WARC_SQL, "op9_line_dedup": LINES_SQL}
+            "op5_warc": WARC_SQL, "op9_line_dedup": LINES_SQL, "op11_substring_dedup": REPEATS_SQL,
+            "op12_prefix_trie": TRIE_SQL, "op13_filter_audit": AUDIT_SQL}
