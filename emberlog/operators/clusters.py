@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as fixed
 from emberlog.operators.grouping import attach, group_counts
 from emberlog.operators.scoring import anomalies
-from emberlog.operators.tfidf import Vectorizer, fit_vocabulary
+from emberlog.operators.tfidf import Vectorizer, fit_vocabulary, long_form
 from emberlog.session import stage
 
 # Of the distinct points; part of what makes a run repeatable.
 PARTITIONS = 64
 
+# Weights of centres and distances are compared to so many places.
+PLACES = 9
+CENTRES = "cluster int, place int, weight double"
+CLUSTER_META = "k int, strip_accents boolean, costs array<double>"
 SUMMARY = (
     "cluster_id int, size long, top_keywords array<string>, sample_msgs array<string>, "
     "dominant_severity string, summary string"
@@ -30,36 +35,68 @@ def temporary_vectorizer(rows: DataFrame) -> Vectorizer:
     return Vectorizer.of(fit_vocabulary(rows, min_df=1, strip_accents=False), strip_accents=False)
 
 
-def assign_clusters(
+@dataclass
+class Clustering:
+    """Fitted centres over a vocabulary's terms: k lists of at most MAX_TERMS numbers."""
+
+    vectorizer: Vectorizer
+    centres: list[list[float]]
+    # What each run of the fit cost, in its order; the centres are those of the least.
+    costs: list[float] = field(default_factory=list)
+
+    def distances(self, dense: str) -> Column:
+        """Squared distances of the points ``dense`` from all centres, to nine places."""
+        apart = lambda centre: F.aggregate(
+            F.zip_with(dense, F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+        return F.array(*[F.round(apart(centre), PLACES) for centre in self.centres])
+
+    def assign(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the ``cluster`` of their message, the nearest centre, the first one of equals, and the ``distance``.
+
+        Weights depend on the message alone, so the distinct messages are
+        looked at and the result is joined back.
+        """
+        text = rows.withColumn("message", F.coalesce("message", F.lit("")))
+        points = self.vectorizer.add(group_counts(text, "message", "copies"), "key").withColumn("far", self.distances("tfidf"))
+        nearest = F.array_min("far")
+        placed = points.select("key", "copies", (F.array_position("far", nearest) - 1).cast("int").alias("cluster"), nearest.alias("distance"))
+        return attach(text, "message", stage(placed, "clusters"), "copies").drop("copies")
+
+    def keywords(self, n: int = 8) -> list[list[str]]:
+        return [_keywords(self.vectorizer.terms, centre, n) for centre in self.centres]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """As tables: the centres' places other than 0, the vocabulary, the costs."""
+        places = [(c, i, float(x)) for c, centre in enumerate(self.centres) for i, x in enumerate(centre) if x]
+        spark.createDataFrame(places, CENTRES).coalesce(1).write.mode("errorifexists").parquet(f"{path}/centres")
+        terms = [(i, t, float(x)) for i, (t, x) in enumerate(zip(self.vectorizer.terms, self.vectorizer.idf))]
+        spark.createDataFrame(terms, "idx int, term string, idf double").coalesce(1).write.mode("errorifexists").parquet(f"{path}/vocabulary")
+        meta = [(len(self.centres), self.vectorizer.strip_accents, [float(x) for x in self.costs])]
+        spark.createDataFrame(meta, CLUSTER_META).coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Clustering:
+        meta = spark.read.schema(CLUSTER_META).parquet(f"{path}/meta").first()
+        terms = spark.read.parquet(f"{path}/vocabulary").orderBy("idx").collect()
+        centres = [[0.0] * len(terms) for _ in range(meta["k"])]
+        for r in spark.read.schema(CENTRES).parquet(f"{path}/centres").collect():
+            centres[r["cluster"]][r["place"]] = r["weight"]
+        return cls(Vectorizer([r["term"] for r in terms], [r["idf"] for r in terms], meta["strip_accents"]), centres, list(meta["costs"]))
+
+
+def fit_clusters(
     scored: DataFrame,
     vectorizer: Vectorizer | None = None,
     k: int = fixed.CLUSTERS,
     restarts: int = fixed.KMEANS_RESTARTS,
     seed: int = fixed.SEED,
-) -> tuple[DataFrame, list[list[str]]] | None:
-    """Anomalies with a ``cluster`` column, and the keywords of each cluster.
+) -> Clustering | None:
+    """Centres of the anomalies' messages: the best of ``restarts`` runs. None when there is too little to cluster.
 
-    Weights depend on the message alone, so the distinct messages are clustered
-    with their counts as weights and the result is joined back. The best of
-    ``restarts`` runs is kept. None when there is too little to cluster.
-    """
-    found = _fit(scored, vectorizer, k, restarts, seed)
-    if found is None:
-        return None
-    rows, points, runs, vectorizer = found
-    best = min(runs, key=lambda model: model.summary.trainingCost)
-    clustered = stage(best.transform(points).select("key", "copies", F.col("prediction").alias("cluster")), "clusters")
-    points.unpersist()
-    keywords = [_keywords(vectorizer.terms, centre) for centre in best.clusterCenters()]
-    return attach(rows, "message", clustered, "copies").drop("copies"), keywords
-
-
-def _fit(scored: DataFrame, vectorizer: Vectorizer | None, k: int, restarts: int, seed: int):
-    """Rows, distinct points, the fitted runs and the vectorizer; None when there is too little.
-
-    The start of a run depends on how the points lie in partitions, so they are
-    put in order into a fixed number of them. Runs are independent jobs and go
-    side by side.
+    The distinct messages are clustered with their counts as weights. The start
+    of a run depends on how the points lie in partitions, so they are put in
+    order into a fixed number of them. Runs are independent jobs and go side by
+    side.
     """
     rows = stage(anomalies(scored).withColumn("message", F.coalesce("message", F.lit(""))), "cluster-input")
     k = min(k, rows.limit(k).count())
@@ -74,51 +111,62 @@ def _fit(scored: DataFrame, vectorizer: Vectorizer | None, k: int, restarts: int
         return KMeans(k=k, maxIter=300, seed=seed + n, featuresCol="point", weightCol="weight").fit(points)
 
     with ThreadPoolExecutor(4) as pool:
-        return rows, points, list(pool.map(run, range(restarts))), vectorizer
+        runs = list(pool.map(run, range(restarts)))
+    points.unpersist()
+    best = min(runs, key=lambda model: model.summary.trainingCost)
+    return Clustering(vectorizer, [[float(x) for x in c] for c in best.clusterCenters()], [float(m.summary.trainingCost) for m in runs])
 
 
-def keywords_by(rows: DataFrame, vectorizer: Vectorizer, by: str, n: int = 8) -> DataFrame:
-    """The ``n`` terms with the highest mean weight per group: ``by, rank, term, weight``.
+def mean_centres(rows: DataFrame, vectorizer: Vectorizer, by: str) -> Clustering:
+    """The mean weights of each group as centres, in order of the groups; a few groups are meant."""
+    means = stage(_means(rows, vectorizer, by), "mean-centres").collect()
+    centres = {g: [0.0] * len(vectorizer.terms) for g in sorted({r[by] for r in means})}
+    for r in means:
+        centres[r[by]][r["idx"]] = r["weight"]
+    return Clustering(vectorizer, list(centres.values()))
 
-    A mean over rows is that over the distinct messages with their counts.
-    """
+
+def _means(rows: DataFrame, vectorizer: Vectorizer, by: str) -> DataFrame:
+    """Mean weight per group and term, ``by, idx, weight``: that over the distinct messages with their counts."""
     distinct = rows.groupBy(by, F.coalesce("message", F.lit("")).alias("text")).agg(F.count("*").alias("copies"))
     sizes = distinct.groupBy(by).agg(F.sum("copies").alias("size"))
-    weights = vectorizer.add(distinct, "text").select(by, "copies", F.posexplode("tfidf").alias("idx", "w")).filter("w > 0")
-    sums = weights.groupBy(by, "idx").agg(F.sum(F.col("w") * F.col("copies")).alias("w"))
+    weights = long_form(vectorizer.add(distinct, "text"), "tfidf", by, "copies")
+    sums = weights.groupBy(by, F.col("place").alias("idx")).agg(F.sum(F.col("value") * F.col("copies")).alias("w"))
+    return sums.join(sizes, by).select(by, "idx", F.round(F.col("w") / F.col("size"), PLACES).alias("weight"))
+
+
+def keywords_by(rows: DataFrame, vectorizer: Vectorizer, by: str, n: int = 8) -> DataFrame:
+    """The ``n`` terms with the highest mean weight per group: ``by, rank, term, weight``."""
     terms = rows.sparkSession.createDataFrame(list(enumerate(vectorizer.terms)), "idx int, term string")  # the vocabulary
-    means = sums.join(F.broadcast(terms), "idx").join(sizes, by).withColumn("weight", F.round(F.col("w") / F.col("size"), 9))
+    means = _means(rows, vectorizer, by).join(F.broadcast(terms), "idx")
     rank = F.row_number().over(W.partitionBy(by).orderBy(F.col("weight").desc(), "term"))
     return means.withColumn("rank", rank).filter(F.col("rank") <= n).select(by, "rank", "term", "weight")
 
 
-def verify(scored: DataFrame, vectorizer: Vectorizer, k: int = fixed.CLUSTERS, restarts: int = fixed.KMEANS_RESTARTS,
-           seed: int = fixed.SEED) -> DataFrame:
+def verify(scored: DataFrame, vectorizer: Vectorizer, path: str, restarts: int = fixed.KMEANS_RESTARTS) -> DataFrame:
     """Properties that a clustering has whatever its start: ``name, ok``.
 
     Sizes add up to the anomalies; each cluster has eight keywords of the
-    vocabulary; the best run costs no more than the first; no point lies nearer
-    to another centre.
+    vocabulary; every run's cost is listed and the centres have the least; the
+    rows' distances from their centres add up to it; no row lies nearer to
+    another centre; saved to ``path`` and loaded, the centres are the same.
     """
-    rows, points, runs, vectorizer = _fit(scored, vectorizer, k, restarts, seed)
-    best = min(runs, key=lambda model: model.summary.trainingCost)
-    centres, clustered = best.clusterCenters(), best.transform(points)
-    far = [
-        F.aggregate(F.zip_with("tfidf", F.array(*[F.lit(float(x)) for x in centre]), lambda a, b: (a - b) * (a - b)),
-                    F.lit(0.0), lambda x, y: x + y)
-        for centre in centres
-    ]
-    distances = clustered.withColumn("far", F.array(*far))
-    own = F.element_at("far", F.col("prediction") + 1)
-    words = [_keywords(vectorizer.terms, centre) for centre in centres]
+    spark = scored.sparkSession
+    made = fit_clusters(scored, vectorizer, restarts=restarts)
+    rows = stage(made.assign(anomalies(scored)), "clustered")
+    checked = made.vectorizer.add(rows).withColumn("far", made.distances("tfidf"))
+    total = rows.agg(F.count("*").alias("n"), F.sum("distance").alias("cost")).first()
+    own = F.element_at("far", F.col("cluster") + 1)
+    made.save(spark, path)
+    loaded = Clustering.load(spark, path)
     checks = [
-        ("sizes", clustered.agg(F.sum("copies")).first()[0] == rows.count()),
-        ("keywords", all(len(w) == 8 and set(w) <= set(vectorizer.terms) for w in words)),
-        ("cost", best.summary.trainingCost <= runs[0].summary.trainingCost),
-        ("nearest", distances.filter(own > F.array_min("far") + 1e-9).isEmpty()),
+        ("sizes", total["n"] == anomalies(scored).count()),
+        ("keywords", all(len(w) == 8 and set(w) <= set(made.vectorizer.terms) for w in made.keywords())),
+        ("cost", len(made.costs) == restarts and abs(min(made.costs) - total["cost"]) <= 1e-6 * max(1.0, total["cost"])),
+        ("nearest", checked.filter(own > F.array_min("far")).isEmpty()),
+        ("saved", loaded == made),
     ]
-    points.unpersist()
-    return scored.sparkSession.createDataFrame(checks, "name string, ok boolean")
+    return spark.createDataFrame(checks, "name string, ok boolean")
 
 
 def _keywords(terms: list[str], centre, n: int = 8) -> list[str]:
@@ -149,19 +197,21 @@ def cluster_summaries(
     k: int = fixed.CLUSTERS,
     restarts: int = fixed.KMEANS_RESTARTS,
     order: tuple[str, ...] = ("ts", "message"),
+    clustering: Clustering | None = None,
 ) -> DataFrame:
-    """Size, keywords, first messages, dominant severity and text per cluster.
+    """Size, keywords, first messages, dominant severity and text per cluster of the anomalies.
 
-    Cluster numbers follow size, largest first, so they are stable.
+    Cluster numbers follow size, largest first, so they are stable. Centres
+    that are given are taken as they are; ones without a row do not appear.
     """
     spark = scored.sparkSession
-    found = assign_clusters(scored, vectorizer, k, restarts)
-    if found is None:
+    clustering = clustering or fit_clusters(scored, vectorizer, k, restarts)
+    if clustering is None:
         return spark.createDataFrame([], SUMMARY)
-    rows, keywords = found
+    rows = clustering.assign(anomalies(scored))
     level = F.col("severity") if "severity" in rows.columns else F.lit(None).cast("string")
     rows = stage(rows.withColumn("severity", level), "clustered")
-    words = spark.createDataFrame(list(enumerate(keywords)), "cluster int, top_keywords array<string>")
+    words = spark.createDataFrame(list(enumerate(clustering.keywords())), "cluster int, top_keywords array<string>")
     # At most k rows from here on.
     table = dominant_severity(rows, "cluster").join(sample_messages(rows, "cluster", 3, order), "cluster").join(words, "cluster")
     listed = table.agg(

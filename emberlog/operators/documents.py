@@ -11,6 +11,7 @@ from emberlog.functions import severity, text, times
 from emberlog.operators.scoring import anomalies
 from emberlog.schemas import ANOMALY_DOC, require_columns
 from emberlog.session import slot_for, stage
+from emberlog.sources import snapshots
 
 RENAMED = {"error_flag": "contains_error", "login_flag": "contains_login", "warning_flag": "contains_warning"}
 
@@ -101,32 +102,29 @@ def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert(new: DataFrame, path: str, written: str | None = None) -> DataFrame:
-    """Merge documents into the table at ``path``, kept by day.
+    """Merge documents into the table at ``path``, kept by day in snapshots.
 
     A batch replaces what is there. If it has several documents of one key, the
     last one by the order column ``written`` wins, or without such a column the
     most anomalous one. The key ``doc_id`` contains the time, so a document can
     only replace one of its own day: just the days in the batch are read and
-    rewritten, not the table. The merged days are staged first, because a plan
-    cannot overwrite what it reads. Repeating an upsert changes nothing.
+    written anew. All of them change with one commit, so that a driver lost at
+    any moment leaves the old table or the new one. Repeating an upsert changes
+    nothing. ``read`` gives the table.
     """
     spark = new.sparkSession
-    day = F.substring("timestamp", 1, 10)
-    batch = (last_per_key(new, written) if written else most_anomalous_per_key(new)).withColumn("day", day)
-    if exists(spark, path):
-        slot = slot_for(path)
-        batch = stage(batch, "upsert-batch", slot)
-        # As literals, so that untouched days are pruned from the scan.
-        days = [r["day"] for r in batch.select("day").distinct().collect()]
-        touched = spark.read.schema(batch.schema).parquet(path).filter(F.col("day").isin(days))
-        batch = stage(merge(touched.select(*batch.columns), batch), "upsert-merged", slot)
-    (
-        batch.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )
-    return spark.read.schema(batch.schema).parquet(path)
+    batch = (last_per_key(new, written) if written else most_anomalous_per_key(new)).withColumn("day", F.substring("timestamp", 1, 10))
+    batch = stage(batch, "upsert-batch", slot_for(path))
+    days = snapshots.days_of(batch)
+    if days:
+        held = snapshots.read(spark, path, batch.schema, days)
+        snapshots.write_days(merge(held.select(*batch.columns), batch), path, days)
+    return snapshots.read(spark, path, batch.schema)
+
+
+def read(spark: SparkSession, path: str, schema=ANOMALY_DOC) -> DataFrame:
+    """The documents at ``path`` with their ``day``; none where there is no table."""
+    return snapshots.read(spark, path, schema)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

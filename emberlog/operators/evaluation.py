@@ -34,10 +34,11 @@ def basic_stats(scored: DataFrame) -> DataFrame:
     return counts.withColumn("normal", F.col("total") - F.col("anomalies")).withColumn("rate", rate)
 
 
-def score_stats(scored: DataFrame, approximate: bool = False) -> DataFrame:
-    """Mean and spread of the score per class, range, threshold, norm quantiles.
+def score_stats(scored: DataFrame, approximate: bool = False, quantile: bool = True) -> DataFrame:
+    """Mean and spread of the score per class, range, threshold, norm quantile.
 
-    A class without rows gives 0; a class of one gives a null spread.
+    A class without rows gives 0; a class of one gives a null spread. The
+    quantile takes passes of its own; without it one pass does.
     """
     score, norm, label = F.col("anomaly_score"), F.col("anomaly_score_norm"), F.col("anomaly")
     hit, miss = F.when(label == -1, score), F.when(label == 1, score)
@@ -54,7 +55,7 @@ def score_stats(scored: DataFrame, approximate: bool = False) -> DataFrame:
         or_zero(F.avg(hit_norm), hit_norm).alias("norm_score_mean"),
         or_zero(F.max(hit_norm), hit_norm).alias("norm_score_max"),
     )
-    return stats.withColumn("norm_score_p95", F.lit(norm_p95(scored, approximate)))
+    return stats.withColumn("norm_score_p95", F.lit(norm_p95(scored, approximate))) if quantile else stats
 
 
 def norm_p95(scored: DataFrame, approximate: bool = False) -> float:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as fixed
 from emberlog.operators.documents import exists
+from emberlog.session import stage
 
 REGISTRY = "tag string, path string, ok boolean, rate double, reason string"
+POINTER = "seq long, action string, tag string"
 
 
 def gate_columns(total: Column, anomalies: Column, low: float, high: float) -> dict[str, Column]:
@@ -39,8 +42,68 @@ def retain_published(registry: DataFrame, n: int = fixed.KEEP_VERSIONS) -> DataF
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The registry, empty where there is none yet."""
-    return spark.read.schema(REGISTRY).parquet(path) if exists(spark, path) else spark.createDataFrame([], REGISTRY)
+    """All versions, of one tag the entry made last; empty where there is no registry yet."""
+    if not exists(spark, f"{path}/versions"):
+        return spark.createDataFrame([], REGISTRY)
+    rows = spark.read.schema(f"{REGISTRY}, entry long").parquet(f"{path}/versions")
+    return rows.groupBy("tag").agg(F.max_by(F.struct("path", "ok", "rate", "reason"), "entry").alias("v")).select("tag", "v.*")
+
+
+def pointer(spark: SparkSession, path: str) -> DataFrame:
+    """What was in use one after the other: ``seq, action, tag``, the last row being in use now."""
+    if not exists(spark, f"{path}/pointer"):
+        return spark.createDataFrame([], POINTER)
+    return spark.read.schema(POINTER).parquet(f"{path}/pointer")
+
+
+def _count(rows: DataFrame, column: str) -> int:
+    return rows.agg(F.coalesce(F.max(column), F.lit(-1))).first()[0] + 1
+
+
+def publish(entries: DataFrame, path: str) -> None:
+    """Enter versions with their verdicts; the accepted ones come into use one after the other by tag.
+
+    Registry and pointer are only ever appended to, so that a driver lost on
+    the way leaves what was there. The versions are entered first: a version
+    without a pointer row is not in use, and publishing it again puts that right.
+    """
+    spark = entries.sparkSession
+    known = exists(spark, f"{path}/versions")
+    entry = _count(spark.read.schema(f"{REGISTRY}, entry long").parquet(f"{path}/versions"), "entry") if known else 0
+    entries = stage(entries.select("tag", "path", "ok", "rate", "reason"), "registry-entries")
+    entries.withColumn("entry", F.lit(entry).cast("long")).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    _point(entries.filter("ok").select("tag"), path, "publish")
+
+
+def _point(tags: DataFrame, path: str, action: str) -> None:
+    spark = tags.sparkSession
+    first = _count(pointer(spark, path), "seq")
+    rank = F.row_number().over(W.orderBy("tag"))  # of the versions published at once
+    rows = tags.select((rank - 1 + first).cast("long").alias("seq"), F.lit(action).alias("action"), "tag")
+    if not rows.isEmpty():
+        rows.coalesce(1).write.mode("append").parquet(f"{path}/pointer")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version in use, one row, or none."""
+    last = pointer(spark, path).orderBy(F.col("seq").desc()).limit(1)
+    return read(spark, path).join(last.select("tag"), "tag", "left_semi")
+
+
+def rollback(spark: SparkSession, path: str, tag: str | None = None) -> str:
+    """Take an earlier accepted version into use, and keep it in use until the next is published.
+
+    Without a tag it is the newest accepted one older than that in use.
+    """
+    accepted = read(spark, path).filter("ok")
+    if tag is None:
+        now = current(spark, path).select("tag").first()
+        accepted = accepted.filter(F.col("tag") < now["tag"]) if now else accepted.limit(0)
+    chosen = select_version(accepted, tag).select("tag").first()
+    if chosen is None:
+        raise LookupError("no accepted model version to go back to")
+    _point(spark.createDataFrame([chosen], "tag string"), path, "rollback")
+    return chosen["tag"]
 
 
 def versions(registry: DataFrame) -> DataFrame:

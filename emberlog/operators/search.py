@@ -1,22 +1,31 @@
-"""Keyword retrieval over anomaly documents (BM25, best field wins)."""
+"""Keyword retrieval over documents (BM25, best field wins).
+
+Documents are turned into a postings table: per field, term and block of
+documents the rows that have the term, what it is worth there, and the largest
+of those values. A question's answer is found from the few postings that can
+matter. The rows in which a single term is worth most give a score that the
+k-th best certainly reaches. Terms that together stay below it need not be
+followed up; neither need blocks whose largest values stay below it. What the
+other postings add up to is a better bound, and only rows that can still reach
+that are scored in full. Nothing is dropped that could be among the best k.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberlog import fixed_values as fixed
+from emberlog.session import stage
 
-# Question terms handled per scan of the documents; more take more scans.
-MAX_TERMS = 500_000
-# Questions and documents scored at a time inside a task.
-BLOCK, ROWS = 256, 512
+# Rows of a block are BLOCK_BITS low bits of their number.
+BLOCK_BITS = 8
+# Scores are compared after rounding to this many places, bounds with a little more room.
+PLACES = 6
+ROOM = 2e-6
 
 
 def words(c: Column) -> Column:
@@ -30,103 +39,96 @@ def question_terms(questions: DataFrame, qid: str, text: str) -> DataFrame:
     return rows.filter("term IS NOT NULL").groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def _statistics(docs: DataFrame, terms: DataFrame, fields: tuple[str, ...]) -> dict:
-    """Row count, mean field lengths, and rows per field for the terms asked for."""
-    means = docs.agg(F.count("*").alias("n"), *[F.avg(F.size(words(F.col(f)))).alias(f) for f in fields]).first()
-
-    def numbered(field: int, name: str) -> Column:
-        distinct = F.array_distinct(words(F.col(name)))
-        return F.transform(distinct, lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
-
-    listed = F.concat(*[numbered(i, f) for i, f in enumerate(fields)])
-    # Words nobody asks for are dropped before anything is counted or shuffled;
-    # there are at most MAX_TERMS others.
-    asked = F.broadcast(terms.select("term").distinct())
-    said = docs.select(F.inline_outer(listed)).join(asked, "term", "left_semi")
-    found = said.groupBy("field", "term").agg(F.count("*").alias("df")).collect()
-    return {
-        "n": means["n"],
-        "mean": [means[f] or 1.0 for f in fields],
-        "df": {(r["field"], r["term"]): r["df"] for r in found},
-    }
-
-
-def _best_per_question(asked: pd.DataFrame, stats: dict, fields: tuple[str, ...], keys: list[str], k: int):
-    """Function for one task: keep each question's best k while reading."""
-    qids = np.sort(asked["qid"].unique())
-    q_at = np.searchsorted(qids, asked["qid"].to_numpy())
-    vocabulary = {t: i for i, t in enumerate(sorted(asked["term"].unique()))}
-    t_at = asked["term"].map(vocabulary).to_numpy()
-    order = np.argsort(q_at, kind="stable")
-    q_at, t_at, qtf = q_at[order], t_at[order], asked["qtf"].to_numpy(dtype=float)[order]
-    k1, b = fixed.BM25_K1, fixed.BM25_B
-    idf = np.zeros((len(fields), len(vocabulary)))
-    for (field, term), df in stats["df"].items():
-        idf[field, vocabulary[term]] = np.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
-
-    def field_matrix(texts: pd.Series, field: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of every known term in every row: (terms used, matrix)."""
-        lists = texts.str.split()
-        lengths = lists.str.len().to_numpy()
-        flat = lists.explode().map(vocabulary).to_numpy()
-        row = np.repeat(np.arange(len(lists)), np.maximum(lengths, 1))
-        known = ~np.isnan(flat)
-        used, column = np.unique(flat[known].astype(int), return_inverse=True)
-        cells = np.bincount(row[known] * len(used) + column, minlength=len(lists) * len(used))
-        tf = cells.reshape(len(lists), len(used)).astype(float)
-        damp = k1 * (1 - b + b * lengths / stats["mean"][field])
-        return used, np.divide(tf * (k1 + 1), tf + damp[:, None], out=np.zeros_like(tf), where=tf > 0) * idf[field, used]
-
-    def scores(pdf: pd.DataFrame, first: int, last: int, matrices) -> np.ndarray:
-        lo, hi = np.searchsorted(q_at, [first, last])
-        best = np.zeros((len(pdf), last - first))
-        for used, matrix in matrices:
-            spot = np.searchsorted(used, t_at[lo:hi])
-            inside = spot < len(used)
-            inside[inside] = used[spot[inside]] == t_at[lo:hi][inside]
-            wanted = np.zeros((len(used), last - first))
-            wanted[spot[inside], q_at[lo:hi][inside] - first] = qtf[lo:hi][inside]
-            best = np.maximum(best, matrix @ wanted)
-        return best.round(6)
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        ranked = rows.sort_values(["qid", "score", *keys], ascending=[True, False, *[True] * len(keys)])
-        return ranked.groupby("qid", sort=False).head(k)
-
-    def pick(block: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, question) of scores that can still be among the best k."""
-        able = (block > 0) & (block >= least)
-        crowded = np.flatnonzero(able.sum(axis=0) > k)
-        # Rows are in key order, so a stable sort settles equal scores.
-        top = np.argsort(-block[:, crowded], axis=0, kind="stable")[:k]
-        able[:, crowded] = False
-        able[top, crowded] = True
-        return np.nonzero(able)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, least = None, np.zeros(len(qids))
-        for batch in batches:
-            for pdf in (batch.iloc[at:at + ROWS] for at in range(0, len(batch), ROWS)):
-                pdf = pdf.sort_values(keys, ignore_index=True)
-                payload = pdf.drop(columns=[f"_w{i}" for i in range(len(fields))])
-                matrices = [field_matrix(pdf[f"_w{i}"], i) for i in range(len(fields))]
-                found = [] if kept is None else [kept]
-                for first in range(0, len(qids), BLOCK):
-                    last = min(first + BLOCK, len(qids))
-                    block = scores(pdf, first, last, matrices)
-                    at, question = pick(block, least[first:last])
-                    rows = payload.iloc[at].reset_index(drop=True)
-                    rows.insert(0, "score", block[at, question])
-                    rows.insert(0, "qid", qids[first + question])
-                    found.append(rows)
-                kept = cut(pd.concat(found, ignore_index=True))
-                full = kept.groupby("qid")["score"].agg(["size", "min"])
-                full = full[full["size"] == k]
-                least[np.searchsorted(qids, full.index.to_numpy())] = full["min"]
-        if kept is not None and len(kept):
-            yield kept
-
-    return run
+@dataclass
+class Postings:
+    """``rows``: the documents, numbered; ``lists``: ``field, term, block, most, listed`` with (row, worth) pairs, one
+    block's rows at most; ``leading``: the rows in which a term is worth most; ``terms``: what each is worth at most."""
+
+    rows: DataFrame
+    lists: DataFrame
+    leading: DataFrame
+    terms: DataFrame
+
+
+def postings(docs: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...], leading: int = fixed.SEARCH_K) -> Postings:
+    """The postings table of ``docs``, kept in the shared folder.
+
+    A term's worth in a row is its inverse document frequency times its damped
+    frequency there, so a score is a sum of worths times the question's own
+    counts.
+    """
+    said = [words(F.col(f)).alias(f"_w{i}") for i, f in enumerate(fields)]
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys(keep), *said), "search-rows")
+    sizes = rows.agg(F.count("*").alias("n"), *[F.avg(F.size(f"_w{i}")).alias(f"m{i}") for i in range(len(fields))]).first()
+    listed = F.array(*[F.struct(F.lit(i).alias("field"), F.size(f"_w{i}").alias("length"), F.col(f"_w{i}").alias("words"))
+                       for i in range(len(fields))])
+    # The outer form of explode: the inner one filters on the array, which would make it twice.
+    each = rows.select("_row", F.inline_outer(listed)).select("_row", "field", "length", F.explode_outer("words").alias("term"))
+    counts = each.filter("term IS NOT NULL").groupBy("field", "term", "_row", "length").agg(F.count("*").alias("tf"))
+    counts = stage(counts, "search-counts")
+    met = stage(counts.groupBy("field", "term").agg(F.count("*").alias("df")), "search-terms")
+    n, mean = F.lit(sizes["n"]), F.element_at(F.array(*[F.lit(sizes[f"m{i}"] or 1.0) for i in range(len(fields))]), F.col("field") + 1)
+    k1, b, tf, df = fixed.BM25_K1, fixed.BM25_B, F.col("tf"), F.col("df")
+    worth = F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean))
+    worths = counts.join(met, ["field", "term"]).select("field", "term", F.col("_row").alias("row"), worth.alias("worth"))
+    entry = F.struct("row", "worth")
+    lists = stage(worths.groupBy("field", "term", F.shiftright("row", BLOCK_BITS).alias("block")).agg(
+        F.max("worth").alias("most"), F.collect_list(entry).alias("listed")), "search-lists")
+    # Cut to so many rows per term and task before they are shuffled.
+    flat = lists.select("field", "term", F.inline("listed"))
+    rank = F.row_number().over(W.partitionBy("field", "term").orderBy(F.col("worth").desc(), "row"))
+    best = stage(flat.withColumn("rank", rank).filter(F.col("rank") <= leading).drop("rank"), "search-leading")
+    return Postings(rows, lists, best, stage(best.groupBy("field", "term").agg(F.max("worth").alias("most")), "search-most"))
+
+
+def _reached(scores: DataFrame, k: int) -> DataFrame:
+    """``qid, least``: the k-th best of (qid, field, row, score), a row's best field counting; none where fewer rows have one."""
+    rows = scores.groupBy("qid", "row").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc()))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("qid", "field", "row").agg(F.sum(F.col("qtf") * F.col("worth")).alias("score"))
+
+
+def best_rows(index: Postings, asked: DataFrame, k: int) -> DataFrame:
+    """``qid, row, score`` of every row that can be among a question's best ``k``, scored in full.
+
+    ``asked`` has ``qid, term, qtf``.
+    """
+    known = asked.join(index.terms, "term").withColumn("upper", F.col("qtf") * F.col("most")).drop("most")
+    known = stage(known, "search-asked")
+    # A question's least: what k rows reach by the terms in which they lead.
+    least = _reached(_summed(known.join(index.leading, ["field", "term"])), k)
+    upwards = W.partitionBy("qid", "field").orderBy("upper", "term")
+    known = known.join(least, "qid", "left").na.fill(0.0, ["least"])
+    known = known.withColumn("total", F.sum("upper").over(upwards.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # Of the small terms, as many as together stay below that.
+    known = stage(known.withColumn("small", F.col("total") + ROOM < F.col("least")), "search-ranked")
+    rest = known.groupBy("qid", "field").agg(
+        F.coalesce(F.sum(F.when(F.col("small"), F.col("upper"))), F.lit(0.0)).alias("rest"), F.max("least").alias("least"))
+    rest = stage(rest, "search-rest")
+    large = known.filter(~F.col("small")).select("qid", "field", "term", "qtf")
+    # Blocks in which the large terms can reach it, with all small terms at their most.
+    blocks = (large.join(index.lists.select("field", "term", "block", "most"), ["field", "term"])
+              .groupBy("qid", "field", "block").agg(F.sum(F.col("qtf") * F.col("most")).alias("most"))
+              .join(rest, ["qid", "field"]).filter(F.col("most") + F.col("rest") + ROOM >= F.col("least")))
+    blocks = stage(blocks.select("qid", "field", "block"), "search-blocks")
+    wanted = large.join(blocks, ["qid", "field"]).join(index.lists.drop("most"), ["field", "term", "block"])
+    partly = stage(_summed(wanted.select("qid", "field", "qtf", F.inline("listed"))), "search-partly")
+    better = _reached(partly, k).withColumnRenamed("least", "better")
+    able = partly.join(rest, ["qid", "field"]).join(better, "qid", "left").filter(
+        F.col("score") + F.col("rest") + ROOM >= F.greatest("least", F.coalesce("better", F.lit(0.0))))
+    able = stage(able.select("qid", "field", "row", "score"), "search-able")
+    # What the small terms add, for the rows that are left.
+    small = known.filter("small").select("qid", "field", "term", "qtf")
+    block = F.shiftright("row", BLOCK_BITS).alias("block")
+    pairs = able.select("qid", "field", "row", block).join(small, ["qid", "field"])
+    flat = index.lists.select("field", "term", F.inline("listed"))
+    added = _summed(pairs.drop("block").join(flat, ["field", "term", "row"]))
+    both = able.unionByName(added).groupBy("qid", "field", "row").agg(F.sum("score").alias("score"))
+    return both.groupBy("qid", "row").agg(F.round(F.max("score"), PLACES).alias("score")).filter("score > 0")
 
 
 def search(
@@ -138,47 +140,19 @@ def search(
     keep: tuple[str, ...] = ("timestamp", "severity", "message"),
     tie_break: tuple[str, ...] = ("timestamp", "doc_id"),
     k: int = fixed.SEARCH_K,
-    max_terms: int = MAX_TERMS,
 ) -> DataFrame:
     """The ``k`` best documents per question: ``qid, rank, score`` and ``keep``.
 
-    A term in a third of the documents, asked by many, would make a join of
-    documents and questions enormous. Here each task scores its documents
-    against all questions and passes on its own best ``k`` per question, so
-    what is shuffled does not depend on how many match. Questions with more
-    than ``max_terms`` terms between them are answered in several scans. Tasks
-    hold ``tie_break`` columns only, which identify a document; the other
-    columns are attached to the documents that were found.
+    Equal scores are in order of ``tie_break``. Questions without a word, or
+    whose words no document has, have no row. Questions and documents without
+    text match nothing.
     """
-    columns = list(tie_break)
-    terms = question_terms(questions, qid, text)
-    # All terms at once where they fit, which one read of the questions tells.
-    asked = [terms.limit(max_terms + 1).toPandas()]
-    parts = [terms]
-    if len(asked[0]) > max_terms:
-        slices = -(-terms.count() // max_terms)
-        parts = [terms.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i) for i in range(slices)]
-        asked = (part.toPandas() for part in parts)
-    # Words as one text with blanks between: far cheaper to hand over than arrays.
-    said = [F.array_join(words(F.col(f)), " ").alias(f"_w{i}") for i, f in enumerate(fields)]
-    listed = docs.select(*columns, *said)
-    schema = T.StructType(
-        [T.StructField("qid", questions.schema[qid].dataType), T.StructField("score", T.DoubleType())]
-        + [listed.schema[c] for c in columns]
-    )
-    result = None
-    for part, wanted in zip(parts, asked):
-        best = _best_per_question(wanted, _statistics(docs, part, fields), fields, list(tie_break), k)
-        found = listed.mapInPandas(best, schema)
-        result = found if result is None else result.unionByName(found)
-    order = [F.col("score").desc(), *[F.col(c) for c in tie_break]]
+    index = postings(docs, fields, (*tie_break, *keep), max(k, 1))
+    found = best_rows(index, question_terms(questions, qid, text), k)
+    shown = found.withColumnRenamed("row", "_row").join(index.rows.select("_row", *dict.fromkeys((*tie_break, *keep))), "_row")
+    order = [F.col("score").desc(), *[F.col(c) for c in tie_break], F.col("_row")]
     rank = F.row_number().over(W.partitionBy("qid").orderBy(*order))
-    best = result.withColumn("rank", rank).filter(F.col("rank") <= k)
-    if not set(keep) <= set(columns):
-        shown = docs.select(F.struct(*columns).alias("_doc"), *[F.col(c).alias(f"_{c}") for c in keep])
-        best = best.withColumn("_doc", F.struct(*columns)).join(shown, "_doc").select(
-            "qid", "rank", "score", *[F.col(f"_{c}").alias(c) for c in keep])
-    return best.select("qid", "rank", "score", *keep)
+    return shown.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", "rank", "score", *keep)
 
 
 def with_fallback(

@@ -53,6 +53,20 @@ def fit_vocabulary(
     return rows.withColumn("idf", idf)
 
 
+def nonzero(c: Column) -> Column:
+    """A dense array's sparse form: its (place, value) other than 0."""
+    return F.filter(F.transform(c, lambda x, i: F.struct(i.alias("place"), x.alias("value"))), lambda s: s["value"] != 0)
+
+
+def long_form(df: DataFrame, dense: str, *keep: str) -> DataFrame:
+    """``keep``, ``place`` and ``value``: one row for each place of the array ``dense`` that is not 0.
+
+    Only those places are unpacked. The outer form of explode: for the inner
+    one an inferred filter on the array would work it out a second time.
+    """
+    return df.select(*keep, F.inline_outer(nonzero(F.col(dense)))).filter("place IS NOT NULL")
+
+
 @dataclass
 class Vectorizer:
     """A fitted vocabulary, small enough to be part of a plan."""
@@ -93,5 +107,5 @@ class Vectorizer:
     def weights(self, df: DataFrame, key: str, col: str) -> DataFrame:
         """Long form: one row per row and known term."""
         terms = F.array(*[F.lit(t) for t in self.terms])
-        rows = self.add(df.select(key, F.col(col)), col).select(key, F.posexplode_outer("tfidf").alias("i", "weight"))
-        return rows.filter("weight > 0").select(key, F.element_at(terms, F.col("i") + 1).alias("term"), "weight")
+        rows = long_form(self.add(df.select(key, F.col(col)), col), "tfidf", key)
+        return rows.select(key, F.element_at(terms, F.col("place") + 1).alias("term"), F.col("value").alias("weight"))

@@ -68,41 +68,61 @@ def feature_matrix(df: DataFrame, vectorizer: tfidf.Vectorizer, profile: str = "
     return vectorizer.add(df).withColumn("features", F.concat(numeric, "tfidf")).drop("tfidf")
 
 
-def train(logs: DataFrame, profile: str = "full", **forest_options) -> Model:
-    """Fit vocabulary and forest on de-duplicated logs.
+@dataclass
+class Training:
+    """What versions trained on the same logs share: the vocabulary and the rows' features, kept."""
+
+    vectorizer: tfidf.Vectorizer
+    rows: DataFrame
+    profile: str
+
+
+def prepare(logs: DataFrame, profile: str = "full") -> Training:
+    """Vocabulary and features of de-duplicated logs.
 
-    Features are staged, because fitting reads them three times.
+    Features are staged, because fitting and scoring read them several times.
     """
     rows = stage(basic_features(logs, profile), "training")
     vectorizer = tfidf.Vectorizer.of(tfidf.fit_vocabulary(rows))
     key = F.md5(F.concat_ws("|", "@timestamp", "message").cast("binary"))
-    keyed = stage(feature_matrix(rows, vectorizer, profile).select(key.alias("_key"), "features"), "training-features")
-    return Model(vectorizer, forest.fit(keyed, "_key", **forest_options), profile)
+    keyed = feature_matrix(rows, vectorizer, profile).select(key.alias("_key"), "features")
+    return Training(vectorizer, stage(keyed, "training-features"), profile)
+
+
+def fit(training: Training, **forest_options) -> Model:
+    return Model(training.vectorizer, forest.fit(training.rows, "_key", **forest_options), training.profile)
+
+
+def train(logs: DataFrame, profile: str = "full", **forest_options) -> Model:
+    """Fit vocabulary and forest on de-duplicated logs."""
+    return fit(prepare(logs, profile), **forest_options)
 
 
-def retrain(logs: DataFrame, path: str, tag: str, registry_path: str, keep: int = fixed.KEEP_VERSIONS, **forest_options) -> bool:
+def retrain(logs: DataFrame, path: str, tag: str, registry_path: str, training: Training | None = None, **forest_options) -> bool:
     """Train, validate, and publish only what passes.
 
     A version lives in its own folder and is entered in the registry with the
-    verdict. A rejected one is never the newest accepted version, so there is
-    nothing to restore. Of all versions the newest ``keep`` stay listed, and
-    the newest accepted one whatever its age; folders of the others can go.
+    verdict. A rejected one never comes into use, so there is nothing to
+    restore. Its rows are scored once, for the range of the scores and the
+    verdict. ``training`` spares the features where they are at hand.
     """
     spark = logs.sparkSession
-    model = train(logs, **forest_options).with_bounds(logs)
+    training = training or prepare(logs)
+    model = fit(training, **forest_options)
+    scored = stage(scoring.label(model.trees.add_score(training.rows).select("anomaly_score")), "training-scores")
+    low, high = scored.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
+    model = replace(model, bounds=None if low is None else (low, high))
     model.save(spark, f"{path}/{tag}")
-    verdict = registry.validation_gate(model.predict(logs))
-    entry = verdict.select(F.lit(tag).alias("tag"), F.lit(f"{path}/{tag}").alias("path"), "ok", "rate", "reason")
-    entry = stage(entry, "verdict")
-    before = stage(registry.read(spark, registry_path).filter(F.col("tag") != tag), "registry")
-    registry.retain_published(before.unionByName(entry), keep).coalesce(1).write.mode("overwrite").parquet(registry_path)
+    verdict = registry.validation_gate(scored)
+    entry = stage(verdict.select(F.lit(tag).alias("tag"), F.lit(f"{path}/{tag}").alias("path"), "ok", "rate", "reason"), "verdict")
+    registry.publish(entry, registry_path)
     return bool(entry.first()["ok"])
 
 
 def load_published(spark: SparkSession, registry_path: str, tag: str | None = None, profile: str = "full") -> Model:
-    """The newest accepted model, or the one with the given tag."""
-    entries = registry.read(spark, registry_path)
-    chosen = registry.select_version(entries, tag).first()
+    """The model in use, or the accepted one with the given tag."""
+    chosen = registry.select_version(registry.read(spark, registry_path), tag) if tag else registry.current(spark, registry_path)
+    chosen = chosen.first()
     if chosen is None:
         raise LookupError("no accepted model version")
     return Model.load(spark, chosen["path"], profile)

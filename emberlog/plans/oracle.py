@@ -331,18 +331,30 @@ def oracle_sql() -> dict[str, str]:
         [n("count(*)", "seen")] + [n(f"count(*) FILTER (state = '{s}')", s) for s in ("blank", "noise", "kept")]) + " FROM state")
     out["dedupe_logs"] = after("logs", "SELECT event_id, stamp, message, host, log_file FROM logs")
     out["incremental_scan"] = after("src", f"SELECT event_id, {n('copy')}, stamp, message FROM timed WHERE {in_scan}", timed)
-    out["scan_pages"] = after("src", f"""SELECT event_id, {n('copy')}, stamp,
-  {n(f'(row_number() OVER (ORDER BY ts, event_id, copy) - 1) // {fixed.SCAN_LIMIT}', 'page')} FROM timed WHERE {in_scan}""", timed)
-    out["recent_windows"] = after("src", f"""SELECT event_id, {n('copy')}, {ts_text('time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE', 'view')}
-FROM timed WHERE {in_scan}""", timed)
+    page = f"(row_number() OVER (ORDER BY ts, event_id, copy) - 1) // {fixed.SCAN_LIMIT}"
+    out["scan_pages"] = after("src", f"SELECT event_id, {n('copy')}, stamp, {n(page, 'page')} FROM timed WHERE ts IS NOT NULL", timed)
+    out["scan_cursors"] = after("src", f"""SELECT {n('step')}, {ts_text('ts', 'ts')}, event_id, {n('copy')}
+FROM (SELECT *, {page} AS step FROM timed WHERE ts IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY step ORDER BY ts DESC, event_id DESC, copy DESC) = 1""", timed)
+
+    def views(limit: int | None) -> str:
+        cut = f" QUALIFY row_number() OVER (PARTITION BY view ORDER BY ts, event_id, copy) <= {limit}" if limit else ""
+        return after("src", f"""SELECT event_id, copy, {ts_text('view', 'view')} FROM (
+  SELECT event_id, {n('copy')}, ts, time_bucket(INTERVAL 15 SECOND, ts) + to_seconds(15 * k) AS view
+  FROM timed, (SELECT unnest(range(1, 21)) AS k) WHERE ts IS NOT NULL{cut})""", timed)
+
+    for name, limit in (("recent_windows", None), ("recent_windows_capped", fixed.LIVE_LIMIT), ("recent_windows_first", reg.VIEW_FIRST)):
+        out[name] = views(limit)
     out["scan_lookback"] = after("src", f"""SELECT event_id, {n('copy')}, stamp FROM timed
 WHERE ts >= (SELECT max(ts) FROM timed) - INTERVAL 10 MINUTE""", timed)
-    out["next_mark"] = after("src", f"SELECT {ts_text('max(ts)', 'mark')} FROM timed WHERE {in_scan}", timed)
+    out["next_mark"] = after("src", f"SELECT {ts_text('max(ts)', 'mark')} FROM timed", timed)
     out["recent_scan"] = after("src", f"""SELECT event_id, {n('copy')}, stamp FROM timed
 WHERE ts >= (SELECT max(ts) FROM timed) - INTERVAL 5 MINUTE""", timed)
 
     out["log_features"] = after("featured", f"SELECT event_id, {features} FROM featured")
     out["narrow_features"] = after("logs", f"SELECT event_id, {text_columns('message', 'narrow')} FROM logs")
+    out["time_fallback"] = after("featured", f"""SELECT event_id, 'timestamp' AS source, {n('hour')}, {n('day_of_week')} FROM featured
+UNION ALL SELECT event_id, 'none', 0, 0 FROM featured""")
     out["document_features"] = f"""SELECT doc_id, {', '.join(r(c) if c == 'uppercase_ratio' else c for c in full[:7])}
 FROM (SELECT doc_id, {text_columns("coalesce(text, '')")} FROM documents)"""
     out["document_frequency"] = f"SELECT doc_id, {n('count(*) OVER (PARTITION BY text)', 'message_frequency')} FROM documents"
@@ -471,7 +483,7 @@ GROUP BY w""")
     out["last_hour_summary"] = after("scored", summary("ts > (SELECT max(ts) FROM scored) - INTERVAL 1 HOUR"))
     out["severity_today"] = after("scored", summary("ts > (SELECT max(ts) FROM scored) - INTERVAL 24 HOUR"))
     out["critical_today"] = after("scored", f"""SELECT event_id, stamp, message, {r('anomaly_score_norm')} FROM scored
-WHERE anomaly_score_norm > 0.9 AND ts >= (SELECT date_trunc('day', max(ts)) FROM scored)""")
+WHERE anomaly_score_norm > (SELECT avg(anomaly_score_norm) FROM scored) AND ts >= (SELECT date_trunc('day', max(ts)) FROM scored)""")
     out["most_severe_per_day"] = after("scored", f"""SELECT strftime(ts, '%Y-%m-%d') AS date, event_id, severity, {r('anomaly_score_norm')} FROM hits
 WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY anomaly_score_norm DESC, ts, event_id) = 1""")
     out["impact"] = after("scored", f"""SELECT {n('count(*)', 'anomalies')}, {r('max(anomaly_score_norm)', 'max_score')},
@@ -568,8 +580,50 @@ FROM featured LEFT JOIN (
   FROM (SELECT host, term, w / sqrt(sum(w * w) OVER (PARTITION BY event_id)) AS w
         FROM (SELECT event_id, term, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term)) JOIN scored USING (event_id))
   JOIN (SELECT host, count(*) AS size FROM scored GROUP BY host) USING (host) GROUP BY host, size, term) WHERE rank <= 8""", plain)
-    out["cluster_checks"] = "SELECT name, CAST(1 AS BIGINT) AS ok FROM (VALUES ('sizes'), ('keywords'), ('cost'), ('nearest')) t(name)"
-    out["retrained"] = "SELECT '2024010' || k || '_000000' AS tag FROM (SELECT unnest(range(3, 8)) AS k)"
+    out["cluster_checks"] = "SELECT name, CAST(1 AS BIGINT) AS ok FROM (VALUES ('sizes'), ('keywords'), ('cost'), ('nearest'), ('saved')) t(name)"
+    # All distances from the hosts' mean weights, by products of the sparse rows.
+    near = """
+unit AS (SELECT event_id, idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY event_id)) AS w
+  FROM (SELECT event_id, idx, term, (1 + ln(tf.tf)) * idf AS w FROM tf JOIN vocab USING (term))),
+centre AS (SELECT host, idx, term, round(sum(w) / size, 9) AS c FROM unit JOIN scored USING (event_id)
+  JOIN (SELECT host, count(*) AS size FROM scored GROUP BY host) USING (host) GROUP BY host, size, idx, term),
+centres AS (SELECT host, row_number() OVER (ORDER BY host) - 1 AS cluster, sum(c * c) AS cc FROM centre GROUP BY host),
+dots AS (SELECT event_id, host, sum(w * c) AS xy FROM unit JOIN centre USING (idx) GROUP BY event_id, host),
+lengths AS (SELECT event_id, sum(w * w) AS xx FROM unit GROUP BY event_id),
+placed AS (
+  SELECT event_id, cluster, round(coalesce(xx, 0) + cc - 2 * coalesce(xy, 0), 9) AS distance
+  FROM (SELECT DISTINCT event_id FROM scored) CROSS JOIN centres LEFT JOIN dots USING (event_id, host) LEFT JOIN lengths USING (event_id)
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(coalesce(xx, 0) + cc - 2 * coalesce(xy, 0), 9), cluster) = 1)"""
+    out["cluster_assignment"] = after("scored", f"SELECT event_id, {n('cluster')}, {r('distance')} FROM placed", plain, near)
+    summary_text = f"printf({q(fixed.CLUSTER_SUMMARY)}, cluster_id, size, array_to_string(keywords[1:5], ', '), dominant_severity)"
+    out["cluster_summaries_given"] = after("scored", f"""SELECT {n('cluster_id')}, {n('size')}, array_to_string(keywords, chr(10)) AS top_keywords,
+  sample_msgs, dominant_severity, {summary_text} AS summary FROM (
+  SELECT *, row_number() OVER (ORDER BY size DESC, keywords, cluster) - 1 AS cluster_id
+  FROM words JOIN sizes USING (cluster) JOIN samples USING (cluster))""", plain, near, """
+mine AS (SELECT hits.*, cluster FROM hits JOIN placed USING (event_id)),
+words AS (
+  SELECT cluster, list(term ORDER BY c DESC, term)[1:8] AS keywords
+  FROM (SELECT cluster, vocab.term, coalesce(c, 0) AS c FROM centres CROSS JOIN vocab LEFT JOIN centre ON centre.host = centres.host AND centre.idx = vocab.idx)
+  GROUP BY cluster),
+sizes AS (SELECT cluster, sum(n) AS size, first(severity ORDER BY n DESC, severity) AS dominant_severity
+  FROM (SELECT cluster, severity, count(*) AS n FROM mine GROUP BY ALL) GROUP BY cluster),
+samples AS (SELECT cluster, string_agg(message, chr(10) ORDER BY rn) AS sample_msgs
+  FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ts NULLS FIRST, event_id) AS rn FROM mine) WHERE rn <= 3 GROUP BY cluster)""")
+    judged = f"""
+judged AS (SELECT count(*) AS total, count(*) FILTER (score < 0) AS anomalies, count(*) FILTER (score < 0) / count(*) AS rate FROM told),
+listed AS (SELECT '2024010' || k || '_000000' AS tag, total, anomalies, rate, rate BETWEEN {fixed.GATE_LOW} AND {fixed.GATE_HIGH} AS ok
+  FROM (SELECT unnest(range(3, 8)) AS k), judged)"""
+    out["retrained"] = after("featured", f"""SELECT tag, {n('ok')}, {r('rate')}, CASE WHEN ok THEN printf('rate %.4f (%d of %d)', rate, anomalies, total)
+  WHEN rate < {fixed.GATE_LOW} THEN printf('rate %.4f under {fixed.GATE_LOW}', rate) ELSE printf('rate %.4f over {fixed.GATE_HIGH}', rate) END AS reason,
+  {n("ok AND tag = '20240107_000000'", 'latest')}, {n("ok AND tag = '20240107_000000'", 'in_use')} FROM listed""", terms, matrix, forest("matrix", "x"), judged)
+    out["rollback_history"] = after("scored", f"""SELECT {n('row_number() OVER (ORDER BY step, tag) - 1', 'seq')}, action, tag,
+  {n('tag = (SELECT min(tag) FROM accepted)', 'in_use')} FROM (
+  SELECT 1 AS step, 'publish' AS action, tag FROM accepted WHERE tag < (SELECT tag FROM cut)
+  UNION ALL SELECT 2, 'rollback', (SELECT tag FROM accepted WHERE tag < (SELECT tag FROM cut) ORDER BY tag DESC LIMIT 1 OFFSET 1)
+  UNION ALL SELECT 3, 'publish', tag FROM accepted WHERE tag >= (SELECT tag FROM cut)
+  UNION ALL SELECT 4, 'rollback', min(tag) FROM accepted)""", VERSIONS, """
+accepted AS (SELECT tag FROM registry WHERE ok),
+cut AS (SELECT min(tag) AS tag FROM (SELECT tag FROM registry ORDER BY tag DESC LIMIT 2))""")
 
     out["stream_replay"] = after("flat", f"""SELECT {ts_text('cycle', 'cycle')}, {n('count(*)', 'n')}
 FROM (SELECT time_bucket(INTERVAL 5 MINUTE, {PARSE}) AS cycle FROM flat WHERE {PARSE} IS NOT NULL) GROUP BY cycle""")
@@ -581,6 +635,7 @@ GROUP BY w""")
     out["stream_repeats"] = after("flat", f"SELECT DISTINCT stamp, message FROM flat WHERE {PARSE} IS NOT NULL")
     out["stream_upsert"] = out["anomaly_docs"]
     out["stream_alerts"] = out["alert_cooldown"].replace("FROM scored WHERE ts IS NOT NULL", "FROM hits WHERE ts IS NOT NULL AND severity IN ('CRITICAL', 'HIGH')")
+    out["stream_cooldown"] = out["alert_cooldown"]
     chunk = " + ".join(f"CAST(coalesce(ts >= {at(k / reg.CHUNKS)}, false) AS BIGINT)" for k in range(1, reg.CHUNKS))
     rows = f"flat AS (SELECT * FROM (SELECT event_id, copy, user_id, event_type, value, stamp, host, log_file, {live} AS message FROM src) WHERE message <> '')"
     out["stream_live_top"] = "WITH RECURSIVE" + ",".join([SRC, rows, LOGS, FEATURED, SCORED, DOCS, timed]) + f"""

@@ -28,15 +28,17 @@ from emberlog.plans import detector
 from emberlog.session import prepare, scratch, spread, stage
 from emberlog.sources import scan, tables
 from emberlog.sources.event_logs import source_documents
-from emberlog.streaming import pipeline, windows
+from emberlog.streaming import cooldown, pipeline, windows
 
 # Row order where the input has none of its own.
 ORDER = ("host", "log_file", "event_id")
 TIES = ("event_id",)
-# How far behind the newest row the scan queries begin.
+# How far behind the newest row the query of a scan from a mark begins.
 SCAN_SPAN = timedelta(days=20)
 IDS = ("event_id", "copy")
 CHUNKS = 4
+# Rows of a view in the query whose cap binds at every scale.
+VIEW_FIRST = 3
 # Shares of the time range at which the batches of the merge query overlap.
 MERGE_FROM, MERGE_TO = 0.3, 0.6
 
@@ -134,6 +136,11 @@ class Inputs:
         """Vocabulary of the documents table."""
         return self._once("vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(self.texts("documents"), "text")))
 
+    @property
+    def plain_vectorizer(self) -> tfidf.Vectorizer:
+        """Vocabulary of the scored messages, as clusters make one where none is given."""
+        return self._once("plain-vectorizer", lambda: clusters.temporary_vectorizer(self.scored.select("event_id", "message")))
+
     @property
     def retrieved(self) -> DataFrame:
         """What each question finds among the anomaly documents, or the first ones if nothing."""
@@ -246,20 +253,26 @@ def incremental_scan(i: Inputs) -> DataFrame:
     return _stamp(rows).select("event_id", "copy", "stamp", "message")
 
 
+def _pages(i: Inputs) -> DataFrame:
+    """All sources as a capped scan reads them, from the oldest row on."""
+    return i._once("pages", lambda: stage(scan.paged(i.sources, i.start, i.now, fixed.SCAN_LIMIT, IDS), "pages"))
+
+
 @query
 def scan_pages(i: Inputs) -> DataFrame:
-    """The same range read by a capped scan, page after page, from a kept cursor."""
-    out, state, page = _scratch(i, "pages"), _scratch(i, "scan-state"), 0
-    mark = i.now - SCAN_SPAN
-    while True:
-        cursor = scan.load_cursor(i.spark, state, IDS)
-        rows = stage(scan.next_page(i.sources, cursor, mark, i.now, fixed.SCAN_LIMIT, IDS), "page", "scan-page")
-        cursor = scan.cursor_after(rows, IDS)
-        if cursor is None:
-            return _stamp(i.spark.read.parquet(out)).select("event_id", "copy", "stamp", "page")
-        rows.withColumn("page", F.lit(page)).write.mode("append").partitionBy("page").parquet(out)
-        scan.save_cursor(i.spark, state, cursor, IDS, page)
-        page += 1
+    return _stamp(_pages(i)).select("event_id", "copy", "stamp", "page")
+
+
+@query
+def scan_cursors(i: Inputs) -> DataFrame:
+    """Where each page ends, as the state table has it after two scans, the second from the first one's cursor."""
+    state, pages = _scratch(i, "scan-state"), _pages(i)
+    half = pages.agg(F.floor(F.max("page") / 2)).first()[0]
+    scan.save_cursors(scan.page_ends(pages.filter(F.col("page") <= half), IDS), state)
+    cursor = scan.load_cursor(i.spark, state, IDS)
+    rest = scan.paged(i.sources, i.start, i.now, fixed.SCAN_LIMIT, IDS, cursor, half + 1)
+    scan.save_cursors(scan.page_ends(rest, IDS), state)
+    return i.spark.read.parquet(state).select("step", "ts", *IDS)
 
 
 @query
@@ -271,7 +284,7 @@ def scan_lookback(i: Inputs) -> DataFrame:
 @query
 def next_mark(i: Inputs) -> DataFrame:
     """Over all rows read, whatever cleaning drops of them."""
-    return scan.next_mark(scan.incremental_scan(i.sources, i.now - SCAN_SPAN, i.now))
+    return scan.next_mark(scan.incremental_scan(i.sources, i.start, i.now))
 
 
 @query
@@ -281,9 +294,20 @@ def recent_scan(i: Inputs) -> DataFrame:
 
 @query
 def recent_windows(i: Inputs) -> DataFrame:
-    """Every live view of the scan's range."""
-    rows = scan.recent_windows(i.sources, i.now - SCAN_SPAN, i.now)
-    return rows.select("event_id", "copy", "view")
+    """Every live view, one each 15 seconds, of all sources."""
+    return scan.recent_windows(i.sources, i.start, i.now, IDS).select("event_id", "copy", "view")
+
+
+@query
+def recent_windows_capped(i: Inputs) -> DataFrame:
+    """The same with the watcher's cap on the rows of a view."""
+    return scan.recent_windows(i.sources, i.start, i.now, IDS, fixed.LIVE_LIMIT).select("event_id", "copy", "view")
+
+
+@query
+def recent_windows_first(i: Inputs) -> DataFrame:
+    """The oldest few of each view: a cap that most views exceed."""
+    return scan.recent_windows(i.sources, i.start, i.now, IDS, VIEW_FIRST).select("event_id", "copy", "view")
 
 
 # Features ------------------------------------------------------------------
@@ -293,6 +317,15 @@ def log_features(i: Inputs) -> DataFrame:
     return features.basic_features(i.logs).select("event_id", *fixed.FEATURES["full"])
 
 
+@query
+def time_fallback(i: Inputs) -> DataFrame:
+    """Hour and weekday from the other time column, and zeros where there is neither."""
+    named = features.time_features(i.logs.drop("ts").withColumnRenamed("@timestamp", "timestamp"))
+    none = features.time_features(i.logs.drop("ts", "@timestamp"))
+    rows = named.select("event_id", F.lit("timestamp").alias("source"), "hour", "day_of_week")
+    return rows.unionByName(none.select("event_id", F.lit("none").alias("source"), "hour", "day_of_week"))
+
+
 @query
 def narrow_features(i: Inputs) -> DataFrame:
     return features.basic_features(i.logs, "narrow").select("event_id", *fixed.FEATURES["narrow"])
@@ -394,12 +427,12 @@ def basic_stats(i: Inputs) -> DataFrame:
 
 @query
 def score_stats(i: Inputs) -> DataFrame:
-    return evaluation.score_stats(i.scored).drop("norm_score_p95")
+    return evaluation.score_stats(i.scored, quantile=False)
 
 
 @query
 def score_p95(i: Inputs) -> DataFrame:
-    return evaluation.score_stats(i.scored).select("norm_score_p95")
+    return i.spark.createDataFrame([(evaluation.norm_p95(i.scored),)], "norm_score_p95 double")
 
 
 @query
@@ -565,8 +598,9 @@ def last_hour_summary(i: Inputs) -> DataFrame:
 
 @query
 def critical_today(i: Inputs) -> DataFrame:
-    """On a scale where there are some each day: the label aside, the upper tenth is critical."""
-    rows = i.scored.withColumn("anomaly", F.lit(-1)).withColumn("severity", F.when(F.col("anomaly_score_norm") > 0.9, "CRITICAL"))
+    """On a scale where there are some each day: the label aside, what is above the mean is critical."""
+    mean = i.scored.agg(F.avg("anomaly_score_norm")).first()[0]
+    rows = i.scored.withColumn("anomaly", F.lit(-1)).withColumn("severity", F.when(F.col("anomaly_score_norm") > mean, "CRITICAL"))
     return _stamp(security.critical_today(rows)).select("event_id", "stamp", "message", "anomaly_score_norm")
 
 
@@ -677,23 +711,61 @@ def cluster_summaries(i: Inputs) -> DataFrame:
 @query
 def cluster_keywords(i: Inputs) -> DataFrame:
     """The host as a stand-in cluster: its eight terms of the highest mean weight."""
-    rows = i.scored.select("event_id", "host", "message")
-    return clusters.keywords_by(rows, i._once("plain-vectorizer", lambda: clusters.temporary_vectorizer(rows)), "host")
+    return clusters.keywords_by(i.scored.select("event_id", "host", "message"), i.plain_vectorizer, "host")
 
 
 @query
 def cluster_checks(i: Inputs) -> DataFrame:
     """What must hold of any clustering, whatever the start: all true."""
-    return clusters.verify(i.scored, i.model.vectorizer)
+    return clusters.verify(i.scored, i.model.vectorizer, _scratch(i, "clustering"))
+
+
+def _host_centres(i: Inputs) -> clusters.Clustering:
+    """Stand-in centres that SQL can work out as well, through their saved form: the hosts' mean weights."""
+
+    def build() -> clusters.Clustering:
+        rows, path = i.scored.select("event_id", "host", "message"), _scratch(i, "host-centres")
+        clusters.mean_centres(rows, i.plain_vectorizer, "host").save(i.spark, path)
+        return clusters.Clustering.load(i.spark, path)
+
+    return i._once("host-centres", build)
+
+
+@query
+def cluster_assignment(i: Inputs) -> DataFrame:
+    """Every row at its nearest centre, with the squared distance."""
+    return _host_centres(i).assign(i.scored).select("event_id", "cluster", "distance")
+
+
+@query
+def cluster_summaries_given(i: Inputs) -> DataFrame:
+    """Summaries of the anomalies around centres that are given."""
+    return clusters.cluster_summaries(i.scored, order=("ts", "event_id"), clustering=_host_centres(i))
 
 
 @query
 def retrained(i: Inputs) -> DataFrame:
-    """Seven versions trained, judged and listed; the newest five stay."""
+    """Seven versions trained and judged with their verdicts; the newest five stay listed, the last is in use."""
     path = _scratch(i, "models")
+    training = detector.prepare(i.logs)
     for n in range(7):
-        detector.retrain(i.logs, path, f"2024010{n + 1}_000000", f"{path}/registry", trees=4)
-    return registry.versions(registry.read(i.spark, f"{path}/registry")).select("tag")
+        detector.retrain(i.logs, path, f"2024010{n + 1}_000000", f"{path}/registry", training)
+    listed = registry.retain_newest(registry.versions(registry.read(i.spark, f"{path}/registry")))
+    used = registry.current(i.spark, f"{path}/registry").select("tag", F.lit(True).alias("in_use"))
+    return listed.join(used, "tag", "left").select("tag", "ok", "rate", "reason", "latest", F.coalesce("in_use", F.lit(False)).alias("in_use"))
+
+
+@query
+def rollback_history(i: Inputs) -> DataFrame:
+    """The days' versions published, rolled back, published on and rolled back to the first: what was in use when."""
+    path, entries = _scratch(i, "rollbacks"), stage(_daily_versions(i.scored), "daily-versions")
+    newest = F.col("tag") >= F.lit(entries.orderBy(F.col("tag").desc()).limit(2).agg(F.min("tag")).first()[0])
+    registry.publish(entries.filter(~newest), path)
+    registry.rollback(i.spark, path)
+    registry.publish(entries.filter(newest), path)
+    registry.rollback(i.spark, path, entries.filter("ok").agg(F.min("tag")).first()[0])
+    used = registry.current(i.spark, path).select("tag", F.lit(True).alias("in_use"))
+    return registry.pointer(i.spark, path).join(used, "tag", "left").select("seq", "action", "tag", F.coalesce("in_use", F.lit(False)).alias("in_use"))
 
 
 @query
@@ -787,7 +859,7 @@ def feature_matrix(i: Inputs) -> DataFrame:
     rows = features.basic_features(i.logs)
     vectorizer = i._once("log-vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(rows)))
     rows = detector.feature_matrix(rows, vectorizer)
-    return rows.select("event_id", F.posexplode("features").alias("place", "value")).filter("value <> 0")
+    return tfidf.long_form(rows, "features", "event_id")
 
 
 @query
@@ -870,7 +942,7 @@ def _monitored(i: Inputs, live: bool = False) -> str:
 @query
 def stream_upsert(i: Inputs) -> DataFrame:
     """Documents after all batches: those of one run over everything."""
-    return i.spark.read.parquet(f"{_monitored(i)}/documents").drop("day")
+    return documents.read(i.spark, f"{_monitored(i)}/documents").drop("day")
 
 
 @query
@@ -879,6 +951,29 @@ def stream_alerts(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(f"{_monitored(i)}/alerts").select("severity", "second", "doc_id")
 
 
+@query
+def stream_cooldown(i: Inputs) -> DataFrame:
+    """Cooldown as keyed state of a stream, stopped half-way and started again from its checkpoint.
+
+    The same documents as those of ``alert_cooldown``, in CHUNKS batches by
+    time; a last row long after all others closes their windows.
+    """
+    out, end = _scratch(i, "stream-cooldown"), i.now + timedelta(days=1)
+    docs = documents.most_anomalous_per_key(documents.to_documents(i.scored.withColumn("anomaly", F.lit(-1))))
+    docs = stage(docs.withColumn("ts", F.to_timestamp("timestamp")), "cooldown-documents")
+    last = docs.limit(1).withColumns({"ts": F.lit(end), "severity": F.lit("NONE")})
+    edges = [i.start, *[i.at(k / CHUNKS) for k in range(1, CHUNKS)], end]
+    for half in (0, 1):
+        for k in range(half * CHUNKS // 2, (half + 1) * CHUNKS // 2):
+            part = docs.filter((F.col("ts") >= F.lit(edges[k])) & (F.col("ts") < F.lit(edges[k + 1])))
+            part = part.unionByName(last) if k == CHUNKS - 1 else part
+            part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+        stream = pipeline.read_stream(i.spark, f"{out}/in", docs.schema, "parquet", files_per_batch=1)
+        (cooldown.stream_cooldown(stream, "1 minute").writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint")
+         .trigger(availableNow=True).format("parquet").start(f"{out}/sent").awaitTermination())
+    return i.spark.read.parquet(f"{out}/sent").filter("severity <> 'NONE'").select("severity", "second", "doc_id")
+
+
 @query
 def stream_live_top(i: Inputs) -> DataFrame:
     """The live path's five highest scores of each batch."""
@@ -891,7 +986,7 @@ def stream_monitor(i: Inputs) -> DataFrame:
     out = _scratch(i, "stream-monitor")
     model = i.model.with_bounds(i.logs)
     pipeline.start_pipeline(_source_stream(i), model, out, f"{out}/checkpoint", availableNow=True).awaitTermination()
-    return i.spark.read.parquet(f"{out}/documents").drop("day")
+    return documents.read(i.spark, f"{out}/documents").drop("day")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

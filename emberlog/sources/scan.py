@@ -5,10 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog import fixed_values as fixed
 from emberlog.functions import times
+from emberlog.session import stage
 
 
 def with_time(df: DataFrame, col: str = "@timestamp") -> DataFrame:
@@ -68,11 +70,43 @@ def next_page(df: DataFrame, cursor: tuple | None, mark: datetime | str | None,
     if cursor is None:
         rows = incremental_scan(df, mark, now)
     else:
-        behind = F.struct("ts", *ids) > F.struct(*[F.lit(v).alias(n) for n, v in zip(("ts", *ids), cursor)])
-        rows = between(df, cursor[0], now).filter(behind)
+        rows = between(df, cursor[0], now).filter(_behind(cursor, ids))
     return rows.orderBy("ts", *ids).limit(limit)
 
 
+def paged(df: DataFrame, start: datetime | str | Column, end: datetime | str | Column, limit: int, ids: tuple[str, ...],
+          after: tuple | None = None, first: int = 0) -> DataFrame:
+    """All rows from ``start`` to ``end`` with the ``page`` that a capped scan reads them in, ``limit`` rows a page.
+
+    What ``next_page`` would read page after page, in one job: pages follow
+    from row numbers by (ts, \\*ids). With ``after``, a cursor, only rows
+    behind it are numbered, from page ``first`` on.
+    """
+    from emberlog.operators.ranking import with_row_number
+
+    rows = between(df, start if after is None else after[0], end)
+    if after is not None:
+        rows = rows.filter(_behind(after, ids))
+    numbered = with_row_number(rows, ("ts", *ids))
+    return numbered.withColumn("page", (F.col("number") / limit).cast("long") + first).drop("number")
+
+
+def _behind(cursor: tuple, ids: tuple[str, ...]) -> Column:
+    return F.struct("ts", *ids) > F.struct(*[F.lit(v).alias(n) for n, v in zip(("ts", *ids), cursor)])
+
+
+def page_ends(pages: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """The cursor each page leaves behind, ``ts, *ids, step``, and its ``rows``."""
+    last = F.max(F.struct("ts", *ids)).alias("last")
+    ends = pages.groupBy(F.col("page").alias("step")).agg(last, F.count("*").alias("rows"))
+    return ends.select("last.*", "step", "rows")
+
+
+def save_cursors(ends: DataFrame, path: str) -> None:
+    """Keep the cursors of many pages in the state table; ``load_cursor`` finds the last one."""
+    ends.drop("rows").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
+
+
 def cursor_after(page: DataFrame, ids: tuple[str, ...]) -> tuple | None:
     """Where the page behind this one begins; None for an empty page.
 
@@ -109,12 +143,28 @@ def recent_scan(df: DataFrame, now: datetime | str, limit: int | None = None, ti
     return rows if limit is None else rows.orderBy("ts", *tie_break).limit(limit)
 
 
-def recent_windows(df: DataFrame, start: datetime | str, end: datetime | str, every: str = fixed.LIVE_WINDOW) -> DataFrame:
-    """The series of live views from ``start`` to ``end``: rows with the ``view`` (its end) that shows them.
+def recent_windows(df: DataFrame, start: datetime | str, end: datetime | str, ids: tuple[str, ...],
+                   limit: int | None = None) -> DataFrame:
+    """The series of live views: rows with the ``view`` (its end) that shows them.
 
-    A view covers the five minutes up to its end and comes ``every`` so often;
-    views that overlap show a row more than once.
+    A view comes every LIVE_PERIOD, covers the LIVE_WINDOW up to its end, which
+    it does not contain, and shows the oldest ``limit`` rows of it, all without
+    one. A row is in twenty views at most. Rows are put into panes of one period
+    and, with a limit, cut to so many per pane, as no view shows more of one.
+    Views are merged from the sizes of their panes: those before a pane leave
+    it a number of places, and only rows that get one are copied to the view.
     """
-    rows = between(df, start, end)
-    span = F.window("ts", fixed.LIVE_WINDOW, every)
-    return rows.withColumn("view", span).withColumn("view", F.col("view.end"))
+    panes = F.window("ts", fixed.LIVE_PERIOD)
+    rows = between(df, start, end).withColumn("_pane", panes).withColumn("_pane", F.col("_pane.start"))
+    period, window = (F.expr(f"INTERVAL {x}") for x in (fixed.LIVE_PERIOD, fixed.LIVE_WINDOW))
+    ends = F.explode(F.sequence(F.col("_pane") + period, F.col("_pane") + window, period)).alias("view")
+    if limit is None:
+        return rows.select("*", ends).drop("_pane")
+    place = F.row_number().over(W.partitionBy("_pane").orderBy("ts", *ids))
+    rows = stage(rows.withColumn("_place", place).filter(F.col("_place") <= limit), "panes")
+    sizes = rows.groupBy("_pane").agg(F.count("*").alias("n"))
+    before = W.partitionBy("view").orderBy("_pane").rowsBetween(W.unboundedPreceding, -1)
+    seats = sizes.select("_pane", "n", ends).withColumn("_left", limit - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Staged, so that the join has a plain exchange on both sides and a crowded pane can be split.
+    seats = stage(seats.filter("_left > 0").select("_pane", "view", "_left"), "seats")
+    return rows.join(seats, "_pane").filter(F.col("_place") <= F.col("_left")).drop("_pane", "_place", "_left")

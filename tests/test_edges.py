@@ -13,7 +13,7 @@ from emberlog.operators import (
 )
 from emberlog.operators.grouping import attach_count
 from emberlog.operators.quantiles import exact_percentile
-from emberlog.sources import scan, tables
+from emberlog.sources import scan, snapshots, tables
 
 
 def one(df):
@@ -315,6 +315,40 @@ def test_upsert_replaces_only_matching_days(spark, tmp_path):
         assert got == {"a": "new", "b": "old", "c": "old", "d": "new"}
 
 
+def test_upsert_changes_all_days_or_none(spark, tmp_path, monkeypatch):
+    """Lost while the days are written or before the commit: the old table stays; the next attempt is whole."""
+    schema = "doc_id string, timestamp string, anomaly_score double, message string"
+    made = lambda text: spark.createDataFrame([(d, f"2024-01-0{d}T00", 0.1, text) for d in "1234"], schema)
+    path = str(tmp_path / "docs")
+    read = lambda **k: sorted((r["doc_id"], r["message"], r["day"]) for r in snapshots.read(spark, path, schema, **k).collect())
+    of = lambda text, days="1234": [(d, text, f"2024-01-0{d}") for d in days]
+    assert read() == []
+    documents.upsert(made("old"), path)
+    for step in ("commit", "folders"):
+        with monkeypatch.context() as lost:
+            real, calls = getattr(snapshots, step), []
+
+            def fail(*args, **kwargs):
+                calls.append(args)
+                if step == "commit" or len(calls) > 1:
+                    raise RuntimeError("lost")
+                return real(*args, **kwargs)
+
+            lost.setattr(snapshots, step, fail)
+            with pytest.raises(RuntimeError):
+                documents.upsert(made("new"), path)
+        assert read() == of("old")
+    documents.upsert(made("new").filter("doc_id > '2'"), path)
+    assert read() == of("old", "12") + of("new", "34") and read(number=0) == of("old") and read(days=["2024-01-03", "2099-01-01"]) == of("new", "3")
+    documents.upsert(made("none").limit(0), path)
+    assert snapshots.numbers(spark, path) == [0, 1]
+    # The folders of the two lost attempts; then that of the first snapshot is still in use.
+    assert snapshots.vacuum(spark, path, keep=1) == 2 and read() == of("old", "12") + of("new", "34")
+    with pytest.raises(RuntimeError):
+        monkeypatch.setattr(snapshots, "numbers", lambda *a: [0])
+        snapshots.commit(spark, path, {})
+
+
 def send_times(spark, seconds, gap=60, key="HIGH"):
     base = pd.Timestamp("2024-01-01T00:00:00")
     rows = [(key, (base + pd.Timedelta(seconds=float(s))).isoformat(), f"d{i:05d}", 0.5) for i, s in enumerate(seconds)]
@@ -470,6 +504,44 @@ def test_pages_tell_rows_of_one_time_apart(spark, tmp_path):
     assert seen == sorted(seen) == list(range(40)) and step == 7
 
 
+def test_all_pages_at_once(spark):
+    """What the pages read one after the other hold, also from a kept cursor on."""
+    base = pd.Timestamp("2024-01-01").to_pydatetime()
+    rows = [(base + pd.Timedelta(seconds=k // 7), k % 7, k) for k in range(100)] + [(None, 1, 999)]
+    df = spark.createDataFrame(rows, "ts timestamp, event_id long, n long").repartition(5)
+    end, ids = base + pd.Timedelta(seconds=13), ("event_id",)
+    pages = scan.paged(df, base, end, 6, ids)
+    assert {r["n"]: r["page"] for r in pages.collect()} == {k: k // 6 for k in range(98)}
+    ends = {r["step"]: (r["ts"], r["event_id"], r["rows"]) for r in scan.page_ends(pages, ids).collect()}
+    assert ends[0] == (base, 5, 6) and ends[16][2] == 2 and len(ends) == 17
+    rest = scan.paged(df, base, end, 6, ids, after=ends[3][:2], first=4)
+    assert {r["n"]: r["page"] for r in rest.collect()} == {k: k // 6 for k in range(24, 98)}
+    assert scan.paged(df.limit(0), base, end, 6, ids).count() == 0
+
+
+@pytest.mark.parametrize("limit", [None, 1, 4, 1000])
+def test_live_views_show_the_oldest_rows(spark, limit):
+    rng = np.random.default_rng(3)
+    base = pd.Timestamp("2024-01-01")
+    seconds = sorted([*rng.integers(0, 1200, 60).tolist(), *rng.integers(600, 640, 60).tolist(), 0, 15, 300, 300, 300])
+    rows = [((base + pd.Timedelta(seconds=int(s))).to_pydatetime(), k) for k, s in enumerate(seconds)] + [(None, 1000)]
+    df = spark.createDataFrame(rows, "ts timestamp, event_id long").repartition(3)
+    found = scan.recent_windows(df, base.to_pydatetime(), (base + pd.Timedelta(hours=1)).to_pydatetime(), ("event_id",), limit).collect()
+    expected = set()
+    for end in range(15, 1600, 15):
+        inside = [k for k, s in enumerate(seconds) if end - 300 <= s < end]
+        expected |= {(k, str(base + pd.Timedelta(seconds=end))) for k in inside[:limit]}
+    assert len(found) == len(expected) and {(r["event_id"], str(r["view"])) for r in found} == expected
+
+
+def test_row_numbers_over_many_parts(spark):
+    from emberlog.operators.ranking import with_row_number
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit(None).cast("int").alias("number")).repartition(9)
+    assert {r["k"]: r["place"] for r in with_row_number(df, ("k",), "place").collect()} == {k: k for k in range(1000)}
+    assert with_row_number(df.limit(0), ("k",), "place").count() == 0
+
+
 def test_time_filters_are_pushed_down_and_pruned(spark, tmp_path):
     rows = spark.range(200).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), "id").withColumn("day", F.to_date("ts"))
     rows.write.partitionBy("day").parquet(str(tmp_path / "t"))

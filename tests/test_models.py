@@ -141,7 +141,7 @@ def test_retrain_publishes_only_what_passes(spark, logs, tmp_path):
     assert detector.retrain(logs, path, "20240101_000000", entries, trees=20)
     # Half of all rows under the offset cannot pass the gate.
     assert not detector.retrain(logs, path, "20240102_000000", entries, trees=20, contamination=0.5)
-    table = spark.read.schema(registry.REGISTRY).parquet(entries)
+    table = registry.read(spark, entries)
     assert {r["tag"]: r["ok"] for r in table.collect()} == {"20240101_000000": True, "20240102_000000": False}
     model = detector.load_published(spark, entries)
     predicted = model.predict(logs).toPandas()
@@ -151,6 +151,46 @@ def test_retrain_publishes_only_what_passes(spark, logs, tmp_path):
         detector.load_published(spark, entries, "20240102_000000")
 
 
+def test_rollback_lasts_until_the_next_version(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    entry = lambda tag, ok=True: spark.createDataFrame([(tag, f"models/{tag}", ok, 0.01, "")], registry.REGISTRY)
+    used = lambda: [r["tag"] for r in registry.current(spark, path).collect()]
+    assert used() == []
+    with pytest.raises(LookupError):
+        registry.rollback(spark, path)
+    for tag in ("t1", "t2", "t3"):
+        registry.publish(entry(tag), path)
+    assert used() == ["t3"]
+    assert registry.rollback(spark, path) == "t2" and used() == ["t2"] and used() == ["t2"]
+    assert registry.rollback(spark, path) == "t1" and used() == ["t1"]
+    with pytest.raises(LookupError):
+        registry.rollback(spark, path)
+    registry.publish(entry("t4", ok=False), path)  # rejected: what is in use stays so
+    assert used() == ["t1"]
+    with pytest.raises(LookupError):
+        registry.rollback(spark, path, "t4")
+    registry.publish(entry("t5"), path)
+    assert used() == ["t5"] and registry.rollback(spark, path, "t3") == "t3" and used() == ["t3"]
+    log = [tuple(r) for r in registry.pointer(spark, path).orderBy("seq").collect()]
+    assert log == [(k, a, t) for k, (a, t) in enumerate([
+        ("publish", "t1"), ("publish", "t2"), ("publish", "t3"), ("rollback", "t2"), ("rollback", "t1"), ("publish", "t5"), ("rollback", "t3")])]
+
+
+def test_publishing_again_after_a_lost_pointer(spark, tmp_path, monkeypatch):
+    """A driver lost between registry and pointer: the old version stays in use; publishing again takes effect once."""
+    path = str(tmp_path / "registry")
+    entry = lambda tag, rate: spark.createDataFrame([(tag, f"models/{tag}", True, rate, "")], registry.REGISTRY)
+    registry.publish(entry("t1", 0.01), path)
+    with monkeypatch.context() as lost:
+        lost.setattr(registry, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            registry.publish(entry("t2", 0.02), path)
+    assert registry.current(spark, path).first()["tag"] == "t1"
+    registry.publish(entry("t2", 0.03), path)
+    assert [(r["tag"], r["rate"]) for r in registry.read(spark, path).orderBy("tag").collect()] == [("t1", 0.01), ("t2", 0.03)]
+    assert registry.current(spark, path).first()["tag"] == "t2"
+
+
 def test_narrow_profile_has_its_own_model(spark, logs):
     model = detector.train(logs, "narrow", trees=10)
     predicted = model.predict(logs)
@@ -177,7 +217,9 @@ def test_clusters(spark):
 def test_restarts_never_hurt(spark, logs):
     df = logs.withColumn("anomaly", F.lit(-1)).withColumn("severity", F.lit("LOW"))
     def spread(restarts):
-        rows, _ = clusters.assign_clusters(df, restarts=restarts)
+        made = clusters.fit_clusters(df, restarts=restarts)
+        assert len(made.costs) == restarts
+        rows = made.assign(df)
         assert rows.count() == logs.count()
         vectorizer = clusters.temporary_vectorizer(df)
         points = vectorizer.add(rows).select("cluster", "tfidf").toPandas()
@@ -189,6 +231,21 @@ def test_restarts_never_hurt(spark, logs):
     assert spread(4) <= spread(1) + 1e-9
 
 
+def test_saved_centres_assign_as_before(spark, tmp_path):
+    texts = ["aa bb", "bb cc cc", None, "", "dd", "aa bb"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "event_id int, message string")
+    made = clusters.Clustering(tfidf.Vectorizer(["aa", "bb", "cc", "dd"], [1.0, 1.0, 2.0, 1.5], False),
+                               [[0.0] * 4, [0.0] * 4, [0.7, 0.7, 0.0, 0.0], [0.0, 0.1, 0.9, 0.0]], [3.0, 2.5])
+    made.save(spark, str(tmp_path / "m"))
+    loaded = clusters.Clustering.load(spark, str(tmp_path / "m"))
+    assert loaded == made
+    got = {r["event_id"]: (r["cluster"], r["message"]) for r in loaded.assign(df).collect()}
+    # Rows without a known term are nearest to the first of two equal centres.
+    assert got == {0: (2, "aa bb"), 1: (3, "bb cc cc"), 2: (0, ""), 3: (0, ""), 4: (0, "dd"), 5: (2, "aa bb")}
+    assert [w[:2] for w in made.keywords()] == [["aa", "bb"], ["aa", "bb"], ["aa", "bb"], ["cc", "bb"]]
+    assert loaded.assign(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_too_few_to_cluster(spark, n):
     df = spark.createDataFrame([("m", "LOW", "t", -1)] * n, "message string, severity string, ts string, anomaly int")
@@ -218,8 +275,9 @@ def brute_force(docs, asked, k):
     return out
 
 
-@pytest.mark.parametrize("max_terms", [4, 500_000])
-def test_search_against_brute_force(spark, max_terms):
+@pytest.mark.parametrize("bits", [1, 8])
+def test_search_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(search, "BLOCK_BITS", bits)
     rng = np.random.default_rng(2)
     words = ["disk", "full", "login", "failed", "error", "high", "root", "user"]
     docs = [{"doc_id": f"d{i:03d}", "message": " ".join(rng.choice(words, rng.integers(0, 9))), "severity": str(rng.choice(["HIGH", "LOW"]))}
@@ -228,7 +286,7 @@ def test_search_against_brute_force(spark, max_terms):
     table = spark.createDataFrame(docs, "doc_id string, message string, severity string").repartition(5)
     questions = spark.createDataFrame(asked, "qid string, text string")
     options = dict(keep=("doc_id",), tie_break=("doc_id",))
-    found = search.search(table, questions, "qid", "text", max_terms=max_terms, **options)
+    found = search.search(table, questions, "qid", "text", **options)
     expected = brute_force(docs, asked, 10)
     got = {}
     for r in found.orderBy("qid", "rank").collect():
@@ -237,3 +295,17 @@ def test_search_against_brute_force(spark, max_terms):
     filled = search.with_fallback(found, questions, table, "qid", **options).orderBy("qid", "rank").toPandas()
     assert filled[filled["qid"] == "d"]["doc_id"].tolist() == [f"d{i:03d}" for i in range(5)]
     assert set(filled["qid"]) == set("abcde")
+
+
+def test_search_keeps_ties_and_repeated_rows(spark):
+    docs = [(f"d{i:02d}", t) for i, t in enumerate(["a b", "a b", "b", None, "", "a a a", "c"] * 4)] + [("d00", "a b"), ("d00", "a b")]
+    table = spark.createDataFrame(docs, "doc_id string, message string").repartition(4)
+    asked = spark.createDataFrame([(1, "a"), (2, "A b b"), (3, None), (4, "zzz"), (5, "c c")], "qid int, text string")
+    found = search.search(table, asked, "qid", "text", fields=("message",), keep=("doc_id", "message"), tie_break=("doc_id",), k=7).collect()
+    by = {}
+    for r in sorted(found, key=lambda r: (r["qid"], r["rank"])):
+        by.setdefault(r["qid"], []).append(r["doc_id"])
+    assert set(by) == {1, 2, 5} and by[5] == ["d06", "d13", "d20", "d27"]
+    assert by[1] == ["d05", "d12", "d19", "d26", "d00", "d00", "d00"] and by[2] == ["d00", "d00", "d00", "d01", "d07", "d08", "d14"]
+    assert search.search(table.limit(0), asked, "qid", "text", fields=("message",), keep=("doc_id",), tie_break=("doc_id",)).count() == 0
+    assert search.search(table, asked.limit(0), "qid", "text", fields=("message",), keep=("doc_id",), tie_break=("doc_id",)).count() == 0

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import clean
+from emberlog.operators import clean, documents
 from emberlog.plans import detector, registered
 from emberlog.sources.event_logs import source_documents
 from emberlog.streaming import cooldown, pipeline, windows
@@ -38,7 +38,7 @@ def test_pipeline_over_several_batches(spark, parts, tmp_path):
     batches_of(pipeline.start_pipeline(stream(spark, parts), model, out, f"{out}/checkpoint", availableNow=True))
     scored = spark.read.parquet(f"{out}/scored")
     assert scored.select("batch_id").distinct().count() == 3
-    docs = spark.read.parquet(f"{out}/documents").toPandas()
+    docs = documents.read(spark, f"{out}/documents").toPandas()
     assert len(docs) > 0 and docs["doc_id"].is_unique
     # Exactly the keyable anomalies of the scored batches are there.
     keyed = scored.filter("anomaly = -1 AND try_to_timestamp(`@timestamp`) IS NOT NULL").select("@timestamp", "message").distinct()
@@ -51,10 +51,62 @@ def test_pipeline_over_several_batches(spark, parts, tmp_path):
     # A repeated batch leaves everything as it is.
     first = spark.read.schema(parts[1]).parquet(parts[0]).filter("event_id * 3 / 1000 >= 2")
     pipeline.process_batch(first, 2, model, out)
-    assert spark.read.parquet(f"{out}/documents").count() == len(docs)
+    assert documents.read(spark, f"{out}/documents").count() == len(docs)
     assert spark.read.parquet(f"{out}/scored").count() == rows
 
 
+class Lost(Exception):
+    pass
+
+
+def failing(call, lose):
+    """``call``, which raises once, before it does anything or after it is done."""
+    left = [True]
+
+    def attempt(*args, **kwargs):
+        if left and lose == "before":
+            left.pop()
+            raise Lost
+        done = call(*args, **kwargs)
+        if left:
+            left.pop()
+            raise Lost
+        return done
+
+    return attempt
+
+
+def state(spark, out):
+    """All that a batch leaves, as comparable rows."""
+    tables = {name: spark.read.parquet(f"{out}/{name}") for name in ("scored", "alerts", "last_sent", "top")}
+    tables["documents"] = documents.read(spark, f"{out}/documents")
+    return {name: sorted(map(str, df.select(*sorted(df.columns)).collect())) for name, df in tables.items()}
+
+
+def test_half_written_batches_are_repeated(spark, parts, tmp_path, monkeypatch):
+    """Whatever write a batch is lost before or after, repeating it leaves what an undisturbed run does."""
+    from emberlog.sources import snapshots
+
+    model = registered.Inputs(spark, FOLDER).stand_in(live=True)
+    rows = spark.read.schema(parts[1]).parquet(parts[0])
+    batches = [rows.filter(F.col("event_id") % 2 == k) for k in (0, 1)]
+    for k, batch in enumerate(batches):
+        pipeline.process_batch(batch, k, model, str(tmp_path / "whole"), live=True)
+    expected = state(spark, str(tmp_path / "whole"))
+    assert all(expected.values())
+    places = [(pipeline, "write_batch"), (snapshots, "commit"), (pipeline, "_put"), (pipeline, "_carry_over"), (documents, "upsert")]
+    for module, name in places:
+        for lose in ("before", "after"):
+            out = str(tmp_path / f"{name}-{lose}")
+            pipeline.process_batch(batches[0], 0, model, out, live=True)
+            with monkeypatch.context() as lost:
+                lost.setattr(module, name, failing(getattr(module, name), lose))
+                with pytest.raises(Lost):
+                    pipeline.process_batch(batches[1], 1, model, out, live=True)
+            pipeline.process_batch(batches[1], 1, model, out, live=True)
+            assert state(spark, out) == expected, (name, lose)
+
+
 def test_empty_batch_does_nothing(spark, parts, tmp_path):
     nothing = spark.createDataFrame([], parts[1])
     pipeline.process_batch(nothing, 0, None, str(tmp_path / "out"))
