@@ -8,24 +8,30 @@ log-probabilities of a document's words is its score.
 All words are counted over all documents. The network predicts the most frequent
 ones by themselves and the others by the one of RARE places that they share by
 hash; a word's probability is then its place's times its share of the words
-counted there. These counts are a table that grows with the corpus and is joined
-to the words of the documents; only the network's input tells rare words apart
-no further than by place. A word that was not counted has the share of one more
-word in its place, spread evenly over all strings of bytes.
-
-Training goes over all words
-once: every task starts from the same weights, runs through the documents of
-its partition in small batches and returns its weights; the average, weighted
-by words, is the model. What is gathered is one set of weights per partition,
-added up part by part, so it grows with the corpus and no task or driver holds
-more than one model and a part of the sum.
+counted there. These counts are a table that grows with the corpus. The MIDDLE
+words that come next in frequency, a number that does not grow, go to the tasks
+with their shares; all others are looked up in the table by a join. Only the
+network's input tells rare words apart no further than by place. A word that
+was not counted has the share of one more word in its place, spread evenly over
+all strings of bytes.
+
+Training goes over all words once. Encoded texts are dealt by hash to lanes of
+LANE_WORDS words, in order of the hash, so that a lane is the same however the
+input is partitioned. In each of ROUNDS rounds every lane starts from the same
+weights, learns from its share of texts for that round in small batches and
+returns its weights; their average, by words, is where the next round starts.
+What is gathered is one set of weights per lane and round, added up part by
+part, so it grows with the corpus and no task or driver holds more than one
+model and a part of the sum.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -41,20 +47,26 @@ CLASSES, PER_CLASS, WIDTH, SIDE = 32, 32, 16, 2
 WORDS = CLASSES * PER_CLASS
 # Words that the network does not know by themselves share so many places, by hash.
 RARE = 64
-# Numbers for such words, a multiple of RARE.
-SPOTS = 1 << 24
-BATCH = 4096
+BATCH = 2048
 RATE = 0.15
 # Parts of the weights that are averaged on their own.
 SLICES = 16
+# Words that one lane learns from, and the rounds after which lanes are averaged.
+LANE_WORDS = 2_000_000
+ROUNDS = 4
+# Words after the network's own whose shares go to the tasks, some 20 bytes each.
+MIDDLE = 200_000
 
 
 class Vocabulary(list):
     """The most frequent words; ``counts`` is the table of all words (``word, n``),
-    ``totals`` the number of rare words counted in each place."""
+    ``totals`` the number of rare words counted in each place, ``middle`` the counts
+    of the MIDDLE words that come next and ``words`` the number of all words."""
 
     counts: DataFrame
     totals: list[int]
+    middle: dict[bytes, int]
+    words: int
 
 
 def _words(text_col: str):
@@ -65,10 +77,13 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """All words of all documents, lower-cased; the most frequent are listed, ties by word."""
     split = docs.select(F.explode(_words(text_col)).alias("word"))
     counts = stage(split.groupBy("word").agg(F.count("*").alias("n")), "words")
-    known = Vocabulary(r.word for r in counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE).collect())
+    listed = counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE + MIDDLE).collect()
+    known = Vocabulary(r.word for r in listed[:WORDS - RARE])
     rare = counts.filter(~F.col("word").isin(list(known))).groupBy((F.crc32("word") % RARE).alias("place")).agg(F.sum("n").alias("n"))
     found = {r.place: r.n for r in rare.collect()}  # at most RARE rows
     known.counts, known.totals = counts, [found.get(k, 0) for k in range(RARE)]
+    known.middle = {r.word.encode(): r.n for r in listed[WORDS - RARE:]}
+    known.words = sum(known.totals) + sum(r.n for r in listed[:WORDS - RARE])
     return known
 
 
@@ -94,28 +109,18 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
 
 
 def encoder(known: list[str]):
-    """Word ids of a text; null and empty texts have none. ``places`` makes the network's of them."""
+    """What the network predicts for the words of a lower-cased text: the word, or the place that it shares. Null texts have none."""
     ids = {w.encode(): i for i, w in enumerate(known)}
     base = WORDS - RARE
 
     def encode(text: str | None) -> np.ndarray:
-        words = (text or "").lower().encode().split()
+        words = (text or "").encode().split()
         get = ids.get
-        found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        rare = np.flatnonzero(found < 0)
-        if len(rare):
-            found[rare] = [base + zlib.crc32(words[i]) % SPOTS for i in rare]
-        return found
+        return np.array([get(w) if w in ids else base + zlib.crc32(w) % RARE for w in words], np.int64)
 
     return encode
 
 
-def places(ids: np.ndarray) -> np.ndarray:
-    """What the network predicts: the word, or the place that it shares."""
-    base = WORDS - RARE
-    return np.where(ids < base, ids, base + (ids - base) % RARE)
-
-
 def windows(ids: np.ndarray) -> np.ndarray:
     """The ids around every place, one row per place; WORDS stands for nothing."""
     padded = np.concatenate([np.full(SIDE, WORDS), ids, np.full(SIDE, WORDS)])
@@ -161,59 +166,83 @@ def log_probabilities(weights: list[np.ndarray], around: np.ndarray, targets: np
     return np.log(np.maximum(out, 1e-30))
 
 
-def learn(weights: list[np.ndarray], seen: list[np.ndarray], around: np.ndarray, targets: np.ndarray) -> None:
+def learn(flat: np.ndarray, seen: np.ndarray, around: np.ndarray, targets: np.ndarray) -> None:
     """One step of scaled gradient descent (Adagrad); ``seen`` holds sums of squares."""
-    tables, to_class, class_bias, to_word, word_bias = weights
+    tables, to_class, class_bias, to_word, word_bias = unpack(flat)
+    slope = np.zeros_like(flat)
+    of_tables, of_class, of_class_bias, of_word, of_word_bias = unpack(slope)
     n = len(targets)
-    hidden = forward(weights, around)
+    hidden = forward(unpack(flat), around)
     error = _softmax(hidden @ to_class + class_bias)
     error[np.arange(n), targets // PER_CLASS] -= 1
     back = error @ to_class.T
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [
-        (to_class, seen[1], hidden.T @ error), (class_bias, seen[2], error.sum(0))]
+    of_class[:], of_class_bias[:] = hidden.T @ error, error.sum(0)
     for c, at in by_class(targets):
         mine = hidden[at]
         wrong = _softmax(mine @ to_word[c] + word_bias[c])
         wrong[np.arange(len(at)), targets[at] % PER_CLASS] -= 1
         back[at] += wrong @ to_word[c].T
-        steps += [(to_word[c], seen[3][c], mine.T @ wrong), (word_bias[c], seen[4][c], wrong.sum(0))]
+        of_word[c], of_word_bias[c] = mine.T @ wrong, wrong.sum(0)
     back *= 1 - hidden * hidden
-    for k in range(2 * SIDE):
-        slope = np.stack([np.bincount(around[:, k], back[:, d], WORDS + 1) for d in range(WIDTH)], 1)
-        steps.append((tables[k], seen[0][k], slope.astype(np.float32)))
-    for table, squares, slope in steps:
-        slope /= n
-        squares += slope * slope
-        table -= RATE * slope / np.sqrt(squares + 1e-8)
+    # All places at once: one sum per dimension over the rows of all tables.
+    rows = (around + np.arange(2 * SIDE) * (WORDS + 1)).ravel()
+    for d in range(WIDTH):
+        of_tables[:, :, d] = np.bincount(rows, np.repeat(back[:, d], 2 * SIDE), 2 * SIDE * (WORDS + 1)).reshape(2 * SIDE, WORDS + 1)
+    slope /= n
+    seen += slope * slope
+    flat -= RATE * slope / np.sqrt(seen + 1e-8)
 
 
 def train(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> np.ndarray:
-    """The average of the weights that the partitions have learned, by words.
+    """The weights after all rounds.
 
     Without a word to learn from, the weights stay those of the start.
     """
-    schema = "slice int, lane int, words double, total binary"
-    parts = docs.select(col(text_col)).mapInArrow(_trainer(list(known)), schema)
-    for keys in (["slice", "lane"], ["slice"]):
-        parts = parts.groupBy(*keys).applyInPandas(_sum, schema)
-    found = sorted(parts.collect(), key=lambda r: r.slice)  # one row per slice of the one model
-    if not found:
+    if not known.words:
         return start()
-    return (np.concatenate([np.frombuffer(r.total, np.float64) for r in found]) / found[0].words).astype(np.float32)
+    lanes = -(-known.words // LANE_WORDS)
+    coded = docs.select(F.lower(col(text_col))).mapInArrow(_coder(list(known)), "h long, codes binary")
+    coded = coded.withColumns({"lane": F.pmod("h", F.lit(lanes)), "turn": F.pmod(F.shiftright("h", 20), F.lit(ROUNDS))})
+    # A lane's texts lie together and in the same order whatever the input's partitions.
+    coded = stage(coded.repartition(lanes, "lane").sortWithinPartitions("lane", "h"), "coded")
+    schema = "slice int, part int, words double, total binary"
+    flat, seen = start(), np.zeros_like(start())
+    for turn in range(ROUNDS):
+        parts = coded.filter(F.col("turn") == turn).select("lane", "codes").mapInArrow(_trainer(flat, seen), schema)
+        for keys in (["slice", "part"], ["slice"]):
+            parts = parts.groupBy(*keys).applyInPandas(_sum, schema)
+        found = sorted(parts.collect(), key=lambda r: r.slice)  # one row per slice of the one model
+        if found:
+            both = np.concatenate([np.frombuffer(r.total, np.float64) for r in found]) / found[0].words
+            flat, seen = (x.astype(np.float32) for x in np.split(both, 2))
+    return flat
+
+
+def _coder(known: list[str]):
+    """A hash of every text with a word, and its words as numbers of two bytes."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(known)
+        for batch in batches:
+            hashes, codes = [], []
+            for text in batch.column(0).to_pylist():
+                ids = encode(text)
+                if len(ids):
+                    hashes.append(xxhash.xxh3_64_intdigest(text.encode()) >> 1)
+                    codes.append(ids.astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(codes, pa.binary())], ["h", "codes"])
+
+    return work
 
 
 def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(t, np.float64) for t in rows["total"])
-    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "lane": [0], "words": [rows["words"].sum()], "total": [total.tobytes()]})
+    return pd.DataFrame({"slice": rows["slice"].iloc[:1], "part": [0], "words": [rows["words"].sum()], "total": [total.tobytes()]})
 
 
-def _batches(texts, encode) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _batches(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Windows and targets of BATCH words at a time, over document borders."""
     held, count = [], 0
-    for text in texts:
-        ids = places(encode(text))
-        if not len(ids):
-            continue
+    for ids in texts:
         held.append((windows(ids), ids))
         count += len(ids)
         if count >= BATCH:
@@ -226,25 +255,17 @@ def _batches(texts, encode) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.concatenate([w for w, _ in held]), np.concatenate([t for _, t in held])
 
 
-def _trainer(known: list[str]):
+def _trainer(flat: np.ndarray, seen: np.ndarray):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, flat, words, mark = encoder(known), start(), 0, 0
-        weights, seen = unpack(flat), unpack(np.zeros_like(flat))
-
-        def texts():
-            nonlocal mark
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    mark = xxhash.xxh32_intdigest((text or "")[:64], mark)
-                    yield text
-
-        for around, targets in _batches(texts(), encode):
-            learn(weights, seen, around, targets)
-            words += len(targets)
-        if words:
-            cut = np.array_split(flat.astype(np.float64) * words, SLICES)
+        rows = ((lane, codes) for batch in batches for lane, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for lane, texts in groupby(rows, lambda r: r[0]):
+            mine, squares, words = flat.copy(), seen.copy(), 0
+            for around, targets in _batches(np.frombuffer(c, np.int16).astype(np.int64) for _, c in texts):
+                learn(mine, squares, around, targets)
+                words += len(targets)
+            cut = np.array_split(np.concatenate([mine, squares]).astype(np.float64) * words, SLICES)
             yield pa.RecordBatch.from_pydict({
-                "slice": pa.array(range(SLICES), pa.int32()), "lane": pa.array([mark % 64] * SLICES, pa.int32()),
+                "slice": pa.array(range(SLICES), pa.int32()), "part": pa.array([lane % 64] * SLICES, pa.int32()),
                 "words": pa.array([float(words)] * SLICES), "total": pa.array([c.tobytes() for c in cut], pa.binary())})
 
     return work
@@ -256,44 +277,74 @@ def score(docs: DataFrame, flat: np.ndarray, known: Vocabulary, text_col: str =
     Texts without a word have 0, 0.0 and null. Columns of those names are
     replaced. The score of a text depends on nothing but the text and the model.
     """
-    made = F.pandas_udf(_scorer(flat, list(known)), "struct<n_words:long,total:double>")(col(text_col))
+    made = F.pandas_udf(_scorer(flat, known), "struct<n_words:long,total:double>")(F.lower(col(text_col)))
     names = ("n_words", "pseudo_log_likelihood", "mean_log_likelihood")
     keep = [col(c) for c in docs.columns if c.lower() not in names]
     key, rated, share = (free_name(docs, c) for c in ("_text", "_rated", "_share"))
-    both = docs.select(*keep, _text_key(text_col).alias(key), made.alias(rated))
+    both = docs.select(*keep, _text_key(col(text_col)).alias(key), made.alias(rated))
     shares = _shares(docs, known, text_col).toDF(key, share)
     both = both.join(shares, key, "left")
     n, total = F.col(f"{rated}.n_words"), F.col(f"{rated}.total") + F.coalesce(share, F.lit(0.0))
     return both.select(*keep, n.alias(names[0]), total.alias(names[1]), F.when(n > 0, total / n).alias(names[2]))
 
 
-def _text_key(text_col: str):
-    text = col(text_col)
+def _text_key(text):
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
+def _room(known: Vocabulary) -> list[float]:
+    return [float(t + 1) for t in known.totals]
+
+
 def _shares(docs: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
-    """Per distinct text, the log of its rare words' shares of their places: ``key, share``.
+    """Per distinct text, the log of the shares of its words outside the middle: ``key, share``.
 
-    A mark per row, a line feed and a hash of the text, tells how many rows have
-    the text; unlike one mark for all, it does not bring all texts to one task.
+    A mark per row, an empty word, tells how many rows have the text.
     """
+    text = col(text_col)
+    schema = "a long, b long, word string, times long"
+    said = docs.select(_text_key(text).alias("key"), F.lower(text).alias("text")).select("key.a", "key.b", "text")
+    said = said.mapInArrow(_tail_lister(list(known), frozenset(known.middle)), schema)
     word, n = F.col("word"), F.col("n")
-    mark = F.concat(F.lit("\n"), F.xxhash64(col(text_col)).cast("string"))
-    split = docs.select(_text_key(text_col).alias("key"), F.explode(F.concat(F.array(mark), _words(text_col))).alias("word"))
-    said = split.filter(~word.isin(list(known))).groupBy("key", "word").agg(F.count("*").alias("times"))
     place = (F.crc32(word) % RARE + 1).cast("int")
-    room = F.element_at(F.array(*[F.lit(float(t + 1)) for t in known.totals]), place)
+    room = F.element_at(F.array(*[F.lit(x) for x in _room(known)]), place)
     unseen = math.log(RARE) - (F.octet_length(word) + 1) * math.log(257)
     log = F.when(n.isNotNull(), F.log(n)).otherwise(unseen) - F.log(room)
-    marks = word.startswith("\n")
-    rows, total = F.sum(F.when(marks, F.col("times"))), F.sum(F.when(~marks, F.col("times") * log))
-    return said.join(known.counts, "word", "left").groupBy("key").agg((F.coalesce(total, F.lit(0.0)) / rows).alias("share"))
+    # Marks need no look-up; as a branch of their own they do not meet in one task.
+    marks = said.filter(word == "").select("a", "b", F.col("times").alias("rows"), F.lit(0.0).alias("total"))
+    found = said.filter(word != "").join(known.counts, "word", "left").select(
+        "a", "b", F.lit(0).cast("long").alias("rows"), (F.col("times") * log).alias("total"))
+    sums = marks.unionByName(found).groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
+    return sums.select(F.struct("a", "b").alias("key"), (F.col("total") / F.col("rows")).alias("share"))
+
+
+def _tail_lister(known: list[str], middle: frozenset[bytes]):
+    """The words of each text that neither list has, and how often it says them; a mark for each text that has some."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = middle | {w.encode() for w in known}
+        for batch in batches:
+            owners, words, times = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                tail = Counter(w for w in (text or "").encode().split() if w not in listed)
+                if tail:
+                    owners += [i] * (len(tail) + 1)
+                    words += [b"", *tail]
+                    times += [1, *tail.values()]
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary()).cast(pa.string()),
+                 pa.array(times, pa.int64())], ["a", "b", "word", "times"])
+
+    return work
+
 
+def _scorer(flat: np.ndarray, known: Vocabulary):
+    """Number of words and the sum of what the network and the middle words' shares give."""
+    room, listed = _room(known), list(known)
+    shares = {w: math.log(n / room[zlib.crc32(w) % RARE]) for w, n in known.middle.items()}
 
-def _scorer(flat: np.ndarray, known: list[str]):
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encode, weights = encoder(known), unpack(flat)
+        encode, weights = encoder(listed), unpack(flat)
         for texts in batches:
             counts, totals = [], []
             held, size = [], 0
@@ -304,9 +355,11 @@ def _scorer(flat: np.ndarray, known: list[str]):
                 edges = np.cumsum([0] + [len(t) for _, t in held])
                 totals.extend(float(found[a:b].sum(dtype=np.float64)) for a, b in zip(edges, edges[1:]))
 
+            said = []
             for text in texts:
-                ids = places(encode(text))
+                ids = encode(text)
                 counts.append(len(ids))
+                said.append(math.fsum(filter(None, map(shares.get, (text or "").encode().split()))))
                 held.append((windows(ids), ids))
                 size += len(ids)
                 if size >= 8192:
@@ -314,6 +367,6 @@ def _scorer(flat: np.ndarray, known: list[str]):
                     held, size = [], 0
             if held:
                 flush(held)
-            yield pd.DataFrame({"n_words": counts, "total": totals})
+            yield pd.DataFrame({"n_words": counts, "total": [a + b for a, b in zip(totals, said)]})
 
     return rate
