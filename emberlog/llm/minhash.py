@@ -10,11 +10,15 @@ Documents with equal sets are one class from the start. Within a bucket nobody
 is paired with everybody: all are compared with the one member that meets most
 others over all its buckets, the likely original of a group of copies. Links
 are confirmed on the full sets, and a bucket is done when its members are in
-one component. In the other buckets members of different components could
-still be similar. Shingles that no other member of an open bucket has cannot be
-in any intersection, and of the others no more than the sum, over CELLS hash
-cells, of the smaller of both counts can be. That bound rules out nearly all of
-these pairs without a look at their sets; what remains is confirmed like the rest.
+one component. Members of the other buckets could still be similar to one in
+another component. Those pairs are found without a look at their buckets, by
+prefixes: with their shingles in order of how many of these sets have them,
+rarest first, two sets of similarity t have their first common shingle among
+the first (1 - t) n + 1 of either, and after it no fewer shingles than their
+intersection needs. Sets that cannot reach even the smallest of those that have
+the same shingle leave its group before any pairs are made, as do the members
+of a large family of texts that fall just short of the threshold. What remains
+is confirmed like the rest.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +47,6 @@ DEVIATIONS = 7.0
 # Up to so many ids are sent to the tasks that look up their texts (some 50
 # bytes each); more are joined.
 BROADCAST_IDS = 400_000
-# Cells by which shingles are counted to bound an intersection.
-CELLS = 64
 SHINGLE_WORDS = 5
 PERCENT = 80
 
@@ -174,7 +177,7 @@ def _links(texts: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
     open_members = stage(_unresolved(members, links), "unresolved")
     if open_members.isEmpty():
         return links
-    return _joined(links, confirm(_across(open_members, confirm.able_to_share(open_members), percent)))
+    return _joined(links, confirm(_across(confirm.shingles_of(open_members), percent)))
 
 
 def _joined(links: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
@@ -185,43 +188,46 @@ def _to_leader(members: DataFrame) -> DataFrame:
     """Pairs of each bucket's members with its best-connected one."""
     known = members.groupBy("cls").agg(F.sum("size").alias("met"))
     rated = members.join(known, "cls")
-    leaders = rated.groupBy("bucket").agg(F.max(F.struct("met", "cls")).alias("leader"))
+    # Staged, so that the join has a plain exchange on both sides and a hot bucket can be split.
+    leaders = stage(rated.groupBy("bucket").agg(F.max(F.struct("met", "cls")).alias("leader")), "leaders")
     return (members.join(leaders, "bucket").select(F.col("leader.cls").alias("a"), F.col("cls").alias("b"))
             .filter("a <> b").distinct())
 
 
 def _unresolved(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Members of buckets with several components: ``bucket, cls, component, main``.
-
-    ``main`` tells whether a member is in its bucket's largest component.
-    """
+    """Members of buckets with several components: ``cls, component``."""
     if links is None:
         placed = members.withColumn("component", F.col("cls"))
     else:
         groups = components(links).withColumnRenamed("node", "cls")
         placed = members.join(groups, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = stage(placed.select("bucket", "cls", "component"), "placed")
-    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("bucket").agg(
-        F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    return placed.join(whole, "bucket").select(
-        "bucket", "cls", "component", (F.col("component") == F.col("most.component")).alias("main"))
+    parts = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    several = stage(parts.filter("low <> high").select("bucket"), "several")
+    return placed.join(several, "bucket").select("cls", "component").distinct()
 
 
-def _across(members: DataFrame, able: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a bucket, of different components, whose intersection may be large enough.
+def _across(shingles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, of all whose sets are similar, found by their first common shingle.
 
-    ``able`` counts a class's shingles that others have too, in all and by cell.
+    ``shingles`` has ``cls, component, h`` and ``n``, the size of the set.
     """
-    columns = ("cls", "component", "n", "able", "cells")
-    known = members.join(able, "cls")
-    one = known.filter(~F.col("main")).select("bucket", *[F.col(c).alias(f"{c}_a") for c in columns])
-    two = known.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
-    enough = lambda shared: 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
-    by_cell = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    apart = F.col("component_a") != F.col("component_b")
-    pairs = one.join(two, (one["bucket"] == two["bucket"]) & apart & enough(F.least("able_a", "able_b")) & enough(by_cell))
-    return pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+    counted = stage(shingles.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1"), "shared_shingles")
+    mine = W.partitionBy("cls")
+    # Shingles that no other of these sets has come first of all.
+    shared = shingles.join(counted, "h").withColumns({
+        "common": F.count("*").over(mine), "nth": F.row_number().over(mine.orderBy("f", "h"))})
+    at = F.col("n") - F.col("common") + F.col("nth") - 1
+    # An intersection can hold this shingle and what comes after it: (n - at) of either set.
+    reach = shared.withColumn("reach", F.col("n") - at).filter(100 * F.col("reach") >= percent * F.col("n"))
+    reach = stage(reach.select("h", "cls", "component", "n", "reach"), "prefixes")
+    enough = lambda overlap, n, m: (100 + percent) * overlap >= percent * (n + m)
+    smallest = stage(reach.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("f")).filter("f > 1").drop("f"), "smallest")
+    able = stage(reach.join(smallest, "h").filter(enough(F.col("reach"), F.col("n"), F.col("least"))).drop("least"), "able")
+    a, b = able.alias("a"), able.alias("b")
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.component") != F.col("b.component"))
+                   & enough(F.least("a.reach", "b.reach"), F.col("a.n"), F.col("b.n")))
+    return pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
 
 class _Confirm:
@@ -254,44 +260,22 @@ class _Confirm:
         same = F.pandas_udf(_set_check(self.width), "boolean")
         return found.filter(same("cls", "text")).dropDuplicates(["cls"])
 
-    def able_to_share(self, members: DataFrame) -> DataFrame:
-        """``cls, n, able, cells``: a class's n shingles, how many of them some other of these classes has, and those by cell.
-
-        The rest cannot be in any intersection between these classes.
-        """
-        mine = members.select("cls").distinct()
-        texts = stage(self.texts_of(mine).select("cls", F.xxhash64("cls").alias("key"), "text"), "open_texts")
-        cell = F.pmod("h", F.lit(CELLS)).cast("int")
-        shingles = texts.select("key", "text").mapInArrow(_exploder(self.width), "key long, h long")
-        alone = shingles.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n = 1")
-        alone = alone.groupBy("key", cell.alias("cell")).agg(F.count("*").cast("int").alias("n"))
-        alone = alone.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("alone"))  # CELLS at most
-        counted = texts.mapInArrow(_cell_counter(self.width), "cls binary, key long, counts array<int>")
-        cells = F.transform("counts", lambda n, i: n - F.coalesce(F.try_element_at("alone", i), F.lit(0)))
-        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-        known = counted.join(alone, "key", "left").select("cls", total(F.col("counts")).alias("n"), cells.alias("cells"))
-        return stage(known.withColumn("able", total(F.col("cells"))), "able")
+    def shingles_of(self, members: DataFrame) -> DataFrame:
+        """``members`` (cls, component) with every shingle ``h`` of their sets and the sets' sizes ``n``."""
+        mine = members.join(self.classes.select("cls", F.col("n_shingles").alias("n")), "cls")
+        texts = self.texts_of(members.select("cls")).join(mine, "cls")
+        texts = stage(texts.select("cls", "component", "n", "text"), "open_texts")
+        return texts.mapInArrow(_exploder(self.width), "cls binary, component binary, n long, h long")
 
 
 def _exploder(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 found = shingle_hashes(text, width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found)], ["key", "h"])
-
-    return work
-
-
-def _cell_counter(width: int):
-    cells = CELLS
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [np.bincount(shingle_hashes(t, width).view(np.int64) % cells, minlength=cells).astype(np.int32)
-                      for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.list_(pa.int32()))], ["cls", "key", "counts"])
+                at = pa.array(np.full(len(found), i))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], pa.array(found)],
+                                                 ["cls", "component", "n", "h"])
 
     return work
 
