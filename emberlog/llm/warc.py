@@ -27,12 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import col
+from emberlog.session import stage
 
 # Payloads from this size on are stored once and referred to after that.
 LEAST_BYTES = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
 LEVEL = 3
+# Up to so many repeated digests (some 60 bytes each) are sent to the tasks; more are joined.
+BROADCAST_DIGESTS = 200_000
+# Unpacked bytes that one task reads back.
+READ_BYTES = 64 << 20
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -56,13 +61,23 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_c
     body = F.coalesce(col(body_col).cast("binary"), F.lit(b""))
     rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), body.alias("body"))
     rows = rows.withColumns({"digest": F.sha1("body"), "bytes": F.octet_length("body").cast("long")})
-    large = rows.filter(F.col("bytes") >= least_bytes)
-    # Only payloads that occur under several ids need a look-up.
-    repeated = (large.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n"))
-                .filter(F.col("n") > 1).select("digest", "latest"))
-    joined = rows.join(repeated, "digest", "left")
-    again = (F.col("bytes") >= least_bytes) & F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))
-    return joined.select("page_id", "url", "body", "digest", "bytes", F.when(again, F.col("latest")).alias("refers_to"))
+    # Payloads take no part in the look-up: only keys do.
+    keys = rows.filter(F.col("bytes") >= least_bytes).select("digest", "page_id")
+    repeated = keys.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n"))
+    repeated = stage(repeated.filter((F.col("n") > 1) & F.col("latest").isNotNull()).select("digest", "latest"), "warc_repeated")
+    names = ("page_id", "url", "body", "digest", "bytes")
+    again = (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("latest"))
+    refers = F.when(again, F.col("latest")).alias("refers_to")
+    if repeated.count() <= BROADCAST_DIGESTS:
+        # Every payload is written from where it lies.
+        return rows.join(F.broadcast(repeated), "digest", "left").select(*names, refers)
+    # More are looked up by digest and id, so that one payload's rows are dealt to many tasks;
+    # small payloads stay where they lie.
+    found = keys.distinct().join(repeated, "digest").filter(~F.col("page_id").eqNullSafe(F.col("latest")))
+    found = stage(found.select(F.struct("digest", "page_id").alias("key"), F.col("latest").alias("refers_to")), "warc_revisits")
+    large = rows.filter(F.col("bytes") >= least_bytes).withColumn("key", F.struct("digest", "page_id"))
+    small = rows.filter(F.col("bytes") < least_bytes).select(*names, F.lit(None).cast("long").alias("refers_to"))
+    return small.unionByName(large.join(found, "key", "left").select(*names, "refers_to"))
 
 
 def write(planned: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -173,21 +188,22 @@ def record_bytes(row: dict) -> bytes:
     revisit = row["refers_to"] is not None
     block = b"" if revisit else row["body"]
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_urn(key)}>",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_urn(key, row['digest'])}>",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{row['digest']}",
         f"X-Page-Id: {key}", f"X-Payload-Length: {row['bytes']}", "Content-Type: text/html; charset=utf-8",
     ]
     if row["url"] is not None:
         head.append(f"WARC-Target-URI: {_one_line(row['url'])}")
     if revisit:
-        head += [f"WARC-Refers-To: <{_urn(str(row['refers_to']))}>", f"X-Refers-To-Page: {row['refers_to']}",
+        head += [f"WARC-Refers-To: <{_urn(str(row['refers_to']), row['digest'])}>", f"X-Refers-To-Page: {row['refers_to']}",
                  f"WARC-Profile: {REVISIT_PROFILE}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _urn(key: str) -> str:
-    return f"urn:uuid:{uuid.UUID(bytes=hashlib.sha1(key.encode()).digest()[:16])}"
+def _urn(key: str, digest: str) -> str:
+    """A record's id, from the page's id and its payload: pages that share an id have records of their own."""
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.sha1(f'{key} {digest}'.encode()).digest()[:16])}"
 
 
 def _one_line(text: str) -> str:
@@ -214,7 +230,10 @@ def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     ``payload`` is a response's payload and null for a revisit. A record whose
     payload does not have the digest it claims raises an error.
     """
-    frames = index.groupBy("bundle", "frame", "frame_offset", "frame_bytes", "frame_plain").agg(
+    total = index.agg(F.coalesce(F.sum("record_bytes"), F.lit(0))).first()[0]
+    # By an explicit number: the index is far smaller than what it points to.
+    spread = index.repartition(-(-total // READ_BYTES) + 1, "bundle", "frame")
+    frames = spread.groupBy("bundle", "frame", "frame_offset", "frame_bytes", "frame_plain").agg(
         F.sort_array(F.collect_list(F.struct("record_offset", "record_bytes"))).alias("places"))
     return frames.mapInArrow(_reader(folder), RECORD)
 
