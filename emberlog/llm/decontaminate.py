@@ -51,19 +51,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``first_word`` (where the item's start lies in the document's tokens, below
     0 if the document begins later in the item). Items of fewer than 13 tokens
     are their own window; those of 11 or 12 may have one substitution and
-    shorter ones none. Null texts, texts without a token and null items meet
+    shorter ones none. An item of fewer than SHORTEST tokens, a single word say,
+    is no passage: only a document that consists of it holds it. Null texts, texts without a token and null items meet
     nothing. Rows of one id count together, null ids too.
     """
     items = benchmark.select(col(item_col).alias("item"), tokens(col(item_text_col)).alias("item_tokens"))
     items = stage(items.filter(F.col("item").isNotNull() & (F.size("item_tokens") > 0)).distinct(), "items")
-    seeds, lengths = _seeds(items)
+    seeds = _positions(items.filter(F.size("item_tokens") >= SHORTEST).withColumnRenamed("item_tokens", "toks")).select(
+        "seed", "item", F.col("at").alias("item_at"), F.size("toks").alias("n"))
     rows = docs.select(col(id_col).alias("id"), tokens(col(text_col)).alias("toks")).filter(F.size("toks") > 0)
     few = seeds.count() <= BROADCAST_SEEDS
     start = (F.col("at") - F.col("item_at")).alias("start")
     if few:
-        found = _positions(rows, lengths).join(F.broadcast(seeds), "seed").select("id", "item", "n", start, "toks")
+        found = _positions(rows).join(F.broadcast(seeds), "seed").select("id", "item", "n", start, "toks")
     else:
-        bare = _positions(rows, lengths).select("id", "at", "seed").join(seeds, "seed")
+        bare = _positions(rows).select("id", "at", "seed").join(seeds, "seed")
         places = bare.select("id", "item", "n", start).distinct()
         found = places.join(rows.toDF("row_id", "toks"), F.col("id").eqNullSafe(F.col("row_id")))
     # What the item lies over, cut out at once: a hit must not carry the document.
@@ -71,33 +73,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     over = F.slice("toks", F.greatest("start", F.lit(0)) + 1, F.col("n") - lead)
     found = found.select("id", "item", "start", lead.alias("lead"), over.alias("over"))
     pairs = _verified(found.join(F.broadcast(items) if few else items, "item"))
+    n = F.size("toks")
+    whole = rows.filter(n < SHORTEST).join(items.withColumnRenamed("item_tokens", "toks"), "toks").select(
+        "id", "item", F.lit(0).alias("start"), n.alias("n"), n.alias("window"), n.alias("matched"), n.alias("aligned"))
+    pairs = pairs.unionByName(whole)
     best = pairs.groupBy("id", "item").agg(
         F.max("matched").alias("matched"), F.max("aligned").alias("aligned"), F.min("start").alias("first_word"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", "aligned", "first_word")
 
 
-def _seeds(items: DataFrame) -> tuple[DataFrame, list[int]]:
-    """``seed, item, item_at, n`` (tokens of the item), and the lengths of items below the masks'."""
-    short = items.filter(F.size("item_tokens") < SHORTEST)
-    lengths = sorted(r[0] for r in short.select(F.size("item_tokens")).distinct().collect())  # at most eight
-    where = _positions(items.withColumnRenamed("item_tokens", "toks"), lengths)
-    # A short item has the one seed that covers it, a longer one those of the masks.
-    whole = F.col("span") == F.size("toks")
-    where = where.filter(F.when(F.size("toks") < SHORTEST, whole & (F.col("kind") == "whole")).otherwise(F.col("kind") == "mask"))
-    return where.select("seed", "item", F.col("at").alias("item_at"), F.size("toks").alias("n")), lengths
-
-
-def _positions(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """``rows`` at every position of ``toks`` under every mask: ``at, seed``, mask ``kind, span``."""
+def _positions(rows: DataFrame) -> DataFrame:
+    """``rows`` at every position of ``toks`` under both masks: ``at, seed``."""
     at = lambda i: F.get("toks", F.col("at") + i)
-    kinds = [("mask", max(m) + 1, m) for m in MASKS] + [("whole", n, tuple(range(n))) for n in lengths]
-    laid = F.array(*[
-        F.when(F.col("at") + span <= F.size("toks"), F.struct(
-            F.xxhash64(F.lit(n), *[at(i) for i in mask]).alias("seed"), F.lit(kind).alias("kind"), F.lit(span).alias("span")))
-        for n, (kind, span, mask) in enumerate(kinds)])
+    laid = F.array(*[F.when(F.col("at") + max(mask) < F.size("toks"), F.xxhash64(F.lit(n), *[at(i) for i in mask]))
+                     for n, mask in enumerate(MASKS)])
     spots = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("at"))
-    return spots.select("*", F.explode(laid).alias("laid")).filter(F.col("laid").isNotNull()).select(
-        *rows.columns, "at", "laid.seed", "laid.kind", "laid.span")
+    return spots.select("*", F.explode(laid).alias("seed")).filter(F.col("seed").isNotNull())
 
 
 def _verified(found: DataFrame) -> DataFrame:

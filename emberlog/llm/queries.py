@@ -107,7 +107,7 @@ dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM d),
 b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 bt AS (SELECT item_id, len(w) AS n, least(len(w), 13) AS k, unnest(w) AS t, unnest(range(len(w))) AS j FROM b),
-same AS (SELECT doc_id, item_id, n, k, i - j AS start, j FROM dt JOIN bt USING (t)),
+same AS (SELECT doc_id, item_id, n, k, i - j AS start, j FROM dt JOIN bt USING (t) JOIN d USING (doc_id) WHERE n >= 9 OR (len(d.w) = n AND i = j)),
 enough AS (
   SELECT doc_id, item_id, start, any_value(n) AS n, any_value(k) AS k, count(*) AS aligned, list(j) AS js
   FROM same GROUP BY ALL HAVING count(*) >= any_value(k) - 2),
