@@ -22,14 +22,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import col, free_name, quoted
+from emberlog.session import stage
 
 # The classifier is fitted on a bounded sample: of each language the rows with
 # the smallest hashes, at most SAMPLE_ROWS of them and of those as many bytes as
 # a dictionary holds.
 SAMPLE_ROWS = 400
 DICTIONARY_BYTES = 96 << 10
-# Languages beyond this number are refused: dictionaries travel to every task.
-MAX_LANGUAGES = 64
+# A task has the compressors of so many languages at a time; there may be any number of languages.
+BLOCK = 64
 PIECE = 2048
 SHORT, LEAD = 512, 1024
 LEVEL = 6
@@ -58,16 +59,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return LanguageModel({})
+    counts = stage(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
     # Rows are thinned out by their hash before they are ranked, to some four
     # times what is kept, so that what meets in one place does not grow.
     place = F.xxhash64("id", "text")
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, 4.0 * sample_rows / r.rows)])[F.col("lang")]
-    rows = rows.filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
+    share = 4.0 * sample_rows / F.col("rows")
+    rows = rows.join(counts, "lang").filter(F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
     order = W.partitionBy("lang").orderBy(place, "id", "text")
     picked = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample_rows)
     sizes = W.partitionBy("lang").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -110,23 +107,27 @@ def _rater(model: LanguageModel):
         return lambda part: len(pack(part)) if len(part) >= short else len(pack(before + part)) - alone
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        sizers = [sizer(raw) for raw in contents]
+        blocks = [range(at, min(at + BLOCK, len(contents))) for at in range(0, len(contents), BLOCK)]
+        made = [sizer(raw) for raw in contents] if len(blocks) == 1 else None
         has_letter = regex.compile(r"\p{L}")
         for texts in batches:
-            langs, scores = [], []
-            for text in texts:
-                if text is None or not sizers or not has_letter.search(text):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                data = text.lower().encode()
-                parts = [data[i:i + piece] for i in range(0, len(data), piece)]
-                sizes = [max(0, sum(map(size, parts))) for size in sizers]
-                best = min(range(len(sizes)), key=sizes.__getitem__)
-                others = [s for i, s in enumerate(sizes) if i != best]
-                langs.append(names[best])
-                scores.append((min(others) - sizes[best]) / max(1, min(others)) if others else 1.0)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            rated = [[] if text is None or not contents or not has_letter.search(text) else
+                     [data[i:i + piece] for data in [text.lower().encode()] for i in range(0, len(data), piece)] for text in texts]
+            # The two smallest sizes so far, with the first one's language.
+            best = [[None, None, None] for _ in rated]
+            for block in blocks:
+                sizers = made or [sizer(contents[i]) for i in block]
+                for parts, kept in zip(rated, best):
+                    if parts:
+                        for i, size in zip(block, sizers):
+                            n = max(0, sum(map(size, parts)))
+                            if kept[0] is None or n < kept[0]:
+                                kept[:] = n, kept[0], i
+                            elif kept[1] is None or n < kept[1]:
+                                kept[1] = n
+            yield pd.DataFrame({
+                "lang_pred": ["und" if i is None else names[i] for _, _, i in best],
+                "score": [0.0 if i is None else 1.0 if other is None else (other - n) / max(1, other) for n, other, i in best]})
 
     return rate
 
