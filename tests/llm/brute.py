@@ -94,3 +94,76 @@ def phrase_set(text: str) -> set:
             found.add(data[begin:end])
             begin = end
     return found
+
+
+def smallest(text: str, model) -> tuple[str, float]:
+    """The language whose dictionary gives the fewest bytes, and the margin, one compressor after the other."""
+    import zstandard
+
+    from emberlog.llm import language
+
+    data, sizes = text.lower().encode(), []
+    for name, raw in model.dictionaries.items():
+        known = zstandard.ZstdCompressionDict(raw[:-language.LEAD], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=model.level)
+        pack = zstandard.ZstdCompressor(dict_data=known, write_content_size=False, write_dict_id=False).compress
+        lead, total = raw[-language.LEAD:], 0
+        for at in range(0, len(data), model.piece):
+            part = data[at:at + model.piece]
+            total += len(pack(part)) if len(part) >= language.SHORT else len(pack(lead + part)) - len(pack(lead))
+        sizes.append((max(0, total), name))
+    (first, name), (second, _) = sorted(sizes, key=lambda x: x[0])[:2]
+    return name, (second - first) / max(1, second)
+
+
+def pseudo_likelihood(text: str | None, flat, known: list[str], counts: dict) -> tuple[int, float]:
+    """Words and summed log-probability of a text, one word at a time."""
+    import math
+
+    import numpy as np
+
+    from emberlog.llm import scoring
+
+    tables, to_class, class_bias, to_word, word_bias = scoring.unpack(flat.astype(np.float64))
+    base, index = scoring.WORDS - scoring.RARE, {w: i for i, w in enumerate(known)}
+    words = (text or "").lower().split()
+    spot = lambda w: index.get(w, base + zlib.crc32(w.encode()) % scoring.RARE)
+    room = {}
+    for w, n in counts.items():
+        if w not in index:
+            room[spot(w)] = room.get(spot(w), 0) + n
+    total = 0.0
+    for at, word in enumerate(words):
+        hidden, places = 0.0, [k for k in range(-scoring.SIDE, scoring.SIDE + 1) if k]
+        for table, k in zip(tables, places):
+            hidden = hidden + table[spot(words[at + k]) if 0 <= at + k < len(words) else scoring.WORDS]
+        hidden = np.tanh(hidden)
+        c, w = divmod(spot(word), scoring.PER_CLASS)
+        for logits, pick in ((hidden @ to_class + class_bias, c), (hidden @ to_word[c] + word_bias[c], w)):
+            total += logits[pick] - np.log(np.exp(logits).sum())
+        if word not in index:
+            rest = room.get(spot(word), 0) + 1
+            total += math.log(counts[word] / rest) if word in counts else (
+                math.log(scoring.RARE / rest) - (len(word.encode()) + 1) * math.log(257))
+    return len(words), total
+
+
+def packed(lengths: list[int], sizes: tuple[int, ...], overhead: int) -> tuple[int, list[list[int]]]:
+    """Cost and contents of the cheapest packing, by trying every open bin for every piece, longest piece first."""
+    best = None
+    for limit in sizes:
+        bins, to_come = [], sum(lengths)  # a bin: [size, contents]
+        for n in sorted(lengths, reverse=True):
+            to_come -= n
+            able = [b for b in bins if b[0] - sum(b[1]) >= n]
+            if able:
+                # The least room; of equal ones the bin that was opened first.
+                min(able, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+                continue
+            room = sum(b[0] - sum(b[1]) for b in bins)
+            fits = [s for s in sizes if s >= n and (s <= limit or s == min(x for x in sizes if x >= n))]
+            bins.append([min(fits, key=lambda s: (s + overhead) / min(s, n + max(0, to_come - room))), [n]])
+        cost = sum(min(s for s in sizes if s >= sum(c)) + overhead for _, c in bins)
+        if best is None or cost < best[0]:
+            best = cost, [c for _, c in bins]
+    return best

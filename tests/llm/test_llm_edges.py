@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import time
 import zlib
 from itertools import combinations
 
@@ -102,6 +103,63 @@ def test_minhash_links_of_a_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.groups(rows, 5, 80)
 
 
+def test_minhash_of_a_large_family_of_templated_texts(spark):
+    """5,000 texts that fall just short of the threshold with one another: done in seconds, nothing linked."""
+    template = prose(77, 136).split()
+    rows = []
+    for k in range(5000):
+        pick = random.Random(k)
+        at = pick.randrange(10, 126)
+        rows.append((k, " ".join(template[:at] + [f"own{k}x{j}" for j in range(14)] + template[at:])))
+    rows += [(10_000, rows[3][1]), (10_001, rows[4][1] + " tail")]
+    began = time.monotonic()
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert time.monotonic() - began < 150
+    expected = {k: k for k in range(5000)} | {10_000: 3, 10_001: 4}
+    sets = [brute.shingles(rows[k][1], 5) for k in (0, 1, 2, 5, 6)]
+    assert all(100 * len(a & b) < 80 * len(a | b) for a, b in combinations(sets, 2)) and found == expected
+
+
+@pytest.mark.parametrize("kinds", [3, 12, 60])
+def test_minhash_of_templates_with_repeated_fields(spark, kinds):
+    """Fields drawn from a few values, so that nothing in a text is its own; pairs lie around the threshold."""
+    pick = random.Random(kinds)
+    template = prose(5, 60).split()
+    fields = [[f"f{i}v{v}a f{i}v{v}b f{i}v{v}c" for v in range(kinds)] for i in range(3)]
+    rows = []
+    for k in range(160):
+        words = list(template)
+        for i in range(pick.choice([1, 2, 3])):
+            words.insert(20 * i + 5, pick.choice(fields[i]))
+        rows.append((k, " ".join(words)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.groups(rows, 5, 80)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_pairs_across_components_lose_none(spark, percent):
+    """The prefix join by itself finds every similar pair, whatever the sizes of the sets."""
+    pick = random.Random(percent)
+    sets = {}
+    for k in range(120):
+        base = set(pick.sample(range(400), pick.randrange(1, 40))) if k % 4 == 0 else set(sets[pick.randrange(k // 4 * 4, k) // 4 * 4])
+        for _ in range(pick.randrange(0, 8)):
+            base ^= {pick.randrange(400)}
+        sets[k] = base or {1}
+    rows = [(bytes([k]), bytes([k]), len(s), h) for k, s in sets.items() for h in s]
+    found = minhash._across(spark.createDataFrame(rows, "cls binary, component binary, n long, h long").repartition(3), percent)
+    pairs = {(r.a[0], r.b[0]) for r in found.collect()}
+    similar = {(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert similar <= pairs and len(similar) > 5
+
+
+@pytest.mark.parametrize("bound", [0, 10 ** 6])
+def test_minhash_looks_texts_up_by_join_or_broadcast(spark, dirty, monkeypatch, bound):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", bound)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(dirty).collect() if r.doc_id is not None}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (7, 3), (9, 8), (5, 5), (10, 11), (11, 12), (12, 10), (None, 4)] + [(k, k + 1) for k in range(100, 160)]
     found = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
@@ -146,6 +204,17 @@ def test_decontamination_dirty(spark, dirty):
     assert decontaminate.contaminated(dirty.limit(0), items).count() == decontaminate.contaminated(dirty, items.limit(0)).count() == 0
 
 
+def test_short_items_need_the_whole_document(spark, monkeypatch):
+    """A word or two as an item flags no document that merely says them."""
+    docs = spark.createDataFrame([(1, "Yes"), (2, "oh yes it is"), (3, "yes!"), (4, "the answer is Paris"), (5, "the capital is Paris, of course"),
+                                  (6, "a b c d e f g h i"), (7, "x a b c d e f g h i")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "yes"), (2, "The answer is: Paris"), (3, "a b c d e f g h"), (4, "a b c d e f g h i")], "item_id long, text string")
+    for bound in (10 ** 6, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", bound)
+        found = {(r.doc_id, r.item_id, r.matched, r.first_word) for r in decontaminate.contaminated(docs, items).collect()}
+        assert found == {(1, 1, 1, 0), (3, 1, 1, 0), (4, 2, 4, 0), (6, 4, 9, 0), (7, 4, 9, 1)}
+
+
 def test_decontamination_tolerates_substitutions(spark, monkeypatch):
     item = [f"w{k}" for k in range(30)]
     def edited(*at):
@@ -190,6 +259,37 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, place, stage(warc.write(warc.plan(empty), place), "index")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 10 ** 6])
+def test_warc_of_one_payload_on_nearly_all_pages(spark, monkeypatch, bound):
+    """Most pages are one error page, many are null; each frame is read once, by several tasks."""
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
+    monkeypatch.setattr(warc, "READ_BYTES", 20_000)
+    hot, cold = "not found " * 150, "c" * 1200
+    rows = [(k, "u", hot if k % 10 else None) for k in range(1000)] + [(2000, "v", cold), (2001, "v", cold + "x"), (2001, "w", cold), (2002, "w", "")]
+    place = f"{shared_dir(spark)}/warc-{random.randrange(10 ** 9)}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    planned = warc.plan(pages)
+    assert planned.filter("refers_to IS NOT NULL").count() == 900 - 1 + 1
+    index = stage(warc.write(planned, place, frame_bytes=8000, bundle_bytes=30_000), "index")
+    back = warc.read(spark, place, index)
+    assert back.rdd.getNumPartitions() > 3
+    found = {(r.page_id, r.url): (r.payload_bytes, r.record_type, r.refers_to) for r in back.collect()}
+    latest = max(k for k in range(1000) if k % 10)
+    expected = {(k, "u"): (len(hot), "response", None) if k == latest else (len(hot), "revisit", latest) for k in range(1000) if k % 10}
+    expected |= {(k, "u"): (0, "response", None) for k in range(0, 1000, 10)}
+    expected |= {(2000, "v"): (1200, "revisit", 2001), (2001, "v"): (1201, "response", None), (2001, "w"): (1200, "response", None),
+                 (2002, "w"): (0, "response", None)}
+    assert found == expected
+
+
+def test_pages_of_one_id_have_records_of_their_own():
+    row = {"page_id": 7, "url": None, "refers_to": None, "bytes": 1}
+    ids = {warc.parse_record(warc.record_bytes(row | {"body": b, "digest": hashlib.sha1(b).hexdigest()}))[0]["WARC-Record-ID"] for b in (b"a", b"b")}
+    assert len(ids) == 2
+    revisit = row | {"refers_to": 7, "page_id": 3, "body": b"a", "digest": hashlib.sha1(b"a").hexdigest()}
+    assert warc.parse_record(warc.record_bytes(revisit))[0]["WARC-Refers-To"] in ids
+
+
 def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path):
     bundle = warc.Bundle(f"file://{tmp_path}", 3)
     plain = []
@@ -222,6 +322,21 @@ def test_language_dirty(spark, dirty):
     assert language.predict(new, language.LanguageModel({})).select("lang_pred").distinct().collect() == [("und",)]
 
 
+def test_any_number_of_languages(spark):
+    """Labels of more languages than one block has: the same as plain zstandard over all dictionaries."""
+    pick = random.Random(8)
+    syllables = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(800)]
+    tongues = {f"l{k:03d}": pick.sample(syllables, 25) for k in range(150)}
+    say = lambda lang, n: " ".join(pick.choice(tongues[lang]) + pick.choice(tongues[lang]) for _ in range(n))
+    rows = [(k * 1000 + j, say(lang, 200), lang) for k, lang in enumerate(tongues) for j in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.dictionaries) == 150
+    asked = [(k, say(lang, n)) for k, (lang, n) in enumerate(zip(list(tongues)[::4], [10, 100, 900] * 99))]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got == {i: brute.smallest(t, model) for i, t in asked}
+    assert sum(got[k][0] == lang for k, lang in enumerate(list(tongues)[::4])) >= 36
+
+
 def test_scoring_learns_order(spark):
     pick = random.Random(3)
     rows = [(k, " ".join(w for _ in range(120) for w in pick.choice([("red", "apple", "tree"), ("blue", "sea", "wave")]))) for k in range(150)]
@@ -234,8 +349,10 @@ def test_scoring_learns_order(spark):
     assert score(rows[:20]) > score(mixed) + 0.5
 
 
-def test_scoring_tells_rare_words_apart(spark):
+@pytest.mark.parametrize("middle", [0, 1, 200_000])
+def test_scoring_tells_rare_words_apart(spark, monkeypatch, middle):
     """Words outside the most frequent ones have probabilities of their own."""
+    monkeypatch.setattr(scoring, "MIDDLE", middle)
     frequent = " ".join(f"w{k} " * 9 for k in range(scoring.WORDS - scoring.RARE))
     rare = [w for w in (f"rare{k}" for k in range(4000)) if zlib.crc32(w.encode()) % scoring.RARE == 7][:3]
     learned = spark.createDataFrame([(1, frequent), (2, f"{rare[0]} " * 6 + f"{rare[1]} " * 2)], "doc_id long, text string")
@@ -250,6 +367,38 @@ def test_scoring_tells_rare_words_apart(spark):
     assert total[1] - total[2] == pytest.approx(np.log(2) - np.log(scoring.RARE) + length * np.log(257))
 
 
+def test_scoring_does_not_depend_on_partitions(spark, monkeypatch):
+    """The same model, but for the order of sums, from 1, 8 and 64 partitions; it beats the frequencies of words."""
+    monkeypatch.setattr(scoring, "LANE_WORDS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    models = []
+    for parts in (1, 8, 64):
+        rows = docs.repartition(parts)
+        known = scoring.vocabulary(rows)
+        models.append(scoring.train(rows, known))
+    assert known.words > 60_000 and all(np.allclose(models[0], m, atol=1e-5) for m in models[1:])
+    assert not np.allclose(models[0], scoring.start(), atol=1e-2)
+    ids = [scoring.encoder(list(known))(r.t) for r in docs.select(F.lower("text").alias("t")).collect()]
+    likely = np.concatenate([scoring.log_probabilities(scoring.unpack(models[2]), scoring.windows(x), x) for x in ids])
+    shares = np.bincount(np.concatenate(ids), minlength=scoring.WORDS) / len(likely)
+    assert likely.mean() > np.log(shares[np.concatenate(ids)]).mean()
+
+
+def test_scores_equal_a_plain_forward_pass(spark, monkeypatch):
+    """Word by word in plain numpy with the given weights, shares included, whatever tier a word is in."""
+    monkeypatch.setattr(scoring, "MIDDLE", 2000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 60")
+    known = scoring.vocabulary(docs)
+    flat = scoring.train(docs, known)
+    counts = {r.word: r.n for r in known.counts.collect()}
+    assert len(counts) > 2000 + len(known)
+    extra = spark.createDataFrame([(1000, "never counted thë " + list(known)[0] + " ZZZ")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(extra)
+    for r in scoring.score(rows, flat, known).collect():
+        n, total = brute.pseudo_likelihood(r.text, flat, list(known), counts)
+        assert r.n_words == n and r.pseudo_log_likelihood == pytest.approx(total, rel=1e-4)
+
+
 def test_scoring_slopes():
     """The learning step goes down the slope of the loss, measured by small differences."""
     rng = np.random.default_rng(0)
@@ -258,7 +407,7 @@ def test_scoring_slopes():
     around = scoring.windows(ids)
     loss = lambda f: -scoring.log_probabilities(scoring.unpack(f), around, ids).mean()
     after, seen = flat.copy(), np.zeros_like(flat)
-    scoring.learn(scoring.unpack(after), scoring.unpack(seen), around, ids)
+    scoring.learn(after, seen, around, ids)
     slope = np.sqrt(seen) * np.sign(flat - after)
     for k in rng.choice(np.flatnonzero(np.abs(slope) > 1e-4), 25, replace=False):
         step = np.zeros_like(flat)
@@ -379,3 +528,22 @@ def test_pipeline_on_dirty_rows(spark, dirty):
     for name, apply in corpus_pipeline.STAGES:
         docs = stage(apply(spark, dirty.limit(0) if name == "language_id" else docs, "/root/testdata/sf0.001"), f"none_{name}")
         assert docs.count() == 0
+
+
+def test_first_and_last_stage_on_dirty_rows(spark, dirty):
+    """The language stage lets go what has no language and keeps the rest whole; packing places every row."""
+    pick = random.Random(6)
+    say = lambda words: " ".join(pick.choice(words.split()) for _ in range(300))
+    rows = [(100 + k, say("the and with from this not for are you that"), "en", "a", 1) for k in range(30)]
+    rows += [(200 + k, say("der und die mit eine nicht für sind das auf"), "de", None, None) for k in range(30)]
+    docs = stage(dirty.unionByName(spark.createDataFrame(rows, DOCS)), "dirty_languages")
+    kept = stage(corpus_pipeline.STAGES[0][1](spark, docs, "/root/testdata/sf0.001"), "kept_languages")
+    assert kept.columns == docs.columns
+    found = [tuple(r) for r in kept.collect()]
+    assert not {1, 2, 3} & {r[0] for r in found} and all(r[1] and r[1].strip() for r in found)
+    assert {r for r in found if r[0] and r[0] >= 100} == set(rows)
+    given = [tuple(r) for r in docs.collect()]
+    assert all(found.count(r) == given.count(r) for r in set(found))
+    placed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").toPandas()
+    assert placed.n_tokens.sum() == sum(len((t or "").encode().split()) + 1 for _, t, *_ in given)
+    assert (placed.groupby("bin").n_tokens.sum() <= placed.groupby("bin").capacity.first()).all()
