@@ -22,7 +22,7 @@ goes if a smaller id has it, or if it was found in the same document before.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -39,8 +39,10 @@ from emberlog.session import stage
 WINDOW_WORDS = 20
 ANCHOR_WORDS = 8
 # One automaton serves so much text, and holds passages of so many words.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SLICE_WORDS = 200_000
+# Texts are hashed in lots of so many bytes, whose arrays stay in a core's cache.
+LOT_BYTES = 256 << 10
 # A word is three symbols of an alphabet of its own each: nodes stay narrow,
 # and no match begins within a word. Holds more words than a slice has.
 SYMBOLS = 64
@@ -117,7 +119,7 @@ def _told_by_window(known: DataFrame, width: int) -> DataFrame:
 
 
 class Hasher:
-    """Hashes of all word sequences of one length, from running sums over a text's words.
+    """Hashes of all word sequences of one length, from running sums over the words of many texts.
 
     A sequence's hash is a polynomial in an odd base, modulo 2^64, of its
     words' hashes.
@@ -137,7 +139,7 @@ class Hasher:
     def sums(self, words: list[bytes]) -> np.ndarray:
         n = len(words)
         self._powers(n + 1)
-        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        hashed = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * self.up[:n])])
 
     def sequences(self, sums: np.ndarray, length: int) -> np.ndarray:
@@ -150,74 +152,107 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def stretches(hasher: Hasher, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(anchors, stretch hashes, first window of each stretch, hashes of all windows); None without a window."""
-    n, length = len(words), min(ANCHOR_WORDS, width)
-    if n < width:
-        return None
-    sums = hasher.sums(words)
-    windows, short = hasher.sequences(sums, width), hasher.sequences(sums, length)
-    # The place travels in the low bits, so that a least value tells where it is; of equals the first.
-    mask = np.uint64((1 << 24) - 1)
-    least = (short & ~mask) | (np.arange(len(short), dtype=np.uint64) & mask)
-    have, want = 1, width - length + 1
-    while have < want:
-        step = min(have, want - have)
-        least = np.minimum(least[:-step], least[step:])
-        have += step
-    starts = np.arange(len(windows), dtype=np.uint64)
-    places = (starts + ((least - starts) & mask)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
-    after = np.r_[first[1:], len(windows)]
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(windows))])
-    sizes = (after - first).astype(np.uint64) * np.uint64(64) + (places[first] - first).astype(np.uint64)
-    return short[places[first]], mixed((running[after] - running[first]) ^ mixed(sizes)), first, windows
+class Windows:
+    """The windows of a lot of texts, one after the other, and their stretches.
+
+    ``hashes``, ``places`` (the number of a window's first word among all
+    ``words``) and ``owners`` (the text it is in) per window; ``anchors``,
+    ``stretches`` (hashes) and ``first`` (its first window) per stretch.
+    """
+
+    def __init__(self, hasher: Hasher, texts: list[bytes | None], width: int):
+        split = [(t or b"").split() for t in texts]
+        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.words = [w for one in split for w in one]
+        counts = np.maximum(self.sizes - width + 1, 0)
+        self.owners = np.repeat(np.arange(len(split)), counts)
+        self.places = np.arange(len(self.owners)) + np.repeat(self.begins - (np.cumsum(counts) - counts), counts)
+        if not len(self.places):
+            self.hashes = self.anchors = self.stretches = np.empty(0, np.uint64)
+            self.first = np.empty(0, np.int64)
+            return
+        length = min(ANCHOR_WORDS, width)
+        sums = hasher.sums(self.words)
+        short = hasher.sequences(sums, length)
+        self.hashes = hasher.sequences(sums, width)[self.places]
+        # The place travels in the low bits, so that a least value tells where it is; of equals the first.
+        mask = np.uint64((1 << 24) - 1)
+        least = (short & ~mask) | (np.arange(len(short), dtype=np.uint64) & mask)
+        have, want = 1, width - length + 1
+        while have < want:
+            step = min(have, want - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        at = self.places.astype(np.uint64)
+        anchored = (at + ((least[self.places] - at) & mask)).astype(np.int64)
+        self.first = np.flatnonzero(np.r_[True, (anchored[1:] != anchored[:-1]) | (self.owners[1:] != self.owners[:-1])])
+        after = np.r_[self.first[1:], len(anchored)]
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes))])
+        shape = (after - self.first).astype(np.uint64) * np.uint64(64) + (anchored[self.first] - self.places[self.first]).astype(np.uint64)
+        self.anchors = short[anchored[self.first]]
+        self.stretches = mixed((running[after] - running[self.first]) ^ mixed(shape))
+
+    def by_window(self, values: np.ndarray) -> np.ndarray:
+        """Values of stretches, for each window of them."""
+        return np.repeat(values, np.diff(np.r_[self.first, len(self.hashes)]))
+
+
+def lots(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of text, one row at least."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if held and held + n > size:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
+def _once(owners: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Indices of the distinct (owner, value)."""
+    order = np.lexsort((values, owners))
+    new = np.r_[True, (np.diff(owners[order]) != 0) | (values[order][1:] != values[order][:-1])] if len(order) else order
+    return order[new]
+
+
+def _pairs(rows: pa.RecordBatch, owners: np.ndarray, anchors: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
+    at = pa.array(owners)
+    return pa.RecordBatch.from_arrays(
+        [rows.column(0).take(at), rows.column(1).take(at), pa.array(anchors.view(np.int64)), pa.array(values.view(np.int64))],
+        ["id", "salt", "anchor", name])
 
 
 def _marker(width: int):
-    """Distinct (anchor, stretch) of every row."""
+    """Distinct (anchor, stretch) of every row; a stretch has one anchor."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            owners, anchors, hashes = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                found = stretches(hasher, (text or b"").split(), width)
-                if found is None:
-                    continue
-                _, at = np.unique(found[1], return_index=True)  # a stretch has one anchor
-                owners.append(np.full(len(at), i))
-                anchors.append(found[0][at])
-                hashes.append(found[1][at])
-            if owners:
-                at = pa.array(np.concatenate(owners))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(anchors).view(np.int64)),
-                     pa.array(np.concatenate(hashes).view(np.int64))], ["id", "salt", "anchor", "stretch"])
+            for rows in lots(batch, 2, LOT_BYTES):
+                found = Windows(hasher, rows.column(2).to_pylist(), width)
+                owners = found.owners[found.first]
+                at = _once(owners, found.stretches)
+                yield _pairs(rows, owners[at], found.anchors[at], found.stretches[at], "stretch")
 
     return work
 
 
 def _window_lister(width: int):
-    """Distinct (anchor, window) of every row, of the anchors in its list."""
+    """Distinct (anchor, window) of every row, of the anchors in its list; a window has one anchor.
+
+    The lists of a lot are taken together: that an anchor is looked at by
+    window holds for all rows that have it.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            owners, anchors, hashes = [], [], []
-            for i, (text, close) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-                found = stretches(hasher, (text or b"").split(), width)
-                if found is None:
-                    continue
-                owner = np.repeat(found[0], np.diff(np.r_[found[2], len(found[3])]))
-                asked = np.isin(owner, close.values.to_numpy().view(np.uint64))
-                some, at = np.unique(found[3][asked], return_index=True)  # and so has a window
-                owners.append(np.full(len(at), i))
-                anchors.append(owner[asked][at])
-                hashes.append(some)
-            if owners:
-                at = pa.array(np.concatenate(owners))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(anchors).view(np.int64)),
-                     pa.array(np.concatenate(hashes).view(np.int64))], ["id", "salt", "anchor", "window"])
+            for rows in lots(batch, 2, LOT_BYTES):
+                found = Windows(hasher, rows.column(2).to_pylist(), width)
+                asked = found.by_window(np.isin(found.anchors, pc.list_flatten(rows.column(3)).to_numpy().view(np.uint64)))
+                owners, hashes, anchors = found.owners[asked], found.hashes[asked], found.by_window(found.anchors)[asked]
+                at = _once(owners, hashes)
+                yield _pairs(rows, owners[at], anchors[at], hashes[at], "window")
 
     return work
 
@@ -226,73 +261,94 @@ def _remover(width: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            start, size = 0, 0
-            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
-                if size and size + n > SHARD_BYTES:
-                    yield shard(hasher, batch.slice(start, i - start))
-                    start, size = i, 0
-                size += n
-            if batch.num_rows:
-                yield shard(hasher, batch.slice(start))
+            for rows in lots(batch, 1, SHARD_BYTES):
+                yield shard(hasher, rows)
 
     def shard(hasher, rows):
         ids = rows.column(0).to_pylist()
-        words = [(t or b"").split() for t in rows.column(1).to_pylist()]
-        passages = [p for i, found in enumerate(words)
-                    for p in confirmed(hasher, i, found, width, rows.column(2)[i], rows.column(3)[i])]
-        gone = [np.zeros(len(w), bool) for w in words]
-        for some in slices(passages, width):
-            locate(some, ids, words, gone)
-        spans, kept = [], []
-        for found, lost in zip(words, gone):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], lost.view(np.int8), [0]])))
-            spans.append([{"from": a, "to": b} for a, b in edges.reshape(-1, 2).tolist()])
-            kept.append(b" ".join(found if not len(edges) else [w for w, x in zip(found, lost.tolist()) if not x]).decode())
-        span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+        found = Windows(hasher, rows.column(1).to_pylist(), width)
+        gone = np.zeros(len(found.words), bool)
+        for some in slices(confirmed(found, ids, width, rows.column(2), rows.column(3)), width):
+            locate(some, ids, found, gone)
+        ends = np.r_[found.begins, len(found.words)]
+        before = np.r_[0, np.cumsum(gone)]
+        # Runs of removed words, which do not go on in the next text.
+        breaks = np.zeros(len(gone) + 1, bool)
+        breaks[ends] = True
+        froms = np.flatnonzero(gone & (np.r_[True, ~gone[:-1]] | breaks[:-1])) if len(gone) else np.empty(0, np.int64)
+        tos = np.flatnonzero(gone & (np.r_[~gone[1:], True] | breaks[1:])) + 1 if len(gone) else froms
+        cuts = np.searchsorted(froms, ends)
+        own = np.searchsorted(found.begins, froms, "right") - 1
+        span = pa.StructArray.from_arrays([pa.array(froms - found.begins[own]), pa.array(tos - found.begins[own])], ["from", "to"])
+        kept = []
+        for at, n, a, b in zip(found.begins.tolist(), found.sizes.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            left, done = [], at
+            for x, y in zip(froms[a:b].tolist(), tos[a:b].tolist()):
+                left += found.words[done:x]
+                done = y
+            kept.append(b" ".join(left + found.words[done:at + n]).decode())
         return pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()),
-             pa.array(spans, span), pa.array(kept, pa.string())],
+            [rows.column(0), pa.array(found.sizes), pa.array(before[ends[1:]] - before[ends[:-1]]),
+             pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), span), pa.array(kept, pa.string())],
             [rows.schema.names[0], "n_words", "n_removed", "spans", "kept_text"])
 
     return work
 
 
-def confirmed(hasher: Hasher, row: int, words: list[bytes], width: int, whole, windows) -> Iterator[tuple]:
-    """Passages of one row that occur earlier: (words, smallest id that has them); None for the id if it is the row itself."""
-    found = stretches(hasher, words, width)
-    if found is None:
+def _told(lists: pa.Array, name: str, hashes: np.ndarray) -> tuple[np.ndarray, list]:
+    """For each hash the number of its smallest id in ``lists`` of (hash, first), -1 without; and those ids.
+
+    The smallest id of an anchor or window is the same in all rows' lists.
+    """
+    flat = pc.list_flatten(lists)
+    if not len(flat):
+        return np.full(len(hashes), -1), []
+    known, at = np.unique(flat.field(name).to_numpy().view(np.uint64), return_index=True)
+    first = flat.field("first").take(pa.array(at)).dictionary_encode()
+    spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[spot] == hashes, first.indices.to_numpy()[spot].astype(np.int64), -1), first.dictionary.to_pylist()
+
+
+def confirmed(found: Windows, ids: list, width: int, whole: pa.Array, windows: pa.Array) -> Iterator[tuple]:
+    """Passages of the texts that occur earlier: (words, smallest id that has them); None for the id if it is the text itself."""
+    if not len(found.hashes):
         return
-    anchors, _, first, hashes = found
-    source, numbers = np.full(len(hashes), -1), {}
-    number = lambda i: numbers.setdefault(i, len(numbers))
-    if whole.is_valid and len(whole):
-        told = {p["anchor"]: number(p["first"]) for p in whole.as_py()}
-        of = np.fromiter((told.get(a, -1) for a in anchors.view(np.int64).tolist()), np.int64, len(anchors))
-        source = np.repeat(of, np.diff(np.r_[first, len(hashes)]))
-    if windows.is_valid and len(windows):
-        told = {p["window"]: number(p["first"]) for p in windows.as_py()}
-        of = np.fromiter((told.get(h, -1) for h in hashes.view(np.int64).tolist()), np.int64, len(hashes))
-        source = np.where(source < 0, of, source)
-    ids = list(numbers)
-    for a, b in runs(source, same=True):
-        yield words[a:b + width], ids[source[a]]
+    by_anchor, firsts = _told(whole, "anchor", found.anchors)
+    by_window, more = _told(windows, "window", found.hashes)
+    by_anchor = found.by_window(by_anchor)
+    source = np.where(by_anchor >= 0, by_anchor, np.where(by_window >= 0, by_window + len(firsts), -1))
+    firsts += more
+    # An id's place in the order, so that the comparison is one of numbers; a null id is last.
+    order = {x: k for k, x in enumerate(sorted({*firsts, *[i for i in ids if i is not None]}))}
+    first_at = np.array([order[x] for x in firsts] + [len(order)])
+    own_at = np.array([len(order) if i is None else order[i] for i in ids])
+    first = np.where(source >= 0, first_at[source], len(order))
+    source = np.where(first < own_at[found.owners], first, -1)
+    names = list(order)
+    for a, b in runs(source, found.owners, 0):
+        yield found.words[found.places[a]:found.places[b] + width], names[source[a]]
     # Windows that start further up in the same text, in runs that do so one after the other.
-    _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-    own = np.where(at[back] < np.arange(len(hashes)), at[back], -1)
-    own[source >= 0] = -1
-    for a, b in runs(own, same=False):
-        yield words[a:b + width], None
-
-
-def runs(values: np.ndarray, same: bool) -> list[tuple[int, int]]:
-    """(first, last) of the longest runs without -1 in which values stay the same, or rise by one."""
-    step = (np.diff(values) != (0 if same else 1)) | (values[:-1] < 0)
-    starts = np.flatnonzero(np.r_[True, step])
+    by_hash = np.argsort(found.hashes, kind="stable")
+    same = (np.diff(found.hashes[by_hash]) == 0) & (np.diff(found.owners[by_hash]) == 0)
+    if same.any():
+        group = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(by_hash)), 0))
+        own = np.full(len(by_hash), -1)
+        own[by_hash] = np.where(np.r_[False, same], by_hash[group], -1)
+        own[source >= 0] = -1
+        for a, b in runs(own, found.owners, 1):
+            yield found.words[found.places[a]:found.places[b] + width], None
+
+
+def runs(values: np.ndarray, owners: np.ndarray, step: int) -> list[tuple[int, int]]:
+    """(first, last) of the longest runs without -1, within one owner, in which values rise by ``step``."""
+    new = (np.diff(values) != step) | (values[:-1] < 0) | (np.diff(owners) != 0)
+    starts = np.flatnonzero(np.r_[True, new])
     ends = np.r_[starts[1:] - 1, len(values) - 1]
-    return [(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if values[a] >= 0]
+    real = values[starts] >= 0
+    return list(zip(starts[real].tolist(), ends[real].tolist()))
 
 
-def slices(passages: list[tuple], width: int) -> Iterator[list[tuple]]:
+def slices(passages: Iterable[tuple], width: int) -> Iterator[list[tuple]]:
     """Passages in lots of SLICE_WORDS words; a longer one is cut into parts that overlap by a window less a word."""
     lot, size, step = [], 0, max(1, SLICE_WORDS - width + 1)
     for words, first in passages:
@@ -307,25 +363,27 @@ def slices(passages: list[tuple], width: int) -> Iterator[list[tuple]]:
         yield lot
 
 
-def locate(passages: list[tuple], ids: list, words: list[list[bytes]], gone: list[np.ndarray]) -> None:
-    """Mark the words of all rows that one of the passages covers, unless that is where the passage comes from."""
+def locate(passages: list[tuple], ids: list, found: Windows, gone: np.ndarray) -> None:
+    """Mark the words of all texts that one of the passages covers, unless that is where the passage comes from."""
     symbols: dict = {}
     automaton = ahocorasick.Automaton()
-    for found, first in passages:
-        key = "".join([symbols.get(w) or symbols.setdefault(w, _symbols(len(symbols))) for w in found])
+    for words, first in passages:
+        key = "".join([symbols.get(w) or symbols.setdefault(w, _symbols(len(symbols))) for w in words])
         value = automaton.get(key, None)
         if value is None:
-            automaton.add_word(key, [len(found), first])
+            automaton.add_word(key, [len(words), first])
         elif first is not None and (value[1] is None or first < value[1]):
             value[1] = first
     automaton.make_automaton()
-    for own, found, lost in zip(ids, words, gone):
-        text, met = "".join([symbols.get(w, "\0\0\0") for w in found]), set()
-        for end, value in automaton.iter(text):
-            n, first = value
+    get = symbols.get
+    text = "".join([get(w, "\0\0\0") for w in found.words])
+    for own, begin, n in zip(ids, found.begins.tolist(), found.sizes.tolist()):
+        met = set()
+        for end, value in automaton.iter(text, 3 * begin, 3 * (begin + n)):
+            n_words, first = value
             if first is not None and (own is None or first < own) or id(value) in met:
                 last = end // 3 + 1
-                lost[last - n:last] = True
+                gone[last - n_words:last] = True
             met.add(id(value))
 
 
