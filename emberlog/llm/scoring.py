@@ -108,17 +108,34 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def encoder(known: list[str]):
-    """What the network predicts for the words of a lower-cased text: the word, or the place that it shares. Null texts have none."""
-    ids = {w.encode(): i for i, w in enumerate(known)}
-    base = WORDS - RARE
+class Encoder:
+    """What the network predicts for the words of a lower-cased text: the word, or the place that it shares.
 
-    def encode(text: str | None) -> np.ndarray:
+    The middle words are looked up together with the network's, and bring the
+    log of their share of the place along.
+    """
+
+    def __init__(self, known: list[str], middle: dict[bytes, int] | None = None, totals: list[int] | None = None):
+        listed, middle = [w.encode() for w in known], middle or {}
+        shared = [WORDS - RARE + zlib.crc32(w) % RARE for w in middle]
+        self.number = {w: i for i, w in enumerate([*listed, *middle])}
+        # The last entry is for words that are not listed.
+        self.places = np.array([*range(len(listed)), *shared, 0], np.int64)
+        logs = [math.log(n / (totals[p - WORDS + RARE] + 1)) for n, p in zip(middle.values(), shared)] if totals else [0.0] * len(middle)
+        self.logs = np.array([*[0.0] * len(listed), *logs, 0.0])
+
+    def rated(self, text: str | None) -> tuple[np.ndarray, float]:
+        """The places, and the sum of the middle words' shares. Null texts have none."""
         words = (text or "").encode().split()
-        get = ids.get
-        return np.array([get(w) if w in ids else base + zlib.crc32(w) % RARE for w in words], np.int64)
+        get, last = self.number.get, len(self.places) - 1
+        numbers = np.array([get(w, last) for w in words], np.int64)
+        places = self.places[numbers]
+        for i in np.flatnonzero(numbers == last).tolist():
+            places[i] = WORDS - RARE + zlib.crc32(words[i]) % RARE
+        return places, float(self.logs[numbers].sum())
 
-    return encode
+    def __call__(self, text: str | None) -> np.ndarray:
+        return self.rated(text)[0]
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -129,9 +146,9 @@ def windows(ids: np.ndarray) -> np.ndarray:
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+    logits -= logits.max(-1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    logits /= logits.sum(-1, keepdims=True)
     return logits
 
 
@@ -144,14 +161,21 @@ def forward(weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
     return np.tanh(total, out=total)
 
 
-def by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Classes that occur, with the places where they do."""
+def by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The places in order of their target's class, and each class that occurs with where it begins and ends there."""
     classes = targets // PER_CLASS
     order = np.argsort(classes, kind="stable")
-    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c]:edges[c + 1]]
+    edges = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+def _of_words(hidden: np.ndarray, runs: list[tuple[int, int, int]], to_word: np.ndarray, word_bias: np.ndarray) -> np.ndarray:
+    """Probabilities of the words of each place's own class; places in order of their class."""
+    logits = np.empty((len(hidden), PER_CLASS), hidden.dtype)
+    for c, a, b in runs:
+        np.matmul(hidden[a:b], to_word[c], out=logits[a:b])
+        logits[a:b] += word_bias[c]
+    return _softmax(logits)
 
 
 def log_probabilities(weights: list[np.ndarray], around: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -160,9 +184,9 @@ def log_probabilities(weights: list[np.ndarray], around: np.ndarray, targets: np
     hidden = forward(weights, around)
     of_class = _softmax(hidden @ to_class + class_bias)
     out = of_class[np.arange(len(targets)), targets // PER_CLASS]
-    for c, at in by_class(targets):
-        of_word = _softmax(hidden[at] @ to_word[c] + word_bias[c])
-        out[at] *= of_word[np.arange(len(at)), targets[at] % PER_CLASS]
+    order, runs = by_class(targets)
+    of_word = _of_words(hidden[order], runs, to_word, word_bias)
+    out[order] *= of_word[np.arange(len(order)), targets[order] % PER_CLASS]
     return np.log(np.maximum(out, 1e-30))
 
 
@@ -177,12 +201,16 @@ def learn(flat: np.ndarray, seen: np.ndarray, around: np.ndarray, targets: np.nd
     error[np.arange(n), targets // PER_CLASS] -= 1
     back = error @ to_class.T
     of_class[:], of_class_bias[:] = hidden.T @ error, error.sum(0)
-    for c, at in by_class(targets):
-        mine = hidden[at]
-        wrong = _softmax(mine @ to_word[c] + word_bias[c])
-        wrong[np.arange(len(at)), targets[at] % PER_CLASS] -= 1
-        back[at] += wrong @ to_word[c].T
-        of_word[c], of_word_bias[c] = mine.T @ wrong, wrong.sum(0)
+    order, runs = by_class(targets)
+    mine = hidden[order]
+    wrong = _of_words(mine, runs, to_word, word_bias)
+    wrong[np.arange(n), targets[order] % PER_CLASS] -= 1
+    below = np.empty_like(mine)
+    for c, a, b in runs:
+        np.matmul(mine[a:b].T, wrong[a:b], out=of_word[c])
+        np.matmul(wrong[a:b], to_word[c].T, out=below[a:b])
+        of_word_bias[c] = wrong[a:b].sum(0)
+    back[order] += below
     back *= 1 - hidden * hidden
     # All places at once: one sum per dimension over the rows of all tables.
     rows = (around + np.arange(2 * SIDE) * (WORDS + 1)).ravel()
@@ -201,7 +229,7 @@ def train(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> np.ndar
     if not known.words:
         return start()
     lanes = -(-known.words // LANE_WORDS)
-    coded = docs.select(F.lower(col(text_col))).mapInArrow(_coder(list(known)), "h long, codes binary")
+    coded = docs.select(F.lower(col(text_col))).mapInArrow(_coder(list(known), known.middle), "h long, codes binary")
     coded = coded.withColumns({"lane": F.pmod("h", F.lit(lanes)), "turn": F.pmod(F.shiftright("h", 20), F.lit(ROUNDS))})
     # A lane's texts lie together and in the same order whatever the input's partitions.
     coded = stage(coded.repartition(lanes, "lane").sortWithinPartitions("lane", "h"), "coded")
@@ -218,10 +246,10 @@ def train(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> np.ndar
     return flat
 
 
-def _coder(known: list[str]):
+def _coder(known: list[str], middle: dict[bytes, int]):
     """A hash of every text with a word, and its words as numbers of two bytes."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(known)
+        encode = Encoder(known, middle)
         for batch in batches:
             hashes, codes = [], []
             for text in batch.column(0).to_pylist():
@@ -292,10 +320,6 @@ def _text_key(text):
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def _room(known: Vocabulary) -> list[float]:
-    return [float(t + 1) for t in known.totals]
-
-
 def _shares(docs: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
     """Per distinct text, the log of the shares of its words outside the middle: ``key, share``.
 
@@ -307,7 +331,7 @@ def _shares(docs: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
     said = said.mapInArrow(_tail_lister(list(known), frozenset(known.middle)), schema)
     word, n = F.col("word"), F.col("n")
     place = (F.crc32(word) % RARE + 1).cast("int")
-    room = F.element_at(F.array(*[F.lit(x) for x in _room(known)]), place)
+    room = F.element_at(F.array(*[F.lit(float(t + 1)) for t in known.totals]), place)
     unseen = math.log(RARE) - (F.octet_length(word) + 1) * math.log(257)
     log = F.when(n.isNotNull(), F.log(n)).otherwise(unseen) - F.log(room)
     # Marks need no look-up; as a branch of their own they do not meet in one task.
@@ -340,11 +364,10 @@ def _tail_lister(known: list[str], middle: frozenset[bytes]):
 
 def _scorer(flat: np.ndarray, known: Vocabulary):
     """Number of words and the sum of what the network and the middle words' shares give."""
-    room, listed = _room(known), list(known)
-    shares = {w: math.log(n / room[zlib.crc32(w) % RARE]) for w, n in known.middle.items()}
+    listed, middle, room = list(known), known.middle, known.totals
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encode, weights = encoder(listed), unpack(flat)
+        encode, weights = Encoder(listed, middle, room), unpack(flat)
         for texts in batches:
             counts, totals = [], []
             held, size = [], 0
@@ -357,9 +380,9 @@ def _scorer(flat: np.ndarray, known: Vocabulary):
 
             said = []
             for text in texts:
-                ids = encode(text)
+                ids, share = encode.rated(text)
                 counts.append(len(ids))
-                said.append(math.fsum(filter(None, map(shares.get, (text or "").encode().split()))))
+                said.append(share)
                 held.append((windows(ids), ids))
                 size += len(ids)
                 if size >= 8192:

@@ -378,7 +378,7 @@ def test_scoring_does_not_depend_on_partitions(spark, monkeypatch):
         models.append(scoring.train(rows, known))
     assert known.words > 60_000 and all(np.allclose(models[0], m, atol=1e-5) for m in models[1:])
     assert not np.allclose(models[0], scoring.start(), atol=1e-2)
-    ids = [scoring.encoder(list(known))(r.t) for r in docs.select(F.lower("text").alias("t")).collect()]
+    ids = [scoring.Encoder(list(known))(r.t) for r in docs.select(F.lower("text").alias("t")).collect()]
     likely = np.concatenate([scoring.log_probabilities(scoring.unpack(models[2]), scoring.windows(x), x) for x in ids])
     shares = np.bincount(np.concatenate(ids), minlength=scoring.WORDS) / len(likely)
     assert likely.mean() > np.log(shares[np.concatenate(ids)]).mean()

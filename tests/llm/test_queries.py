@@ -92,7 +92,7 @@ def test_language_model_beats_word_frequencies(spark, texts):
     words = {i: t.lower().split() for i, t in texts}
     assert all(found.n_words[i] == len(w) for i, w in words.items())
     table = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    encode = scoring.encoder(scoring.vocabulary(table))
+    encode = scoring.Encoder(scoring.vocabulary(table))
     ids = np.concatenate([encode(t.lower()) for _, t in texts])
     share = np.bincount(ids, minlength=scoring.WORDS) / len(ids)
     alone = np.log(share[ids]).mean()
