@@ -101,7 +101,7 @@ def merge(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
 
 
-def upsert(new: DataFrame, path: str, written: str | None = None) -> DataFrame:
+def upsert(new: DataFrame, path: str, written: str | None = None, ready: bool = False) -> DataFrame:
     """Merge documents into the table at ``path``, kept by day in snapshots.
 
     A batch replaces what is there. If it has several documents of one key, the
@@ -110,11 +110,15 @@ def upsert(new: DataFrame, path: str, written: str | None = None) -> DataFrame:
     only replace one of its own day: just the days in the batch are read and
     written anew. All of them change with one commit, so that a driver lost at
     any moment leaves the old table or the new one. Repeating an upsert changes
-    nothing. ``read`` gives the table.
+    nothing. ``read`` gives the table. A batch that is ``ready`` has one
+    document per key and is kept somewhere already.
     """
-    spark = new.sparkSession
-    batch = (last_per_key(new, written) if written else most_anomalous_per_key(new)).withColumn("day", F.substring("timestamp", 1, 10))
-    batch = stage(batch, "upsert-batch", slot_for(path))
+    spark, day = new.sparkSession, F.substring("timestamp", 1, 10)
+    if ready:
+        batch = new.withColumn("day", day)
+    else:
+        batch = (last_per_key(new, written) if written else most_anomalous_per_key(new)).withColumn("day", day)
+        batch = stage(batch, "upsert-batch", slot_for(path))
     days = snapshots.days_of(batch)
     if days:
         held = snapshots.read(spark, path, batch.schema, days)

@@ -131,10 +131,26 @@ class Inputs:
     def model(self) -> detector.Model:
         return self._once("model", lambda: detector.train(self.logs))
 
+    @property
+    def vocabulary(self) -> DataFrame:
+        """That of the documents table, saved."""
+        return self._once("vocabulary", lambda: stage(tfidf.fit_vocabulary(self.texts("documents"), "text"), "vocabulary"))
+
     @property
     def vectorizer(self) -> tfidf.Vectorizer:
-        """Vocabulary of the documents table."""
-        return self._once("vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(self.texts("documents"), "text")))
+        return self._once("vectorizer", lambda: tfidf.Vectorizer.of(self.vocabulary))
+
+    def monitored(self, live: bool = False) -> str:
+        """The folder that the monitoring loop leaves, with the stand-in model, run once per path."""
+
+        def build() -> str:
+            out = scratch(self.spark, "monitored")
+            model = self.stand_in(live)
+            stream = pipeline.read_stream(self.spark, self.chunks, self.sources.drop("day").schema, "parquet", files_per_batch=2)
+            pipeline.start_pipeline(stream, model, out, f"{out}/checkpoint", live, availableNow=True).awaitTermination()
+            return out
+
+        return self._once(f"monitored-{live}", build)
 
     @property
     def plain_vectorizer(self) -> tfidf.Vectorizer:
@@ -808,11 +824,10 @@ def readiness_overall(i: Inputs) -> DataFrame:
 
 def _readiness(i: Inputs) -> DataFrame:
     """Everything a run depends on: sources, logs, scored rows, documents, vocabulary and registry."""
-    vocabulary = tfidf.fit_vocabulary(i.texts("documents"), "text")
     asked = [
         (i.sources, "sources", ["@timestamp", "message", "host"]), (i.logs, "logs", ["@timestamp", "message", "host"]),
         (i.scored, "scored", ["anomaly", "anomaly_score_norm", "severity"]), (i.documents, "documents", ["doc_id", "timestamp"]),
-        (vocabulary, "vocabulary", ["term", "idf"]), (_daily_versions(i.scored).filter("ok"), "accepted versions", ["tag", "path"]),
+        (i.vocabulary, "vocabulary", ["term", "idf"]), (_daily_versions(i.scored).filter("ok"), "accepted versions", ["tag", "path"]),
     ]
     found = [checks.readiness(*one) for one in asked]
     return reduce(DataFrame.unionByName, found)
@@ -927,28 +942,16 @@ def stream_repeats(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(f"{out}/rows").select("stamp", "message")
 
 
-def _monitored(i: Inputs, live: bool = False) -> str:
-    """The folder that the monitoring loop leaves, with the stand-in model, run once per path."""
-
-    def build() -> str:
-        out = _scratch(i, "monitored")
-        model = i.stand_in(live)
-        pipeline.start_pipeline(_source_stream(i), model, out, f"{out}/checkpoint", live, availableNow=True).awaitTermination()
-        return out
-
-    return i._once(f"monitored-{live}", build)
-
-
 @query
 def stream_upsert(i: Inputs) -> DataFrame:
     """Documents after all batches: those of one run over everything."""
-    return documents.read(i.spark, f"{_monitored(i)}/documents").drop("day")
+    return documents.read(i.spark, f"{i.monitored()}/documents").drop("day")
 
 
 @query
 def stream_alerts(i: Inputs) -> DataFrame:
     """Alerts of all batches; the cooldown carries over from one to the next."""
-    return i.spark.read.parquet(f"{_monitored(i)}/alerts").select("severity", "second", "doc_id")
+    return i.spark.read.parquet(f"{i.monitored()}/alerts").select("severity", "second", "doc_id")
 
 
 @query
@@ -977,7 +980,7 @@ def stream_cooldown(i: Inputs) -> DataFrame:
 @query
 def stream_live_top(i: Inputs) -> DataFrame:
     """The live path's five highest scores of each batch."""
-    return i.spark.read.parquet(f"{_monitored(i, live=True)}/top").select("batch_id", "rank", "doc_id", "severity")
+    return i.spark.read.parquet(f"{i.monitored(live=True)}/top").select("batch_id", "rank", "doc_id", "severity")
 
 
 @query

@@ -49,7 +49,7 @@ def process_batch(
     write_batch(model.predict(logs, slot), f"{out}/scored", batch_id)
     scored = logs.sparkSession.read.parquet(f"{out}/scored").filter(F.col("batch_id") == batch_id).drop("batch_id")
     docs = stage(documents.most_anomalous_per_key(documents.to_documents(scored)), "batch-documents", slot)
-    documents.upsert(docs, f"{out}/documents")
+    documents.upsert(docs, f"{out}/documents", ready=True)
     if live:
         _put(top_view(docs), f"{out}/top", batch_id)
     due = _after_last_sent(alerts.candidates(alerts.actionable(docs)), f"{out}/last_sent", batch_id, cooldown_seconds)
