@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import col, free_name
@@ -61,7 +62,8 @@ MIDDLE = 200_000
 class Vocabulary(list):
     """The most frequent words; ``counts`` is the table of all words (``word, n``),
     ``totals`` the number of rare words counted in each place, ``middle`` the counts
-    of the MIDDLE words that come next and ``words`` the number of all words."""
+    of those that come next, MIDDLE at most and of one count all or none, and
+    ``words`` the number of all words."""
 
     counts: DataFrame
     totals: list[int]
@@ -77,16 +79,26 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """All words of all documents, lower-cased; the most frequent are listed, ties by word."""
     split = docs.select(F.explode(_words(text_col)).alias("word"))
     counts = stage(split.groupBy("word").agg(F.count("*").alias("n")), "words")
-    listed = counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE + MIDDLE).collect()
-    known = Vocabulary(r.word for r in listed[:WORDS - RARE])
-    rare = counts.filter(~F.col("word").isin(list(known))).groupBy((F.crc32("word") % RARE).alias("place")).agg(F.sum("n").alias("n"))
+    listed = counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE).collect()
+    known = Vocabulary(r.word for r in listed)
+    others = counts.filter(~F.col("word").isin(list(known)))
+    rare = others.groupBy((F.crc32("word") % RARE).alias("place")).agg(F.sum("n").alias("n"))
     found = {r.place: r.n for r in rare.collect()}  # at most RARE rows
     known.counts, known.totals = counts, [found.get(k, 0) for k in range(RARE)]
-    known.middle = {r.word.encode(): r.n for r in listed[WORDS - RARE:]}
-    known.words = sum(known.totals) + sum(r.n for r in listed[:WORDS - RARE])
+    # By a bound on n and not by a sort: its rows are all that comes to the driver.
+    known.middle = {r.word.encode(): r.n for r in others.filter(F.col("n") > _least_count(others, MIDDLE)).collect()}
+    known.words = sum(known.totals) + sum(r.n for r in listed)
     return known
 
 
+def _least_count(counts: DataFrame, most: int) -> int:
+    """The smallest number that no more than ``most`` of the words occur more often than."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words"))  # a row per different count
+    upto = F.sum("words").over(W.orderBy(F.desc("n")))
+    found = sizes.withColumn("upto", upto).filter(F.col("upto") > most).agg(F.max("n")).first()[0]
+    return found or 0
+
+
 def shapes() -> list[tuple[int, ...]]:
     """Embeddings per place (with padding), class weights and bias, word weights and bias."""
     return [(2 * SIDE, WORDS + 1, WIDTH), (WIDTH, CLASSES), (CLASSES,), (CLASSES, WIDTH, PER_CLASS), (CLASSES, PER_CLASS)]
