@@ -18,8 +18,12 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def kind(dtype) -> str:
-    return "int" if pd.api.types.is_integer_dtype(dtype) else "float" if pd.api.types.is_float_dtype(dtype) else "other"
+def kind(values: pd.Series) -> str:
+    """Whole numbers with nulls among them count as such, though pandas makes floats of them."""
+    if pd.api.types.is_float_dtype(values.dtype):
+        whole = values.isna().any() and (values.dropna() % 1 == 0).all()
+        return "int" if whole else "float"
+    return "int" if pd.api.types.is_integer_dtype(values.dtype) else "other"
 
 
 def tidy(df: pd.DataFrame) -> pd.DataFrame:
@@ -37,7 +41,7 @@ def differences(left: pd.DataFrame, right: pd.DataFrame) -> list[str]:
     left, right = tidy(left), tidy(right)
     found = []
     for c in left.columns:
-        if kind(left[c].dtype) != kind(right[c].dtype) and len(left) and left[c].notna().any():
+        if kind(left[c]) != kind(right[c]) and len(left) and left[c].notna().any():
             found.append(f"{c}: type {left[c].dtype} / {right[c].dtype}")
         a = left[c].astype(object).where(left[c].notna(), None)
         b = right[c].astype(object).where(right[c].notna(), None)
