@@ -147,7 +147,7 @@ class Inputs:
             out = scratch(self.spark, "monitored")
             model = self.stand_in(live)
             stream = pipeline.read_stream(self.spark, self.chunks, self.sources.drop("day").schema, "parquet", files_per_batch=2)
-            pipeline.start_pipeline(stream, model, out, f"{out}/checkpoint", live, availableNow=True).awaitTermination()
+            pipeline.start_pipeline(stream, model, out, f"{out}/checkpoint", live, ORDER, availableNow=True).awaitTermination()
             return out
 
         return self._once(f"monitored-{live}", build)
@@ -988,7 +988,7 @@ def stream_monitor(i: Inputs) -> DataFrame:
     """The whole monitoring loop over a stream; the documents it leaves."""
     out = _scratch(i, "stream-monitor")
     model = i.model.with_bounds(i.logs)
-    pipeline.start_pipeline(_source_stream(i), model, out, f"{out}/checkpoint", availableNow=True).awaitTermination()
+    pipeline.start_pipeline(_source_stream(i), model, out, f"{out}/checkpoint", order=ORDER, availableNow=True).awaitTermination()
     return documents.read(i.spark, f"{out}/documents").drop("day")
 
 

@@ -33,16 +33,19 @@ def _after_last_sent(due: DataFrame, table: str, batch_id: int, seconds: int) ->
 
 def process_batch(
     sources: DataFrame, batch_id: int, model: Model, out: str, live: bool = False,
-    cooldown_seconds: int = fixed.COOLDOWN_SECONDS,
+    cooldown_seconds: int = fixed.COOLDOWN_SECONDS, order: tuple[str, ...] = ("host", "log_file"),
 ) -> None:
     """One cycle. An empty batch does nothing; a repeated one changes nothing.
 
+    Of rows with the same time and message the first in ``order`` is kept; it
+    has to tell apart rows that a model scores differently.
+
     Writes under ``out``: ``scored`` and ``alerts`` (one partition per batch),
     ``documents`` (keyed, upserted), ``last_sent`` (per batch, five rows at
     most) and, on the live path, ``top`` (the batch's five highest scores).
     """
     slot = slot_for(out)
-    logs = stage(with_time(clean.logs_from(sources, live)), "batch-logs", slot)
+    logs = stage(with_time(clean.logs_from(sources, live, order)), "batch-logs", slot)
     if logs.isEmpty():
         _carry_over(logs.sparkSession, out, batch_id)
         return
@@ -89,7 +92,8 @@ def _carry_over(spark: SparkSession, out: str, batch_id: int) -> None:
 
 
 def start_pipeline(
-    sources: DataFrame, model: Model, out: str, checkpoint: str, live: bool = False, **trigger
+    sources: DataFrame, model: Model, out: str, checkpoint: str, live: bool = False,
+    order: tuple[str, ...] = ("host", "log_file"), **trigger
 ) -> StreamingQuery:
     """Run ``process_batch`` over a stream of source documents.
 
@@ -97,7 +101,7 @@ def start_pipeline(
     ``live``; pass e.g. ``availableNow=True`` to work off what is there.
     """
     default = {"processingTime": fixed.LIVE_PERIOD if live else f"{fixed.CYCLE_SECONDS} seconds"}
-    run = lambda batch, batch_id: process_batch(batch, batch_id, model, out, live)
+    run = lambda batch, batch_id: process_batch(batch, batch_id, model, out, live, order=order)
     writer = sources.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
     return writer.trigger(**(trigger or default)).start()
 

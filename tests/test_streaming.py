@@ -181,3 +181,15 @@ def test_stateful_cooldown_carries_over_batches(spark, tmp_path):
     sent = spark.read.parquet(str(tmp_path / "out")).orderBy("second").collect()
     assert [r["second"] - int(base.timestamp()) for r in sent] == [0, 60, 121]
     assert sent[0]["doc_id"] == "d0.4"
+
+
+def test_monitoring_keeps_the_first_of_equal_rows(spark, tmp_path):
+    """Rows alike but for their id and value, the later ids first in the file: the loop keeps those one run keeps."""
+    events = spark.read.parquet(f"{FOLDER}/events.parquet").withColumn("value", F.col("event_id") + 1000.0)
+    # A shift that changes neither stamp nor message of a failed login.
+    later = events.withColumns({"event_id": F.col("event_id") + 60_000 * 97 * 89, "value": F.lit(0.0)})
+    later.unionByName(events).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    i = registered.Inputs(spark, str(tmp_path))
+    got, wanted = registered.stream_upsert(i), registered.anomaly_docs(i)
+    assert wanted.count() > 5
+    assert got.select(*wanted.columns).exceptAll(wanted).isEmpty() and wanted.exceptAll(got.select(*wanted.columns)).isEmpty()
