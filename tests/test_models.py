@@ -309,3 +309,17 @@ def test_search_keeps_ties_and_repeated_rows(spark):
     assert by[1] == ["d05", "d12", "d19", "d26", "d00", "d00", "d00"] and by[2] == ["d00", "d00", "d00", "d01", "d07", "d08", "d14"]
     assert search.search(table.limit(0), asked, "qid", "text", fields=("message",), keep=("doc_id",), tie_break=("doc_id",)).count() == 0
     assert search.search(table, asked.limit(0), "qid", "text", fields=("message",), keep=("doc_id",), tie_break=("doc_id",)).count() == 0
+
+
+def test_search_keeps_no_pairs(spark, monkeypatch):
+    """What is kept grows with the documents and the questions, not with their product; copies are compared once."""
+    kept, keep = {}, search.stage
+    monkeypatch.setattr(search, "stage", lambda df, name, *more: kept.setdefault(name, keep(df, name, *more)))
+    words = ["disk", "full", "login", "failed", "error", "high", "root", "user"]
+    docs = [(n, f"{words[n % 8]} {words[n // 8 % 8]} {words[n // 64 % 8]} same") for n in range(1024)]
+    table = spark.createDataFrame(docs, "doc_id int, message string").repartition(5)
+    asked = spark.createDataFrame([(n, f"same {words[n % 8]}") for n in range(200)], "qid int, text string")
+    found = search.search(table, asked, "qid", "text", fields=("message",), keep=("doc_id",), tie_break=("doc_id",)).collect()
+    assert len(found) == 2000 and {r["doc_id"] for r in found if r["qid"] == 0 and r["rank"] <= 2} == {0, 512}
+    assert max(df.count() for df in kept.values()) <= 1024
+    assert kept["search-found"].count() == 8 * 10
