@@ -97,11 +97,20 @@ def stage(df: DataFrame, name: str, slot: str | None = None, by: str | None = No
     keeps the table in one folder per value of that column.
     """
     path = scratch(df.sparkSession, name, slot)
-    writer = df.write.mode("overwrite" if slot else "errorifexists")
+    writer = (gathered(df, by) if by else df).write.mode("overwrite" if slot else "errorifexists")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame, by: str) -> DataFrame:
+    """Rows of one folder in one task, or a few where it is large.
+
+    Otherwise each task writes a file into each folder, and a table over more
+    days and with more tasks has files by the product of both.
+    """
+    return df.hint("rebalance", by)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove what this application has staged. Tables read from there are gone."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/emberlog/{spark.sparkContext.applicationId}")

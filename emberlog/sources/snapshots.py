@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.session import gathered
+
 LISTS, PARTS = "_snapshots", "parts"
 
 
@@ -67,7 +69,7 @@ def write_days(rows: DataFrame, path: str, days: list[str]) -> int:
     ``rows`` may read the table itself, as nothing there is overwritten.
     """
     spark, folder = rows.sparkSession, f"change={uuid.uuid4().hex}"
-    rows.write.mode("errorifexists").partitionBy("day").parquet(f"{path}/{PARTS}/{folder}")
+    gathered(rows, "day").write.mode("errorifexists").partitionBy("day").parquet(f"{path}/{PARTS}/{folder}")
     return commit(spark, path, folders(spark, path) | {d: folder for d in days})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from emberlog import schemas
 from emberlog.operators.scoring import anomalies
+from emberlog.session import gathered
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -35,7 +36,7 @@ def read_scored(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 def write_logs(logs: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace the log table. With a ``ts`` column it is kept by day."""
     by_day = "ts" in logs.columns
-    rows = logs.withColumn("day", F.to_date("ts")) if by_day else logs
+    rows = gathered(logs.withColumn("day", F.to_date("ts")), "day") if by_day else logs
     writer = rows.write.mode("overwrite")
     if by_day:
         writer = writer.partitionBy("day")

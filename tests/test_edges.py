@@ -564,3 +564,16 @@ def test_range_of_training_bounds_the_norm(spark):
     df = spark.createDataFrame([(-3.0,), (0.0,), (1.0,), (9.0,), (None,)], "anomaly_score double")
     got = column(scoring.normalize(df, bounds=(-1.0, 3.0)), "anomaly_score_norm")
     assert got == [1.0, 0.75, 0.5, 0.0, None]
+
+
+def test_tables_by_day_have_few_files(spark, tmp_path):
+    """A file for each day, not one for each day and task."""
+    rows = spark.range(600, numPartitions=8).selectExpr(
+        "date_add(date'2024-01-01', CAST(id % 30 AS INT)) AS day", "CAST(date_add(date'2024-01-01', CAST(id % 30 AS INT)) AS timestamp) AS ts", "id")
+    places = [session.stage(rows, "few-files", by="day").inputFiles()]
+    tables.write_logs(rows.drop("day"), str(tmp_path / "logs"))
+    places.append(spark.read.parquet(str(tmp_path / "logs")).inputFiles())
+    snapshots.write_days(rows, str(tmp_path / "days"), snapshots.days_of(rows))
+    places.append(list((tmp_path / "days").rglob("*.parquet")))
+    assert [len(files) for files in places] == [30, 30, 30]
+    assert spark.read.parquet(str(tmp_path / "logs")).count() == 600
