@@ -131,6 +131,11 @@ class Inputs:
     def model(self) -> detector.Model:
         return self._once("model", lambda: detector.train(self.logs))
 
+    @property
+    def log_vectorizer(self) -> tfidf.Vectorizer:
+        """That of the model, whose vocabulary is fitted on the same messages; it takes no training."""
+        return self._once("log-vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(self.logs)))
+
     @property
     def vocabulary(self) -> DataFrame:
         """That of the documents table, saved."""
@@ -721,7 +726,7 @@ def iforest_embeddings(i: Inputs) -> DataFrame:
 
 @query
 def cluster_summaries(i: Inputs) -> DataFrame:
-    return clusters.cluster_summaries(i.scored, i.model.vectorizer, order=("ts", "event_id"))
+    return clusters.cluster_summaries(i.scored, i.log_vectorizer, order=("ts", "event_id"))
 
 
 @query
@@ -733,7 +738,7 @@ def cluster_keywords(i: Inputs) -> DataFrame:
 @query
 def cluster_checks(i: Inputs) -> DataFrame:
     """What must hold of any clustering, whatever the start: all true."""
-    return clusters.verify(i.scored, i.model.vectorizer, _scratch(i, "clustering"))
+    return clusters.verify(i.scored, i.log_vectorizer, _scratch(i, "clustering"))
 
 
 def _host_centres(i: Inputs) -> clusters.Clustering:
@@ -872,8 +877,7 @@ def vocabulary_saved(i: Inputs) -> DataFrame:
 def feature_matrix(i: Inputs) -> DataFrame:
     """Every non-zero place of the rows a model is given."""
     rows = features.basic_features(i.logs)
-    vectorizer = i._once("log-vectorizer", lambda: tfidf.Vectorizer.of(tfidf.fit_vocabulary(rows)))
-    rows = detector.feature_matrix(rows, vectorizer)
+    rows = detector.feature_matrix(rows, i.log_vectorizer)
     return tfidf.long_form(rows, "features", "event_id")
 
 

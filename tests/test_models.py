@@ -323,3 +323,17 @@ def test_search_keeps_no_pairs(spark, monkeypatch):
     assert len(found) == 2000 and {r["doc_id"] for r in found if r["qid"] == 0 and r["rank"] <= 2} == {0, 512}
     assert max(df.count() for df in kept.values()) <= 1024
     assert kept["search-found"].count() == 8 * 10
+
+
+def test_messages_of_one_point_are_clustered_once(spark, monkeypatch):
+    """Ids beyond the vocabulary make no points; the same vocabulary without a model, and nothing is filtered by distances."""
+    kept, keep = {}, clusters.stage
+    monkeypatch.setattr(clusters, "stage", lambda df, name, *more: kept.setdefault(name, keep(df, name, *more)))
+    texts = ["disk full on worker", "login failed for user", "service error status"]
+    rows = [(f"{texts[n % 3]} x{n}", -1, "HIGH") for n in range(300)]
+    table = spark.createDataFrame(rows, "message string, anomaly int, severity string")
+    vectorizer = tfidf.Vectorizer.of(tfidf.fit_vocabulary(table, min_df=2))
+    made = clusters.fit_clusters(table, vectorizer, k=3, restarts=2)
+    assert kept["cluster-points"].count() == 3 and len(made.centres) == 3 and min(made.costs) < 1e-9
+    i = registered.Inputs(spark, "/root/testdata/sf0.001")
+    assert i.log_vectorizer == i.model.vectorizer
