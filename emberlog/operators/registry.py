@@ -25,9 +25,13 @@ def gate_columns(total: Column, anomalies: Column, low: float, high: float) -> d
     return {"ok": (total > 0) & rate.between(low, high), "rate": rate, "reason": reason}
 
 
-def validation_gate(scored: DataFrame, low: float = fixed.GATE_LOW, high: float = fixed.GATE_HIGH) -> DataFrame:
-    """Is the anomaly rate within bounds, both included? One row, one pass."""
-    one = scored.agg(F.count("*").alias("total"), F.count_if(F.col("anomaly") == -1).alias("anomalies"))
+def validation_gate(
+    scored: DataFrame, low: float = fixed.GATE_LOW, high: float = fixed.GATE_HIGH, size: str | None = None
+) -> DataFrame:
+    """Is the anomaly rate within bounds, both included? One row, one pass. ``size`` says how many rows one stands for."""
+    n, hit = F.col(size) if size else F.lit(1), F.col("anomaly") == -1
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = scored.agg(total(n).alias("total"), total(F.when(hit, n)).alias("anomalies"))
     return one.select(*[c.alias(n) for n, c in gate_columns(F.col("total"), F.col("anomalies"), low, high).items()])
 
 

@@ -337,3 +337,12 @@ def test_messages_of_one_point_are_clustered_once(spark, monkeypatch):
     assert kept["cluster-points"].count() == 3 and len(made.centres) == 3 and min(made.costs) < 1e-9
     i = registered.Inputs(spark, "/root/testdata/sf0.001")
     assert i.log_vectorizer == i.model.vectorizer
+
+
+def test_training_rows_of_equal_features_are_scored_once(spark):
+    rows = [(n, [float(n % 5), float(n % 3)]) for n in range(600)]
+    fitted = forest.fit(spark.createDataFrame(rows, "id int, features array<double>"), "id", trees=10, sample=32)
+    scores = fitted.training_scores().toPandas()
+    assert len(scores) <= 15 and scores["n"].sum() == 600
+    whole = np.repeat(fitted.path_score(np.array([r[1] for r in rows[:15]])), 40)
+    assert abs(np.quantile(whole, 0.02) - fitted.offset) < 1e-12
