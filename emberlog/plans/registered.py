@@ -960,24 +960,23 @@ def stream_alerts(i: Inputs) -> DataFrame:
 
 @query
 def stream_cooldown(i: Inputs) -> DataFrame:
-    """Cooldown as keyed state of a stream, stopped half-way and started again from its checkpoint.
+    """Cooldown as keyed state of a stream, stopped after each batch and started again from its checkpoint.
 
     The same documents as those of ``alert_cooldown``, in CHUNKS batches by
-    time; a last row long after all others closes their windows.
+    time; a last row long after all others closes their windows. A batch is
+    all files written since the one before, as many as its rows take.
     """
-    out, end = _scratch(i, "stream-cooldown"), i.now + timedelta(days=1)
+    out, end, ts = _scratch(i, "stream-cooldown"), i.now + timedelta(days=1), F.col("ts")
     docs = documents.most_anomalous_per_key(documents.to_documents(i.scored.withColumn("anomaly", F.lit(-1))))
-    docs = stage(docs.withColumn("ts", F.to_timestamp("timestamp")), "cooldown-documents")
+    docs = docs.withColumn("ts", F.to_timestamp("timestamp"))
+    part = sum((ts >= F.lit(i.at(k / CHUNKS))).cast("int") for k in range(1, CHUNKS))
+    docs = stage(docs.withColumn("part", part), "cooldown-documents", by="part")
     last = docs.limit(1).withColumns({"ts": F.lit(end), "severity": F.lit("NONE")})
-    edges = [i.start, *[i.at(k / CHUNKS) for k in range(1, CHUNKS)], end]
-    for half in (0, 1):
-        for k in range(half * CHUNKS // 2, (half + 1) * CHUNKS // 2):
-            part = docs.filter((F.col("ts") >= F.lit(edges[k])) & (F.col("ts") < F.lit(edges[k + 1])))
-            part = part.unionByName(last) if k == CHUNKS - 1 else part
-            part.coalesce(1).write.mode("append").parquet(f"{out}/in")
-        stream = pipeline.read_stream(i.spark, f"{out}/in", docs.schema, "parquet", files_per_batch=1)
-        (cooldown.stream_cooldown(stream, "1 minute").writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint")
-         .trigger(availableNow=True).format("parquet").start(f"{out}/sent").awaitTermination())
+    for k in range(CHUNKS):
+        rows = docs.filter(F.col("part") == k)
+        (rows.unionByName(last) if k == CHUNKS - 1 else rows).drop("part").write.mode("append").parquet(f"{out}/in")
+        stream = pipeline.read_stream(i.spark, f"{out}/in", docs.drop("part").schema, "parquet")
+        cooldown.start_cooldown(stream, f"{out}/sent", f"{out}/checkpoint", availableNow=True).awaitTermination()
     return i.spark.read.parquet(f"{out}/sent").filter("severity <> 'NONE'").select("severity", "second", "doc_id")
 
 

@@ -183,6 +183,31 @@ def test_stateful_cooldown_carries_over_batches(spark, tmp_path):
     assert sent[0]["doc_id"] == "d0.4"
 
 
+def test_cooldown_state_has_no_more_parts_than_tasks(spark, tmp_path):
+    """However many partitions a shuffle has; those of state cost each batch the same, full or empty."""
+    base, schema = pd.Timestamp("2024-01-01"), "severity string, ts timestamp, timestamp string, doc_id string, message string, anomaly_score_norm double"
+    batches = [range(0, 300, 7), range(301, 500, 3), [5000]]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for seconds in batches:
+            rows = [("HIGH", (base + pd.Timedelta(seconds=s)).to_pydatetime(), str(s), f"d{s}", "m", 0.5) for s in seconds]
+            spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+            docs = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            batches_of(cooldown.start_cooldown(docs, str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sent = sorted(r["second"] - int(base.timestamp()) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    expected = []
+    for s in sorted({*batches[0], *batches[1]}):
+        if not expected or s - expected[-1] >= 60:
+            expected.append(s)
+    assert sent == expected
+    for operator in (tmp_path / "c" / "state").iterdir():
+        assert 0 < sum(p.name.isdigit() for p in operator.iterdir()) <= 8
+
+
 def test_monitoring_keeps_the_first_of_equal_rows(spark, tmp_path):
     """Rows alike but for their id and value, the later ids first in the file: the loop keeps those one run keeps."""
     events = spark.read.parquet(f"{FOLDER}/events.parquet").withColumn("value", F.col("event_id") + 1000.0)
