@@ -51,7 +51,8 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     known = scoring.vocabulary(docs)
-    return scoring.score(docs, scoring.train(docs, known), known).select(
+    coded = scoring.encode(docs, known)
+    return scoring.score(docs, scoring.train(docs, known, coded=coded), known, coded=coded).select(
         "doc_id", "n_words", "pseudo_log_likelihood", "mean_log_likelihood")
 
 

@@ -15,6 +15,9 @@ network's input tells rare words apart no further than by place. A word that
 was not counted has the share of one more word in its place, spread evenly over
 all strings of bytes.
 
+Texts are split and encoded once, for training and scoring alike, and kept as
+the places of their words, with the rare words that are left to look up.
+
 Training goes over all words once. Encoded texts are dealt by hash to lanes of
 LANE_WORDS words, in order of the hash, so that a lane is the same however the
 input is partitioned. In each of ROUNDS rounds every lane starts from the same
@@ -55,6 +58,7 @@ SLICES = 16
 # Words that one lane learns from, and the rounds after which lanes are averaged.
 LANE_WORDS = 2_000_000
 ROUNDS = 4
+CODED = "a long, b long, h long, codes binary, share double, tail map<string,long>"
 # Words after the network's own whose shares go to the tasks, some 20 bytes each.
 MIDDLE = 200_000
 
@@ -136,18 +140,19 @@ class Encoder:
         logs = [math.log(n / (totals[p - WORDS + RARE] + 1)) for n, p in zip(middle.values(), shared)] if totals else [0.0] * len(middle)
         self.logs = np.array([*[0.0] * len(listed), *logs, 0.0])
 
-    def rated(self, text: str | None) -> tuple[np.ndarray, float]:
-        """The places, and the sum of the middle words' shares. Null texts have none."""
-        words = (text or "").encode().split()
+    def rated(self, text: bytes) -> tuple[np.ndarray, float, list[bytes]]:
+        """The places, the sum of the middle words' shares, and the words that are not listed."""
+        words = text.split()
         get, last = self.number.get, len(self.places) - 1
         numbers = np.array([get(w, last) for w in words], np.int64)
-        places = self.places[numbers]
-        for i in np.flatnonzero(numbers == last).tolist():
-            places[i] = WORDS - RARE + zlib.crc32(words[i]) % RARE
-        return places, float(self.logs[numbers].sum())
+        places, tail = self.places[numbers], np.flatnonzero(numbers == last).tolist()
+        others = [words[i] for i in tail]
+        places[tail] = [WORDS - RARE + zlib.crc32(w) % RARE for w in others]
+        return places, float(self.logs[numbers].sum()), others
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return self.rated(text)[0]
+        """The places; null texts have none."""
+        return self.rated((text or "").encode())[0]
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -160,7 +165,7 @@ def windows(ids: np.ndarray) -> np.ndarray:
 def _softmax(logits: np.ndarray) -> np.ndarray:
     logits -= logits.max(-1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(-1, keepdims=True)
+    logits /= logits @ np.ones((logits.shape[-1], 1), logits.dtype)  # sums of short rows are faster so
     return logits
 
 
@@ -224,24 +229,37 @@ def learn(flat: np.ndarray, seen: np.ndarray, around: np.ndarray, targets: np.nd
         of_word_bias[c] = wrong[a:b].sum(0)
     back[order] += below
     back *= 1 - hidden * hidden
-    # All places at once: one sum per dimension over the rows of all tables.
-    rows = (around + np.arange(2 * SIDE) * (WORDS + 1)).ravel()
-    for d in range(WIDTH):
-        of_tables[:, :, d] = np.bincount(rows, np.repeat(back[:, d], 2 * SIDE), 2 * SIDE * (WORDS + 1)).reshape(2 * SIDE, WORDS + 1)
+    # All places and dimensions at once: one sum per entry of the tables.
+    rows = (around + np.arange(2 * SIDE) * (WORDS + 1)) * WIDTH
+    entries = (rows[:, :, None] + np.arange(WIDTH)).ravel()
+    of_tables[:] = np.bincount(entries, np.repeat(back[:, None, :], 2 * SIDE, 1).ravel(), of_tables.size).reshape(of_tables.shape)
     slope /= n
     seen += slope * slope
     flat -= RATE * slope / np.sqrt(seen + 1e-8)
 
 
-def train(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> np.ndarray:
-    """The weights after all rounds.
+def encode(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> DataFrame:
+    """Every row's text as ``train`` and ``score`` take it, kept: they go over texts without splitting them again.
+
+    A key and a hash of the text, the places of its words as numbers of two
+    bytes, the sum of the middle words' shares, and how often it says each word
+    outside the middle.
+    """
+    text = col(text_col)
+    rows = docs.select(_text_key(text).alias("key"), F.lower(text).alias("text")).select("key.a", "key.b", "text")
+    return stage(rows.mapInArrow(_coder(list(known), known.middle, known.totals), CODED), "encoded")
+
+
+def train(docs: DataFrame, known: Vocabulary, text_col: str = "text", coded: DataFrame | None = None) -> np.ndarray:
+    """The weights after all rounds. ``coded`` spares encoding the same ``docs`` again.
 
     Without a word to learn from, the weights stay those of the start.
     """
     if not known.words:
         return start()
     lanes = -(-known.words // LANE_WORDS)
-    coded = docs.select(F.lower(col(text_col))).mapInArrow(_coder(list(known), known.middle), "h long, codes binary")
+    coded = encode(docs, known, text_col) if coded is None else coded
+    coded = coded.filter(F.octet_length("codes") > 0).select("h", "codes")
     coded = coded.withColumns({"lane": F.pmod("h", F.lit(lanes)), "turn": F.pmod(F.shiftright("h", 20), F.lit(ROUNDS))})
     # A lane's texts lie together and in the same order whatever the input's partitions.
     coded = stage(coded.repartition(lanes, "lane").sortWithinPartitions("lane", "h"), "coded")
@@ -258,18 +276,25 @@ def train(docs: DataFrame, known: Vocabulary, text_col: str = "text") -> np.ndar
     return flat
 
 
-def _coder(known: list[str], middle: dict[bytes, int]):
-    """A hash of every text with a word, and its words as numbers of two bytes."""
+def _coder(known: list[str], middle: dict[bytes, int], totals: list[int]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(known, middle)
+        encode = Encoder(known, middle, totals)
         for batch in batches:
-            hashes, codes = [], []
-            for text in batch.column(0).to_pylist():
-                ids = encode(text)
-                if len(ids):
-                    hashes.append(xxhash.xxh3_64_intdigest(text.encode()) >> 1)
-                    codes.append(ids.astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(codes, pa.binary())], ["h", "codes"])
+            hashes, codes, shares, ends, words, times = [], [], [], [0], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                ids, share, others = encode.rated(text or b"")
+                hashes.append(xxhash.xxh3_64_intdigest(text or b"") >> 1)
+                codes.append(ids.astype(np.int16).tobytes())
+                shares.append(share)
+                said = Counter(others)
+                words += said
+                times += said.values()
+                ends.append(len(words))
+            tail = pa.MapArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(hashes, pa.int64()), pa.array(codes, pa.binary()),
+                 pa.array(shares, pa.float64()), tail], ["a", "b", "h", "codes", "share", "tail"])
 
     return work
 
@@ -311,20 +336,21 @@ def _trainer(flat: np.ndarray, seen: np.ndarray):
     return work
 
 
-def score(docs: DataFrame, flat: np.ndarray, known: Vocabulary, text_col: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, flat: np.ndarray, known: Vocabulary, text_col: str = "text", coded: DataFrame | None = None
+) -> DataFrame:
     """``docs`` with ``n_words``, ``pseudo_log_likelihood`` and ``mean_log_likelihood``.
 
     Texts without a word have 0, 0.0 and null. Columns of those names are
-    replaced. The score of a text depends on nothing but the text and the model.
+    replaced. The score of a text depends on nothing but the text and the
+    model. ``coded`` spares encoding the same ``docs`` again.
     """
-    made = F.pandas_udf(_scorer(flat, known), "struct<n_words:long,total:double>")(F.lower(col(text_col)))
     names = ("n_words", "pseudo_log_likelihood", "mean_log_likelihood")
     keep = [col(c) for c in docs.columns if c.lower() not in names]
-    key, rated, share = (free_name(docs, c) for c in ("_text", "_rated", "_share"))
-    both = docs.select(*keep, _text_key(col(text_col)).alias(key), made.alias(rated))
-    shares = _shares(docs, known, text_col).toDF(key, share)
-    both = both.join(shares, key, "left")
-    n, total = F.col(f"{rated}.n_words"), F.col(f"{rated}.total") + F.coalesce(share, F.lit(0.0))
+    key, words, sum_ = (free_name(docs, c) for c in ("_text", "_words", "_total"))
+    coded = encode(docs, known, text_col) if coded is None else coded
+    both = docs.select(*keep, _text_key(col(text_col)).alias(key)).join(_totals(coded, flat, known).toDF(key, words, sum_), key, "left")
+    n, total = F.col(words), F.col(sum_)
     return both.select(*keep, n.alias(names[0]), total.alias(names[1]), F.when(n > 0, total / n).alias(names[2]))
 
 
@@ -332,76 +358,44 @@ def _text_key(text):
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
-def _shares(docs: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
-    """Per distinct text, the log of the shares of its words outside the middle: ``key, share``.
-
-    A mark per row, an empty word, tells how many rows have the text.
-    """
-    text = col(text_col)
-    schema = "a long, b long, word string, times long"
-    said = docs.select(_text_key(text).alias("key"), F.lower(text).alias("text")).select("key.a", "key.b", "text")
-    said = said.mapInArrow(_tail_lister(list(known), frozenset(known.middle)), schema)
+def _totals(coded: DataFrame, flat: np.ndarray, known: Vocabulary) -> DataFrame:
+    """Per distinct text its number of words and the sum of their logs: ``key, words, total``."""
     word, n = F.col("word"), F.col("n")
     place = (F.crc32(word) % RARE + 1).cast("int")
     room = F.element_at(F.array(*[F.lit(float(t + 1)) for t in known.totals]), place)
     unseen = math.log(RARE) - (F.octet_length(word) + 1) * math.log(257)
     log = F.when(n.isNotNull(), F.log(n)).otherwise(unseen) - F.log(room)
-    # Marks need no look-up; as a branch of their own they do not meet in one task.
-    marks = said.filter(word == "").select("a", "b", F.col("times").alias("rows"), F.lit(0.0).alias("total"))
-    found = said.filter(word != "").join(known.counts, "word", "left").select(
-        "a", "b", F.lit(0).cast("long").alias("rows"), (F.col("times") * log).alias("total"))
-    sums = marks.unionByName(found).groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
-    return sums.select(F.struct("a", "b").alias("key"), (F.col("total") / F.col("rows")).alias("share"))
-
-
-def _tail_lister(known: list[str], middle: frozenset[bytes]):
-    """The words of each text that neither list has, and how often it says them; a mark for each text that has some."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = middle | {w.encode() for w in known}
+    rated = coded.select("a", "b", "codes", "share").mapInArrow(_scorer(flat), "a long, b long, words long, total double")
+    # A text's copies are rated alike; those of its words that are looked up come once for each copy.
+    rated = rated.select("a", "b", "words", "total", F.lit(1).alias("copies"), F.lit(0.0).alias("rest"))
+    said = coded.select("a", "b", F.explode("tail").alias("word", "times"))
+    found = said.join(known.counts, "word", "left").select(
+        "a", "b", F.lit(None).cast("long").alias("words"), F.lit(None).cast("double").alias("total"),
+        F.lit(0).alias("copies"), (F.col("times") * log).alias("rest"))
+    sums = rated.unionByName(found).groupBy("a", "b").agg(
+        F.max("words").alias("words"), F.max("total").alias("total"), (F.sum("rest") / F.sum("copies")).alias("rest"))
+    return sums.select(F.struct("a", "b").alias("key"), "words", (F.col("total") + F.col("rest")).alias("total"))
+
+
+def _scorer(flat: np.ndarray):
+    """Number of words, and the sum of what the network gives and the middle words' shares."""
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = unpack(flat)
         for batch in batches:
-            owners, words, times = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                tail = Counter(w for w in (text or "").encode().split() if w not in listed)
-                if tail:
-                    owners += [i] * (len(tail) + 1)
-                    words += [b"", *tail]
-                    times += [1, *tail.values()]
-            at = pa.array(owners, pa.int64())
+            texts = [np.frombuffer(c, np.int16).astype(np.int64) for c in batch.column(2).to_pylist()]
+            counts, totals, at = [len(t) for t in texts], [], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and size < 8192:
+                    size += counts[end]
+                    end += 1
+                held = texts[at:end]
+                found = log_probabilities(weights, np.concatenate([windows(t) for t in held]), np.concatenate(held))
+                edges = np.cumsum([0, *counts[at:end]])
+                totals += [float(found[a:b].sum(dtype=np.float64)) for a, b in zip(edges, edges[1:])]
+                at = end
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.binary()).cast(pa.string()),
-                 pa.array(times, pa.int64())], ["a", "b", "word", "times"])
-
-    return work
-
-
-def _scorer(flat: np.ndarray, known: Vocabulary):
-    """Number of words and the sum of what the network and the middle words' shares give."""
-    listed, middle, room = list(known), known.middle, known.totals
-
-    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encode, weights = Encoder(listed, middle, room), unpack(flat)
-        for texts in batches:
-            counts, totals = [], []
-            held, size = [], 0
-
-            def flush(held):
-                targets = np.concatenate([t for _, t in held])
-                found = log_probabilities(weights, np.concatenate([w for w, _ in held]), targets)
-                edges = np.cumsum([0] + [len(t) for _, t in held])
-                totals.extend(float(found[a:b].sum(dtype=np.float64)) for a, b in zip(edges, edges[1:]))
-
-            said = []
-            for text in texts:
-                ids, share = encode.rated(text)
-                counts.append(len(ids))
-                said.append(share)
-                held.append((windows(ids), ids))
-                size += len(ids)
-                if size >= 8192:
-                    flush(held)
-                    held, size = [], 0
-            if held:
-                flush(held)
-            yield pd.DataFrame({"n_words": counts, "total": [a + b for a, b in zip(totals, said)]})
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
+                 pa.array(np.array(totals) + batch.column(3).to_numpy())], ["a", "b", "words", "total"])
 
     return rate

@@ -399,6 +399,20 @@ def test_scores_equal_a_plain_forward_pass(spark, monkeypatch):
         assert r.n_words == n and r.pseudo_log_likelihood == pytest.approx(total, rel=1e-4)
 
 
+def test_scoring_goes_over_texts_once(spark):
+    """The plan that scores has no Python over texts but over what was kept of them; copies are scored alike."""
+    docs = spark.createDataFrame([(0, "a b c"), (1, "c ü d"), (2, "a b c"), (3, None), (4, " ")], "doc_id long, text string")
+    known = scoring.vocabulary(docs)
+    coded = scoring.encode(docs, known)
+    flat = scoring.train(docs, known, coded=coded)
+    assert np.array_equal(flat, scoring.train(docs, known))
+    found = scoring.score(docs, flat, known, coded=coded)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+    rows = {r.doc_id: (r.n_words, r.pseudo_log_likelihood) for r in found.collect()}
+    assert rows[0] == rows[2] and rows[0][0] == rows[1][0] == 3 and rows[3] == rows[4] == (0, 0.0)
+
+
 def test_scoring_slopes():
     """The learning step goes down the slope of the loss, measured by small differences."""
     rng = np.random.default_rng(0)
