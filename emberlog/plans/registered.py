@@ -111,15 +111,24 @@ class Inputs:
 
         return self._once(f"stand-in-{live}", build)
 
+    @property
+    def labelled(self) -> DataFrame:
+        """All logs with a stand-in score, so that labels and all that follows
+        can be checked against SQL. Takes no features."""
+        return self._once("labelled", lambda: scoring.label_by_contamination(self.logs.withColumn("anomaly_score", -F.col("value"))))
+
     @property
     def scored(self) -> DataFrame:
-        """Scored with a stand-in score, so that labels and all that follows
-        can be checked against SQL."""
+        """The labelled logs with features, norm and severity, worked out and written in one go."""
 
         def build() -> DataFrame:
-            rows = stage(features.basic_features(self.logs).withColumn("anomaly_score", -F.col("value")), "featured")
-            rows = scoring.label_by_contamination(rows)
-            return by_day(scoring.with_severity(scoring.normalize(rows)), "scored")
+            given = ("anomaly_score", "anomaly")
+            rows = features.basic_features(self.labelled)
+            rows = rows.select(*[c for c in rows.columns if c not in given], *given)
+            # From the labelled rows, which have the same scores: features would be worked out twice.
+            low, high = self.labelled.agg(F.min("anomaly_score"), F.max("anomaly_score")).first()
+            normed = scoring.normalize(rows, bounds=None if low is None else (low, high))
+            return by_day(scoring.with_severity(normed), "scored")
 
         return self._once("scored", build)
 
@@ -493,7 +502,7 @@ def heatmap_24(i: Inputs) -> DataFrame:
 
 @query
 def validation_gate(i: Inputs) -> DataFrame:
-    return registry.validation_gate(i.scored)
+    return registry.validation_gate(i.labelled)
 
 
 @query

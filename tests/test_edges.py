@@ -13,6 +13,7 @@ from emberlog.operators import (
 )
 from emberlog.operators.grouping import attach_count
 from emberlog.operators.quantiles import exact_percentile
+from emberlog.plans import registered
 from emberlog.sources import scan, snapshots, tables
 
 
@@ -577,3 +578,13 @@ def test_tables_by_day_have_few_files(spark, tmp_path):
     places.append(list((tmp_path / "days").rglob("*.parquet")))
     assert [len(files) for files in places] == [30, 30, 30]
     assert spark.read.parquet(str(tmp_path / "logs")).count() == 600
+
+
+def test_gate_takes_labels_alone(spark, tmp_path, monkeypatch):
+    """The gate counts labels; it needs no features and no table of them."""
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
+    i = registered.Inputs(spark, str(tmp_path))
+    with monkeypatch.context() as without:
+        without.setattr(registered.features, "basic_features", None)
+        got = registered.validation_gate(i).collect()
+    assert got == registry.validation_gate(i.scored).collect() and got[0].ok
