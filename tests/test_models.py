@@ -325,22 +325,24 @@ def test_search_keeps_no_pairs(spark, monkeypatch):
     assert kept["search-found"].count() == 8 * 10
 
 
-def test_search_keeps_nothing_by_questions_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("short, few", [(200, 100), (1, 2)])
+def test_search_keeps_nothing_by_questions_and_blocks(spark, monkeypatch, short, few):
     """However many blocks there are, a question keeps its best so far, and blocks are not copied for each other."""
     rng, words = np.random.default_rng(5), [f"w{n}" for n in range(40)]
-    docs = [(n, " ".join(rng.choice(words, rng.integers(1, 12), p=np.arange(40, 0, -1) / 820)), str(rng.choice(["w0", "w1"]))) for n in range(1500)]
-    table = spark.createDataFrame(docs, "doc_id int, message string, severity string").repartition(5)
-    asked = spark.createDataFrame([(n, " ".join(rng.choice(words, rng.integers(1, 8)))) for n in range(200)], "qid int, text string")
+    docs = [(n, " ".join(rng.choice(words, rng.integers(1, 12), p=np.arange(40, 0, -1) / 820)), str(rng.choice(["w0", "w1"]))) for n in range(600)]
+    table = spark.createDataFrame(docs, "doc_id int, message string, severity string").repartition(2)
+    asked = spark.createDataFrame([(n, " ".join(rng.choice(words, rng.integers(1, 8)))) for n in range(60)], "qid int, text string")
     options = dict(keep=("doc_id",), tie_break=("doc_id",), k=5)
     expected = search.search(table, asked, "qid", "text", **options).collect()
     kept, keep = {}, search.stage
     monkeypatch.setattr(search, "stage", lambda df, name, *more: kept.setdefault(name, keep(df, name, *more)))
-    monkeypatch.setattr(search, "BLOCK_BITS", 4)
+    monkeypatch.setattr(search, "BLOCK_BITS", 5)
     monkeypatch.setattr(search, "ASKED", 16)
+    for name, value in {"TOGETHER": 64, "SHORT": short, "FEW": few}.items():
+        monkeypatch.setattr(search, name, value, raising=False)
     found = search.search(table, asked, "qid", "text", **options).collect()
-    assert sorted(found) == sorted(expected) and len(found) > 900
-    tasks = 2 * spark.sparkContext.defaultParallelism + 200 // 16
-    assert kept["search-found"].count() <= tasks * 2 * 16 * 5
+    assert sorted(found) == sorted(expected) and len(found) > 250
+    assert kept["search-found"].count() <= 2 * 60 * 4 * 5
     wanted = brute_force([{"doc_id": d, "message": m, "severity": s} for d, m, s in docs], [(r["qid"], r["text"]) for r in asked.collect()[:20]], 5)
     for qid, ids in wanted.items():
         assert [r["doc_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["qid"] == qid] == ids
